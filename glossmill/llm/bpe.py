@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries that a worker keeps of pieces seen, and of transducer states; beyond, it starts anew.
-PIECE_CACHE, STATE_CACHE = 300_000, 200_000
+#: Entries that a worker keeps of cuts seen, and of transducer states; beyond, it starts anew. About 0.9 GB at most.
+PIECE_CACHE, STATE_CACHE = 900_000, 600_000
 #: Tokens decoded in one step of the stream.
 STREAM_TOKENS = 4096
 
@@ -42,6 +42,8 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.text = {i: t for t, i in ranks.items()}
+        self.size = [len(self.text.get(i, b"")) for i in range(max(self.text) + 1)]
+        self.one = [bytes([i]) for i in range(256)]
         self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.edges: dict[tuple[int, bool], list] = {}
@@ -52,9 +54,9 @@ class Transducer:
     def clear(self) -> None:
         self.keys: list[tuple] = []
         self.numbers: dict[tuple, int] = {}
-        #: By state: byte -> (next state, tokens sent), and the tokens sent at the end.
-        self.rows: list[dict[int, tuple[int, tuple]]] = []
-        self.ends: list[tuple[int, ...] | None] = []
+        #: state * 256 + byte -> (next state, tokens sent); state -> tokens sent at the end.
+        self.moves: dict[int, tuple[int, tuple]] = {}
+        self.ends: dict[int, tuple[int, ...]] = {}
         self.number(((-1,), b"", (0,)))
 
     def number(self, key: tuple) -> int:
@@ -62,8 +64,6 @@ class Transducer:
         if n is None:
             n = self.numbers[key] = len(self.keys)
             self.keys.append(key)
-            self.rows.append({})
-            self.ends.append(None)
         return n
 
     def merged(self, piece: bytes) -> list[int]:
@@ -120,39 +120,47 @@ class Transducer:
             self.pairs[left, right] = known
         return known
 
-    def chain(self, last: tuple, end: int) -> list[int]:
-        """Token boundaries of the encoding of the first `end` pending bytes, from 0."""
-        out = [end]
+    def sent(self, last: tuple, end: int) -> tuple[int, ...]:
+        """The tokens of the first `end` pending bytes."""
+        out, size = [], self.size
         while end:
-            end -= len(self.text[last[end]])
-            out.append(end)
-        return out[::-1]
+            token = last[end]
+            out.append(token)
+            end -= size[token]
+        return tuple(out[::-1])
 
     def step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
         lasts, pending, live = state
-        pending += bytes([byte])
+        pending += self.one[byte]
         n, found, still = len(pending), None, []
+        get, prefixes = self.ranks.get, self.prefixes
         for k in live:
             text = pending[k:]
             if found is None:
-                token = self.ranks.get(text)
+                token = get(text)
                 if token is not None and token not in self.apart and self.fits(lasts[k], token):
                     found = token
-            if text in self.prefixes:
+            if text in prefixes:
                 still.append(k)
         last = (*lasts, found)
         still.append(n)
-        if not still[0]:
+        cut = still[0]
+        if not cut:
             return (last, pending, tuple(still)), ()
-        common = set(self.chain(last, still[0]))
+        # the last boundary that the encodings of all live prefixes share
+        size = self.size
         for k in still[1:]:
-            common.intersection_update(self.chain(last, k))
-        cut = max(common)
-        sent = tuple(last[k] for k in self.chain(last, cut)[1:])
-        return (last[cut:], pending[cut:], tuple(k - cut for k in still)), sent
+            while k != cut:
+                if k > cut:
+                    k -= size[last[k]]
+                else:
+                    cut -= size[last[cut]]
+        if not cut:
+            return (last, pending, tuple(still)), ()
+        return (last[cut:], pending[cut:], tuple([k - cut for k in still])), self.sent(last, cut)
 
     def end(self, state: tuple) -> tuple[int, ...]:
-        return tuple(state[0][k] for k in self.chain(state[0], len(state[1]))[1:])
+        return self.sent(state[0], len(state[1]))
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -160,20 +168,20 @@ class Transducer:
             return [whole]
         if len(self.keys) > STATE_CACHE:
             self.clear()
-        state, rows = 0, self.rows
+        state, moves = 0, self.moves
         out: list[int] = []
         for byte in piece:
-            move = rows[state].get(byte)
+            move = moves.get(state << 8 | byte)
             if move is None:
                 key, sent = self.step(self.keys[state], byte)
-                move = rows[state][byte] = (self.number(key), sent)
+                move = moves[state << 8 | byte] = (self.number(key), sent)
             state, sent = move
             if sent:
                 out += sent
-        tail = self.ends[state]
+        tail = self.ends.get(state)
         if tail is None:
             tail = self.ends[state] = self.end(self.keys[state])
-        return out + list(tail)
+        return [*out, *tail]
 
 
 RUN_OF_SPACE = re.compile(r"[\s\x1c-\x1f\x85]{2}|^[\s\x1c-\x1f\x85]|[\s\x1c-\x1f\x85]\Z").search
@@ -220,18 +228,23 @@ class Codec:
         self.by_text = {str(i): t for t, i in ranks.items()}
 
         class Kept(dict):
+            """Two generations: a full one becomes the old one, from which what is still asked for comes back."""
+
             def __init__(self, make) -> None:
                 super().__init__()
-                self.make = make
+                self.make, self.old = make, {}
 
             def __missing__(self, key: str) -> str:
-                if len(self) >= PIECE_CACHE:
+                if len(self) >= PIECE_CACHE // 2:
+                    self.old = dict(self)
                     self.clear()
-                out = self[key] = self.make(key)
+                out = self.old.get(key)
+                if out is None:
+                    out = self.make(key)
+                self[key] = out
                 return out
 
-        self.pieces = Kept(lambda piece: ",".join(map(str, transducer.encode(piece.encode()))))
-        self.plain = Kept(lambda text: ",".join(map(self.pieces.__getitem__, find(text))))
+        self.plain = Kept(lambda text: ",".join([",".join(map(str, transducer.encode(piece.encode()))) for piece in find(text)]))
         self.spaced = Kept(lambda text: self.plain.make(" " + text))
 
     def encode(self, text: str) -> str:
