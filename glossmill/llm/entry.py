@@ -52,7 +52,7 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return urlrules.judge_urls(pages, urlrules.label_pages(pages, table(spark, sf_dir, "labels")))
+    return urlrules.judge_urls(pages, urlrules.seed_labels(pages, table(spark, sf_dir, "labels")))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,16 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence:
     return kept.join(rare, "rule_id").select("rule_id", "tokens", F.col("rarest.token").alias("key"), "confidence", "support")
 
 
+def given_rule(given: list[tuple[str, str]]) -> Column:
+    """The longest given rule that fits the columns host and path: struct(n, rule, verdict), or null."""
+    fitting = []
+    for verdict, rule in given:
+        host, _, path = rule.partition("/")
+        fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith("/" + path)
+        fitting.append(F.when(fits, F.struct(F.lit(len(rule)).alias("n"), F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))))
+    return F.array_max(F.array_compact(F.array(*fitting)))
+
+
 def judge_urls(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url_col: str = "url", given: list[tuple[str, str]] | None = None, **mining) -> DataFrame:
     """Per row: id, host, path, rule, verdict, mined (the mined rule that decided, or null), confidence."""
     given = GIVEN if given is None else given
@@ -84,18 +94,19 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", u
         urls = urls.join(hits, "url", "left").select("url", "host", "path", F.col("best.rule_id").alias("mined"), F.col("best.confidence").alias("confidence"))
     else:
         urls = urls.select("url", "host", "path", F.lit(None).cast("string").alias("mined"), F.lit(None).cast("double").alias("confidence"))
-    best = F.lit(None).cast("struct<n:int,rule:string,verdict:string>")
-    for verdict, rule in given:
-        host, _, path = rule.partition("/")
-        fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith("/" + path)
-        mine = F.struct(F.lit(len(rule)).alias("n"), F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))
-        best = F.when(fits & (best.isNull() | (best["n"] < len(rule))), mine).otherwise(best)
-    urls = urls.withColumn("best", best)
+    urls = urls.withColumn("best", given_rule(given))
     method = F.when(F.col("mined").isNotNull(), "block").otherwise("allow")
     judged = urls.select("url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", method).alias("verdict"), "mined", "confidence")
     return rows.join(judged, "url").select(F.col("id").alias(id_col), "host", "path", "rule", "verdict", "mined", "confidence")
 
 
+def seed_labels(pages: DataFrame, labels: DataFrame, given: list[tuple[str, str]] | None = None) -> DataFrame:
+    """url, blocked: the verdict of the given rules where one fits, else the quality label of the page's document."""
+    told = with_parts(pages.select("url")).select("url", given_rule(GIVEN if given is None else given).alias("best")).where("best is not null")
+    rest = label_pages(pages, labels).join(told.select("url"), "url", "left_anti")
+    return told.select("url", (F.col("best.verdict") == "block").alias("blocked")).unionByName(rest)
+
+
 def label_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """url, blocked of the pages whose url ends its path with the number of a document that has a quality label."""
     number = F.regexp_extract("url", r"/(\d{1,18})(?:\.html|/)?(?:[?#].*)?$", 1)
