@@ -54,7 +54,7 @@ def japanese_candidates(queries: DataFrame) -> DataFrame:
     """query, term, rank (0 exact, 10, 20), step (order of trial), reason (null if exact)."""
     exact = queries.select("query", F.col("query").alias("term"), F.lit(0).alias("rank"), F.lit(-1).alias("step"), F.lit(None).cast("string").alias("reason"))
     bent = queries.select("query", F.posexplode(X.deinflect(F.col("query"))).alias("step", "c"))
-    return exact.unionByName(bent.select("query", F.col("c.text").alias("term"), X.deinflection_rank(F.col("c.reasons")).alias("rank"), "step", F.col("c.reasons")[0].alias("reason")))
+    return exact.unionByName(bent.select("query", F.col("c.text").alias("term"), X.deinflection_rank(F.col("c.reasons")).alias("rank"), "step", F.get("c.reasons", F.lit(0)).alias("reason")))
 
 
 def lookup_japanese(queries: DataFrame, forms: DataFrame, entries: DataFrame, senses: DataFrame | None = None, lang: str | None = None) -> DataFrame:
@@ -78,7 +78,7 @@ def lookup_batch(requests: DataFrame, answers: DataFrame) -> DataFrame:
     got = requests.join(own, "query", "left").join(other, "lemma", "left")
     hits = F.coalesce("own", F.when(F.col("lemma") != F.col("query"), F.col("other")))
     ids = F.transform(hits, lambda h: h["entry_id"])
-    return got.select("request_no", "query", ids[0].alias("entry_id"), F.coalesce(F.array_join(F.slice(ids, 2, F.greatest(F.size(ids), F.lit(1))), ","), F.lit("")).alias("alternatives"))
+    return got.select("request_no", "query", F.get(ids, F.lit(0)).alias("entry_id"), F.coalesce(F.array_join(F.slice(ids, 2, F.greatest(F.size(ids), F.lit(1))), ","), F.lit("")).alias("alternatives"))
 
 
 def merge_enriched(authored: DataFrame, released: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def import_wordnet(senses: DataFrame, synsets: DataFrame) -> DataFrame:
     One row per sense that has a definition; its domains are the first members of its topics' synsets."""
     base = senses.join(synsets.select("synset", "definition", "domain_topic", "examples"), "synset").where(X.nonempty(F.col("definition")).isNotNull())
     topics = base.select("sense_id", F.posexplode("domain_topic").alias("no", "topic"))
-    label = synsets.select(F.col("synset").alias("topic"), X.normalize_member(F.col("members")[0]).alias("label")).where("label is not null")
+    label = synsets.select(F.col("synset").alias("topic"), X.normalize_member(F.get("members", F.lit(0))).alias("label")).where("label is not null")
     domains = topics.join(label, "topic").groupBy("sense_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "label"))), lambda x: x["label"]).alias("domains"))
     out = base.join(domains, "sense_id", "left").withColumn("domains", F.coalesce("domains", F.array().cast("array<string>")))
     return out.select("ordinal", "headword", X.wordnet_pos(F.col("pos_key")).alias("pos"), "sense_no", "sense_id", "synset", "definition", "examples", "domains")

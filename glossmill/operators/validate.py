@@ -93,7 +93,7 @@ def validate_authored(candidates: DataFrame, evidence: DataFrame, vocabulary: Da
         _say(changed.where(~same("labels", "_labels")), key, "source-labels-changed"),
         duplicates(candidates.withColumn("glosses", X.text_identity(text)), ["candidate_id", "lang", "glosses"], "duplicate-sense"),
         _say(candidates.where(lang_check if lang_check is not None else X.invalid_explanation_text(F.col("lang"), text)), key, "gloss-language"),
-        _say(candidates.where(F.exists("glosses", lambda g: X.is_circular_gloss(g, F.array_compact(F.array("headword", "reading"))))), key, "circular-gloss"),
+        _say(candidates.where(X.any_circular_gloss(F.col("glosses"), F.array_compact(F.array("headword", "reading")))), key, "circular-gloss"),
     ])
 
 
