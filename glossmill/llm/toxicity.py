@@ -6,7 +6,7 @@ words, attention pools their states, and a logistic unit scores the window. Wind
 start every STRIDE words and so overlap; all windows of a text are scored and the highest counts.
 
 Training takes a bounded sample of labelled rows (at most `sample` per class, texts of at most
-`sample_chars` characters, chosen by a hash of the id) to the driver; everything else, all scoring,
+`sample_chars` characters, chosen by a hash of the id among the labels) to the driver; everything else, all scoring,
 runs over all rows and whole texts. In training a toxic text is represented by its highest window,
 a clean one by its highest and one more. Word vectors start with the smoothed log odds of the words.
 
@@ -227,9 +227,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on labelled rows that are not held out; None without both classes. No more than 2 * sample texts reach the driver."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     known = known.where(~F.coalesce(held_out(F.col("id")), F.lit(True)))
+    # the sample is chosen from the labels alone; its ids, at most 2 * sample, are broadcast, so that no text is shuffled to find it
+    ranked = known.withColumn("h", F.xxhash64("id"))
+    picked = F.broadcast(ranked.where("y = 0").orderBy("h", "id").limit(sample).unionByName(ranked.where("y = 1").orderBy("h", "id").limit(sample)))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where((F.length("text") > 0) & (F.length("text") <= sample_chars))
-    rows = rows.join(known, "id").select("id", "text", "y", F.xxhash64("id").alias("h"))
-    got = [r for y in (0, 1) for r in rows.where(F.col("y") == y).orderBy("h", "id").limit(sample).select("text", "y").collect()]
+    got = rows.join(picked, "id").groupBy("id", "y").agg(F.min("text").alias("text")).collect()
+    got.sort(key=lambda r: (r["y"], r["id"]))
     toxic = np.array([r["y"] for r in got], np.float64)
     if not toxic.any() or toxic.all():
         return None
