@@ -29,13 +29,18 @@ def stateless_rows(english: DataFrame, source: str, edition: str, version: str)
     entry_id = F.concat_ws(":", F.lit(f"{source}-{edition}"), F.lit(version), "word", "pos", F.col("etymology").cast("string"), F.col("occurrence").cast("string"))
     base = english.select("ordinal", "word", F.coalesce("pageid", "page_id").alias("page_id"), "pos", entry_id.alias("source_entry_id"), senses.alias("senses"), F.coalesce("translations", empty).alias("translations"))
     base = base.withColumn("glosses", F.transform("senses", lambda s: X.sense_gloss_text(s["glosses"]))).withColumn("n_senses", F.size("senses"))
-    local = base.select("*", F.posexplode("senses").alias("sense_index", "s")).select("*", F.posexplode(F.coalesce(F.col("s.translations"), empty)).alias("place", "t"))
-    local = local.withColumn("scope", F.lit("sense-local")).withColumn("hint", F.lit(None).cast("string"))
-    level = base.select("*", F.posexplode("translations").alias("place", "t")).withColumn("scope", F.lit("entry-level")).withColumn("hint", X.nonempty(F.col("t.sense")))
-    numbers = F.filter(F.sequence(F.lit(0), F.greatest(F.col("n_senses") - 1, F.lit(0))), lambda i: (i < F.col("n_senses")) & F.coalesce(X.gloss_matches_hint(F.get("glosses", i), F.col("hint")), F.lit(False)))
-    level = level.withColumn("matched", numbers).withColumn("sense_index", F.when(F.size("matched") == 1, F.get("matched", F.lit(0))))
-    cols = ["ordinal", "word", "page_id", "pos", "source_entry_id", "n_senses", "glosses", "senses", "scope", "sense_index", "hint", "place", "t"]
-    rows = local.select(cols).unionByName(level.select(cols))
+    # all translations of an entry as one array, so that the entries are read, and any stream's state kept, once
+    none = F.lit(None)
+    record = lambda scope, sense, place, hint, t: F.struct(F.lit(scope).alias("scope"), sense.cast("int").alias("sense_index"), place.cast("int").alias("place"), hint.cast("string").alias("hint"), t.alias("t"))
+    numbered = F.filter(F.transform("glosses", lambda g, i: F.struct(i.alias("i"), g.alias("g"))), lambda x: x["g"].isNotNull())
+
+    def matched(hint):
+        hits = F.filter(numbered, lambda x: X.gloss_matches_hint(x["g"], hint))
+        return F.when(hint.isNotNull() & (F.size(hits) == 1), F.get(hits, F.lit(0))["i"])
+
+    local = F.flatten(F.transform("senses", lambda s, i: F.transform(F.coalesce(s["translations"], empty), lambda t, j: record("sense-local", i, j, none, t))))
+    level = F.transform("translations", lambda t, j: record("entry-level", matched(X.nonempty(t["sense"])), j, X.nonempty(t["sense"]), t))
+    rows = base.select("*", F.explode(F.concat(local, level)).alias("r")).select("ordinal", "word", "page_id", "pos", "source_entry_id", "n_senses", "glosses", "senses", "r.*")
     code = X.evidence_code(F.col("t.code"), F.col("t.lang_code"))
     rows = rows.withColumn("code", code).withColumn("lang", X.evidence_language(F.col("code"))).where("lang is not null")
     rows = rows.withColumn("term", X.trim(F.coalesce(F.col("t.word"), F.lit("")))).withColumn("rejection", X.rejection_reason(F.col("term"), F.col("lang")))

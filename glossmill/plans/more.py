@@ -172,7 +172,7 @@ def validate_language_group(spark, sf):
     return V.validate_language_group(g, g.where("text = 'BUILDING'").select(F.lit(" building ").alias("text"))).select(F.col("key").cast("long").alias("key"), "problem")
 
 
-@query("SELECT s_suppkey || '/1' AS key, problem FROM (SELECT s_suppkey, unnest(list_filter([CASE WHEN s_suppkey % 2 = 0 THEN 'part-of-speech-not-in-vocabulary' END, CASE WHEN s_suppkey % 3 = 0 THEN 'unknown-evidence' END, CASE WHEN s_suppkey % 5 = 0 THEN 'circular-gloss' END, CASE WHEN s_suppkey % 7 = 0 THEN 'reading' END, CASE WHEN s_suppkey % 11 = 0 THEN 'headword' END], lambda x: x IS NOT NULL)) AS problem FROM supplier) UNION ALL SELECT s_suppkey || '/e' || s_suppkey, 'omitted-evidence' FROM supplier WHERE s_suppkey % 3 = 0")
+@query("SELECT s_suppkey || '/1' AS key, problem FROM (SELECT s_suppkey, unnest(list_filter([CASE WHEN s_suppkey % 2 = 0 THEN 'part-of-speech-not-in-vocabulary' END, CASE WHEN s_suppkey % 3 = 0 THEN 'unknown-evidence' END, CASE WHEN s_suppkey % 5 = 0 AND s_suppkey % 7 <> 0 THEN 'circular-gloss' END, CASE WHEN s_suppkey % 7 = 0 THEN 'reading' END, CASE WHEN s_suppkey % 11 = 0 THEN 'headword' END], lambda x: x IS NOT NULL)) AS problem FROM supplier) UNION ALL SELECT s_suppkey || '/e' || s_suppkey, 'omitted-evidence' FROM supplier WHERE s_suppkey % 3 = 0")
 def validate_authored(spark, sf):
     k = F.col("s_suppkey")
     mine = F.concat(F.lit("e"), k.cast("string"))
