@@ -7,8 +7,8 @@
    A pair is judged on batches of 24 minima: it is dropped once the posterior probability that its
    similarity reaches the threshold falls below `miss`. What survives is verified on the full sets.
 4. Components of the verified links. Then, in buckets whose classes still lie in more than one
-   component, all pairs between components are judged the same way inside tasks; only survivors
-   leave a task, large buckets are cut into pairs of blocks, and pairs in one component are skipped
+   component, all pairs between components are judged the same way inside tasks, on 720 further
+   minima; only survivors leave a task, large buckets are cut into pairs of blocks, and pairs in one component are skipped
    since they can't change the result. So every pair of a bucket was tested or is already joined.
 
 A pair at the threshold misses all 24 bands of 5 with probability 8e-7 at 0.85, 7e-5 at 0.8.
@@ -33,11 +33,15 @@ from . import kernels as K
 from .frames import checkpoint, components
 
 SHINGLE, HASHES, ROWS, STEP = 5, 120, 5, 24
+#: Minima of the longer, independent signature that classes get which are compared within buckets, and its batch.
+LONG, LONG_STEP = 720, 48
 #: Classes of one bucket compared within one task; a larger bucket is cut into blocks.
 BLOCK = 2048
 _rng = np.random.default_rng(11)
 _FACTOR = (_rng.integers(1, 2**63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _FLIP = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
+_LONG_FACTOR = (_rng.integers(1, 2**63, LONG, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_LONG_FLIP = _rng.integers(0, 2**63, LONG, dtype=np.uint64)
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
@@ -60,10 +64,10 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> list[np
     return out
 
 
-def minima(s: np.ndarray) -> np.ndarray:
-    out = np.full(HASHES, 2**64 - 1, np.uint64)
+def minima(s: np.ndarray, flip: np.ndarray = _FLIP, factor: np.ndarray = _FACTOR) -> np.ndarray:
+    out = np.full(len(flip), 2**64 - 1, np.uint64)
     for lo in range(0, len(s), 256):
-        np.minimum(out, ((s[lo : lo + 256, None] ^ _FLIP) * _FACTOR).min(axis=0), out=out)
+        np.minimum(out, ((s[lo : lo + 256, None] ^ flip) * factor).min(axis=0), out=out)
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
@@ -88,13 +92,25 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n_shingles long, h1 long, h2 long, sig binary, bands array<long>")
 
 
-def least_matches(threshold: float, miss: float) -> list[int]:
+def long_signatures(texts: DataFrame) -> DataFrame:
+    """(id, text) -> rep, sig of LONG minima."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, off, data in K.chunks(batch):
+                sigs = [minima(s, _LONG_FLIP, _LONG_FACTOR).astype(np.uint16).tobytes() for s in shingle_sets(data, off)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sigs, pa.binary())], names=["rep", "sig"])
+
+    return texts.select("id", "text").mapInArrow(run, "rep long, sig binary")
+
+
+def least_matches(threshold: float, miss: float, total_hashes: int = HASHES, step: int = STEP) -> list[int]:
     """For each batch end, the fewest matches with which a pair goes on.
 
     With a uniform prior, m matches of n leave a Beta(1 + m, 1 + n - m) posterior; the chance that it
     reaches t is the chance of at most m successes in n + 1 draws of probability t."""
     out = []
-    for n in range(STEP, HASHES + 1, STEP):
+    for n in range(step, total_hashes + 1, step):
         total, m = 0.0, -1
         while total < miss:
             m += 1
@@ -103,12 +119,12 @@ def least_matches(threshold: float, miss: float) -> list[int]:
     return out
 
 
-def survives(a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
+def survives(a: np.ndarray, b: np.ndarray, least: list[int], step: int = STEP) -> np.ndarray:
     """Rows of b (or pairs of rows) that no batch rules out."""
     n = len(b)
     alive, seen = np.arange(n), np.zeros(n, np.int32)
     for k, need in enumerate(least):
-        cols = slice(k * STEP, (k + 1) * STEP)
+        cols = slice(k * step, (k + 1) * step)
         left = a[alive, cols] if a.ndim == 2 else a[cols]
         seen[alive] += (left == b[alive, cols]).sum(axis=1, dtype=np.int32)
         alive = alive[seen[alive] >= need]
@@ -117,8 +133,8 @@ def survives(a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
     return alive
 
 
-def _sig(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
+def _sig(column: pa.Array, width: int = HASHES) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, width)
 
 
 def verified(pairs: DataFrame, sigs: DataFrame | None, texts: DataFrame, percent: int, miss: float) -> DataFrame:
@@ -158,8 +174,8 @@ def verified(pairs: DataFrame, sigs: DataFrame | None, texts: DataFrame, percent
 def across(members: DataFrame, percent: int, miss: float) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and survive the signature test.
 
-    members: bucket, n (its size), rep, comp, sig. Buckets over BLOCK are dealt as pairs of blocks."""
-    least = least_matches(percent / 100, miss)
+    members: bucket, n (its size), rep, comp, sig (LONG minima). Buckets over BLOCK are dealt as pairs of blocks."""
+    least = least_matches(percent / 100, miss, LONG, LONG_STEP)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -175,7 +191,7 @@ def across(members: DataFrame, percent: int, miss: float) -> DataFrame:
             cuts = [0, *new.tolist(), rows.num_rows]
             done = cuts if batch is None else cuts[:-1]  # the last group may go on in the next batch
             if len(done) > 1:
-                rep, comp, side, sig = rows.column(3).to_numpy(), rows.column(4).to_numpy(), rows.column(5).to_numpy(), _sig(rows.column(6))
+                rep, comp, side, sig = rows.column(3).to_numpy(), rows.column(4).to_numpy(), rows.column(5).to_numpy(), _sig(rows.column(6), LONG)
                 a, b = [], []
                 for lo, hi in zip(done[:-1], done[1:], strict=True):
                     if hi - lo < 2:
@@ -193,7 +209,7 @@ def across(members: DataFrame, percent: int, miss: float) -> DataFrame:
                             continue
                         other = other[(comp[other] != comp[i]) & (rep[other] != rep[i])]
                         if len(other):
-                            hit = other[survives(sig[i], sig[other], least)]
+                            hit = other[survives(sig[i], sig[other], least, LONG_STEP)]
                             a.append(np.minimum(rep[hit], rep[i]))
                             b.append(np.maximum(rep[hit], rep[i]))
                 if a:
@@ -229,8 +245,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     placed = member.join(first.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     torn = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi and bucket is not null").select("bucket")
-    open_ = placed.join(torn, "bucket", "left_semi").join(classes.select("rep", "sig"), "rep").select("bucket", "n", "rep", "comp", "sig")
-    more = verified(across(open_, percent, miss), None, texts, percent, miss)
+    open_ = checkpoint(placed.join(torn, "bucket", "left_semi").select("bucket", "n", "rep", "comp"))
+    longer = long_signatures(texts.join(open_.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
+    more = verified(across(open_.join(longer, "rep").select("bucket", "n", "rep", "comp", "sig"), percent, 10 * miss), None, texts, percent, miss)
     final = components(links.unionByName(more))
 
     known = classes.join(final.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))

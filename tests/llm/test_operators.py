@@ -276,7 +276,7 @@ def test_large_buckets_are_cut_into_blocks(spark, monkeypatch):
     from glossmill.llm import minhash
 
     monkeypatch.setattr(minhash, "BLOCK", 3)
-    rows = [(7, 10, k, k % 4, bytes(2 * minhash.HASHES)) for k in range(10)]
+    rows = [(7, 10, k, k % 4, bytes(2 * minhash.LONG)) for k in range(10)]
     members = spark.createDataFrame(rows, "bucket long, n long, rep long, comp long, sig binary")
     got = {tuple(r) for r in minhash.across(members, 85, 1e-6).collect()}
     assert got == {(a, b) for a in range(10) for b in range(a + 1, 10) if a % 4 != b % 4}
