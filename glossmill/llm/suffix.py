@@ -27,6 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ GRAM = 26
 REACH = LENGTH - GRAM  # an anchor starts at most so far behind its window's start
 WIDTH = LENGTH + REACH
 #: Anchors packed into arrays together.
-PACK = 400_000
+PACK = 1_000_000
 U64 = np.uint64
 
 
@@ -211,7 +212,7 @@ def mark_repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
     """The texts, dealt by id: (id, text); and (id, copy, found array<struct<key, mask>>)."""
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * tasks
+    buckets = tasks
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.where("id is not null")
     texts = rows.repartition(tasks, "id")  # one shuffle of the texts, which all later steps read
@@ -226,9 +227,11 @@ def mark_repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
         def out() -> pa.RecordBatch:
             a, c, d = (np.concatenate(x) for x in zip(*held, strict=True))
             cols: list[list] = [[], [], [], [], []]
+            order = np.argsort(d, kind="stable")  # a document's anchors together, so that a count stands for each
+            a, c, d = a[order], c[order], d[order]
             for b, at in _pieces(_bucket(a, buckets), buckets):
-                ids, which = np.unique(d[at], return_inverse=True)
-                for col, v in zip(cols, (b, _pack48(a[at]), _pack48(c[at]), which.astype(np.uint16 if len(ids) < 65536 else np.uint32).tobytes(), ids.tobytes()), strict=True):
+                ids, count = np.unique(d[at], return_counts=True)
+                for col, v in zip(cols, (b, _pack48(a[at]), _pack48(c[at]), count.astype(np.uint32).tobytes(), ids.tobytes()), strict=True):
                     col.append(v)
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "a", "c", "d", "ids"])
 
@@ -263,7 +266,7 @@ def mark_repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
         del order, s
         a = a[pick]
         c = np.concatenate([_unpack48(x) for x in rows["c"].to_pylist()])[pick]
-        d = np.concatenate([np.frombuffer(i, np.int64)[np.frombuffer(x, np.uint16 if len(i) < 65536 * 8 else np.uint32)] for x, i in zip(rows["d"].to_pylist(), rows["ids"].to_pylist(), strict=True)])[pick]
+        d = np.concatenate([np.repeat(np.frombuffer(i, np.int64), np.frombuffer(x, np.uint32)) for x, i in zip(rows["d"].to_pylist(), rows["ids"].to_pylist(), strict=True)])[pick]
         by = np.lexsort((d, c, a))
         a, c, d = a[by], c[by], d[by]
         n = len(a)
@@ -337,23 +340,24 @@ def mark_repeats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
     return texts, found.join(copies, "id", "full_outer")
 
 
-def removed_bytes(data: np.ndarray, key: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Which bytes of one text go, given the keys and masks of its repeated windows."""
-    _, at, a, c = anchors(data, np.array([0, len(data)]))
-    order = np.argsort(key, kind="stable")
-    key, mask = key[order], mask[order]
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    key, mask = key[new], np.bitwise_or.reduceat(mask, new)
-    k = _key(a, c).view(np.int64)
-    lo = np.minimum(np.searchsorted(key, k), len(key) - 1)
-    hit = key[lo] == k
-    at, bits = at[hit], mask[lo[hit]]
-    edge = np.zeros(len(data) + 1, np.int64)
-    for place in range(REACH + 1):
-        start = at[(bits >> place) & 1 == 1] - place
-        start = start[(start >= 0) & (start + LENGTH <= len(data))]
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + LENGTH, -1)
+def removed_bytes(data: np.ndarray, off: np.ndarray, row: np.ndarray, key: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Which bytes of some texts go, given rows, keys and masks of their repeated windows."""
+    own, at, a, c = anchors(data, off)
+    tied = lambda k, r: K.mix(k.view(U64)) ^ K.mix(r.astype(U64) + U64(1))
+    name = tied(key, row)
+    order = np.argsort(name, kind="stable")
+    name, mask = name[order], mask[order]
+    new = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+    name, mask = name[new], np.bitwise_or.reduceat(mask, new)
+    asked = tied(_key(a, c).view(np.int64), own)
+    lo = np.minimum(np.searchsorted(name, asked), len(name) - 1)
+    hit = name[lo] == asked
+    at, own, bits = at[hit], own[hit], mask[lo[hit]]
+    places = np.arange(REACH + 1)
+    which, place = np.nonzero((bits[:, None] >> places) & 1)
+    start, own = at[which] - place, own[which]
+    start = start[(start >= off[own]) & (start + LENGTH <= off[own + 1])]
+    edge = np.bincount(start, minlength=len(data) + 1) - np.bincount(start + LENGTH, minlength=len(data) + 1)
     return np.cumsum(edge)[:-1] > 0
 
 
@@ -362,28 +366,27 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts, marks = mark_repeats(docs, id_col, text_col)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         for batch in batches:
-            off, raw = K.utf8(batch.column(1))
-            copy = batch.column(2).to_pylist()
-            key, mask = batch.column(3), batch.column(4)
-            out: list[list] = [[] for _ in range(5)]
-            for i in range(batch.num_rows):
-                data = raw[off[i] : off[i + 1]]
-                gone, spans, kept = 0, 0, data
-                if len(data) >= LENGTH and (copy[i] or key[i].is_valid):
-                    if copy[i]:
+            for lo, hi, off, raw in K.chunks(batch):
+                copy = batch.column(2).slice(lo, hi - lo).to_pylist()
+                keys, masks = (pc.fill_null(batch.column(k).slice(lo, hi - lo), []) for k in (3, 4))
+                per = np.diff(keys.offsets.to_numpy())
+                gone_at = np.zeros(len(raw), bool)
+                if per.any():
+                    gone_at = removed_bytes(raw, off, np.repeat(np.arange(hi - lo), per), keys.flatten().to_numpy(), masks.flatten().to_numpy())
+                out: list[list] = [[] for _ in kinds]
+                for i, (start, end) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+                    data, drop = raw[start:end], gone_at[start:end]
+                    if copy[i] and len(data) >= LENGTH:
                         drop = np.ones(len(data), bool)
-                    else:
-                        drop = removed_bytes(data, key[i].values.to_numpy(), mask[i].values.to_numpy())
                     gone = int(drop.sum())
-                    if gone:
-                        spans = int(drop[0]) + int((drop[1:] & ~drop[:-1]).sum())
-                        kept = data[~drop]
-                body = kept.tobytes()
-                text = body.decode("utf-8", "ignore") if not gone else _whole(data, drop)
-                for col, v in zip(out, (len(data), gone, spans, hashlib.sha256(body).hexdigest(), text), strict=True):
-                    col.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                    spans = int(drop[0]) + int((drop[1:] & ~drop[:-1]).sum()) if gone else 0
+                    body = (data[~drop] if gone else data).tobytes()
+                    text = _whole(data, drop) if gone else body.decode("utf-8", "ignore")
+                    for col, v in zip(out, (len(data), gone, spans, hashlib.sha256(body).hexdigest(), text), strict=True):
+                        col.append(v)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     joined = texts.join(marks.hint("shuffle_hash"), "id", "left").select("id", "text", "copy", F.col("found.key").alias("key"), F.col("found.mask").alias("mask"))
     lone = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.lit(None).cast("boolean").alias("copy"), F.lit(None).cast("array<long>").alias("key"), F.lit(None).cast("array<int>").alias("mask"))
