@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Distinct texts that reach the driver to find range bounds.
+SAMPLE = 4096
+
+
 def first_wins(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
     """Of the rows of a key the first in order, as an insert that ignores what is there."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -38,7 +42,8 @@ def global_number(df: DataFrame, order: list[str], name: str = "number", weight:
 
     Rows are dealt by ranges of the first key, whose bounds are approximate quantiles; within a range a
     window counts, and the sums of the ranges before it, one row per range, are added. So no task sees
-    all rows. `order` should tell rows apart; the first column must be numeric, or is hashed by length."""
+    all rows. `order` should tell rows apart; for a text column the bounds come from at most SAMPLE
+    distinct values, chosen by hash."""
     first = order[0]
     kind = dict(df.dtypes)[first]
     amount = F.col(weight) if weight else F.lit(1)
@@ -47,8 +52,9 @@ def global_number(df: DataFrame, order: list[str], name: str = "number", weight:
         cuts = sorted(set(cuts))
         place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(first))) if cuts else F.lit(0)
     else:
-        sampled = df.select(F.col(first).alias("k")).agg(F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64("k"), F.lit(10_007)) < 50, F.substring("k", 1, 12)))).alias("s")).first()["s"]
-        cuts = sorted(set(sampled[:: max(1, len(sampled) // buckets)])) if sampled else []
+        some = df.select(F.substring(first, 1, 64).alias("k")).where("k is not null").distinct().orderBy(F.xxhash64("k")).limit(SAMPLE)
+        sampled = sorted(r["k"] for r in some.collect())
+        cuts = sorted(set(sampled[:: max(1, len(sampled) // buckets)]))
         place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(first))) if cuts else F.lit(0)
     dealt = df.withColumn("_range", place.cast("int"))
     sums = dealt.groupBy("_range").agg(F.sum(amount).alias("_sum"))
