@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries that a worker keeps of cuts seen, and of transducer states; beyond, it starts anew. About 0.9 GB at most.
-PIECE_CACHE, STATE_CACHE = 900_000, 600_000
+#: Entries that a worker keeps of cuts seen, and of transducer states; beyond, it starts anew. About 0.4 GB at most.
+PIECE_CACHE, STATE_CACHE = 360_000, 240_000
 #: Tokens decoded in one step of the stream.
 STREAM_TOKENS = 4096
 
