@@ -1,7 +1,8 @@
 """URL filters by association rules; DataFrame and SQL functions and Spark's own FP-growth only.
 
 A url is a set of tokens (scheme, host labels and their hyphenated parts, path words, query keys).
-FP-growth mines frequent token sets of labelled urls together with their label; rules that conclude
+FP-growth mines frequent token sets of labelled urls together with their label, which comes from the
+quality labels and never from the given rules, so that a rule says something new; rules that conclude
 "block" with enough support, confidence and lift are kept, and rules that contain a shorter kept
 rule are dropped. Each rule stands in an inverted index under its rarest token; a url is looked up
 by its tokens and blocked if all tokens of a rule found so are among them. A list of given rules
@@ -53,14 +54,14 @@ def with_parts(urls: DataFrame) -> DataFrame:
     return clean.select("url", host.alias("host"), path.alias("path"), tail.alias("tail")).select("url", "host", "path", tokens(F.col("host"), F.col("path"), F.col("tail"), F.col("url")).alias("tokens"))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.8, min_lift: float = 1.5, max_tokens: int = 3) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.8, min_lift: float = 1.5) -> DataFrame:
     """labelled: url, blocked (boolean). Returns rule_id, tokens, key (the rarest token), confidence, support."""
     host, path, tail = url_parts(F.col("url"))
     rows = labelled.where("url is not null and blocked is not null")
     rows = rows.select(F.col("url").cast("string").alias("url"), "blocked")
     rows = rows.select(F.concat(tokens(host, path, tail, F.col("url")), F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
-    found = model.associationRules.where(F.array_contains("consequent", BLOCK) & (F.size("antecedent") <= max_tokens) & (F.col("lift") >= min_lift))
+    found = model.associationRules.where(F.array_contains("consequent", BLOCK) & (F.col("lift") >= min_lift))
     found = found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").withColumn("rule_id", F.array_join("tokens", " "))
     single = model.freqItemsets.where("size(items) = 1").select(F.col("items")[0].alias("token"), F.col("freq"))
     # a rule that a shorter rule implies adds nothing
@@ -100,13 +101,6 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", u
     return rows.join(judged, "url").select(F.col("id").alias(id_col), "host", "path", "rule", "verdict", "mined", "confidence")
 
 
-def seed_labels(pages: DataFrame, labels: DataFrame, given: list[tuple[str, str]] | None = None) -> DataFrame:
-    """url, blocked: the verdict of the given rules where one fits, else the quality label of the page's document."""
-    told = with_parts(pages.select("url")).select("url", given_rule(GIVEN if given is None else given).alias("best")).where("best is not null")
-    rest = label_pages(pages, labels).join(told.select("url"), "url", "left_anti")
-    return told.select("url", (F.col("best.verdict") == "block").alias("blocked")).unionByName(rest)
-
-
 def label_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """url, blocked of the pages whose url ends its path with the number of a document that has a quality label."""
     number = F.regexp_extract("url", r"/(\d{1,18})(?:\.html|/)?(?:[?#].*)?$", 1)

@@ -392,6 +392,25 @@ def test_url_rules(spark):
     assert urlrules.judge_urls(pages.where("false"), labelled.where("false")).count() == 0
 
 
+def test_url_rules_learn_from_quality_alone_and_keep_long_antecedents(spark, tmp_path):
+    from glossmill.llm import entry, urlrules
+
+    # the given list blocks every labelled /de/ page, but quality says nothing against /de/
+    rows = [(k, f"http://a{k}.example.com/de/{k}") for k in range(40)] + [(k, f"http://b{k}.example.org/en/{k}") for k in range(40, 80)] + [(k, f"http://c{k}.example.org/de/{k}") for k in range(80, 90)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(k, 1) for k in range(90)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.page_id: r for r in entry.op10_url_rules(spark, str(tmp_path)).collect()}
+    assert all(got[k].verdict == "block" and got[k].rule == "example.com/de/" for k in range(40))
+    assert all(got[k].verdict == "allow" and got[k].mined is None for k in range(40, 90))
+
+    # only all four words together are bad, so that no shorter rule is sure enough
+    words = ["ab", "cd", "ef", "gh"]
+    bad = [("http://x/" + "/".join(words), True)] * 20
+    good = [("http://x/" + "/".join(w for w in words if w != left), False) for left in words for _ in range(20)]
+    rules = urlrules.mine_rules(spark.createDataFrame(bad + good, "url string, blocked boolean")).collect()
+    assert [sorted(r.tokens) for r in rules] == [["p:ab", "p:cd", "p:ef", "p:gh"]]
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 
