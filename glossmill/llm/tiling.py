@@ -1,10 +1,13 @@
 """Benchmark decontamination by greedy string tiling.
 
-1. Every 5-word run of the benchmark items is a seed (a shorter item: all its words). The rolling
-   hashes of all word runs of all documents are joined with the seeds.
-2. Each document is tiled with each item that shares a seed: running Karp-Rabin looks for the
+1. Every run of `least` words of the benchmark items is a seed (at most SEED words; a shorter item: all
+   its words). The rolling hashes of all word runs of all documents are joined with the seeds, so that
+   whatever can have a tile is looked at.
+2. Each document is tiled with the items that share a seed: running Karp-Rabin looks for the
    longest common runs of words that no tile covers yet, verifies their words, marks them, and
    halves the length until `least` words. Order does not matter, so reordered passages are caught.
+   Tiles cover no more than the item's words that stand in shared seeds; an item whose bound is below
+   both the threshold and the best coverage found changes nothing and is passed over.
 3. An item is leaked if tiles cover at least `threshold` of its words.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased.
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .frames import small
 
+#: The longest seeds.
 SEED = 5
 
 
@@ -36,6 +40,16 @@ def one(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
     return h, start, end, K.LOWER[raw].tobytes()
 
 
+def bound(shared: np.ndarray, item: tuple, k: int) -> float:
+    """The share of an item's words in runs of k words whose hashes are among the sorted `shared`; no tiling with runs of k or more covers more."""
+    g = K.grams(item[0], k)
+    hit = shared[np.minimum(np.searchsorted(shared, g), len(shared) - 1)] == g if len(shared) else np.zeros(len(g), bool)
+    edge = np.zeros(len(item[0]) + 1, np.int64)
+    edge[:-k] += hit
+    edge[k:] -= hit
+    return int((np.cumsum(edge)[:-1] > 0).sum()) / len(item[0])
+
+
 def tiles(doc: tuple, item: tuple, least: int) -> list[tuple[int, int, int]]:
     """(place in the item, place in the document, words) of the tiles, none overlapping another."""
     h, hs, he, text = doc
@@ -99,9 +113,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = one(text)[0]
                 if item is not None and len(h):
-                    g = np.unique(K.grams(h, SEED)) if len(h) >= SEED else np.array([K.gram(h)], np.uint64)
+                    k = min(least, SEED, len(h))
+                    g = np.unique(K.grams(h, k))
                     out.append(g.view(np.int64))
-                    ids += [(item, len(h) if len(h) < SEED else SEED)] * len(g)
+                    ids += [(item, k)] * len(g)
             flat = np.concatenate(out) if out else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in ids], pa.int64()), pa.array([n for _, n in ids], pa.int32()), pa.array(flat)], names=["item", "words", "seed"])
 
@@ -138,10 +153,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             for text, cands in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 got, best = [], (0.0, 0)
                 doc = one(text.as_py()) if cands else None
+                shared: dict[int, np.ndarray] = {}
+                likely = []
                 for cand in cands or ():
                     if len(known) > 5000:
                         known.clear()
                     item = known.get(cand["words"]) or known.setdefault(cand["words"], one(cand["words"]))
+                    k = min(least, SEED, len(item[0]))
+                    if k not in shared:
+                        shared[k] = np.unique(K.grams(doc[0], k))
+                    likely.append((bound(shared[k], item, k), cand, item))
+                likely.sort(key=lambda x: -x[0])
+                for most, cand, item in likely:
+                    if most < threshold and most < best[0]:
+                        break
                     t = tiles(doc, item, min(least, len(item[0])))
                     share = sum(k for _, _, k in t) / len(item[0])
                     best = max(best, (share, len(t)))

@@ -158,6 +158,35 @@ def test_decontamination(spark, docs, none):
     assert tiling.decontaminate(d, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_decontamination_equals_tiling_every_document_with_every_item(spark):
+    from glossmill.llm import tiling
+
+    r = random.Random(11)
+    draw = lambda n: [r.choice("abcdefghijkl") * r.randint(1, 2) for _ in range(n)]
+    items = [draw(n) for n in (24, 24, 30, 9, 4, 2, 1)]
+    texts = [draw(n) for n in (0, 3, 10, 40, 80, 80)]
+    for w in items[:4]:
+        for size in (3, 4):  # pieces in another order, with a word between
+            cut = [w[k : k + size] for k in range(0, len(w), size)]
+            r.shuffle(cut)
+            texts.append([x for c in cut for x in [*c, "zz"]])
+        texts.append([x if k % 5 != 4 else "zz" for k, x in enumerate(w)])
+    docs = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    bench = [(k, " ".join(w)) for k, w in enumerate(items)]
+    want = {}
+    for k, text in docs:
+        found = []
+        for n, other in bench:
+            item = tiling.one(other)
+            t = tiling.tiles(tiling.one(text), item, min(3, len(item[0])))
+            found.append((sum(x for _, _, x in t) / len(item[0]), len(t), n))
+        share, count, _ = max(found)
+        want[k] = ([n for s, _, n in found if s >= 0.8], share, count)
+    got = tiling.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert {x.doc_id: (x.item_ids, x.coverage, x.n_tiles) for x in got.collect()} == want
+    assert all(0 in want[k][0] for k in (6, 7))
+
+
 def test_tiles_do_not_overlap_and_prefer_long_runs():
     from glossmill.llm import tiling
 
