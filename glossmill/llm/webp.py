@@ -33,9 +33,9 @@ LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15
 #: The offsets (x, y) that the first 120 distance codes stand for.
 NEAR = [(0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2), (2, 1), (-2, 1), (2, 2), (-2, 2), (0, 3), (3, 0), (1, 3), (-1, 3), (3, 1), (-3, 1), (2, 3), (-2, 3), (3, 2), (-3, 2), (0, 4), (4, 0), (1, 4), (-1, 4), (4, 1), (-4, 1), (3, 3), (-3, 3), (2, 4), (-2, 4), (4, 2), (-4, 2), (0, 5), (3, 4), (-3, 4), (4, 3), (-4, 3), (5, 0), (1, 5), (-1, 5), (5, 1), (-5, 1), (2, 5), (-2, 5), (5, 2), (-5, 2), (4, 4), (-4, 4), (3, 5), (-3, 5), (5, 3), (-5, 3), (0, 6), (6, 0), (1, 6), (-1, 6), (6, 1), (-6, 1), (2, 6), (-2, 6), (6, 2), (-6, 2), (4, 5), (-4, 5), (5, 4), (-5, 4), (3, 6), (-3, 6), (6, 3), (-6, 3), (0, 7), (7, 0), (1, 7), (-1, 7), (5, 5), (-5, 5), (7, 1), (-7, 1), (4, 6), (-4, 6), (6, 4), (-6, 4), (2, 7), (-2, 7), (7, 2), (-7, 2), (3, 7), (-3, 7), (7, 3), (-7, 3), (5, 6), (-5, 6), (6, 5), (-6, 5), (8, 0), (4, 7), (-4, 7), (7, 4), (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7)]
 REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
+#: The same of 15 bits.
+REVERSED15 = (REVERSED[np.arange(1 << 15) & 255].astype(np.int64) << 8 | REVERSED[np.arange(1 << 15) >> 8]) >> 1
 PREDICTOR, CROSS, SUBTRACT_GREEN, PALETTE = range(4)
-#: Codes seen, by alphabet, number of bits and the bits that spell them.
-_LENGTHS: dict[int, dict[int, dict[int, Code]]] = {}
 
 
 class Bits:
@@ -43,6 +43,13 @@ class Bits:
 
     def __init__(self, data: bytes) -> None:
         self.data, self.at, self.end = data, 0, 8 * len(data)
+        self._words: list[int] | None = None
+
+    def words(self) -> list[int]:
+        """The 64 bits from each byte on."""
+        if self._words is None:
+            self._words = np.ndarray((len(self.data) + 8,), "<u8", self.data + bytes(16), strides=(1,)).tolist()
+        return self._words
 
     def peek(self, n: int) -> int:
         return int.from_bytes(self.data[self.at >> 3 : (self.at + n + 7) >> 3], "little") >> (self.at & 7) & ((1 << n) - 1)
@@ -62,39 +69,26 @@ class Code:
         used = sorted((n, s) for s, n in lengths.items() if n)
         self.single = used[0][1] if len(used) == 1 else None
         self.lengths = lengths
-        self.table: dict[tuple[int, int], int] = {}
-        code = last = 0
-        for n, s in used:
-            code <<= n - last
-            last = n
-            self.table[n, int(f"{code:0{n}b}"[::-1], 2)] = s
-            code += 1
-        if not used or self.single is None and code != 1 << last:
+        if not used or self.single is None and sum(1 << (15 - n) for n, _ in used) != 1 << 15:
             raise ValueError("not a complete prefix code")
+        #: By the next bits: symbol and length of its code.
+        self.look, self.mask = [used[0][1] << 4], 0
+        if self.single is None:
+            most = used[-1][0]
+            self.mask = (1 << most) - 1
+            wide = np.repeat([s << 4 | n for n, s in used], [1 << (most - n) for n, _ in used])
+            self.look = wide[REVERSED15[: 1 << most] >> (15 - most)].tolist()
         #: If all are literals with codes of 8 bits, a byte is its code.
         self.flat = len(used) == 256 and used[0] == (8, 0) and used[-1] == (8, 255)
 
     def read(self, bits: Bits) -> int:
-        if self.single is not None:
-            return self.single
-        peeked, table = bits.peek(15), self.table
-        for n in range(1, 16):
-            s = table.get((n, peeked & ((1 << n) - 1)))
-            if s is not None:
-                bits.read(n)
-                return s
-        raise ValueError("no such code")
+        e = self.look[bits.peek(15) & self.mask]
+        bits.read(e & 15)
+        return e >> 4
 
 
 def read_code(bits: Bits, alphabet: int) -> Code:
-    """A code; those of common shape are remembered by their bits."""
-    known, ahead = _LENGTHS.setdefault(alphabet, {}), bits.peek(256)
-    for n, codes in known.items():
-        code = codes.get(ahead & ((1 << n) - 1))
-        if code is not None:
-            bits.at += n
-            return code
-    start = bits.at
+    """A code."""
     if bits.read(1):
         two = bits.read(1)
         lengths = {bits.read(8 if bits.read(1) else 1): 1}
@@ -120,13 +114,7 @@ def read_code(bits: Bits, alphabet: int) -> Code:
                 s += 3 + bits.read(3) if t == 17 else 11 + bits.read(7)
         if s > alphabet:
             raise ValueError("more code lengths than symbols")
-    code = Code(lengths)
-    n = bits.at - start
-    if n <= 256 and bits.at <= bits.end and (n in known or len(known) < 8):
-        codes = known.setdefault(n, {})
-        if len(codes) < 1000:
-            codes[ahead & ((1 << n) - 1)] = code
-    return code
+    return Code(lengths)
 
 
 def _extra(bits: Bits, prefix: int) -> int:
@@ -175,32 +163,53 @@ def read_pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     pixels = [0] * n  # alpha, red, green, blue from the top byte
     cache = [0] * cache_size
     at = cached = 0
-    while at < n:
-        green, red, blue, alpha, far = codes[group_of[at // width >> tile, at % width >> tile] if group_of is not None else 0]
-        s = green.read(bits)
-        if s < 256:
-            r, b, a = red.read(bits), blue.read(bits), alpha.read(bits)
-            pixels[at] = a << 24 | r << 16 | s << 8 | b
-            at += 1
-        elif s < 280:
-            length = _extra(bits, s - 256)
-            code = _extra(bits, far.read(bits))
-            if code > 120:
-                back = code - 120
+    words, p = bits.words(), bits.at
+    green, red, blue, alpha, far = codes[0]
+    try:
+        while at < n:
+            if group_of is not None:
+                green, red, blue, alpha, far = codes[group_of[at // width >> tile, at % width >> tile]]
+            x = words[p >> 3] >> (p & 7)
+            e = green.look[x & green.mask]
+            s, k = e >> 4, e & 15
+            p += k
+            if s < 256:
+                x >>= k
+                r = red.look[x & red.mask]
+                x >>= r & 15
+                b = blue.look[x & blue.mask]
+                p += (r & 15) + (b & 15)
+                a = alpha.look[words[p >> 3] >> (p & 7) & alpha.mask] if alpha.mask else alpha.look[0]
+                p += a & 15
+                pixels[at] = (a >> 4) << 24 | (r >> 4) << 16 | s << 8 | b >> 4
+                at += 1
+            elif s < 280:
+                bits.at = p
+                length = _extra(bits, s - 256)
+                code = _extra(bits, far.read(bits))
+                p = bits.at
+                if code > 120:
+                    back = code - 120
+                else:
+                    dx, dy = NEAR[code - 1]
+                    back = max(1, dx + dy * width)
+                if back > at or at + length > n:
+                    raise ValueError("a back-reference leaves the picture")
+                for k in range(at, at + length, back):
+                    m = min(back, at + length - k)
+                    pixels[k : k + m] = pixels[k - back : k - back + m]
+                at += length
             else:
-                x, y = NEAR[code - 1]
-                back = max(1, x + y * width)
-            if back > at or at + length > n:
-                raise ValueError("a back-reference leaves the picture")
-            for _ in range(length):
-                pixels[at] = pixels[at - back]
+                while cached < at:  # the cache is brought up to date when it is asked
+                    cache[(pixels[cached] * 0x1E35A7BD & 0xFFFFFFFF) >> (32 - cache_bits)] = pixels[cached]
+                    cached += 1
+                pixels[at] = cache[s - 280]
                 at += 1
-        else:
-            while cached < at:  # the cache is brought up to date when it is asked
-                cache[(pixels[cached] * 0x1E35A7BD & 0xFFFFFFFF) >> (32 - cache_bits)] = pixels[cached]
-                cached += 1
-            pixels[at] = cache[s - 280]
-            at += 1
+    except IndexError:
+        raise ValueError("the stream ends too early") from None
+    if p > bits.end:
+        raise ValueError("the stream ends too early")
+    bits.at = p
     v = np.array(pixels, np.uint32)
     return np.stack([v >> 16 & 255, v >> 8 & 255, v & 255, v >> 24], axis=1).astype(np.uint8).reshape(height, width, 4)
 
@@ -507,8 +516,8 @@ def encode_tokens(argb: np.ndarray, width: int, transforms: Iterable[tuple] = ()
         for c, alphabet in zip(counts, (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40), strict=True):
             lengths = code_lengths(c, alphabet)
             w.code(lengths)
-            made = Code({s: n for s, n in enumerate(lengths) if n})
-            codes.append({s: (v, n) for (n, v), s in made.table.items()} if made.single is None else {made.single: (0, 0)})
+            bits = spell(np.array(lengths))
+            codes.append({s: (int(bits[s]), n) for s, n in enumerate(lengths) if n} if sum(n > 0 for n in lengths) > 1 else {lengths.index(max(lengths)): (0, 0)})
         for row in coded:
             for c, s, n, e in row:
                 w.put(*codes[c][s])
@@ -534,10 +543,312 @@ def encode_tokens(argb: np.ndarray, width: int, transforms: Iterable[tuple] = ()
     return _file(w.value.to_bytes((w.n + 7) // 8, "little"))
 
 
+def fit(counts: np.ndarray, limit: int = 15) -> np.ndarray:
+    """Huffman code lengths by symbol; counts are flattened until no code exceeds the limit."""
+    used = np.flatnonzero(counts)
+    out = np.zeros(len(counts), np.int64)
+    if len(used) < 2:
+        out[used[0] if len(used) else 0] = 1
+        return out
+    c = counts[used]
+    while True:
+        order = np.argsort(c, kind="stable")
+        w = c[order].tolist()
+        m = len(w)
+        parent = [0] * (2 * m - 1)
+        i, j = 0, m
+        for k in range(m, 2 * m - 1):
+            total = 0
+            for _ in range(2):
+                if i < m and (j >= k or w[i] <= w[j]):
+                    a, i = i, i + 1
+                else:
+                    a, j = j, j + 1
+                parent[a] = k
+                total += w[a]
+            w.append(total)
+        depth = [0] * (2 * m - 1)
+        for k in range(2 * m - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth[:m]) <= limit:
+            break
+        c = (c + 1) >> 1
+    out[used[order]] = depth[:m]
+    return out
+
+
+def put_code(w: Writer, lengths: np.ndarray) -> np.ndarray:
+    """Writes a fitted code, its lengths run by run behind a fitted inner code; returns the bits of each symbol."""
+    used = np.flatnonzero(lengths)
+    spelled = np.zeros(len(lengths), np.int64)
+    if len(used) == 1 and used[0] < 256:
+        w.one(int(used[0]))
+        lengths[used] = 0  # a lone symbol takes no bits
+        return spelled
+    seq = lengths[: used[-1] + 1]
+    cut = np.flatnonzero(np.diff(seq, prepend=-1))
+    row: list[tuple[int, int, int]] = []
+    for n, k in zip(seq[cut].tolist(), np.diff(cut, append=len(seq)).tolist(), strict=True):
+        if n:
+            row.append((n, 0, 0))
+            k -= 1
+        while k >= 3:
+            step = min(k, 138 if not n and k > 10 else 6 if n else 10)
+            row.append((16, step - 3, 2) if n else (18, step - 11, 7) if step > 10 else (17, step - 3, 3))
+            k -= step
+        row += [(n, 0, 0)] * k
+    inner = fit(np.bincount([t for t, _, _ in row], minlength=19), 7)
+    count = max(4, max(i for i, s in enumerate(LENGTH_ORDER) if inner[s]) + 1)
+    w.put(0, 1)
+    w.put(count - 4, 4)
+    for s in LENGTH_ORDER[:count]:
+        w.put(int(inner[s]), 3)
+    bits = spell(inner)
+    if np.count_nonzero(inner) == 1:
+        inner = inner * 0
+    if len(row) < 2:
+        row += [(0, 0, 0)]
+    w.put(1, 1)
+    n = max(0, ((len(row) - 2).bit_length() - 1) // 2)
+    w.put(n, 3)
+    w.put(len(row) - 2, 2 + 2 * n)
+    codes, sizes = bits.tolist(), inner.tolist()
+    for t, e, n in row:
+        w.put(codes[t] | e << sizes[t], sizes[t] + n)
+    return spell(lengths)
+
+
+def spell(lengths: np.ndarray) -> np.ndarray:
+    """The bits of the canonical code of each symbol, first bit lowest."""
+    used = np.flatnonzero(lengths)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    out = np.zeros(len(lengths), np.int64)
+    step = 1 << (15 - lengths[used])
+    out[used] = REVERSED15[np.minimum(np.cumsum(step) - step, 32767)]
+    return out
+
+
+def prefixes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbol, number of extra bits and extra bits of lengths or distance codes."""
+    v = v - 1
+    n = np.where(v < 4, 0, np.log2(np.maximum(v, 1)).astype(np.int64) - 1)
+    return np.where(v < 4, v, 2 * n + (v >> n)), n, np.where(v < 4, 0, v & ((1 << n) - 1))
+
+
+_NEAREST: dict[int, dict[int, int]] = {}
+
+
+def matches(v: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and distance code of back-references, taken greedily: the latest place with the same three pixels."""
+    none = np.zeros(0, np.int64)
+    if len(v) < 4:
+        return none, none, none
+    x = v.astype(np.uint64)
+    key = K.mix(x[:-2] + K.mix(x[1:-1] + K.mix(x[2:] + np.uint64(1))))
+    order = np.argsort(key, kind="stable")
+    back = np.zeros(len(key), np.int64)
+    same = key[order[1:]] == key[order[:-1]]
+    back[order[1:][same]] = (order[1:] - order[:-1])[same]
+    at = np.flatnonzero(back)
+    true = (back[at] <= (1 << 20) - 120) & (v[at] == v[at - back[at]]) & (v[at + 1] == v[at + 1 - back[at]]) & (v[at + 2] == v[at + 2 - back[at]])
+    back[at[~true]] = 0
+    at = at[true]
+    if not len(at):
+        return none, none, none
+    turn = np.flatnonzero(np.diff(back)) + 1
+    end = np.append(turn, len(back))[np.searchsorted(turn, at, "right")]
+    length = np.minimum(end - at + 2, 4096)
+    picked, to = [], 0
+    for k, (i, n) in enumerate(zip(at.tolist(), length.tolist(), strict=True)):
+        if i >= to:
+            picked.append(k)
+            to = i + n
+    near = _NEAREST.get(width)
+    if near is None:
+        near = _NEAREST[width] = {}
+        for k, (dx, dy) in enumerate(NEAR):
+            near.setdefault(max(1, dx + dy * width), k + 1)
+    at = at[picked]
+    return at, length[picked], np.array([near.get(b, b + 120) for b in back[at].tolist()], np.int64)
+
+
+def tokens_of(v: np.ndarray, width: int, caches: Iterable[int]) -> tuple[float, int, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Estimated bits, cache bits, counts of the five codes, and the tokens (symbols and extra bits by column) of the cheapest cache."""
+    at, length, far = matches(v, width)
+    edge = np.zeros(len(v) + 1, np.int64)
+    edge[at] += 1
+    np.subtract.at(edge, at + length, 1)
+    token = np.cumsum(edge)[:-1] == 0
+    token[at] = True
+    place = np.flatnonzero(token)
+    ref = np.zeros(len(v), bool)
+    ref[at] = True
+    ref = ref[place]
+    p = v[place].astype(np.int64)
+    sym = np.full((len(place), 7), -1, np.int64)  # green, extra of length, red, blue, alpha, distance, its extra
+    size = np.zeros((len(place), 7), np.int64)
+    for col, shift in ((0, 8), (2, 16), (3, 0), (4, 24)):
+        sym[:, col] = p >> shift & 255
+    sym[ref, 2:5] = -1
+    sym[:, 1] = sym[:, 6] = 0
+    a, n, e = prefixes(length)
+    sym[ref, 0], size[ref, 1], sym[ref, 1] = 256 + a, n, e
+    a, n, e = prefixes(far)
+    sym[ref, 5], size[ref, 6], sym[ref, 6] = a, n, e
+    extra, best = int(size.sum()), None
+    for bits in caches:
+        s = sym
+        if bits:
+            slot = (v.astype(np.uint64) * np.uint64(0x1E35A7BD) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)
+            order = np.argsort(slot, kind="stable")
+            hit = np.zeros(len(v), bool)
+            hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (v[order[1:]] == v[order[:-1]])
+            hit = hit[place] & ~ref
+            if not hit.any():
+                continue
+            s = sym.copy()
+            s[hit, 0] = 280 + slot[place[hit]].astype(np.int64)
+            s[hit, 2:5] = -1
+        counts = [np.bincount(s[:, c][s[:, c] >= 0], minlength=k) for c, k in ((0, 280 + (1 << bits if bits else 0)), (2, 256), (3, 256), (4, 256), (5, 40))]
+        cost = extra + sum(_bits(c) for c in counts)
+        if best is None or cost < best[0]:
+            best = cost, bits, counts, s, size
+    return best
+
+
+def _bits(c: np.ndarray) -> float:
+    """About the bits of symbols of these counts, with their code."""
+    c = c[c > 0]
+    return float((c * np.log2(c.sum() / c)).sum()) + 4 * len(c) if len(c) > 1 else 11.0
+
+
+def put_image(w: Writer, plan: tuple, top: bool) -> np.ndarray:
+    """Writes what stands before the tokens, and returns the tokens' bits."""
+    _, cache, counts, sym, size = plan
+    w.put(1 if cache else 0, 1)
+    if cache:
+        w.put(cache, 4)
+    if top:
+        w.put(0, 1)
+    value, size = sym.copy(), size.copy()
+    for col, c in zip((0, 2, 3, 4, 5), counts, strict=True):
+        lengths = fit(c)
+        bits = put_code(w, lengths)
+        on = sym[:, col] >= 0
+        value[on, col], size[on, col] = bits[sym[on, col]], lengths[sym[on, col]]
+    value, size = value.ravel(), size.ravel()
+    on = size > 0
+    value, size = value[on], size[on]
+    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    return (np.repeat(value, size) >> step & 1).astype(np.uint8)
+
+
+def residuals(rgb: np.ndarray) -> np.ndarray:
+    """What the 14 predictors leave: (14, height, width, 3)."""
+    p = rgb.astype(np.int16)
+    out = np.empty((14, *rgb.shape), np.uint8)
+    out[:, 0, 0] = rgb[0, 0]
+    out[:, 0, 1:] = rgb[0, 1:] - rgb[0, :-1]
+    out[:, 1:, 0] = rgb[1:, 0] - rgb[:-1, 0]
+    left, t, tl = p[1:, :-1], p[:-1, 1:], p[:-1, :-1]
+    tr = np.concatenate([p[:-1, 2:], p[1:, :1]], axis=1)
+    m = (left + t) >> 1
+    near = np.where((np.abs(t - tl).sum(axis=2) < np.abs(left - tl).sum(axis=2))[..., None], left, t)
+    d = m - tl
+    for mode, guess in enumerate((0 * t, left, t, tr, tl, (((left + tr) >> 1) + t) >> 1, (left + tl) >> 1, m, (tl + t) >> 1, (t + tr) >> 1, (((left + tl) >> 1) + ((t + tr) >> 1)) >> 1, near, np.clip(left + t - tl, 0, 255), np.clip(m + np.sign(d) * (np.abs(d) >> 1), 0, 255))):
+        out[mode, 1:, 1:] = (p[1:, 1:] - guess).astype(np.uint8)
+    return out
+
+
+def crossed(rgb: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """The picture without what green tells of red, and green and red of blue; and the cross-colour pixel."""
+    r, g, b = (rgb[..., k].astype(np.int8).astype(np.float64) for k in range(3))
+
+    def slope(x: np.ndarray, y: np.ndarray) -> int:
+        return int(np.clip(np.rint(32 * (x * y).sum() / max(1.0, (x * x).sum())), -128, 127)) & 255
+
+    out, gr, gb = rgb.copy(), slope(g, r), slope(g, b)
+    one = lambda f: np.array(f, np.uint8)
+    blue = rgb[..., 2] - _delta(one(gb), rgb[..., 1]).astype(np.uint8)
+    rb = slope(r, blue.astype(np.int8).astype(np.float64))
+    out[..., 0] -= _delta(one(gr), rgb[..., 1]).astype(np.uint8)
+    out[..., 2] = blue - _delta(one(rb), rgb[..., 0]).astype(np.uint8)
+    return out, [rb, gb, gr]
+
+
+def _argb(rgb: np.ndarray, alpha: int) -> np.ndarray:
+    x = rgb.reshape(-1, 3).astype(np.uint32)
+    return np.uint32(alpha << 24) | x[:, 0] << np.uint32(16) | x[:, 1] << np.uint32(8) | x[:, 2]
+
+
+def encode(rgb: np.ndarray) -> bytes:
+    """(height, width, 3) with fitted codes, back-references, a colour cache, and the transform that leaves least."""
+    height, width, _ = rgb.shape
+    plain = _argb(rgb, 255)
+    caches = (0, 4, 7, 10)
+    plans: list[tuple] = [(tokens_of(plain, width, caches), None, None)]
+    green = rgb.copy()
+    green[..., 0] -= rgb[..., 1]
+    green[..., 2] -= rgb[..., 1]
+    cross, factors = crossed(rgb)
+    trials = np.concatenate([rgb[None], green[None], cross[None], residuals(rgb)])
+    n = height * width
+    flat = trials.reshape(len(trials), n, 3).transpose(0, 2, 1).reshape(-1, n)
+    hist = np.stack([np.bincount(x, minlength=256) for x in flat])
+    cost = -(hist * np.log2(np.maximum(hist, 1))).sum(axis=1).reshape(-1, 3).sum(axis=1) + 4 * (hist > 0).sum(axis=1).reshape(-1, 3).sum(axis=1)
+    k = int(np.argmin(cost))
+    if k:
+        kind = SUBTRACT_GREEN if k == 1 else CROSS if k == 2 else PREDICTOR
+        side = None if k == 1 else (*factors, 255) if k == 2 else (0, k - 3, 0, 255)
+        v = _argb(trials[k], 0 if k > 2 else 255)
+        plans.append((tokens_of(v, width, caches), kind, side))
+    colours, index = np.unique(plain, return_inverse=True)
+    if len(colours) <= 256:
+        bits = 1 if len(colours) <= 2 else 2 if len(colours) <= 4 else 4 if len(colours) <= 16 else 8
+        per = 8 // bits
+        packed = np.zeros((height, -(-width // per) * per), np.int64)
+        packed[:, :width] = index.reshape(height, width)
+        packed = (packed.reshape(height, -1, per) << (np.arange(per) * bits)).sum(axis=2)
+        v = (packed.ravel() << 8 | 255 << 24).astype(np.uint32)
+        rgba = colours.view(np.uint8).reshape(-1, 4)
+        delta = np.diff(rgba, axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8)
+        table = tokens_of(np.ascontiguousarray(delta).view(np.uint32).ravel(), len(colours), (0,))
+        plan = tokens_of(v, packed.shape[1], caches)
+        plans.append(((plan[0] + table[0], *plan[1:]), PALETTE, (len(colours), table)))
+    plan, kind, side = min(plans, key=lambda x: x[0][0])
+    w, parts = Writer(), []
+
+    def flush() -> None:
+        parts.append(np.unpackbits(np.frombuffer(w.value.to_bytes((w.n + 7) // 8, "little"), np.uint8), bitorder="little")[: w.n])
+        w.value = w.n = 0
+
+    w.put(0x2F, 8)
+    w.put(width - 1, 14)
+    w.put(height - 1, 14)
+    w.put(0, 4)
+    if kind is not None:
+        w.put(1, 1)
+        w.put(kind, 2)
+    if kind == PALETTE:
+        w.put(side[0] - 1, 8)
+        body = put_image(w, side[1], False)
+        flush()
+        parts.append(body)
+    elif side is not None:
+        w.put(7, 3)  # tiles of 512
+        w.put(0, 1)
+        for symbol in (side[1], side[0], side[2], side[3], 0):
+            w.one(symbol)
+    w.put(0, 1)
+    body = put_image(w, plan, True)
+    flush()
+    return _file(np.packbits(np.concatenate([*parts, body]), bitorder="little").tobytes())
+
+
 def store(payload: np.ndarray) -> bytes:
     """A payload of whole rows of 192 bytes as one or more files, one after another."""
     px = payload.reshape(-1, WIDTH, 3)
-    return b"".join(encode_flat(px[k : k + MOST_ROWS]) for k in range(0, len(px), MOST_ROWS))
+    return b"".join(encode(px[k : k + MOST_ROWS]) for k in range(0, len(px), MOST_ROWS))
 
 
 def files(media: bytes) -> Iterator[bytes]:

@@ -85,6 +85,29 @@ def test_cross_colour_and_subtract_green():
     assert (W.decode(W.encode_tokens(green, 11, [(W.SUBTRACT_GREEN, None, 0)])) == px).all()
 
 
+def test_store_shortens_and_reads_back():
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(60)]
+    prose = b" ".join(words[k] for k in rng.integers(0, 60, 400))
+    smooth = np.cumsum(rng.integers(0, 3, 192 * 40)).astype(np.uint8).tobytes()
+    colours = rng.integers(0, 256, (9, 3)).astype(np.uint8)
+    for text, share in ((prose, 0.85), (prose * 40, 0.1), (b"abc" * 5000, 0.02), (colours[rng.integers(0, 9, 3000)].tobytes(), 0.25), (smooth, 0.9), (b"x", 1), (rng.integers(0, 256, 5000).astype(np.uint8).tobytes(), 1.3)):
+        payload = np.full(-(-len(text) // 192) * 192, 32, np.uint8)
+        payload[: len(text)] = np.frombuffer(text, np.uint8)
+        media = W.store(payload)
+        assert np.concatenate([W.decode(f)[..., :3] for f in W.files(media)]).tobytes() == payload.tobytes()
+        assert len(media) < share * len(payload)
+
+
+@pytest.mark.parametrize("mode", range(14))
+def test_written_predictors_and_cross_colour_are_undone(mode):
+    px = rng.integers(0, 256, (9, 11, 3)).astype(np.uint8)
+    alpha = np.zeros((9, 11, 1), np.uint8)
+    back = W.undo_predictor(np.concatenate([W.residuals(px)[mode], alpha], axis=2), np.full((1, 1), mode), 9)
+    assert (back[..., :3] == px).all() and (back[..., 3] == 255).all()
+    res, side = W.crossed(px)
+    assert (W.undo_cross(np.concatenate([res, alpha], axis=2), np.array([[[*side, 255]]], np.uint8), 9)[..., :3] == px).all()
+
+
 def test_damage_is_an_error():
     with pytest.raises(ValueError):
         W.decode(b"RIFFxxxxWEBQ")
