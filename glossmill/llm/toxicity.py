@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word enters as the sum of a word vector (known words only) and two character vectors, of its
-first and of its last four bytes. A forward and a backward gated recurrent layer read a window of
+A word of at most MOST bytes is a step; longer ones are cut at code points into several, so that every
+byte is read. A step enters as the sum of a word vector (known words only) and two character vectors,
+of its first and of its last four bytes. A forward and a backward gated recurrent layer read a window of
 words, attention pools their states, and a logistic unit scores the window. Windows of WINDOW words
 start every STRIDE words and so overlap; all windows of a text are scored and the highest counts.
 
@@ -26,15 +27,50 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
+#: Bytes of a step.
+MOST = 8
 DIM, HIDDEN, WORDS, CHARS = 12, 8, 4096, 1024
 #: Windows scored at once.
 BATCH = 4096
 
 
+def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of the word, start, end and text of each step; of its at most 8 bytes, the first and the last four are all."""
+    start, end, row = K.words(data, off, K.ALNUM)
+    n = len(data)
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, start, 1)
+    np.subtract.at(edge, end, 1)
+    within = np.cumsum(edge) > 0
+    long = end - start > MOST
+    edge[:] = 0
+    np.add.at(edge, start[long], 1)
+    np.subtract.at(edge, end[long], 1)
+    # in long words, code points of three bytes and more, and the signs below U+00C0, stand alone
+    at = np.flatnonzero((np.cumsum(edge)[:n] > 0) & ((data >= 0xE0) | (data == 0xC2)))
+    after = at + np.where(data[at] >= 0xF0, 4, np.where(data[at] >= 0xE0, 3, 2))
+    begin = np.zeros(n + 1, bool)
+    begin[start] = True
+    begin[at] = True
+    begin[after] |= within[after]
+    first = np.flatnonzero(begin)
+    own = np.searchsorted(start, first, "right") - 1
+    last = np.minimum(np.append(first[1:], n), end[own])[: len(first)]
+    h = K.mix(K.spans(K.prefix(K.LOWER[data]), first, last))
+    # what is still long is cut between code points
+    count = np.where(last - first > MOST, -(-(last - first) // (MOST - 1)), 1)
+    word = np.repeat(np.arange(len(first)), count)
+    k = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
+    begin = first[word] + k * (MOST - 1)
+    begin -= (data[begin] & 0xC0) == 0x80
+    stop = np.where(k + 1 < count[word], np.append(begin[1:], n)[: len(word)], last[word])
+    return h[word], begin, stop, row[own[word]]
+
+
 def inputs(data: np.ndarray, off: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per word its three table rows (word, first bytes, last bytes), and its text."""
-    h, start, end, row = K.word_hashes(data, off, K.ALNUM)
+    """Per step its three table rows (word, first bytes, last bytes), and its text."""
+    h, start, end, row = pieces(data, off)
     at = np.minimum(np.searchsorted(vocabulary, h), max(0, len(vocabulary) - 1))
     word = np.where(vocabulary[at] == h, at + 1, 0) if len(vocabulary) else np.zeros(len(h), np.int64)
     pre = K.prefix(K.LOWER[data])
@@ -44,7 +80,7 @@ def inputs(data: np.ndarray, off: np.ndarray, vocabulary: np.ndarray) -> tuple[n
 
 
 def windows(row: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, length and text of each window; they overlap and cover all words."""
+    """First step, length and text of each window; they overlap and cover all steps."""
     cut = np.searchsorted(row, np.arange(n_rows + 1))
     n = np.diff(cut)
     count = np.where(n > 0, np.maximum(1, -(-(n - (WINDOW - STRIDE)) // STRIDE)), 0)
@@ -175,7 +211,7 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = 300, seed: int = 1) ->
     raw = [t.encode() for t in texts]
     off = np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8)
-    h, _, _, row = K.word_hashes(data, off, K.ALNUM)
+    h, _, _, row = pieces(data, off)
     # smoothed log odds of a text being toxic, by the words in it
     pairs = np.unique(np.stack([h, row.astype(np.uint64)]), axis=1)
     seen, inverse = np.unique(pairs[0], return_inverse=True)

@@ -347,6 +347,31 @@ def test_toxicity(spark, none):
     assert toxicity.score_documents(none, None).count() == 0
 
 
+def test_toxicity_reads_every_byte():
+    import numpy as np
+
+    from glossmill.llm import kernels as K
+    from glossmill.llm import toxicity as T
+
+    texts = ["plain words, incomprehensibilities", "", "京都の寺は古い" * 5, "a\u00a0long\u00a0joined\u00a0run", "ñ" * 31, "x" * 100, "😀😀😀 überraschungsgäste", "Привет" * 4, "it’s"]
+    raw = [t.encode() for t in texts]
+    off = np.cumsum([0] + [len(t) for t in raw])
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    h, start, end, row = T.pieces(data, off)
+    seen = np.zeros(len(data), bool)
+    for a, b, i in zip(start.tolist(), end.tolist(), row.tolist(), strict=True):
+        data[a:b].tobytes().decode()
+        assert 0 < b - a <= 8 and off[i] <= a and b <= off[i + 1]
+        seen[a : min(a + 4, b)] = seen[max(a, b - 4) : b] = True
+    assert (seen == K.ALNUM[data]).all() and (np.diff(start) > 0).all()
+    assert int(K.gram(h[:1])) and (row == 2).sum() == 35 and len(np.unique(h[row == 2])) == 7
+    # a change in the middle of a long word, or far inside unspaced text, changes what the model reads
+    for a, b in (("abcdefghijkl", "abcdeXghijkl"), ("京" * 40, "京" * 20 + "寺" + "京" * 19)):
+        x, y = (T.inputs(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), np.zeros(0, np.uint64))[0] for t in (a, b))
+        assert (x != y).any()
+    assert T.STRIDE * 2 <= T.WINDOW
+
+
 def test_gradient():
     import numpy as np
 
