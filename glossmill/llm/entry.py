@@ -18,7 +18,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix.dedup_substrings(table(spark, sf_dir, "documents"), texts_too=False).drop("kept")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,33 +109,65 @@ def brute_repeats(rows):
     return sorted(map(repr, out))
 
 
-def test_suffix_dedup(spark, docs, none):
+@pytest.mark.parametrize("kind", [{}, {"hot": 2}, {"bits": 5, "pack_bytes": 4000}, {"hot": 3, "pack_bytes": 2000}, {"hot": 2, "bits": 4, "pack_bytes": 3000}])
+def test_suffix_dedup(spark, docs, none, kind):
+    """Also with windows dealt one by one, many packs, and hashes so short that nearly all collide."""
     from glossmill.llm import suffix
 
-    got = suffix.dedup_substrings(docs).drop("kept").collect()
+    got = suffix.dedup_substrings(docs, **kind).drop("kept").collect()
     assert sorted(repr(tuple(r)) for r in got) == brute_repeats(ROWS)
-    assert suffix.dedup_substrings(none).count() == 0
+    assert suffix.dedup_substrings(none, **kind).count() == 0
 
 
-def test_suffix_sort_orders_and_survives_collisions(monkeypatch):
+def test_suffix_dedup_of_many_repeated_passages(spark):
+    """Passages in most documents, between other words, some twice in a document, some in rows with the same id."""
+    from glossmill.llm import suffix
+
+    r = random.Random(3)
+    passages = [prose(r.randint(8, 40)) for _ in range(6)]
+    rows = [(r.randint(0, 90), " ".join(x for _ in range(r.randint(1, 5)) for x in (prose(r.randint(0, 9)), r.choice(passages)[r.randint(0, 30) :]))) for _ in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute_repeats(rows)
+    for kind in ({}, {"hot": 20, "pack_bytes": 3000}, {"hot": 20, "bits": 6, "pack_bytes": 3000}):
+        got = suffix.dedup_substrings(frame, texts_too=False, **kind).drop("kept").collect()
+        assert sorted(repr(tuple(x)) for x in got) == want
+
+
+def test_suffix_dedup_carries_columns_and_whole_code_points(spark):
+    from glossmill.llm import suffix
+
+    rows = [(1, "é" * 40 + "x", "a"), (1, "é" * 40 + "y", "b"), (2, "zé" + "é" * 40, None)]
+    got = suffix.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string, kept string"), carry=("text",)).toDF(*"abcdefg").collect()
+    assert sorted((r.a, r.f, r.g) for r in got) == [(1, rows[0][1], rows[0][1]), (1, rows[1][1], rows[1][1]), (2, "z", rows[2][1])]
+
+
+def test_suffix_sort_orders_and_survives_collisions():
     import numpy as np
 
     from glossmill.llm import suffix
 
     r = np.random.default_rng(1)
-    context = r.integers(97, 99, (40, suffix.WIDTH)).astype(np.uint8)
-    context[20:] = context[:20]
-    of, at = np.arange(40), np.zeros(40, np.int64)
-    s = suffix.Suffixes(context, of, at)
-    order = s.sort(np.zeros(40, np.uint64))
-    text = [context[k, :50].tobytes() for k in order]
-    assert text == sorted(text)
-    args = context, np.full(40, suffix.WIDTH), np.full(40, suffix.REACH), np.zeros(40, np.uint64), np.arange(40)
-    want = suffix.repeated(*args)
-    assert (want[:20] == 0).all() and (want[20:] == 2 ** (suffix.REACH + 1) - 1).all()
-    monkeypatch.setattr(suffix.Suffixes, "hash", lambda self, i, n: np.zeros(len(i), np.uint64))
-    monkeypatch.setattr(suffix.K, "mix", lambda x: x * np.uint64(0))
-    assert (suffix.repeated(*args)[:20] == 0).all()
+    rows = r.integers(97, 99, (300, 12)).astype(np.uint8)
+    group = np.sort(r.integers(0, 4, 300)).astype(np.uint64)
+    for bits in (64, 3, 1):
+        order, shared = suffix.Extensions(rows, bits).sorted(group)
+        text = [(int(group[k]), rows[k].tobytes()) for k in order]
+        assert text == sorted(text)
+        for k in range(1, 300):
+            a, b = text[k - 1], text[k]
+            assert shared[k] == (-1 if a[0] != b[0] else next((i for i in range(12) if a[1][i] != b[1][i]), 12))
+
+
+def test_anchors_of_long_texts_do_not_depend_on_segments(monkeypatch):
+    import numpy as np
+
+    from glossmill.llm import suffix
+
+    data = np.random.default_rng(2).integers(97, 100, 5000).astype(np.uint8)
+    off = np.array([0, 30, 2500, 2500, 5000])
+    whole = suffix.anchors(data, off)
+    monkeypatch.setattr(suffix, "SEGMENT", 300)
+    assert all((x == y).all() for x, y in zip(whole, suffix.anchors(data, off), strict=True))
 
 
 # --- 3 ------------------------------------------------------------------------------------------
