@@ -9,8 +9,8 @@ template. Short phrases must stand in full; longer templates count from `thresho
 Words: A-Z lower-cased, then runs of all but ASCII other than letters and digits.
 
 Defined cases: null and empty texts have no words and no labels; texts under three words match
-nothing; rows that repeat an id are judged each by its own text; other columns are ignored; an empty
-table gives an empty result.
+nothing; rows without an id, and rows that repeat one, are judged each by its own text; other columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -64,13 +64,15 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 g = K.grams(h, GRAM)
                 g = np.concatenate([g, np.zeros(len(h) - len(g), np.uint64)])  # the last two of a row may cross into the next; verified later
                 cut = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(cut), pa.array(g.view(np.int64)))], names=["id", "runs"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(cut), pa.array(g.view(np.int64)))], names=["row", "runs"])
 
+    # ids may be null or repeat: votes belong to a row's id and text together
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    runs = texts.where("id is not null").mapInArrow(runs_of, "id long, runs array<long>").select("id", F.posexplode("runs").alias("pos", "hash"))
-    hits = runs.join(where, "hash").select("id", "template", (F.col("pos") - F.col("place")).alias("diagonal"))
-    votes = hits.groupBy("id", "template", "diagonal").agg(F.count("*").cast("int").alias("votes"))
-    listed = votes.groupBy("id").agg(F.collect_list(F.struct("template", "diagonal", "votes")).alias("votes"))
+    texts = texts.withColumn("row", F.xxhash64("id", "text"))
+    runs = texts.select("row", "text").mapInArrow(runs_of, "row long, runs array<long>").select("row", F.posexplode("runs").alias("pos", "hash"))
+    hits = runs.join(where, "hash").select("row", "template", (F.col("pos") - F.col("place")).alias("diagonal"))
+    votes = hits.groupBy("row", "template", "diagonal").agg(F.count("*").cast("int").alias("votes"))
+    listed = votes.groupBy("row").agg(F.collect_list(F.struct("template", "diagonal", "votes")).alias("votes"))
 
     def merged(found: list[dict]) -> list[tuple[int, list[int], int]]:
         """(template, diagonals, votes) of neighbouring diagonals of one template."""
@@ -114,7 +116,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(cut)), pa.array(out, kind)], names=["id", "n_words", "spans"])
 
     schema = "id long, n_words long, spans array<struct<label:string,template:int,first:long,last:long,votes:int,share:double>>"
-    return texts.join(listed, "id", "left").select("id", "text", "votes").mapInArrow(verify, schema).withColumnRenamed("id", id_col)
+    return texts.join(listed, "row", "left").select("id", "text", "votes").mapInArrow(verify, schema).withColumnRenamed("id", id_col)
 
 
 def license_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
