@@ -7,7 +7,8 @@ are in the DOM, and the next block under the same parent. The source side of a m
 main text.
 
 Defined cases: null, empty and text-free pages give an empty text; broken markup is read leniently;
-unclosed scripts, styles and comments end with the page; rows may repeat; other columns are
+unclosed scripts, styles and comments end with the page; a tag whose quote is never closed ends at the next
+> or <, and a < in a tag begins the next one; rows may repeat; other columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -22,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][\w:-]*)")
+#: What may stand in a tag after its name; possessive, so that no byte is read twice.
+INSIDE = re.compile(r"""(?:[^>"'<]++|"[^"]*+"|'[^']*+')*+""")
 HINT = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I | re.S)
 WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
@@ -34,52 +37,103 @@ BOILER_TAGS = {"nav": -8.0, "footer": -8.0, "aside": -8.0, "form": -8.0, "button
 MAIN_TAGS = {"article": 3.0, "main": 2.5}
 BOILER_WORDS = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright discussion disclaimer disqus feedback footer gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup popups privacy promo promoted recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags teaser toolbar topbar trending widget widgets".split())
 MAIN_WORDS = set("article body content entry main post story text".split())
+#: Words that say where a part stands or what it is made of; before them the first part of a class name counts.
+PLACE_WORDS = set("area articles bar block box col column container group inner item items left link links list menu outer panel posts right row section slot stories text title top unit wrap wrapper".split())
+#: Words that turn a class name into a statement about something else.
+STATE_WORDS = set("has hide is js no not show with without".split())
+#: Elements that hold the page or its article, which no class name makes boilerplate.
+HOLDERS = {"article", "main", "body", "html"}
 ADJACENT, SIBLING = 1.0, 0.5
 
 
-def blocks_of(html: str) -> list[tuple[str, float, int, int, int]]:
-    """(text, score, parent, depth, link characters) of the text blocks of a page, in page order."""
-    out: list[tuple[str, float, int, int, int]] = []
-    stack: list[tuple[str, float, int]] = [("", 0.0, 0)]  # tag, summed score of it and what it is in, number
+def hints_of(tag: str, attributes: str) -> float:
+    """What class, id and role say: a whole name or its last part counts, and its first before a word of place."""
+    score = 0.0
+    for h in HINT.findall(attributes):
+        boiler = main = False
+        for name in h.strip("\"'").lower().split():
+            parts = WORD.findall(name)
+            if not parts or parts[0] in STATE_WORDS:
+                continue
+            first = parts[0] if len(parts) > 1 and parts[-1] in PLACE_WORDS else parts[-1]
+            if parts[-1] in BOILER_WORDS or first in BOILER_WORDS:
+                boiler = True
+            elif parts[0] in MAIN_WORDS or parts[-1] in MAIN_WORDS:
+                main = True
+        if boiler and tag not in HOLDERS:
+            score -= 8.0
+        elif main:
+            score += 1.0
+    return score
+
+
+def blocks_of(html: str) -> list[tuple[str, float, int, int, int, bool]]:
+    """(text, score, parent, depth, link characters, within the article) of the text blocks of a page, in page order.
+
+    One pass: no character of a tag is read again, and an end tag without an open element costs nothing."""
+    out: list[tuple[str, float, int, int, int, bool]] = []
+    # tag, summed score of it and what it is in, number, links open, within article or main
+    stack: list[tuple[str, float, int, int, bool]] = [("", 0.0, 0, 0, False)]
+    opened: dict[str, int] = {}
     parts: list[str] = []
-    linked = links = number = 0
-    at, n = 0, len(html)
+    linked = number = at = 0
+    n, last_end = len(html), html.rfind(">")
+
+    def say(text: str) -> None:
+        nonlocal linked
+        parts.append(text)
+        if stack[-1][3]:
+            linked += len(text)
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
-                tag, score, parent = stack[-1]
                 k = len(stack) - 1
                 while k and stack[k][0] in INLINE:
                     k -= 1
-                out.append((text, score + (0.7 if stack[k][0] in ("p", "h1", "pre", "blockquote") else 0.0), stack[k - 1][2] if k else 0, len(stack), linked))
+                out.append((text, stack[-1][1] + (0.7 if stack[k][0] in ("p", "h1", "pre", "blockquote") else 0.0), stack[k - 1][2] if k else 0, len(stack), linked, stack[-1][4]))
             parts.clear()
         linked = 0
 
+    def close(k: int) -> None:
+        for x in stack[k:]:
+            opened[x[0]] -= 1
+        del stack[k:]
+
     while at < n:
-        m = TOKEN.search(html, at)
-        if m is None:
-            parts.append(html[at:])
-            linked += (n - at) if links else 0
+        lt = html.find("<", at)
+        if lt < 0 or lt > last_end:
+            say(html[at:])
             break
-        if m.start() > at:
-            parts.append(html[at : m.start()])
-            if links:
-                linked += m.start() - at
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+        if lt > at:
+            say(html[at:lt])
+        if html.startswith("<!--", lt):
+            end = html.find("-->", lt + 4)
+            at = end + 3 if end >= 0 else n
+            continue
+        if html[lt + 1] in "!?":
+            at = html.index(">", lt) + 1
+            continue
+        m = NAME.match(html, lt + 1)
+        if m is None:
+            say("<")
+            at = lt + 1
             continue
-        tag = tag.lower()
+        tag, attributes = m[2].lower(), INSIDE.match(html, m.end())[0]
+        at = m.end() + len(attributes)
+        if at < n and html[at] == ">":
+            at += 1
+        elif at < n and html[at] != "<":  # a quote that is never closed: the tag ends where the next one would, or may
+            ends = [k for k in (html.find(">", at) + 1, html.find("<", at)) if k > 0]
+            at = min(ends, default=n)
+        elif at >= n:  # the last > stands in quotes
+            at = html.index(">", m.end()) + 1
         if tag in RAW:
-            if not m[1]:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(html, at) if not m[3].endswith("/") else None
-                if end:
-                    at = end.end()
-                elif not m[3].endswith("/"):
-                    at = n
+            if not m[1] and not attributes.endswith("/"):
+                end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+                at = end.end() if end else n
             continue
         if tag in ("br", "wbr", "img"):
             parts.append(" ")
@@ -88,45 +142,40 @@ def blocks_of(html: str) -> list[tuple[str, float, int, int, int]]:
         if not inline:
             flush()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if inline and stack[k][0] not in INLINE:
-                    break  # an inline end tag closes no block
-            links = sum(x[0] == "a" for x in stack) if tag == "a" or not inline else links
+            if opened.get(tag):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] == tag:
+                        close(k)
+                        break
+                    if inline and stack[k][0] not in INLINE:
+                        break  # an inline end tag closes no block
             continue
         if tag in VOID:
             continue
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
+        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and opened.get(tag):
             for k in range(len(stack) - 1, 0, -1):  # such an element ends one of its own kind that is open
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][0] not in INLINE and stack[k][0] != "p":
                     break
         number += 1
-        score = stack[-1][1] + BOILER_TAGS.get(tag, 0.0) + MAIN_TAGS.get(tag, 0.0)
-        if m[3] and not inline:
-            for h in HINT.findall(m[3]):
-                hints = set(WORD.findall(h.lower()))
-                if hints & BOILER_WORDS:
-                    score -= 8.0
-                elif hints & MAIN_WORDS:
-                    score += 1.0
-        stack.append((tag, score, number))
-        if tag == "a":
-            links += 1
+        _, score, _, links, main = stack[-1]
+        own = BOILER_TAGS.get(tag, 0.0) + MAIN_TAGS.get(tag, 0.0)
+        if attributes and not inline:
+            own += hints_of(tag, attributes)
+        stack.append((tag, score + own, number, links + (tag == "a"), (main or tag in MAIN_TAGS) and own > -8.0))
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
     return out
 
 
-def scores(blocks: list[tuple[str, float, int, int, int]]) -> list[float]:
-    """The classifier: above 0 is rather content."""
+def scores(blocks: list[tuple[str, float, int, int, int, bool]]) -> list[float]:
+    """The classifier: above 0 is rather content. Links tell little of what an article holds itself."""
     out = []
-    for text, score, _, _, linked in blocks:
+    for text, score, _, _, linked, main in blocks:
         words = text.count(" ") + 1
-        s = score + min(words, 40) / 20 - 0.5 - 4.0 * min(1.0, linked / len(text))
+        s = score + min(words, 40) / 20 - 0.5 - (1.0 if main else 4.0) * min(1.0, linked / len(text))
         if text[-1] in ".!?…:\"'”»。！？":
             s += 0.5
         elif words < 4:
@@ -205,7 +254,7 @@ def main_text(html: str) -> str:
     cost = scores(blocks)
     edges: list[tuple[int, int, float]] = []
     last: dict[int, int] = {}
-    for i, (_, _, parent, depth, _) in enumerate(blocks):
+    for i, (_, _, parent, depth, _, _) in enumerate(blocks):
         if i:
             far = abs(depth - blocks[i - 1][3]) + (parent != blocks[i - 1][2])
             edges.append((i - 1, i, ADJACENT / (1 + far)))

@@ -257,7 +257,7 @@ def test_licenses(spark, none):
     want = []
     for i, t in rows:
         w = pat.findall(lower(t))
-        hit = [] if i is None else [(j, label) for p, label in licenses.BASE for j in range(len(w)) if w[j : j + len(p.split())] == p.split()]
+        hit = [(j, label) for p, label in licenses.BASE for j in range(len(w)) if w[j : j + len(p.split())] == p.split()]
         want.append(repr((i, len(w), len(hit), min((h[0] for h in hit), default=None), max((h[0] for h in hit), default=None), ",".join(sorted({h[1] for h in hit})))))
     assert sorted(repr((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels)) for r in got) == sorted(want)
     assert {r.doc_id: r.labels for r in got if r.doc_id in (6, 8)} == {6: "gpl", 8: "bsd"}
@@ -448,6 +448,30 @@ def test_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in got) and len(got) == 6
 
 
+@pytest.mark.parametrize("names", ['<article class="post share-enabled">', '<main id="has-sidebar">', '<body class="no-comments with-banner">', '<article class="sidebar">', '<div class="no-ads"><article>', '<article id=\'post-1\' data-x="a>b">'])
+def test_class_names_do_not_drop_articles(names):
+    from glossmill.llm.htmlcut import main_text
+
+    body = "<h1>Some title here</h1><p>A first paragraph, with enough words to be one.</p><ul><li><a href=a>One item</a></li><li><a href=b>Another</a></li></ul><p>And an end.</p>"
+    want = "Some title here\nA first paragraph, with enough words to be one.\nOne item\nAnother\nAnd an end."
+    page = f"<body><nav><ul><li><a href=x>Home</a></li></ul></nav>{names}{'' if 'article' in names or 'main' in names else '<article>'}{body}</article></main></div>{{}}</body>"
+    for rest in ('<div class="comments-area"><p>I think this is wrong, says a reader.</p></div>', '<div id="site-footer"><p>All the rights are reserved by us.</p></div>', '<ul class="nav-items"><li>Up</li></ul>', '<div class="ad"><p>Buy it now, it is the best you will get.</p></div>'):
+        assert main_text(page.replace("{}", rest)) == want
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+
+    from glossmill.llm.htmlcut import main_text
+
+    text = "Enough words for one paragraph, which must be found."
+    for bad in ('<a href="x', "<p title='", "<!", "<!-- ", "< ", "<a ", '<a "<" ', "<div>", "</i>", "<b>", "<script", "&lt;", "<a 'x\" "):
+        page = f"<article><p>{text}</p></article>" + bad * (1_000_000 // len(bad))
+        began = time.process_time()
+        out = main_text(page)
+        assert time.process_time() - began < 20 and text in out, bad
+
+
 def test_minimum_cut_against_all_labelings():
     from glossmill.llm.htmlcut import min_cut
 
