@@ -517,8 +517,56 @@ def test_url_rules_learn_from_quality_alone_and_keep_long_antecedents(spark, tmp
     words = ["ab", "cd", "ef", "gh"]
     bad = [("http://x/" + "/".join(words), True)] * 20
     good = [("http://x/" + "/".join(w for w in words if w != left), False) for left in words for _ in range(20)]
-    rules = urlrules.mine_rules(spark.createDataFrame(bad + good, "url string, blocked boolean")).collect()
-    assert [sorted(r.tokens) for r in rules] == [["p:ab", "p:cd", "p:ef", "p:gh"]]
+    rules, _ = urlrules.mine_rules(spark.createDataFrame(bad + good, "url string, blocked boolean"))
+    assert [sorted(r["items"]) for r in rules.collect()] == [["p:ab", "p:cd", "p:ef", "p:gh"]]
+
+
+def test_url_rules_against_all_token_sets(spark):
+    """Brute force: every set of tokens that stands in a labelled url, its rows, confidence and lift; minimal ones block."""
+    from itertools import combinations
+
+    from glossmill.llm import urlrules
+
+    r = random.Random(11)
+    hosts, words = ["a.org", "b-c.org", "d.com"], ["aa", "bb", "cc", "dd"]
+    url = lambda: f"{r.choice(['http', 'https'])}://{r.choice(hosts)}/" + "/".join(r.sample(words, r.randint(0, 3))) + r.choice(["", "?k=1", "?k=1&m=2"])
+    bad = lambda u: ("aa" in u and "cc" in u or "d.com" in u and "k=" in u) != (r.random() < 0.06)
+    labelled = [(u, bad(u)) for u in (url() for _ in range(160))] + [("http://a.org/bb", None), (None, True)]
+    pages = [(k, u) for k, u in enumerate([url() for _ in range(150)] + ["http://d.com/zz?k=1", None, "aa/cc"])]
+
+    def toks(u):
+        scheme, _, rest = u.partition("://")
+        host, tail = re.match("([^/?]*)(.*)", rest).groups()
+        path, _, query = tail.partition("?")
+        out = {"s:" + scheme} | {"h:" + x for x in host.split(".")} | {"w:" + y for x in host.split(".") if "-" in x for y in x.split("-")}
+        return out | {"p:" + x for x in path.split("/") if x} | {"q:" + x.split("=")[0] for x in query.split("&") if x}
+
+    known = [(toks(u), b) for u, b in labelled if u and b is not None]
+    n, base = len(known), sum(b for _, b in known) / len(known)
+    need = max(0.005, urlrules.LEAST_ROWS / n)
+    good = []
+    for s in {s for t, _ in known for k in range(1, len(t) + 1) for s in combinations(sorted(t), k)}:
+        rows = [b for t, b in known if set(s) <= t]
+        if sum(rows) / n >= need and sum(rows) / len(rows) >= 0.8 and sum(rows) / len(rows) / base >= 1.5:
+            good.append(set(s))
+    good = [s for s in good if not any(g < s for g in good)]
+    assert len(good) > 2
+    want = {k: any(g <= toks(u) for g in good) if u and "://" in u else False for k, u in pages}
+    got = urlrules.judge_urls(spark.createDataFrame(pages, "page_id int, url string"), spark.createDataFrame(labelled, "url string, blocked boolean"), given=[("allow", "nowhere/")]).collect()
+    assert {x.page_id: x.verdict == "block" for x in got} == want
+
+
+def test_url_rules_with_long_shared_paths_and_few_labels(spark):
+    from glossmill.llm import urlrules
+
+    shared = "http://x.org/" + "/".join(f"w{chr(97 + k)}" for k in range(25))
+    labelled = [(f"{shared}/{k}", True) for k in range(20)] + [(f"http://y{k}.org/a", False) for k in range(80)] + [("http://once.org/b", True)]
+    frame = spark.createDataFrame(labelled, "url string, blocked boolean")
+    rules, items = urlrules.mine_rules(frame)
+    assert [r["items"] for r in rules.collect()] == [["h:x"]] and items.where("item = 'h:x'").count() == 26
+    assert urlrules.mine_rules(frame.where("url not like '%x.org%'"))[0].count() == 0
+    pages = spark.createDataFrame([(1, "http://z.org/wc"), (2, "http://once.org/b"), (3, "http://" + "q" * 100_000)], "page_id int, url string")
+    assert {r.page_id: r.verdict for r in urlrules.judge_urls(pages, frame).collect()} == {1: "block", 2: "allow", 3: "allow"}
 
 
 # --- pipeline -----------------------------------------------------------------------------------
