@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -430,8 +431,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         p = Pack(texts, shared, buckets, bits)
         pack = texts["pack"][0].as_py() if texts.num_rows else 0
         cold = np.flatnonzero(~p.hot)
-        out = [(0, b, 0, lo, p.first[cold[lo:hi]].tobytes(), b"", p.rows[cold[lo:hi]].tobytes()) for b, lo, hi in _cuts(p.bucket[cold])]
-        out += [(1, b, pack % salts, lo, p.w_first[lo:hi].tobytes(), p.w_at[lo:hi].astype(np.uint8).tobytes(), p.windows[lo:hi].tobytes()) for b, lo, hi in _cuts(p.w_bucket)]
+        pressed = zstandard.ZstdCompressor(level=3).compress  # texts shuffle smaller so
+        out = [(0, b, 0, lo, p.first[cold[lo:hi]].tobytes(), b"", pressed(p.rows[cold[lo:hi]].tobytes())) for b, lo, hi in _cuts(p.bucket[cold])]
+        out += [(1, b, pack % salts, lo, p.w_first[lo:hi].tobytes(), p.w_at[lo:hi].astype(np.uint8).tobytes(), pressed(p.windows[lo:hi].tobytes())) for b, lo, hi in _cuts(p.w_bucket)]
         cols = list(zip(*out, strict=True)) if out else [()] * 7
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
@@ -450,11 +452,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         of = np.repeat(np.arange(len(per)), per)
         number = (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per) + np.repeat(sent["start"].to_numpy(), per)).astype(np.int32)
         pack, bucket = sent["pack"].to_pylist(), sent["bucket"].to_pylist()
+        rows = np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, sent["rows"].to_pylist())), np.uint8)
         if not sent["kind"][0].as_py():
-            mask = fresh_places(_joined(sent["rows"], np.uint8).reshape(-1, WIDTH + 2), doc, bits).astype(np.int32)
+            mask = fresh_places(rows.reshape(-1, WIDTH + 2), doc, bits).astype(np.int32)
             keep = np.flatnonzero(mask)
             return answers([(0, pack[k], bucket[k], pack[k], number[keep[lo:hi]].tobytes(), mask[keep[lo:hi]].tobytes(), b"", b"", b"") for k, lo, hi in _cuts(of[keep])])
-        rows, place = _joined(sent["rows"], np.uint8).reshape(-1, LENGTH), _joined(sent["place"], np.uint8)
+        rows, place = rows.reshape(-1, LENGTH), _joined(sent["place"], np.uint8)
         keep = np.flatnonzero(firsts(rows, _window_tag(rows, place, bits), doc, bits))
         return answers([(1, bucket[k], bucket[k], pack[k], number[at].tobytes(), b"", doc[at].tobytes(), place[at].tobytes(), rows[at].tobytes()) for k, lo, hi in _cuts(of[keep]) for at in [keep[lo:hi]]])
 
