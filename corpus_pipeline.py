@@ -27,12 +27,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 50 bytes that a smaller document has are cut; a document left without text goes."""
-    cut = suffix.dedup_substrings(docs.select("doc_id", "text")).where("n_removed > 0").select(F.col("doc_id"), F.col("kept"))
-    cut = cut.groupBy("doc_id").agg(F.first("kept").alias("kept"))
-    out = docs.join(cut, "doc_id", "left").where("kept is null or kept <> ''")
-    text = F.coalesce("kept", "text")
-    return out.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept")).cast("long").alias("n_chars"))
+    """Strings of 50 bytes that a smaller document has are cut; a document that a cut leaves without text goes.
+
+    Rows that share an id are cut each by itself; null texts stay null, and n_chars changes with the text only."""
+    docs = docs.withColumn("blank", F.col("text").isNull())
+    cut = suffix.dedup_substrings(docs, carry=("lang", "source", "n_chars", "blank"))
+    done = F.col("n_removed") > 0
+    text = F.when(~F.col("blank"), F.col("kept"))
+    n_chars = F.when(done, F.length("kept").cast("long")).otherwise(F.col("n_chars").cast("long"))
+    return cut.where(~done | (F.col("kept") != "")).select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
