@@ -587,3 +587,28 @@ def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(5), str(tmp_path)).columns == corpus_pipeline.COLUMNS
+
+
+ODD = [(5, "a first text, " + "x" * 60, "en", "s", 74), (5, "another text, with other words in it and more of them", "en", "s", 53), (5, "a first text, " + "x" * 60, "en", "s", 74), (6, "y" * 9 + "x" * 60, None, None, None), (7, None, "en", "s", 0), (8, "", "en", None, 0), (None, "z " * 80, "en", "s", 160), (None, "z " * 80, "fr", "t", 160)]
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_pipeline_stages_keep_odd_rows(spark, tmp_path, stage):
+    """Repeated and null ids, null and empty texts, columns with the operators' own names, and empty tables."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "nothing of this stands anywhere at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(5, 1, 0), (900, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    frame = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long")
+    for extra in ("id", "kept", "row", "hash", "pack", "score"):
+        frame = frame.withColumn(extra, corpus_pipeline.F.lit("x"))
+    name, run = corpus_pipeline.STAGES[stage]
+    got = run(spark, frame, str(tmp_path))
+    assert got.columns == corpus_pipeline.COLUMNS and run(spark, frame.where("false"), str(tmp_path)).count() == 0
+    rows = sorted(map(repr, map(tuple, got.collect())))
+    want = list(ODD)
+    if name == "near_duplicates":  # no two differ by their words
+        want = ODD
+    if name == "repeats":
+        want[3] = (6, "y" * 9, None, None, 9)
+    assert rows == sorted(map(repr, want))
