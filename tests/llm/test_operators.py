@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import tempfile
 import zlib
 
 import pytest
@@ -286,6 +287,20 @@ def test_warc(spark):
     keys = [(r.url_key, r.captured) for r in got]
     assert keys == sorted(keys)
     assert warc.archive_pages(pages.where("false")).count() == 0
+    # beyond the bound of a broadcast, and with many small ranges and archives
+    bound = warc.BROADCAST_ROWS, warc.ARCHIVE_BYTES
+    try:
+        warc.BROADCAST_ROWS = 0
+        folder = tempfile.mkdtemp() + "/w"
+        warc.write_archives(pages, folder)
+        again = warc.merge_index(warc.read_captures(spark, folder), range_rows=2).collect()
+    finally:
+        warc.BROADCAST_ROWS, warc.ARCHIVE_BYTES = bound
+    assert sorted(repr((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in again) == sorted(want)
+    assert [(r.url_key, r.captured) for r in again] == keys
+    heads = [h for row in spark.read.parquet(folder).collect() for _, _, h, _ in warc.records(bytes(row.content))]
+    ids = {h["WARC-Record-ID"] for h in heads if h["WARC-Type"] == "response"}
+    assert all(h["WARC-Refers-To"] in ids for h in heads if h["WARC-Type"] == "revisit") and len({h["WARC-Record-ID"] for h in heads}) == len(rows) - 1
 
 
 def test_loser_tree():
