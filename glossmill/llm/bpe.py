@@ -6,8 +6,10 @@ continuations of the piece agree, so no state holds more bytes than a few token
 follow from one fact about merges by rank: the encoding of a prefix is the encoding of a shorter
 prefix and one more token, namely the only one that can stand next to that prefix's last token.
 
-Texts are cut into pieces by a pattern; pieces never merge with each other. Decoding goes token by
-token through an incremental UTF-8 state machine, so that a code point may span tokens and chunks.
+Texts are cut into pieces by a pattern; pieces never merge with each other. The new pieces of some MB of
+text are read together, a byte of each at a time, with states and moves in arrays; long pieces are
+read alone. Decoding goes token by token through an incremental UTF-8 state machine, so that a code
+point may span tokens and chunks.
 
 Defined cases: a null text counts as empty; an empty text has no ids; invalid UTF-8 (which no Spark
 string holds) would decode to U+FFFD; rows may repeat and keep their multiplicity; columns other
@@ -21,12 +23,21 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries that a worker keeps of cuts seen, and of transducer states; beyond, it starts anew. About 0.4 GB at most.
-PIECE_CACHE, STATE_CACHE = 360_000, 240_000
+from . import kernels as K
+
+#: Bytes, about, that a worker keeps of cuts seen, of states that read one piece, of states that read many, and of token pairs; beyond, it starts anew.
+PIECE_BYTES, STATE_BYTES, MANY_BYTES, PAIR_BYTES = 60 << 20, 60 << 20, 160 << 20, 80 << 20
+#: Characters of the longest cut that is kept.
+KEPT_CHARS = 64
+#: Bytes of the longest piece that is read together with others, and of pending bytes then.
+PIECE, PENDING = 48, 20
+#: Bytes of text whose pieces are read together.
+CHUNK = 4 << 20
 #: Tokens decoded in one step of the stream.
 STREAM_TOKENS = 4096
 
@@ -36,6 +47,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
 
 
+KEY, END = -1, -2
+
+
 class Transducer:
     """Lazily determinised: states and steps are made when a text first needs them."""
 
@@ -49,22 +63,21 @@ class Transducer:
         self.edges: dict[tuple[int, bool], list] = {}
         #: Tokens that merging can't reach; they stand only as whole pieces.
         self.apart = {i for t, i in ranks.items() if len(t) > 1 and self.merged(t) != [i]}
+        self.reached = {t: i for t, i in ranks.items() if i not in self.apart}
         self.clear()
 
     def clear(self) -> None:
-        self.keys: list[tuple] = []
-        self.numbers: dict[tuple, int] = {}
-        #: state * 256 + byte -> (next state, tokens sent); state -> tokens sent at the end.
-        self.moves: dict[int, tuple[int, tuple]] = {}
-        self.ends: dict[int, tuple[int, ...]] = {}
-        self.number(((-1,), b"", (0,)))
-
-    def number(self, key: tuple) -> int:
-        n = self.numbers.get(key)
-        if n is None:
-            n = self.numbers[key] = len(self.keys)
-            self.keys.append(key)
-        return n
+        """A state is a dictionary: by byte the next state and the tokens sent; under KEY what it stands for, under END the tokens sent at the end."""
+        self.states: dict[tuple, dict] = {}
+        self.held = 0
+        self.start = self.state(((-1,), b"", (0,)))
+
+    def state(self, key: tuple) -> dict:
+        known = self.states.get(key)
+        if known is None:
+            known = self.states[key] = {KEY: key}
+            self.held += 900 + 60 * len(key[1])
+        return known
 
     def merged(self, piece: bytes) -> list[int]:
         """By the definition: merge the pair of lowest rank, leftmost first, while there is one."""
@@ -102,22 +115,35 @@ class Transducer:
         return len(parts[0])
 
     def fits(self, left: int, right: int) -> bool:
-        """Whether two tokens can stand side by side: no merge across them comes before the parts are taken."""
-        if left < 0:
-            return True
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) > 4 * STATE_CACHE:
-                self.pairs.clear()
-            known, get, firsts = True, self.ranks.get, self.edge(right, False)
-            for a, made_a, taken_a in self.edge(left, True):
-                for b, made_b, taken_b in firsts:
-                    rank = get(a + b)
-                    if rank is not None:
-                        when = max(rank, made_a, made_b)
-                        if when < taken_a and when <= taken_b:
-                            known = False
-            self.pairs[left, right] = known
+        """Whether two tokens can stand side by side: no merge across them comes before the parts are taken.
+
+        Goes back in time, undoing whichever side was merged later, over the parts that ever stood side by side."""
+        edges, get = self.edges, self.ranks.get
+        ends, firsts = edges.get((left, True)) or self.edge(left, True), edges.get((right, False)) or self.edge(right, False)
+        i = j = 0
+        a, made_a, taken_a = ends[0]
+        b, made_b, taken_b = firsts[0]
+        known = True
+        while True:
+            rank = get(a + b)
+            if rank is not None:
+                when = made_a if made_a > made_b else made_b
+                if rank > when:
+                    when = rank
+                if when < taken_a and when <= taken_b:
+                    known = False
+                    break
+            if made_a > made_b:
+                i += 1
+                a, made_a, taken_a = ends[i]
+            elif made_b >= 0:
+                j += 1
+                b, made_b, taken_b = firsts[j]
+            else:
+                break
+        if len(self.pairs) > PAIR_BYTES // 160:
+            self.pairs.clear()
+        self.pairs[left, right] = known
         return known
 
     def sent(self, last: tuple, end: int) -> tuple[int, ...]:
@@ -133,31 +159,38 @@ class Transducer:
         lasts, pending, live = state
         pending += self.one[byte]
         n, found, still = len(pending), None, []
-        get, prefixes = self.ranks.get, self.prefixes
+        get, prefixes, pairs = self.reached.get, self.prefixes, self.pairs
         for k in live:
             text = pending[k:]
             if found is None:
                 token = get(text)
-                if token is not None and token not in self.apart and self.fits(lasts[k], token):
-                    found = token
+                if token is not None:
+                    left = lasts[k]
+                    fits = left < 0 or pairs.get((left, token))
+                    if fits is None:
+                        fits = self.fits(left, token)
+                    if fits:
+                        found = token
             if text in prefixes:
                 still.append(k)
         last = (*lasts, found)
         still.append(n)
         cut = still[0]
-        if not cut:
-            return (last, pending, tuple(still)), ()
-        # the last boundary that the encodings of all live prefixes share
-        size = self.size
-        for k in still[1:]:
-            while k != cut:
-                if k > cut:
-                    k -= size[last[k]]
-                else:
-                    cut -= size[last[cut]]
-        if not cut:
-            return (last, pending, tuple(still)), ()
-        return (last[cut:], pending[cut:], tuple([k - cut for k in still])), self.sent(last, cut)
+        if cut:
+            # the last boundary that the encodings of all live prefixes share
+            size = self.size
+            for k in still[1:]:
+                while k != cut:
+                    if k > cut:
+                        k -= size[last[k]]
+                    else:
+                        cut -= size[last[cut]]
+        sent = self.sent(last, cut)
+        if cut:
+            last, pending = last[cut:], pending[cut:]
+        if still[0] > cut:  # no token begins at the first boundary, so what stands before it no longer matters
+            last = (-1, *last[1:])
+        return (last, pending, tuple([k - cut for k in still])), sent
 
     def end(self, state: tuple) -> tuple[int, ...]:
         return self.sent(state[0], len(state[1]))
@@ -166,46 +199,240 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None and whole in self.apart:
             return [whole]
-        if len(self.keys) > STATE_CACHE:
-            self.clear()
-        state, moves = 0, self.moves
+        state = self.start
         out: list[int] = []
         for byte in piece:
-            move = moves.get(state << 8 | byte)
+            move = state.get(byte)
             if move is None:
-                key, sent = self.step(self.keys[state], byte)
-                move = moves[state << 8 | byte] = (self.number(key), sent)
+                if self.held > STATE_BYTES:
+                    key = state[KEY]
+                    self.clear()
+                    state = self.state(key)
+                key, sent = self.step(state[KEY], byte)
+                move = state[byte] = (self.state(key), sent)
             state, sent = move
             if sent:
                 out += sent
-        tail = self.ends.get(state)
+        tail = state.get(END)
         if tail is None:
-            tail = self.ends[state] = self.end(self.keys[state])
-        return [*out, *tail]
+            tail = state[END] = self.end(state[KEY])
+        out += tail
+        return out
+
+
+U64 = np.uint64
+
+
+class Many:
+    """The transducer over many pieces at a time: a step reads one byte of each. States and moves are made when
+    first needed, all those of a step together; they are the same as the Transducer's, kept in arrays."""
+
+    START, DEAD = 0, 1
+
+    def __init__(self, one: Transducer) -> None:
+        self.one = one
+        texts = sorted(one.prefixes | set(one.reached))
+        up, down = K._POWERS[K.BASE].get(max(map(len, texts)) + PENDING + 2)
+        self.up, self.down = up[: PENDING + 2], down[: PENDING + 2]
+        size = np.array([len(t) for t in texts])
+        value = np.frombuffer(b"".join(texts), np.uint8).astype(U64) + U64(1)
+        first = np.cumsum(size) - size
+        value *= up[np.arange(len(value)) - np.repeat(first, size)]
+        h = np.add.reduceat(value, first)
+        by = np.argsort(h)
+        self.h = h[by]
+        if (self.h[1:] == self.h[:-1]).any():
+            raise ValueError("two parts of tokens share a hash")
+        self.token = np.array([one.reached.get(t, -1) for t in texts], np.int32)[by]
+        self.prefix = np.array([t in one.prefixes for t in texts])[by]
+        self.size = np.array(one.size, np.int32)
+        self.words = [str(i) for i in range(len(self.size))]
+        self.clear()
+
+    def clear(self) -> None:
+        self.states: dict[int, int] = {}
+        self.moves: dict[int, int] = {}
+        self.n = 2
+        self.last = np.full((1024, PENDING + 1), -1, np.int32)
+        self.pre = np.zeros((1024, PENDING + 1), U64)
+        self.m = np.zeros(1024, np.int8)
+        self.live = np.ones(1024, np.int64)
+        #: By move: next state, place and number of the tokens sent.
+        self.next, self.at, self.count = (np.zeros(0, np.int32) for _ in range(3))
+        self.sent = np.zeros(0, np.int32)
+
+    def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pairs = self.one.pairs
+        key, inverse = np.unique(left.astype(np.int64) << 32 | right, return_inverse=True)
+        out = []
+        for a, b in zip((key >> 32).tolist(), (key & 0xFFFFFFFF).tolist(), strict=True):
+            known = a < 0 or pairs.get((a, b))
+            out.append(self.one.fits(a, b) if known is None else known)
+        return np.array(out, bool)[inverse]
+
+    def make(self, key: np.ndarray) -> np.ndarray:
+        """Moves for pairs of state and byte that have none; as Transducer.step()."""
+        s, byte = key >> 8, (key & 255).astype(U64)
+        n = len(s)
+        each = np.arange(n)
+        m, live, last, pre = self.m[s].astype(np.int64), self.live[s], self.last[s], self.pre[s]
+        dead = (s == self.DEAD) | (m >= PENDING)
+        m[dead], live[dead] = 0, 1
+        end = m + 1
+        pre[each, end] = pre[each, m] + (byte + U64(1)) * self.up[m]
+        whole = pre[each, end]
+        found, still = np.full(n, -1, np.int32), np.zeros(n, np.int64)
+        for k in range(int(m.max()) + 1):
+            on = np.flatnonzero((live >> k) & 1)
+            h = (whole[on] - pre[on, k]) * self.down[k]
+            at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+            hit = self.h[at] == h
+            on, at = on[hit], at[hit]
+            still[on[self.prefix[at]]] |= 1 << k
+            token = self.token[at]
+            pick = (token >= 0) & (found[on] < 0)
+            on, token = on[pick], token[pick]
+            if len(on):
+                good = self.fits(last[on, k], token)
+                found[on[good]] = token[good]
+        last[each, end] = found
+        still |= np.int64(1) << end
+        least = np.log2((still & -still).astype(np.float64)).astype(np.int64)
+        cut = least.copy()
+        for k in range(1, int(end.max()) + 1):
+            on = np.flatnonzero((least > 0) & (least < k) & ((still >> k) & 1 == 1))
+            a, b = np.full(len(on), k), cut[on]
+            while (apart := np.flatnonzero(a != b)).size:
+                up = apart[a[apart] > b[apart]]
+                down = apart[a[apart] < b[apart]]
+                a[up] -= self.size[last[on[up], a[up]]]
+                b[down] -= self.size[last[on[down], b[down]]]
+            cut[on] = b
+        row, tokens = self.back(last, cut)
+        count = np.bincount(row, minlength=n).astype(np.int32)
+        first = len(self.sent) + np.cumsum(count) - count
+        self.sent = np.concatenate([self.sent, tokens])
+        place = np.arange(PENDING + 1)
+        shifted = np.minimum(place + cut[:, None], PENDING)
+        begin = pre[each, cut]
+        m = end - cut
+        beyond = place > m[:, None]
+        last, pre = last[each[:, None], shifted], (pre[each[:, None], shifted] - begin[:, None]) * self.down[cut][:, None]
+        last[least > cut, 0] = -1  # no token begins there, so what stands before it no longer matters
+        last[beyond], pre[beyond] = -1, 0
+        live = still >> cut
+        name = K.mix(live.astype(U64) + K.mix(pre[each, m] + m.astype(U64)))
+        for k in range(int(m.max()) + 1):
+            name = np.where(k <= m, K.mix(name + last[:, k].astype(U64)), name)
+        to = np.empty(n, np.int32)
+        states, new = self.states, []
+        for k, v in enumerate(name.tolist()):
+            known = states.get(v)
+            if known is None:
+                known = states[v] = self.n + len(new)
+                new.append(k)
+            to[k] = known
+        if new:
+            while self.n + len(new) > len(self.m):
+                for x in ("last", "pre", "m", "live"):
+                    old = getattr(self, x)
+                    setattr(self, x, np.concatenate([old, np.zeros_like(old)]))
+            part = slice(self.n, self.n + len(new))
+            self.last[part], self.pre[part], self.m[part], self.live[part] = last[new], pre[new], m[new], live[new]
+            self.n += len(new)
+        to[dead] = self.DEAD
+        made = np.arange(len(self.next), len(self.next) + n)
+        self.moves.update(zip(key.tolist(), made.tolist(), strict=True))
+        self.next, self.at, self.count = np.concatenate([self.next, to]), np.concatenate([self.at, first.astype(np.int32)]), np.concatenate([self.count, count])
+        return made
+
+    def back(self, last: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row by row the tokens of the pending bytes up to an end."""
+        rows, tokens, end, on, n = [], [], end.copy(), np.flatnonzero(end > 0), 0
+        while len(on):
+            token = last[on, end[on]]
+            rows.append(on)
+            tokens.append(token)
+            end[on] -= self.size[token]
+            on = on[end[on] > 0]
+            n += 1
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        step = np.repeat(np.arange(n), [len(x) for x in rows])
+        rows, tokens = np.concatenate(rows), np.concatenate(tokens)
+        order = np.lexsort((-step, rows))
+        return rows[order], tokens[order]
+
+    def encode(self, pieces: list[bytes]) -> list[str]:
+        """The ids of each piece, joined by commas."""
+        if self.n * (12 * PENDING + 250) > MANY_BYTES:
+            self.clear()
+        size = np.array([len(p) for p in pieces])
+        by = np.argsort(-size, kind="stable")
+        size = size[by]
+        wide = int(size[0]) if len(size) else 0
+        grid = np.frombuffer(b"".join(pieces[k].ljust(wide, b"\0") for k in by.tolist()), np.uint8).reshape(len(by), wide)
+        state, path = np.zeros(len(by), np.int64), np.full((len(by), wide), -1, np.int32)
+        for k in range(wide):
+            n = int(np.searchsorted(-size, -k, "left"))  # those longer than k
+            key, inverse = np.unique(state[:n] << 8 | grid[:n, k], return_inverse=True)
+            get = self.moves.get
+            move = np.array([get(x, -1) for x in key.tolist()])
+            new = np.flatnonzero(move < 0)
+            if len(new):
+                move[new] = self.make(key[new])
+            path[:n, k] = move[inverse]
+            state[:n] = self.next[path[:n, k]]
+        ends, inverse = np.unique(state, return_inverse=True)
+        row, tokens = self.back(self.last[ends], self.m[ends].astype(np.int64))
+        tail = np.bincount(row, minlength=len(ends))
+        flat = np.concatenate([self.sent, tokens])
+        count = np.concatenate([np.where(path >= 0, self.count[path], 0), tail[inverse][:, None]], axis=1)
+        at = np.concatenate([self.at[path], (len(self.sent) + np.cumsum(tail) - tail)[inverse][:, None]], axis=1)
+        total = count.sum(axis=1)
+        count, at = count.ravel(), at.ravel()
+        ids = flat[np.arange(int(count.sum())) + np.repeat(at - np.cumsum(count) + count, count)].tolist()
+        words, lo = self.words, 0
+        out = [""] * len(by)
+        for k, n, s in zip(by.tolist(), total.tolist(), state.tolist(), strict=True):
+            out[k] = ",".join([words[x] for x in ids[lo : lo + n]]) if s != self.DEAD else ",".join(map(str, self.one.encode(pieces[k])))
+            lo += n
+        return out
 
 
 RUN_OF_SPACE = re.compile(r"[\s\x1c-\x1f\x85]{2}|^[\s\x1c-\x1f\x85]|[\s\x1c-\x1f\x85]\Z").search
 SAFE_CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])").split
 
 
+#: Fixed values, after the Unicode standard's table of well-formed UTF-8: class by byte. 0 ASCII and bytes that fit nowhere,
+#: 1 80-8F, 2 90-9F, 3 A0-BF, 4 C2-DF, 5 E0, 6 E1-EC and EE-EF, 7 ED, 8 F0, 9 F1-F3, 10 F4.
+UTF8_CLASS = bytes([0] * 128 + [1] * 16 + [2] * 16 + [3] * 32 + [0] * 2 + [4] * 30 + [5] + [6] * 12 + [7] + [6] * 2 + [8] + [9] * 3 + [10] + [0] * 11)
+#: The state after a lead byte, by class; and after 80-8F, 90-9F and A0-BF, by state.
+UTF8_LEADS = {4: 1, 5: 4, 6: 2, 7: 5, 8: 6, 9: 3, 10: 7}
+UTF8_AFTER = [(0, 0, 0), (0, 0, 0), (1, 1, 1), (2, 2, 2), (0, 0, 1), (1, 1, 0), (0, 2, 2), (2, 0, 0)]
+UTF8_NEXT = [[after[c - 1] if 1 <= c <= 3 else UTF8_LEADS.get(c, 0) for c in range(11)] for after in UTF8_AFTER]
+
+
 class Utf8Stream:
-    """Incremental UTF-8: what it is fed comes out as text as soon as code points are complete."""
+    """Incremental UTF-8: what it is fed comes out as text as soon as code points are complete.
 
-    #: Continuation bytes due after each lead byte.
-    DUE = bytes([0] * 192 + [1] * 32 + [2] * 16 + [3] * 8 + [0] * 8)
+    A table says for each state and class of byte which state follows. State 0 stands between code points, 1 to 3
+    are the bytes still due, 4 to 7 those after E0, ED, F0 and F4, whose next byte has a shorter range; what fits
+    nowhere leads to state 0, and shows as U+FFFD. As any lead byte starts from state 0, the machine
+    only has to run from the last lead byte of what it is fed."""
 
     def __init__(self) -> None:
         self.held = b""
 
     def feed(self, data: bytes) -> str:
         data = self.held + data
-        cut = len(data)
-        for back in range(1, min(3, cut) + 1):
-            byte = data[-back]
-            if byte & 0xC0 != 0x80:
-                if self.DUE[byte] >= back:
-                    cut -= back
-                break
+        tail = data[-4:].translate(UTF8_CLASS)
+        state = start = 0
+        for k, kind in enumerate(tail):
+            before, state = state, UTF8_NEXT[state][kind]
+            if state and (not before or kind > 3):
+                start = k
+        cut = len(data) - (len(tail) - start if state else 0)
         self.held = data[cut:]
         return data[:cut].decode("utf-8", "replace")
 
@@ -223,34 +450,81 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         import regex
 
-        self.transducer = transducer = Transducer(ranks)
-        self.find = find = regex.compile(pattern).findall
+        self.transducer = Transducer(ranks)
+        self.many = Many(self.transducer)
+        self.find = regex.compile(pattern).findall
         self.by_text = {str(i): t for t, i in ranks.items()}
-
-        class Kept(dict):
-            """Two generations: a full one becomes the old one, from which what is still asked for comes back."""
-
-            def __init__(self, make) -> None:
-                super().__init__()
-                self.make, self.old = make, {}
-
-            def __missing__(self, key: str) -> str:
-                if len(self) >= PIECE_CACHE // 2:
-                    self.old = dict(self)
-                    self.clear()
-                out = self.old.get(key)
-                if out is None:
-                    out = self.make(key)
-                self[key] = out
-                return out
-
-        self.plain = Kept(lambda text: ",".join([",".join(map(str, transducer.encode(piece.encode()))) for piece in find(text)]))
-        self.spaced = Kept(lambda text: self.plain.make(" " + text))
+        #: Ids by cut, of the last two generations; a full one becomes the old one, from which what is still asked for comes back.
+        self.new, self.old, self.held = {}, {}, 0
+
+    def cuts(self, text: str) -> list[str]:
+        """Each cut but the first with the space before it."""
+        if RUN_OF_SPACE(text) or "\0" in text:
+            parts = SAFE_CUT(text)
+            return [parts[0], *[" " + p for p in parts[1:]]]
+        return text.replace(" ", "\0 ").split("\0")
+
+    def learn(self, cuts: list[str]) -> dict[str, str]:
+        """The ids of cuts that are not known yet."""
+        find, ranks = self.find, self.transducer.ranks
+        pieces = [find(cut) for cut in cuts]
+        ids: dict[str, str] = {}
+        rest, raws = [], []
+        for piece in set().union(*pieces):
+            raw = piece.encode()
+            whole = ranks.get(raw)
+            if whole is not None:  # a piece that is a token stays whole
+                ids[piece] = str(whole)
+            elif len(raw) <= PIECE:
+                rest.append(piece)
+                raws.append(raw)
+            else:
+                ids[piece] = ",".join(map(str, self.transducer.encode(raw)))
+        ids.update(zip(rest, self.many.encode(raws), strict=True))
+        return {cut: ids[x[0]] if len(x) == 1 else ",".join([ids[p] for p in x]) for cut, x in zip(cuts, pieces, strict=True)}
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[str]:
+        """The ids of each text, joined by commas; the new cuts of about CHUNK bytes are encoded together."""
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            held.append(self.cuts(text))
+            size += len(text)
+            if size >= CHUNK:
+                yield from self._encoded(held)
+                held, size = [], 0
+        yield from self._encoded(held)
+
+    def _encoded(self, held: list[list[str]]) -> Iterator[str]:
+        new, old = self.new, self.old
+        asked = dict.fromkeys(c for parts in held for c in parts) if len(held) < 2 else dict.fromkeys(set().union(*held))
+        found: dict[str, str] = {}
+        unknown = []
+        for c in asked:
+            ids = new.get(c)
+            if ids is None:
+                ids = old.get(c)
+                if ids is None:
+                    unknown.append(c)
+                    continue
+                found[c] = ids
+            asked[c] = ids
+        learned = self.learn(unknown)
+        asked.update(learned)
+        found.update(learned)
+        get = asked.__getitem__
+        for parts in held:
+            out = ",".join(map(get, parts))
+            yield out if out[:1] != "," else out[1:]
+        for c, ids in found.items():
+            if len(c) <= KEPT_CHARS:
+                if self.held > PIECE_BYTES // 2:
+                    self.old, self.new, self.held = self.new, {}, 0
+                self.new[c] = ids
+                self.held += 200 + 2 * len(c) + len(ids)
 
     def encode(self, text: str) -> str:
-        parts = SAFE_CUT(text) if RUN_OF_SPACE(text) else text.split(" ")
-        out = [self.plain[parts[0]], *map(self.spaced.__getitem__, parts[1:])]
-        return ",".join(out) if out[0] else ",".join(out[1:])
+        return next(self.encode_all([text]))
 
     def decode(self, ids: str) -> Iterator[tuple[bytes, str]]:
         """Chunks of bytes and of text."""
@@ -279,8 +553,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         c = codec(path, pattern)
         for batch in batches:
             ids, back = [], []
-            for text in batch.column(1).to_pylist():
-                joined = c.encode(text or "")
+            for joined in c.encode_all(x.as_py() or "" for x in batch.column(1)):
                 ids.append([int(x) for x in joined.split(",")] if joined else [])
                 back.append("".join(t for _, t in c.decode(joined)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], names=["id", "ids", "decoded"])
@@ -296,8 +569,7 @@ def digest_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         c = codec(path, pattern)
         for batch in batches:
             n, ids_sha, back_sha, chars = [], [], [], []
-            for text in batch.column(1):
-                joined = c.encode(text.as_py() or "")
+            for joined in c.encode_all(x.as_py() or "" for x in batch.column(1)):
                 n.append(joined.count(",") + 1 if joined else 0)
                 ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
                 sha, length = hashlib.sha256(), 0

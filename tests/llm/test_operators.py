@@ -82,10 +82,46 @@ def test_bpe_space_runs_and_streams():
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
     for t in ["  a\n\n b", "x  y", "a \t b ", " lead", "trail ", "don't we'll  'tis", "\x1c a", "12 345\n6", "🎉 日本 語", "é́ x", "a" * 999]:
         assert c.encode(t) == ",".join(map(str, enc.encode_ordinary(t))), t
+    assert list(c.encode_all(["", "a b", "", " c", "a b"])) == [",".join(map(str, enc.encode_ordinary(t))) for t in ("", "a b", "", " c", "a b")]
     s = bpe.Utf8Stream()
     raw = "a é 京 🎉".encode()
     assert "".join(s.feed(raw[k : k + 1]) for k in range(len(raw))) + s.close() == "a é 京 🎉"
     assert s.feed(b"\xf0\x9f") + s.close() == "�"
+    for k in range(300):  # cut anywhere, valid or not, as the whole is decoded
+        raw = bytes(rng.choice(b"a\x80\xbf\xc3\xe0\xa0\x9f\xed\xf0\x90\xf4\x8f\xff") for _ in range(rng.randint(0, 9)))
+        assert "".join(s.feed(raw[k : k + 1]) for k in range(len(raw))) + s.close() == raw.decode("utf-8", "replace"), raw
+
+
+def test_bpe_pieces_read_together_and_alone(monkeypatch):
+    """Against the definition of merging, with states thrown away now and then, long pieces and long pending strings."""
+    import public_tokenizers as P
+
+    from glossmill.llm import bpe
+
+    one = bpe.Transducer(bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")))
+    many = bpe.Many(one)
+    pieces = [bytes(rng.choice(b"abcdeinrst ") for _ in range(rng.randint(1, 30))) for _ in range(400)] + [bytes(rng.randrange(256) for _ in range(rng.randint(1, 12))) for _ in range(300)] + [b" " * k for k in (1, 7, 30, 60)] + [b"-" * 45, b"=" * 47, "京都".encode() * 5, b"tentententententent" * 2]
+    want = [",".join(map(str, [one.ranks[p]] if one.ranks.get(p) in one.apart else one.merged(p))) for p in pieces]
+    keep = [k for k, p in enumerate(pieces) if p not in one.ranks]  # tokens are looked up before
+    for size in (1 << 30, 0):
+        monkeypatch.setattr(bpe, "MANY_BYTES", size)
+        for lo in range(0, len(keep), 250):
+            part = keep[lo : lo + 250]
+            assert many.encode([pieces[k] for k in part]) == [want[k] for k in part]
+    monkeypatch.setattr(bpe, "STATE_BYTES", 3000)
+    assert [",".join(map(str, one.encode(p))) for p in pieces] == want
+
+
+def test_bpe_long_texts_without_spaces_are_not_kept():
+    import public_tokenizers as P
+
+    from glossmill.llm import bpe
+
+    c = bpe.codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000)) for _ in range(20)]
+    out = list(c.encode_all(texts))
+    assert [b"".join(b for b, _ in c.decode(o)).decode() for o in out] == texts
+    assert not any(t in c.new or t in c.old for t in texts) and c.transducer.held <= bpe.STATE_BYTES + 4000
 
 
 # --- 2 ------------------------------------------------------------------------------------------
