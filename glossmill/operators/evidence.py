@@ -55,16 +55,18 @@ def stateless_rows(english: DataFrame, source: str, edition: str, version: str)
 
 
 def corroborate(rows: DataFrame, japanese: DataFrame | None, taiwan: DataFrame | None) -> DataFrame:
-    """japanese(term, support), taiwan(english, chinese, support): first support of a term or pair wins; adds support, taiwan_support, locale."""
+    """japanese(term, support, ordinal), taiwan(english, chinese, support, ordinal): the first support of a term or pair
+    by ordinal wins (without an ordinal the smallest); adds support, taiwan_support, locale."""
     none = F.lit(None).cast("string")
+    first = lambda t: F.min_by("support", "ordinal" if "ordinal" in t.columns else "support")
     if japanese is not None:
-        ja = japanese.groupBy("term").agg(F.first("support").alias("ja_support"))
+        ja = japanese.groupBy("term").agg(first(japanese).alias("ja_support"))
         rows = rows.join(ja, "term", "left")
     else:
         rows = rows.withColumn("ja_support", none)
     rows = rows.withColumn("pair", X.term_pair_key(F.col("word"), F.col("term")))
     if taiwan is not None:
-        tw = taiwan.groupBy(X.term_pair_key(F.col("english"), F.col("chinese")).alias("pair")).agg(F.first("support").alias("tw_support"))
+        tw = taiwan.groupBy(X.term_pair_key(F.col("english"), F.col("chinese")).alias("pair")).agg(first(taiwan).alias("tw_support"))
         rows = rows.join(tw, "pair", "left")
     else:
         rows = rows.withColumn("tw_support", none)
@@ -89,6 +91,19 @@ def filter_evidence(entries: DataFrame, source: str, edition: str, version: str,
     return kept, rows
 
 
+def evidence_totals(entries: DataFrame, rows: DataFrame, per_entry: int = 24, total: int = 500_000) -> DataFrame:
+    """One row: entries_read, english_entries, entries_with_evidence, rows_emitted, truncated.
+
+    Reading stops counting English entries after the one whose rows meet the cap over all; entries_read counts on."""
+    n = rows.where("rejection is null").groupBy("ordinal").agg(F.least(F.count("*"), F.lit(per_entry)).alias("n_rows"))
+    capped = global_cap(n, ["ordinal"], total)
+    emitted = capped.agg(F.count_if(F.col("kept_rows") > 0).alias("entries_with_evidence"), F.coalesce(F.sum("kept_rows"), F.lit(0)).alias("rows_emitted"), F.min(F.when(F.col("kept_rows") < F.col("n_rows"), F.col("ordinal"))).alias("_at"))
+    english = F.coalesce((F.col("lang_code") == "en") & (F.col("word") != ""), F.lit(False))
+    counted = entries.select("ordinal", english.alias("english")).crossJoin(F.broadcast(emitted.select("_at")))  # one row
+    read = counted.agg(F.count("*").alias("entries_read"), F.count_if(F.col("english") & (F.col("_at").isNull() | (F.col("ordinal") <= F.col("_at")))).alias("english_entries"))
+    return read.crossJoin(emitted).select("entries_read", "english_entries", "entries_with_evidence", "rows_emitted", F.col("_at").isNotNull().alias("truncated"))  # one row each
+
+
 def evidence_coverage(kept: DataFrame, rows: DataFrame) -> DataFrame:
     """Per language: sense_local, entry_level, ambiguous, corroborated, unmatched, rejected, and the rejections by reason."""
     accepted = kept.groupBy("lang").agg(

@@ -68,6 +68,17 @@ def lookup_japanese(queries: DataFrame, forms: DataFrame, entries: DataFrame, se
     return positions(once, ["query"], "step", "place", name="no").select("query", "entry_id", F.col("no").alias("place"), "term", "reason")
 
 
+def lookup_candidates_english(queries: DataFrame, terms: DataFrame) -> DataFrame:
+    """queries(query), terms(term, entry_id) -> query, lemma, entry_id of what a query reaches in any language."""
+    lemmas = resolve_lemma(queries.select(F.col("query").alias("surface")), terms).where("lemma is not null")
+    return lemmas.join(terms.select(F.col("term").alias("lemma"), "entry_id").distinct(), "lemma").select(F.col("surface").alias("query"), "lemma", "entry_id")
+
+
+def lookup_candidates_japanese(queries: DataFrame, forms: DataFrame, entries: DataFrame) -> DataFrame:
+    """The best tier of a query, whatever languages its entries are explained in."""
+    return lookup_japanese(queries, forms, entries)
+
+
 def lookup_batch(requests: DataFrame, answers: DataFrame) -> DataFrame:
     """requests(request_no, query, lemma), answers(query, entry_id, place): one row per request, in its order and multiplicity.
 
@@ -118,6 +129,22 @@ def inflected_proposals(headwords: DataFrame, lexicon: DataFrame, candidates: Co
     return tried.join(lexicon.select("term").distinct(), "term").groupBy("headword").agg(F.min_by("term", "rank").alias("base"))
 
 
+def related_headword(headword: Column, inputs: list[Column], dictionary: str) -> Column:
+    """Whether a proposed headword is one of the inputs (query, lemma, reading; null or blank ones don't count), one that an input
+    is an inflection of, or, in Japanese, one that shares a Chinese character with an input. English columns are taken as
+    normalize_english_term() leaves them, in a step of their own, as its Arrow helper may not stand in a lambda."""
+    given = [X.nonempty(c) for c in inputs]
+    if dictionary == "en":
+        found = [(c == headword) | F.array_contains(X.english_lemma_candidates(c), headword) for c in given]
+    else:
+        han = lambda c: F.regexp_extract_all(c, F.lit(rf"({X.HAN})"), F.lit(1))
+        found = [(c == headword) | F.exists(X.deinflect(c), lambda x: x["text"] == headword) | F.arrays_overlap(han(c), han(headword)) for c in given]
+    out = F.lit(False)
+    for f in found:
+        out = out | F.coalesce(f, F.lit(False))
+    return out
+
+
 def enrichment_gaps(queries: DataFrame, answers: DataFrame, senses: DataFrame, lang: str) -> DataFrame:
     """query, entry_id, gap: unknown-word, missing-language or incomplete-examples; senses(entry_id, lang, complete)."""
     state = senses.where(F.col("lang") == lang).groupBy("entry_id").agg(F.min(F.col("complete").cast("int")).alias("complete"))

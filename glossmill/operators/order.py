@@ -37,38 +37,35 @@ def append_position(new: DataFrame, old: DataFrame, key: str, *order: str | Colu
     return positions(new, [key], *order, name="_n").join(last, key, "left").withColumn("position", F.coalesce("_last", F.lit(0)) + F.col("_n")).drop("_n", "_last")
 
 
-def global_number(df: DataFrame, order: list[str], name: str = "number", weight: str | None = None, buckets: int = 64) -> DataFrame:
-    """0-based running number (or running sum of weights before the row) in a total order.
-
-    Rows are dealt by ranges of the first key, whose bounds are approximate quantiles; within a range a
-    window counts, and the sums of the ranges before it, one row per range, are added. So no task sees
-    all rows. `order` should tell rows apart; for a text column the bounds come from at most SAMPLE
-    distinct values, chosen by hash."""
-    first = order[0]
-    kind = dict(df.dtypes)[first]
-    amount = F.col(weight) if weight else F.lit(1)
-    if kind in ("bigint", "int", "smallint", "tinyint", "double", "float"):
-        cuts = df.approxQuantile(first, [i / buckets for i in range(1, buckets)], 0.01)
-        cuts = sorted(set(cuts))
-        place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(first))) if cuts else F.lit(0)
-    else:
-        some = df.select(F.substring(first, 1, 64).alias("k")).where("k is not null").distinct().orderBy(F.xxhash64("k")).limit(SAMPLE)
-        sampled = sorted(r["k"] for r in some.collect())
-        cuts = sorted(set(sampled[:: max(1, len(sampled) // buckets)]))
-        place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(first))) if cuts else F.lit(0)
-    dealt = df.withColumn("_range", place.cast("int"))
-    sums = dealt.groupBy("_range").agg(F.sum(amount).alias("_sum"))
-    before = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+def global_numbers(df: DataFrame, order: list[str], amounts: dict[str, Column], range_rows: int = 500_000) -> DataFrame:
+    """For each name the sum of its amount over all rows before a row, in a total order.
+
+    Rows are dealt by ranges of the whole key, as many as their number asks for; within a range a window counts, and the
+    sums of the ranges before it, one row per range, are added. So no task sees all rows, and a frequent first
+    key is split by the others. The bounds come from at most SAMPLE distinct keys, chosen by hash. `order` should tell rows apart."""
+    ranges = min(512, max(8, df.count() // range_rows))
+    key = F.struct(*order)
+    some = df.select(*order).where(F.coalesce(*(F.col(c).isNotNull() for c in order))).distinct().orderBy(F.xxhash64(*order)).limit(SAMPLE).select(key.alias("k"))
+    # the sample is cut into ranges where it lies, so that only the bounds, fewer than `ranges`, reach the driver
+    bounds = some.withColumn("r", F.ntile(ranges).over(Window.orderBy("k"))).groupBy("r").agg(F.min("k").alias("k")).where("r > 1")
+    bounds = F.broadcast(bounds.agg(F.array_sort(F.collect_list("k")).alias("_bounds")))  # one row of at most 511 bounds
+    dealt = df.crossJoin(bounds).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= key))).drop("_bounds")
+    sums = dealt.groupBy("_range").agg(*(F.sum(c).alias(f"_sum_{n}") for n, c in amounts.items()))
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_range", *(F.coalesce(F.sum(f"_sum_{n}").over(ahead), F.lit(0)).alias(f"_before_{n}") for n in amounts))
     w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = dealt.join(F.broadcast(before), "_range")  # one row per range, at most `buckets` and a few
-    return out.withColumn(name, (F.col("_offset") + F.coalesce(F.sum(amount).over(w), F.lit(0))).cast("long")).drop("_range", "_offset")
+    out = dealt.join(F.broadcast(before), "_range")  # one row per range
+    return out.select(*df.columns, *((F.col(f"_before_{n}") + F.coalesce(F.sum(c).over(w), F.lit(0))).cast("long").alias(n) for n, c in amounts.items()))
+
+
+def global_number(df: DataFrame, order: list[str], name: str = "number", weight: str | None = None) -> DataFrame:
+    """0-based running number (or running sum of weights before the row) in a total order."""
+    return global_numbers(df, order, {name: F.col(weight) if weight else F.lit(1)})
 
 
 def bank_numbers(entries: DataFrame, order: list[str], size: int = 10_000) -> DataFrame:
     """entries: one row per entry with `n_rows`; adds `sequence` (of entries that have rows) and `bank` of its first row."""
-    some = entries.where("n_rows > 0")
-    out = global_number(some, order, "sequence")
-    out = global_number(out, order, "_row", weight="n_rows")
+    out = global_numbers(entries.where("n_rows > 0"), order, {"sequence": F.lit(1), "_row": F.col("n_rows")})
     return out.withColumn("sequence", F.col("sequence") + 1).withColumn("bank", (F.col("_row") / size).cast("long") + 1).drop("_row")
 
 

@@ -42,6 +42,22 @@ def export_jsonl(nested: DataFrame, path: str, key: str = "entry_id") -> None:
     in_release_order(by_language(nested), key).select(F.to_json(F.struct("*"), {"ignoreNullFields": "true"}).alias("value")).write.mode("errorifexists").text(path)
 
 
+def manifest(coverage: DataFrame, counts: dict[str, DataFrame], sources: DataFrame, artifacts: DataFrame, versions: dict[str, str]) -> DataFrame:
+    """One row of JSON: versions, rows by table, coverage(lang, ...) by language, sources(name, ...), and artifacts(file, sha256, bytes)."""
+    listed = lambda df, by: df.agg(F.array_sort(F.collect_list(F.struct(by, *[c for c in df.columns if c != by]))).alias("x"))
+    out = listed(coverage, "lang").select(F.map_from_entries(F.transform("x", lambda x: F.struct(x["lang"], x))).alias("coverage"))
+    for name, df in counts.items():
+        out = out.crossJoin(df.agg(F.count("*").alias(f"_{name}")))  # one row each
+    out = out.crossJoin(listed(sources, "name").withColumnRenamed("x", "sources")).crossJoin(listed(artifacts, "file").withColumnRenamed("x", "artifacts"))
+    rows = F.struct(*(F.col(f"_{n}").alias(n) for n in counts))
+    return out.select(F.to_json(F.struct(*(F.lit(v).alias(k) for k, v in sorted(versions.items())), rows.alias("rows"), "coverage", "sources", "artifacts")).alias("value"))
+
+
+def write_manifest(path: str, *args, **named) -> None:
+    """The manifest as one text file in a folder of its own, written last, so that a release without one is unfinished."""
+    manifest(*args, **named).coalesce(1).write.mode("errorifexists").text(path)
+
+
 def term_rows_ja(forms: DataFrame, senses: DataFrame, glosses: DataFrame, lang: str) -> DataFrame:
     """The rows of Japanese term banks: entry_id, form_no, text, reading, rules, score, glossary[]; senses that exclude a form don't count."""
     g = glosses.groupBy("sense_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]).alias("glosses"))

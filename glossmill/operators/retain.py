@@ -72,10 +72,37 @@ def graft_release(production: DataFrame, release: DataFrame, release_senses: Dat
     production/release(entry_id, source, term), senses/release_senses(sense_id, entry_id, lang, position, generation_id)."""
     moved = promoted_entries(production, release)
     ours = senses.join(senses.where("generation_id is not null").select(*GROUP).distinct(), GROUP, "left_semi")
-    ours = ours.join(moved, "entry_id", "left").withColumn("entry_id", F.coalesce("replacement", "entry_id")).drop("replacement")
+    ours = ours.withColumn("_from", F.col("entry_id")).join(moved, "entry_id", "left").withColumn("entry_id", F.coalesce("replacement", "entry_id")).drop("replacement")
     stand = release.select("entry_id").distinct().unionByName(production.where("source = 'generated'").join(moved, "entry_id", "left_anti").select("entry_id"))
     kept = ours.join(stand.distinct(), "entry_id", "left_semi").join(release_senses.select(*GROUP).distinct(), GROUP, "left_anti")
-    return release_senses.withColumn("origin", F.lit("release")).unionByName(kept.withColumn("origin", F.lit("production")))
+    # two promoted entries may have moved to one: of their groups in a language that of the smaller entry stays
+    kept = kept.join(first_wins(kept.select(*GROUP, "_from").distinct(), GROUP, "_from"), [*GROUP, "_from"], "left_semi").drop("_from")
+    return release_senses.withColumn("origin", F.lit("release")).unionByName(kept.select(*release_senses.columns).withColumn("origin", F.lit("production")))
+
+
+def graft_tables(production: dict[str, DataFrame], release: dict[str, DataFrame], versions: tuple[str, str]) -> dict[str, DataFrame]:
+    """Both: entries(entry_id, source, term), senses, glosses, examples. All four tables after the graft; nothing changes if the versions are equal.
+
+    Imported content is the release's alone. Generated entries that the release does not supply stay whole, with all that hangs on
+    their senses; authored groups follow graft_release(); authored examples come back to senses that stand, behind nothing of their own place."""
+    if versions[0] == versions[1]:
+        return production
+    moved = promoted_entries(production["entries"], release["entries"])
+    own = production["entries"].where("source = 'generated'").join(moved, "entry_id", "left_anti")
+    entries = release["entries"].unionByName(own.select(*release["entries"].columns))
+    whole = production["senses"].join(own.select("entry_id"), "entry_id", "left_semi")
+    others = production["senses"].join(own.select("entry_id"), "entry_id", "left_anti")
+    grafted = graft_release(production["entries"], release["entries"], release["senses"], others)
+    senses = grafted.drop("origin").unionByName(whole.select(*release["senses"].columns))
+    kept = grafted.where("origin = 'production'").select("sense_id").unionByName(whole.select("sense_id"))
+
+    def hanging(name: str, old: DataFrame) -> DataFrame:
+        first = release[name].withColumn("_s", F.lit(0)).unionByName(old.select(*release[name].columns).withColumn("_s", F.lit(1)))
+        return first_wins(first, ["sense_id", "position"], "_s").drop("_s")
+
+    examples = production["examples"].where("generation_id is not null or source = 'generated'").join(senses.select("sense_id").distinct(), "sense_id", "left_semi")
+    examples = examples.unionByName(production["examples"].join(kept, "sense_id", "left_semi")).distinct()
+    return {"entries": entries, "senses": senses, "glosses": hanging("glosses", production["glosses"].join(kept, "sense_id", "left_semi")), "examples": hanging("examples", examples)}
 
 
 def upsert_group(senses: DataFrame, new: DataFrame) -> DataFrame:

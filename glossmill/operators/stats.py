@@ -69,9 +69,29 @@ def unanimous_review(verdicts: DataFrame, key: str) -> DataFrame:
     return verdicts.groupBy(key).agg(F.every(F.col("verdict") == "accept").alias("accepted"), first.alias("_v"), F.count("*").alias("passes")).select(key, "accepted", F.when(F.col("accepted"), "accept").otherwise(F.col("_v")).alias("outcome"), "passes")
 
 
-def import_stats(tagged: DataFrame) -> DataFrame:
-    """tagged(stage, outcome) -> n."""
-    return tagged.groupBy("stage", "outcome").agg(F.count("*").alias("n"))
+#: The outcomes that each stage of an import reports, also where none occurred.
+STAGES = {
+    "examples": ["imported", "unmatched", "ambiguous", "invalid"], "legacy-glosses": ["imported", "dropped"], "legacy-examples": ["imported", "dropped"], "retained": ["entries", "groups", "examples"], "primary": ["entries", "senses"],
+    "fallback": ["entries", "senses", "reference-only"], "secondary": ["imported", "dropped"], "pronunciations": ["primary", "fallback"], "language": ["eligible", "imported", "evidence-only", "unmatched", "rejected"],
+}
+
+
+def import_stats(tagged: DataFrame, declared: dict[str, list[str]] | None = None) -> DataFrame:
+    """tagged(stage, outcome) -> n, with 0 for declared outcomes that did not occur."""
+    found = tagged.groupBy("stage", "outcome").agg(F.count("*").alias("n"))
+    if not declared:
+        return found
+    every = tagged.sparkSession.createDataFrame([(s, o) for s, outcomes in declared.items() for o in outcomes], "stage string, outcome string")  # as many rows as are declared
+    return found.join(F.broadcast(every), ["stage", "outcome"], "full_outer").fillna(0, ["n"])
+
+
+def language_import_stats(records: DataFrame) -> DataFrame:
+    """records(lang, rejected, role, matched): per language how many source records were eligible, imported, evidence_only, unmatched, rejected."""
+    eligible = (F.col("role") == "direct-import") & ~F.col("rejected")
+    return records.groupBy("lang").agg(
+        F.count_if(eligible).alias("eligible"), F.count_if(eligible & F.col("matched")).alias("imported"), F.count_if(~F.col("rejected") & (F.col("role") != "direct-import")).alias("evidence_only"),
+        F.count_if(eligible & ~F.col("matched")).alias("unmatched"), F.count_if("rejected").alias("rejected"),
+    )
 
 
 def skip_stats(rows: DataFrame) -> DataFrame:

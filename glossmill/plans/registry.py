@@ -39,13 +39,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import more  # noqa: F401  registers its own
+    from . import more, terms  # noqa: F401  register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import more  # noqa: F401
+    from . import more, terms  # noqa: F401
 
     return dict(_SQL)
 
@@ -56,22 +56,23 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 # --- shapes -------------------------------------------------------------------------------------
 
-TOKENS = "tokens AS (SELECT DISTINCT t AS surface FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS t FROM documents WHERE lang = 'en') WHERE t <> '')"
-COUNTED = "counted AS (SELECT t AS term, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS t FROM documents WHERE lang = 'en') WHERE t <> '' GROUP BY t)"
-LEXICON = COUNTED + ", lexicon AS (SELECT term FROM counted WHERE n >= 3)"
+COUNTED = "counted AS (SELECT t AS term, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS t FROM documents) WHERE t <> '' GROUP BY t)"
+TOKENS = COUNTED + ", tokens AS (SELECT term AS surface FROM counted)"
+LEXICON = "lexicon AS (SELECT term FROM counted WHERE n >= 3)"
 
 
-def words(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read(spark, sf, "documents").where("lang = 'en'")
-    return docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("surface")).where("surface <> ''")
+def counted(spark: SparkSession, sf: str) -> DataFrame:
+    """The words of all documents with their number. Surfaces and lexicon are both filters on it, so that the documents are read and shuffled once."""
+    words = read(spark, sf, "documents").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("surface")).where("surface <> ''")
+    return words.groupBy("surface").agg(F.count("*").alias("n"))
 
 
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return words(spark, sf).distinct()
+    return counted(spark, sf).where("n >= 1").select("surface")
 
 
 def lexicon(spark: SparkSession, sf: str) -> DataFrame:
-    return words(spark, sf).groupBy(F.col("surface").alias("term")).count().where("count >= 3").select("term")
+    return counted(spark, sf).where("n >= 3").select(F.col("surface").alias("term"))
 
 
 def _english_case(s: str) -> str:
@@ -305,7 +306,7 @@ def promoted_entries(spark, sf):
     return T.promoted_entries(prod(spark, sf), rel(spark, sf))
 
 
-@query(f"WITH {SENSES}, {ENTRIES}, rs AS (SELECT * FROM senses WHERE sense_id % 2 = 0 AND entry_id IN (SELECT entry_id FROM rel)), moved AS (SELECT p.entry_id, min(r.entry_id) AS replacement FROM prod p JOIN rel r USING (term) WHERE p.source = 'generated' GROUP BY p.entry_id), ours AS (SELECT s.sense_id, coalesce(m.replacement, s.entry_id) AS entry_id, s.lang FROM senses s JOIN (SELECT DISTINCT entry_id, lang FROM senses WHERE generation_id IS NOT NULL) g USING (entry_id, lang) LEFT JOIN moved m USING (entry_id)), stand AS (SELECT entry_id FROM rel UNION SELECT entry_id FROM prod WHERE source = 'generated' AND entry_id NOT IN (SELECT entry_id FROM moved)) SELECT sense_id, entry_id, lang, 'release' AS origin FROM rs UNION ALL SELECT o.sense_id, o.entry_id, o.lang, 'production' FROM ours o JOIN stand USING (entry_id) LEFT JOIN (SELECT DISTINCT entry_id, lang FROM rs) r ON r.entry_id = o.entry_id AND r.lang = o.lang WHERE r.entry_id IS NULL")
+@query(f"WITH {SENSES}, {ENTRIES}, rs AS (SELECT * FROM senses WHERE sense_id % 2 = 0 AND entry_id IN (SELECT entry_id FROM rel)), moved AS (SELECT p.entry_id, min(r.entry_id) AS replacement FROM prod p JOIN rel r USING (term) WHERE p.source = 'generated' GROUP BY p.entry_id), ours AS (SELECT s.sense_id, coalesce(m.replacement, s.entry_id) AS entry_id, s.lang, s.entry_id AS origin FROM senses s JOIN (SELECT DISTINCT entry_id, lang FROM senses WHERE generation_id IS NOT NULL) g USING (entry_id, lang) LEFT JOIN moved m USING (entry_id)), stand AS (SELECT entry_id FROM rel UNION SELECT entry_id FROM prod WHERE source = 'generated' AND entry_id NOT IN (SELECT entry_id FROM moved)) SELECT sense_id, entry_id, lang, 'release' AS origin FROM rs UNION ALL SELECT sense_id, entry_id, lang, 'production' FROM (SELECT o.*, min(o.origin) OVER (PARTITION BY o.entry_id, o.lang) AS m FROM ours o JOIN stand USING (entry_id) LEFT JOIN (SELECT DISTINCT entry_id, lang FROM rs) r ON r.entry_id = o.entry_id AND r.lang = o.lang WHERE r.entry_id IS NULL) WHERE origin = m")
 def graft_release(spark, sf):
     s = senses(spark, sf)
     rs = s.where("sense_id % 2 = 0").join(rel(spark, sf).select("entry_id"), "entry_id", "left_semi").select(s.columns)

@@ -25,15 +25,14 @@ def read_lexicon_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 
 def with_ordinal(df: DataFrame) -> DataFrame:
-    """`ordinal` in the order of the files and of the lines in them, as long as it is called on the read itself."""
-    return df.withColumn("ordinal", F.monotonically_increasing_id())
+    """`ordinal`, a struct of file, block and place that sorts as the files by name and the lines in them, as long as it is called on the read itself."""
+    return df.withColumn("ordinal", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")))
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """Lines of JSON, plain or gzipped, with `ordinal`; blank lines are skipped, wrongly typed fields null."""
-    rows = with_ordinal(spark.read.schema(schema).option("mode", "PERMISSIVE").json(path))
-    first = [f.name for f in rows.schema if f.name != "ordinal"]
-    return rows.where(F.coalesce(*(F.col(c).isNotNull() for c in first[:1])) | F.greatest(*(F.col(c).isNotNull() for c in first)) if len(first) > 1 else F.col(first[0]).isNotNull())
+    """Lines of JSON, plain or gzipped, with `ordinal`; blank lines are skipped, wrongly typed fields null, lines that are no JSON all null."""
+    lines = with_ordinal(spark.read.text(path)).where(~F.col("value").rlike(r"^\s*$"))
+    return lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("j"), "ordinal").select("j.*", "ordinal")
 
 
 def read_keyed_json(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
@@ -85,13 +84,35 @@ def build_metadata(spark: SparkSession, values: dict[str, object]) -> DataFrame:
 
 
 def file_checksums(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file, sha256, bytes of each file, without a file going through the driver."""
+    """file, sha256, bytes of each file, without a file going through the driver.
+
+    Files of up to WHOLE_BYTES are read by Spark as one value; larger ones, which no value can hold, are streamed in blocks by
+    the tasks, from a file system that pyarrow knows (file, hdfs, s3, gs)."""
+    name = F.element_at(F.split("path", "/"), -1)
+    files = spark.read.format("binaryFile").load(path)
+    whole = files.where(F.col("length") <= WHOLE_BYTES).select(name.alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"file": f.path.str.rsplit("/", n=1).str[-1], "sha256": [hashlib.sha256(c).hexdigest() for c in f.content], "bytes": f.length})
+            yield pd.DataFrame({"file": f.path.str.rsplit("/", n=1).str[-1], "sha256": [sha256_in_blocks(p) for p in f.path], "bytes": f.length})
+
+    large = files.where(F.col("length") > WHOLE_BYTES).select("path", "length")
+    return whole.unionByName(large.mapInPandas(run, "file string, sha256 string, bytes long"))
+
+
+#: Bytes of the largest file read as one value, and of a block of a larger one.
+WHOLE_BYTES, BLOCK_BYTES = 1 << 30, 16 << 20
+
+
+def sha256_in_blocks(path: str, block: int = BLOCK_BYTES) -> str:
+    from pyarrow import fs
 
-    return spark.read.format("binaryFile").load(path).select("path", "length", "content").mapInPandas(run, "file string, sha256 string, bytes long")
+    system, inner = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+    sha = hashlib.sha256()
+    with system.open_input_stream(inner, compression=None) as stream:
+        while data := stream.read(block):
+            sha.update(data)
+    return sha.hexdigest()
 
 
 def verify_checksums(found: DataFrame, pins: DataFrame) -> DataFrame:
