@@ -450,12 +450,15 @@ def test_toxicity_reads_every_byte():
     assert int(K.gram(h[:1])) and (row == 2).sum() == 35 and len(np.unique(h[row == 2])) == 7
     # a change in the middle of a long word, or far inside unspaced text, changes what the model reads
     for a, b in (("abcdefghijkl", "abcdeXghijkl"), ("京" * 40, "京" * 20 + "寺" + "京" * 19)):
-        x, y = (T.inputs(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), np.zeros(0, np.uint64))[0] for t in (a, b))
-        assert (x != y).any()
+        x, y = (steps[which] for t in (a, b) for steps, which, _ in [T.inputs(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), np.zeros(0, np.uint64))])
+        assert x.shape == y.shape and (x != y).any()
+    steps, which, _ = T.inputs(data, off, np.zeros(0, np.uint64))
+    for a, b, k in zip(start.tolist(), end.tolist(), which.tolist(), strict=True):  # each byte, lower-cased, at its place
+        assert bytes((steps[k, 3:] - 256 * np.arange(8)).astype(np.uint8)).rstrip(b"\0") == K.LOWER[data[a:b]].tobytes()
     assert T.STRIDE * 2 <= T.WINDOW
 
 
-def test_gradient():
+def test_gradient_against_finite_differences():
     import numpy as np
 
     from glossmill.llm import toxicity as T
@@ -463,19 +466,31 @@ def test_gradient():
     r = np.random.default_rng(0)
     m = T.Model(np.arange(5, dtype=np.uint64), np.zeros(5, np.float32))
     for k in m.p:
-        m.p[k] = m.p[k].astype(np.float64) + r.standard_normal(m.p[k].shape) * 0.1
-    ids = np.stack([r.integers(0, 6, 50), r.integers(0, T.CHARS, 50), r.integers(0, T.CHARS, 50)], axis=1)
-    first, length, y = np.array([0, 10, 18]), np.array([32, 20, 7]), np.array([1.0, 0.0, 1.0])
+        m.p[k] = m.p[k].astype(np.float64) + r.standard_normal(m.p[k].shape) * 0.3
+    steps = np.concatenate([np.stack([r.integers(0, 6, 20), r.integers(0, T.CHARS, 20), r.integers(0, T.CHARS, 20)], axis=1), r.integers(0, 256, (20, T.MOST)) + 256 * np.arange(T.MOST)], axis=1)
+    which = r.integers(0, 20, 50)
+    first, length, y, weight = np.array([0, 10, 18]), np.array([32, 20, 7]), np.array([1.0, 0.0, 1.0]), np.array([1.0, 0.6, 1.0])
+    rows = steps[which[np.minimum(first + np.arange(T.WINDOW)[:, None], 49)]]
 
     def loss():
         m.tables = None
-        z = m.logits(ids, first, length).astype(float)
-        return float(np.mean(np.log1p(np.exp(-np.where(y > 0, z, -z)))))
-
-    before = loss()
-    moments = {}
+        z = m.logits(steps, which, first, length).astype(float)
+        return float(np.mean(weight * np.log1p(np.exp(-np.where(y > 0, z, -z)))))
+
+    g = m.gradient(rows, length, y, weight)
+    for name, v in g.items():
+        for at in np.argsort(-np.abs(v).ravel())[:6]:
+            place = np.unravel_index(at, v.shape)
+            old = m.p[name][place]
+            m.p[name][place] = old + 2e-3
+            up = loss()
+            m.p[name][place] = old - 2e-3
+            down = loss()
+            m.p[name][place] = old
+            assert abs((up - down) / 4e-3 - v[place]) < 2e-3 + 0.02 * abs(v[place]), (name, place)
+    before, moments = loss(), {}
     for _ in range(25):
-        m.step(ids, first, length, y, np.ones(3), 0.01, moments)
+        m.step(m.gradient(rows, length, y, weight), 0.01, moments)
     assert loss() < 0.6 * before
 
 
@@ -628,7 +643,7 @@ def test_pipeline(spark, tmp_path):
 
     copy = prose(80)
     item = prose(30)
-    texts = [prose(60) for _ in range(40)] + [copy, copy.replace(copy.split()[40], "other"), prose(20) + " " + item, None, ""]
+    texts = [prose(60) for _ in range(40)] + [copy, " ".join("other" if k == 40 else w for k, w in enumerate(copy.split())), prose(20) + " " + item, None, ""]
     rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
