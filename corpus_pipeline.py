@@ -14,14 +14,16 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored as toxic go. The model learns from the labelled documents of the corpus."""
+    """Rows whose text is scored as toxic go, each by its own text; null and empty texts stay. The model learns from the labelled documents of the corpus."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    bad = toxicity.score_documents(docs, model).where("predicted = 1 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(COLUMNS)
+    scored = toxicity.score_documents(docs, model, carry=("text", "lang", "source", "n_chars"))
+    return scored.where("predicted = 0").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; similarity 0.8 on five words."""
+    """Of each group of near-duplicates the document with the smallest id stays; similarity 0.8 on five words.
+
+    Ids name documents: all rows of an id that goes go, rows without an id stay, as do null and empty texts."""
     gone = minhash.near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
 
@@ -39,7 +41,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go: all rows of such an id; rows without an id and blank ones stay."""
     bad = tiling.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(COLUMNS)
 
