@@ -139,12 +139,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     order = np.argsort(rows, kind="stable")
                     rows, vals = rows[order], vals[order]
                 cut = np.searchsorted(rows, np.arange(hi - lo + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(cut), pa.array(vals.view(np.int64)))], names=["id", "seeds"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(cut), pa.array(vals.view(np.int64)))], names=["row", "seeds"])
 
+    # ids may be null or repeat: candidates belong to a row's id and text together
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    runs = texts.where("id is not null").mapInArrow(runs_of, "id long, seeds array<long>").select("id", F.explode("seeds").alias("seed"))
-    pairs = runs.join(seeds.select("seed", "item"), "seed").select("id", "item").distinct()
-    listed = pairs.join(small(items), "item").groupBy("id").agg(F.collect_list(F.struct("item", F.col("text").alias("words"))).alias("items"))
+    texts = texts.withColumn("row", F.xxhash64("id", "text"))
+    runs = texts.select("row", "text").mapInArrow(runs_of, "row long, seeds array<long>").select("row", F.explode("seeds").alias("seed"))
+    pairs = runs.join(seeds.select("seed", "item"), "seed").select("row", "item").distinct()
+    listed = pairs.join(small(items), "item").groupBy("row").agg(F.collect_list(F.struct("item", F.col("text").alias("words"))).alias("items"))
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}
@@ -177,5 +179,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 count.append(best[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bool(x) for x in ids]), pa.array(ids, pa.list_(pa.int64())), pa.array(cover, pa.float64()), pa.array(count, pa.int64())], names=["id", "contaminated", "item_ids", "coverage", "n_tiles"])
 
-    judged = texts.join(listed, "id", "left").select("id", "text", "items").mapInArrow(judge, "id long, contaminated boolean, item_ids array<long>, coverage double, n_tiles long")
+    judged = texts.join(listed, "row", "left").select("id", "text", "items").mapInArrow(judge, "id long, contaminated boolean, item_ids array<long>, coverage double, n_tiles long")
     return judged.withColumnRenamed("id", id_col)
