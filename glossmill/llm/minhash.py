@@ -30,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .frames import checkpoint, components
+from .frames import checkpoint, components, small
 
 SHINGLE, HASHES, ROWS, STEP = 5, 120, 5, 24
 #: Minima of the longer, independent signature that classes get which are compared within buckets, and its batch.
 LONG, LONG_STEP = 720, 48
 #: Classes of one bucket compared within one task; a larger bucket is cut into blocks.
 BLOCK = 2048
+#: Pairs of one head that are confirmed together, about.
+STAR = 1000
 _rng = np.random.default_rng(11)
 _FACTOR = (_rng.integers(1, 2**63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _FLIP = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -167,7 +169,12 @@ def verified(pairs: DataFrame, sigs: DataFrame | None, texts: DataFrame, percent
     if sigs is not None:
         pairs = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("y")), "b")
         pairs = pairs.select("a", "b", "x", "y").mapInArrow(prune, "a long, b long")
-    full = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
+    # the head of a large star is dealt to several tasks, about STAR pairs each, whether or not a skewed join would be seen
+    pairs = checkpoint(pairs)
+    heads = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
+    dealt = pairs.join(small(heads.where("parts > 1")), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("x")).join(heads, "a").select("a", "x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    full = dealt.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").join(left, ["a", "part"])
     return full.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long").distinct()
 
 
