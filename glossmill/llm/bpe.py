@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-#: Bytes, about, that a worker keeps of cuts seen, of states that read one piece, of states that read many, and of token pairs; beyond, it starts anew.
-PIECE_BYTES, STATE_BYTES, MANY_BYTES, PAIR_BYTES = 60 << 20, 60 << 20, 160 << 20, 80 << 20
+#: Bytes, about, that a task keeps of cuts seen, of states that read one piece, of states that read many, and of token pairs; beyond, it starts anew.
+PIECE_BYTES, STATE_BYTES, MANY_BYTES, PAIR_BYTES = 48 << 20, 32 << 20, 120 << 20, 48 << 20
 #: Characters of the longest cut that is kept.
 KEPT_CHARS = 64
 #: Bytes of the longest piece that is read together with others, and of pending bytes then.
@@ -141,7 +141,7 @@ class Transducer:
                 b, made_b, taken_b = firsts[j]
             else:
                 break
-        if len(self.pairs) > PAIR_BYTES // 160:
+        if len(self.pairs) > PAIR_BYTES // 210:
             self.pairs.clear()
         self.pairs[left, right] = known
         return known
@@ -365,7 +365,7 @@ class Many:
 
     def encode(self, pieces: list[bytes]) -> list[str]:
         """The ids of each piece, joined by commas."""
-        if self.n * (12 * PENDING + 250) > MANY_BYTES:
+        if self.n * (12 * PENDING + 460) > MANY_BYTES:
             self.clear()
         size = np.array([len(p) for p in pieces])
         by = np.argsort(-size, kind="stable")
@@ -457,6 +457,13 @@ class Codec:
         #: Ids by cut, of the last two generations; a full one becomes the old one, from which what is still asked for comes back.
         self.new, self.old, self.held = {}, {}, 0
 
+    def forget(self) -> None:
+        """What was learned from texts goes, so that an idle worker holds no more than the tables of the vocabulary."""
+        self.new, self.old, self.held = {}, {}, 0
+        self.transducer.pairs.clear()
+        self.transducer.clear()
+        self.many.clear()
+
     def cuts(self, text: str) -> list[str]:
         """Each cut but the first with the space before it."""
         if RUN_OF_SPACE(text) or "\0" in text:
@@ -557,6 +564,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                 ids.append([int(x) for x in joined.split(",")] if joined else [])
                 back.append("".join(t for _, t in c.decode(joined)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], names=["id", "ids", "decoded"])
+        c.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
@@ -579,6 +587,7 @@ def digest_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                 back_sha.append(sha.hexdigest())
                 chars.append(length)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(back_sha), pa.array(chars, pa.int64())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "n_chars"])
+        c.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars long")
