@@ -234,6 +234,13 @@ def groups(raw: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, np.ndar
         lo = hi
 
 
+def _logits_of(model: Model, ids: np.ndarray, which: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Logits of some windows in a row, from the steps between the first and the last of them alone."""
+    lo, hi = int(first[0]), int((first + length).max())
+    own, local = np.unique(which[lo:hi], return_inverse=True)
+    return model.logits(ids[own], local, first - lo, length)
+
+
 def fit(texts: list[str], toxic: np.ndarray, steps: int = 300, seed: int = 1) -> Model:
     raw = [t.encode() for t in texts]
     # smoothed log odds of a text being toxic, by the words in it
@@ -249,13 +256,16 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = 300, seed: int = 1) ->
     often = np.sort(np.lexsort((seen, -n))[:WORDS])
     often = often[n[often] >= 3]
     model = Model(seen[often], np.clip(odds[often] / 3, -1, 1).astype(np.float32), seed)
-    parts, at = [], 0
+    # group by group, so that only the distinct steps and their numbers are held for all texts
+    parts, at, begin = [], 0, 0
     for lo, off, data in groups(raw):
         known, which, row = inputs(data, off, model.vocabulary)
-        parts.append((known, which + at, row + lo))
+        first, length, text = windows(row, len(off) - 1)
+        parts.append((known.astype(np.int16), (which + at).astype(np.int32), first + begin, length, text + lo))
         at += len(known)
-    ids, which, row = (np.concatenate(x) for x in zip(*parts, strict=True))
-    first, length, text = windows(row, len(texts))
+        begin += len(which)
+    ids, which, first, length, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del pairs, inverse
     if not len(first):
         return model
     # at first a window counts by its likeliest word
@@ -274,7 +284,7 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = 300, seed: int = 1) ->
             k = chosen[lo : lo + 128]
             rows = ids[which[np.minimum(first[k] + np.arange(WINDOW)[:, None], len(which) - 1)]]
             model.step(model.gradient(rows, length[k], toxic[text[k]].astype(np.float32), heavy[k]), 0.01, moments)
-        score = model.logits(ids, which, first, length)
+        score = np.concatenate([_logits_of(model, ids, which, first[k : k + 8192], length[k : k + 8192]) for k in range(0, len(first), 8192)])
     # one half stands where the two classes of the sample are told apart best
     best = np.full(len(texts), -np.inf)
     np.maximum.at(best, text, score)
