@@ -2,10 +2,10 @@
 
 The decoder reads prefix codes (simple, and with coded lengths), groups of codes by an entropy
 image, back-references with the two-dimensional distance codes, and the colour cache; it inverts
-the predictor, cross-colour, subtract-green and palette transforms. Where all literals of a channel
-have codes of one length and nothing else occurs, the pixels are read as one array; any other
-stream goes symbol by symbol. Inverse transforms work on whole arrays wherever a pixel does not
-depend on its left neighbour.
+the predictor, cross-colour, subtract-green and palette transforms. Pictures are encoded some hundred
+at a time, with arrays over all their pixels, and read side by side, a symbol of each at a time; those of
+few colours or of flat parts are tried with the transforms one by one, and the largest are read alone at
+the end. Inverse transforms work on whole arrays wherever a pixel does not depend on its left neighbour.
 
 Defined cases: null and empty texts are stored as one row of 64 pixels of spaces; a payload that is
 too high for one picture becomes several, one after another; rows may repeat; other columns are
@@ -78,8 +78,6 @@ class Code:
             self.mask = (1 << most) - 1
             wide = np.repeat([s << 4 | n for n, s in used], [1 << (most - n) for n, _ in used])
             self.look = wide[REVERSED15[: 1 << most] >> (15 - most)].tolist()
-        #: If all are literals with codes of 8 bits, a byte is its code.
-        self.flat = len(used) == 256 and used[0] == (8, 0) and used[-1] == (8, 255)
 
     def read(self, bits: Bits) -> int:
         e = self.look[bits.peek(15) & self.mask]
@@ -138,31 +136,15 @@ def read_pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
         groups = int(group_of.max()) + 1
     codes = [[read_code(bits, 280 + cache_size), *(read_code(bits, 256) for _ in range(3)), read_code(bits, 40)] for _ in range(groups)]
     n = width * height
-    green, red, blue, alpha, _ = codes[0]
-    if groups == 1 and all(c.flat or c.single is not None and c.single < 256 for c in (green, red, blue, alpha)):
-        flat = [c for c in (green, red, blue, alpha) if c.flat]
-        raw = np.frombuffer(bits.data, np.uint8)[bits.at >> 3 : (bits.at + 8 * n * len(flat) + 15) >> 3]
-        shift = bits.at & 7
-        size = n * len(flat)
-        if shift:
-            raw = np.concatenate([raw, np.zeros(1, np.uint8)]) if len(raw) <= size else raw
-            raw = (raw[:size] >> shift) | (raw[1 : size + 1] << (8 - shift))
-        if len(raw) < size:
-            raise ValueError("the stream ends too early")
-        raw = REVERSED[raw[:size]].reshape(n, len(flat)) if flat else np.zeros((n, 0), np.uint8)
-        bits.at += 8 * size
-        out = np.empty((n, 4), np.uint8)
-        col = 0
-        for channel, c in ((1, green), (0, red), (2, blue), (3, alpha)):
-            if c.flat:
-                out[:, channel] = raw[:, col]
-                col += 1
-            else:
-                out[:, channel] = c.single
-        return out.reshape(height, width, 4)
-    pixels = [0] * n  # alpha, red, green, blue from the top byte
-    cache = [0] * cache_size
-    at = cached = 0
+    pixels, cache = [0] * n, [0] * cache_size
+    _read_symbols(bits, codes, group_of, tile, width, pixels, 0, cache, cache_bits)
+    v = np.array(pixels, np.uint32)
+    return np.stack([v >> 16 & 255, v >> 8 & 255, v & 255, v >> 24], axis=1).astype(np.uint8).reshape(height, width, 4)
+
+
+def _read_symbols(bits: Bits, codes: list, group_of: np.ndarray | None, tile: int, width: int, pixels: list[int], at: int, cache: list[int], cache_bits: int) -> None:
+    """Fills the pixels (alpha, red, green, blue from the top byte) from a place on; the cache holds what stands before it."""
+    n, cached = len(pixels), at
     words, p = bits.words(), bits.at
     green, red, blue, alpha, far = codes[0]
     try:
@@ -210,8 +192,6 @@ def read_pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     if p > bits.end:
         raise ValueError("the stream ends too early")
     bits.at = p
-    v = np.array(pixels, np.uint32)
-    return np.stack([v >> 16 & 255, v >> 8 & 255, v & 255, v >> 24], axis=1).astype(np.uint8).reshape(height, width, 4)
 
 
 def undo_predictor(res: np.ndarray, modes: np.ndarray, tile: int) -> np.ndarray:
@@ -286,8 +266,8 @@ def undo_palette(px: np.ndarray, colours: np.ndarray, width: int) -> np.ndarray:
     return table[index]
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The pixels of one RIFF WebP file with a VP8L stream: (height, width, 4) of red, green, blue, alpha."""
+def _head(data: bytes) -> tuple[Bits, int, int, int, list]:
+    """The reader behind the transforms, width, height, coded width, and the transforms to undo."""
     if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise ValueError("not a WebP file")
     at = 12
@@ -318,7 +298,10 @@ def decode(data: bytes) -> np.ndarray:
             now = -(-now // (8 if n <= 2 else 4 if n <= 4 else 2 if n <= 16 else 1))
         else:
             undo.append((kind, None, 0, now))
-    px = read_pixels(bits, now, height, True)
+    return bits, width, height, now, undo
+
+
+def _undo(px: np.ndarray, undo: list) -> np.ndarray:
     for kind, side, tile, w in reversed(undo):
         if kind == PREDICTOR:
             px = undo_predictor(px, side[..., 1] & 15, tile)
@@ -333,6 +316,12 @@ def decode(data: bytes) -> np.ndarray:
     return px
 
 
+def decode(data: bytes) -> np.ndarray:
+    """The pixels of one RIFF WebP file with a VP8L stream: (height, width, 4) of red, green, blue, alpha."""
+    bits, _, height, now, undo = _head(data)
+    return _undo(read_pixels(bits, now, height, True), undo)
+
+
 class Writer:
     def __init__(self) -> None:
         self.value = self.n = 0
@@ -346,22 +335,6 @@ class Writer:
         self.put(0b101, 3)
         self.put(symbol, 8)
 
-    def flat(self, alphabet: int) -> None:
-        """Codes of 8 bits for the 256 literals, none for what follows."""
-        self.put(0, 1)
-        self.put(8, 4)
-        for s in LENGTH_ORDER[:12]:
-            self.put(1 if s in (8, 16) else 0, 3)
-        if alphabet > 256:
-            self.put(1, 1)
-            self.put(2, 3)
-            self.put(42, 6)  # 2 + 42 tokens
-        else:
-            self.put(0, 1)
-        self.put(0, 1)
-        for k in range(43):  # 42 times six, then three
-            self.put(1 | (3 if k < 42 else 0) << 1, 3)
-
     def code(self, lengths: list[int]) -> None:
         """Any complete code, its lengths written one by one with codes of four bits each."""
         if sum(n > 0 for n in lengths) == 1 and lengths.index(max(lengths)) < 256:
@@ -381,58 +354,6 @@ def _file(stream: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", 12 + len(stream) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(stream)) + stream + pad
 
 
-_HEADS: dict[tuple[int, int], tuple[int, int]] = {}
-
-
-def encode_flat(rgb: np.ndarray) -> bytes:
-    """(height, width, 3) as literals of eight bits behind the predictor (the pixel above) and subtract-green."""
-    height, width, _ = rgb.shape
-    head = _HEADS.get((width, height))
-    if head is None:
-        w = Writer()
-        w.put(0x2F, 8)
-        w.put(width - 1, 14)
-        w.put(height - 1, 14)
-        w.put(0, 4)
-        w.put(0b1, 1)
-        w.put(PREDICTOR, 2)
-        w.put(7, 3)  # tiles of 512
-        w.put(0, 1)
-        for symbol in (2, 0, 0, 255, 0):
-            w.one(symbol)
-        w.put(1, 1)
-        w.put(SUBTRACT_GREEN, 2)
-        w.put(0, 3)  # no more transforms, no cache, one group of codes
-        w.flat(280)
-        w.flat(256)
-        w.flat(256)
-        w.one(0)
-        w.one(0)
-        if len(_HEADS) > 5000:
-            _HEADS.clear()
-        head = _HEADS[width, height] = w.value, w.n
-    value, n = head
-    # subtract-green was put last, so it is undone first: the predictor sees the pixels themselves
-    res = rgb.copy()
-    res[1:] -= rgb[:-1]
-    res[0, 1:] -= rgb[0, :-1]
-    out = np.empty((height, width, 3), np.uint8)
-    out[..., 0] = res[..., 1]
-    out[..., 1] = res[..., 0] - res[..., 1]
-    out[..., 2] = res[..., 2] - res[..., 1]
-    body = REVERSED[out.ravel()]
-    shift = n & 7
-    start = value & ((1 << (n - shift)) - 1)
-    if shift:
-        tail = value >> (n - shift)
-        wide = np.zeros(len(body) + 1, np.uint8)
-        wide[:-1] = body << shift
-        wide[1:] |= body >> (8 - shift)
-        wide[0] |= tail
-        body = wide
-    return _file(start.to_bytes(n >> 3, "little") + body.tobytes())
-
-
 def code_lengths(counts: dict[int, int], alphabet: int) -> list[int]:
     """Huffman code lengths; equal counts stand in for the true ones if a code would exceed 15 bits."""
     if not counts:
@@ -851,6 +772,430 @@ def store(payload: np.ndarray) -> bytes:
     return b"".join(encode(px[k : k + MOST_ROWS]) for k in range(0, len(px), MOST_ROWS))
 
 
+# --- many pictures at a time --------------------------------------------------------------------
+
+#: Bytes of payload encoded together, and decoded together; and pictures below which they are decoded one by one.
+TOGETHER, READ_TOGETHER, ALONE = 1 << 20, 4 << 20, 96
+#: Pictures of few colours, or of many pixels like the one before, may gain by a transform and are encoded one by one.
+FEW_COLOURS, MOSTLY_FLAT = 16, 0.4
+#: Code lengths of the code length codes of pictures that are encoded together; a complete code.
+INNER = np.array([3, 6, 6, 6, 5, 5, 4, 3, 3, 3, 4, 5, 5, 6, 6, 6, 4, 4, 5])
+CACHE_BITS = 10
+
+
+def fit_rows(counts: np.ndarray) -> np.ndarray:
+    """Complete prefix code lengths for each row of counts: each symbol's information, rounded up, then shortened from
+    the most frequent symbol on while there is room. Rows of one symbol get length 1."""
+    total = counts.sum(axis=1, keepdims=True)
+    length = np.where(counts > 0, np.clip(np.ceil(np.log2(np.maximum(total, 1) / np.maximum(counts, 1))), 1, 15), 0).astype(np.int64)
+    used = (counts > 0).sum(axis=1)
+    room = (1 << 15) - np.where(length > 0, 1 << (15 - length), 0).sum(axis=1)
+    for k in np.flatnonzero(room < 0):  # too many rare symbols
+        length[k] = fit(counts[k])
+        room[k] = 0
+    room[used < 2] = 0
+    open_ = np.flatnonzero(room > 0)
+    if len(open_):
+        width = int(used[open_].max())
+        order = np.argsort(-counts[open_], axis=1, kind="stable")[:, :width]
+        mine = np.take_along_axis(length[open_], order, axis=1)
+        left = room[open_]
+        while left.any():
+            for k in range(width):
+                n = mine[:, k]
+                gain = 1 << (15 - n)
+                take = (n > 1) & (gain <= left)
+                left = left - np.where(take, gain, 0)
+                mine[:, k] = n - take
+                if not left.any():
+                    break
+        part = length[open_]
+        np.put_along_axis(part, order, mine, axis=1)
+        length[open_] = part
+    return length
+
+
+def spell_rows(length: np.ndarray) -> np.ndarray:
+    """The bits of the canonical codes of each row, first bit lowest."""
+    order = np.argsort(np.where(length > 0, length, 99), axis=1, kind="stable")
+    n = np.take_along_axis(length, order, axis=1)
+    step = np.where(n > 0, 1 << (15 - n), 0)
+    out = np.zeros_like(length)
+    np.put_along_axis(out, order, REVERSED15[np.minimum(np.cumsum(step, axis=1) - step, 32767)], axis=1)
+    return out
+
+
+def code_tokens(length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, value and size of the bits that write each row's code lengths, in runs, with the code INNER."""
+    rows, width = length.shape
+    flat = length.ravel()
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[::width] = True
+    start = np.flatnonzero(new)
+    run, n = np.diff(np.append(start, len(flat))), flat[start]
+    zero = n == 0
+    more = run - ~zero  # a length is written once before it is repeated
+    most = np.where(zero, 138, 6)
+    full, rest = more // most, more % most
+    one = rest >= 3
+    count = ~zero + full + np.where(one, 1, rest)
+    of = np.repeat(np.arange(len(run)), count)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    k -= ~zero[of]
+    z, whole = zero[of], (k >= 0) & (k < full[of])
+    last = (k == full[of]) & one[of]
+    repeat = np.where(whole, most[of], np.where(last, rest[of], 0))
+    symbol = np.where(repeat == 0, n[of], np.where(~z, 16, np.where(repeat >= 11, 18, 17)))
+    extra = np.where(symbol == 16, repeat - 3, np.where(symbol == 17, repeat - 3, np.where(symbol == 18, repeat - 11, 0)))
+    bits = np.where(symbol == 16, 2, np.where(symbol == 17, 3, np.where(symbol == 18, 7, 0)))
+    code = spell(INNER)
+    return start[of] // width, code[symbol] | extra << INNER[symbol], INNER[symbol] + bits
+
+
+def encode_many(payloads: list[np.ndarray]) -> list[bytes]:
+    """Pictures of WIDTH pixels a row with fitted codes, back-references and, where it shortens, a colour cache, all together."""
+    count = np.array([len(x) // 3 for x in payloads])
+    first = np.cumsum(count) - count
+    px = np.concatenate(payloads).reshape(-1, 3).astype(np.uint32)
+    v = np.uint32(255 << 24) | px[:, 0] << np.uint32(16) | px[:, 1] << np.uint32(8) | px[:, 2]
+    doc = np.repeat(np.arange(len(count)), count)
+    n_docs = len(count)
+    # back-references: the latest place in the same picture with the same three pixels, taken greedily
+    x = v.astype(np.uint64)
+    key = K.mix(x[:-2] + K.mix(x[1:-1] + K.mix(x[2:] + K.mix(doc[:-2].astype(np.uint64) + np.uint64(1)))))
+    order = np.argsort(key, kind="stable")
+    back = np.zeros(len(v), np.int64)
+    same = key[order[1:]] == key[order[:-1]]
+    back[order[1:][same]] = (order[1:] - order[:-1])[same]
+    at = np.flatnonzero(back)
+    at = at[at + 2 < len(v)]
+    b = back[at]
+    true = (b <= (1 << 20) - 120) & (doc[at] == doc[at + 2]) & (doc[at] == doc[at - b]) & (v[at] == v[at - b]) & (v[at + 1] == v[at + 1 - b]) & (v[at + 2] == v[at + 2 - b])
+    back[:] = 0
+    at = at[true]
+    back[at] = b[true]
+    turn = np.union1d(np.flatnonzero(np.diff(back)) + 1, first)
+    end = np.append(turn, len(v))[np.searchsorted(turn, at, "right")]
+    length = np.minimum(np.minimum(end - at + 2, (first + count)[doc[at]] - at), 4096)
+    picked, to = [], 0
+    for k, (i, n) in enumerate(zip(at.tolist(), length.tolist(), strict=True)):
+        if i >= to:
+            picked.append(k)
+            to = i + n
+    at, length = at[picked], length[picked]
+    near = np.arange(120 + WIDTH * 8 + 8) + 120
+    for k, (dx, dy) in reversed(list(enumerate(NEAR))):
+        near[max(1, dx + dy * WIDTH)] = k + 1
+    far = back[at]
+    far = np.where(far < len(near), near[np.minimum(far, len(near) - 1)], far + 120)
+    edge = np.zeros(len(v) + 1, np.int64)
+    edge[at] += 1
+    np.subtract.at(edge, at + length, 1)
+    token = np.cumsum(edge)[:-1] == 0
+    token[at] = True
+    place = np.flatnonzero(token)
+    ref = np.zeros(len(v), bool)
+    ref[at] = True
+    ref = ref[place]
+    own = doc[place]
+    # the cache: what stands in a slot is the last pixel that fell there
+    slot = ((x * np.uint64(0x1E35A7BD) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CACHE_BITS)).astype(np.int64)
+    order = np.argsort(doc * (1 << CACHE_BITS) + slot, kind="stable")
+    hit = np.zeros(len(v), bool)
+    hit[order[1:]] = (doc[order[1:]] == doc[order[:-1]]) & (slot[order[1:]] == slot[order[:-1]]) & (v[order[1:]] == v[order[:-1]])
+    hit = hit[place] & ~ref
+    p = v[place].astype(np.int64)
+    length_code, far_code = prefixes(length), prefixes(far)
+    green, width = p >> 8 & 255, 280 + (1 << CACHE_BITS)
+    green[ref] = 256 + length_code[0]
+
+    def tally(symbols: np.ndarray, who: np.ndarray, size: int) -> np.ndarray:
+        return np.bincount(who * size + symbols, minlength=n_docs * size).reshape(n_docs, size)
+
+    def cost(*tables: np.ndarray) -> np.ndarray:
+        out = np.zeros(n_docs)
+        for c in tables:
+            t = np.maximum(c.sum(axis=1), 1)
+            out += t * np.log2(t) - (c * np.log2(np.maximum(c, 1))).sum(axis=1) + 6 * (c > 0).sum(axis=1)
+        return out
+
+    lit, kept = ~ref, ~ref & ~hit
+    plain = [tally(green, own, width), tally((p >> 16 & 255)[lit], own[lit], 256), tally((p & 255)[lit], own[lit], 256)]
+    with_cache = np.where(hit, 280 + slot[place], green)
+    cached = [tally(with_cache, own, width), tally((p >> 16 & 255)[kept], own[kept], 256), tally((p & 255)[kept], own[kept], 256)]
+    use = cost(*cached) < cost(*plain)
+    green = np.where(hit & use[own], with_cache, green)
+    lit &= ~(hit & use[own])
+    alpha = np.zeros((n_docs, 256), np.int64)
+    alpha[:, 255] = 1
+    tables = [np.where(use[:, None], a, c) for a, c in zip(cached, plain, strict=True)] + [alpha, tally(far_code[0], own[ref], 40)]
+    for c in tables:
+        c[c.sum(axis=1) == 0, 0] = 1  # a code that is never used
+    value, size = np.zeros((len(place), 5), np.int64), np.zeros((len(place), 5), np.int64)  # green, extra of length | red, blue, distance, its extra
+    parts: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]] = []  # picture, section, value, size
+    every = np.arange(n_docs)
+    put = lambda section, v, n: parts.append((every, section, np.broadcast_to(np.asarray(v, np.int64), n_docs), np.broadcast_to(np.asarray(n, np.int64), n_docs)))
+    put(0, 0x2F | (WIDTH - 1) << 8 | (count // WIDTH - 1) << 22, 36)
+    put(0, 0, 4)
+    put(0, np.where(use, 2 | CACHE_BITS << 2, 0), np.where(use, 6, 2))  # no transform; the cache
+    put(0, 0, 1)  # one group of codes
+    inner = sum(int(INNER[t]) << 3 * k for k, t in enumerate(LENGTH_ORDER))
+    spelled = []
+    for k, c in enumerate(tables):
+        n = fit_rows(c)
+        lone = ((n > 0).sum(axis=1) == 1) & (n[:, 256:].sum(axis=1) == 0)
+        parts.append((every[lone], 1 + k, 0b101 | n[lone].argmax(axis=1) << 3, np.full(int(lone.sum()), 11)))
+        rest = np.flatnonzero(~lone)
+        for v_, s_ in ((0 | 15 << 1, 5), (inner & (1 << 30) - 1, 30), (inner >> 30, 27), (0, 1)):
+            parts.append((rest, 1 + k, np.full(len(rest), v_), np.full(len(rest), s_)))
+        groups = [rest] if k else [rest[~use[rest]], rest[use[rest]]]
+        for g, w in zip(groups, [n.shape[1]] if k else [280, width], strict=True):
+            if len(g):
+                row, bits, many = code_tokens(n[g][:, :w])
+                parts.append((g[row], 1 + k, bits, many))
+        bits = spell_rows(n)
+        n[(n > 0).sum(axis=1) == 1] = 0  # a lone symbol takes no bits
+        spelled.append((bits, n))
+    for col, k, sym, on in ((0, 0, green, None), (1, 1, p >> 16 & 255, lit), (2, 2, p & 255, lit)):
+        bits, n = spelled[k]
+        got, many = bits[own, sym], n[own, sym]
+        value[:, col], size[:, col] = (got, many) if on is None else (np.where(on, got, 0), np.where(on, many, 0))
+    value[ref, 1], size[ref, 1] = length_code[2], length_code[1]
+    value[ref, 3], size[ref, 3] = spelled[4][0][own[ref], far_code[0]], spelled[4][1][own[ref], far_code[0]]
+    value[ref, 4], size[ref, 4] = far_code[2], far_code[1]
+    parts.append((np.repeat(own, 5), 9, value.ravel(), size.ravel()))
+    who = np.concatenate([q[0] for q in parts])
+    section = np.repeat([q[1] for q in parts], [len(q[0]) for q in parts])
+    value, size = np.concatenate([q[2] for q in parts]), np.concatenate([q[3] for q in parts])
+    total = np.bincount(who, weights=size, minlength=n_docs).astype(np.int64)
+    who, section = np.concatenate([who, every]), np.concatenate([section, np.full(n_docs, 10)])
+    value, size = np.concatenate([value, np.zeros(n_docs, np.int64)]), np.concatenate([size, -total % 8])
+    keep = np.flatnonzero(size > 0)
+    order = keep[np.argsort(who[keep] * 16 + section[keep], kind="stable")]
+    value, size = value[order], size[order]
+    step = (np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint8)
+    data = np.packbits((np.repeat(value, size) >> step & 1).astype(np.uint8), bitorder="little").tobytes()
+    cut = np.concatenate([[0], np.cumsum((total + 7) // 8)]).tolist()
+    return [_file(data[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+class Rows:
+    """Canonical prefix codes, one a row, read side by side: codes of up to SHORT bits by table, longer ones by their length's first code."""
+
+    SHORT = 11
+
+    def __init__(self, length: np.ndarray) -> None:
+        self.length = length
+        order = np.argsort(np.where(length > 0, length, 99), axis=1, kind="stable")
+        n = np.take_along_axis(length, order, axis=1)
+        used = (n > 0).sum(axis=1)
+        full = np.where(n > 0, 1 << (15 - n), 0).sum(axis=1) == 1 << 15
+        if (~full & (used != 1)).any():
+            raise ValueError("not a complete prefix code")
+        self.symbols = order
+        lone = np.flatnonzero(used == 1)
+        entry = np.where((n > 0) & (n <= self.SHORT), (order + 1) << 4 | n, 0)
+        wide = np.where(entry > 0, 1 << np.maximum(self.SHORT - n, 0), 0)
+        entry[lone], wide[lone] = 0, 0
+        entry[lone, 0], wide[lone, 0] = (order[lone, 0] + 1) << 4, 1 << self.SHORT
+        total = wide.sum(axis=1)
+        table = np.zeros((len(length), 1 << self.SHORT), np.int32)
+        table.ravel()[np.repeat(np.arange(len(length)) << self.SHORT, total) + np.arange(int(total.sum())) - np.repeat(np.cumsum(total) - total, total)] = np.repeat(entry.ravel(), wide.ravel())
+        #: By row and the next SHORT bits, first bit lowest: symbol plus one and length, or 0 if the code is longer.
+        self.table = table[:, REVERSED15[: 1 << self.SHORT] >> (15 - self.SHORT)].ravel()
+        count = np.stack([(length == k).sum(axis=1) for k in range(1, 16)], axis=1)
+        self.beyond = np.cumsum(count << (14 - np.arange(15)), axis=1)
+        self.begin = self.beyond - (count << (14 - np.arange(15)))
+        self.place = np.cumsum(count, axis=1) - count
+        self.free = len(lone) == len(length)
+
+    def read(self, row: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols and lengths of the codes at the start of some bits."""
+        e = self.table.take((row << self.SHORT) | (bits & np.uint64((1 << self.SHORT) - 1)).astype(np.int64)).astype(np.int64)
+        if not e.all():
+            far = np.flatnonzero(e == 0)
+            r, c = row[far], REVERSED15[(bits[far] & np.uint64(32767)).astype(np.int64)]
+            k = np.minimum((self.beyond[r] <= c[:, None]).sum(axis=1), 14)
+            e[far] = (self.symbols[r, np.minimum(self.place[r, k] + ((c - self.begin[r, k]) >> (14 - k)), self.symbols.shape[1] - 1)] + 1) << 4 | (k + 1)
+        return (e >> 4) - 1, e & 15
+
+    def code(self, row: int) -> Code:
+        at = np.flatnonzero(self.length[row])
+        return Code(dict(zip(at.tolist(), self.length[row, at].tolist(), strict=True)))
+
+
+def decode_many(pictures: list[bytes]) -> list[np.ndarray]:
+    """As decode(), for many files; those without an entropy image are read side by side, a symbol of each at a time."""
+    if len(pictures) < ALONE:
+        return [decode(f) for f in pictures]
+    out: list[np.ndarray | None] = [None] * len(pictures)
+    heads = []
+    for k, f in enumerate(pictures):
+        head = _head(f)
+        bits, now, height = head[0], head[3], head[2]
+        cache = bits.read(4) if bits.read(1) else 0
+        if cache > 11:
+            raise ValueError("the colour cache is too large")
+        if bits.read(1):
+            out[k] = decode(f)
+        else:
+            heads.append((k, head, cache, now * height))
+    if len(heads) < ALONE:
+        for k, *_ in heads:
+            out[k] = decode(pictures[k])
+        return out
+    streams = [h[1][0].data for h in heads]
+    begin = np.cumsum([0] + [len(x) + 16 for x in streams])
+    words = np.ndarray((int(begin[-1]),), "<u8", b"".join(x + bytes(16) for x in streams) + bytes(8), strides=(1,))
+    at = np.array([h[1][0].at for h in heads]) + 8 * begin[:-1]
+    stop = 8 * (begin[1:] - 16)
+    cache = np.array([h[2] for h in heads])
+    size = np.array([h[3] for h in heads])
+    wide = np.array([h[1][3] for h in heads])
+    look = lambda p: words[p >> 3] >> (p & 7).astype(np.uint64)
+
+    def take(on: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        v = (look(at[on]) & ((np.uint64(1) << np.asarray(n).astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+        at[on] += n
+        return v
+
+    def lengths(alphabet: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(heads), int(alphabet.max())), np.int64)
+        every = np.arange(len(heads))
+        simple = take(every, 1) == 1
+        on = every[simple]
+        if len(on):
+            two = take(on, 1) == 1
+            out[on, take(on, np.where(take(on, 1) == 1, 8, 1))] = 1
+            out[on[two], take(on[two], 8)] = 1
+        on = every[~simple]
+        if not len(on):
+            return out
+        many = 4 + take(on, 4)
+        inner = np.zeros((len(on), 19), np.int64)
+        for k, t in enumerate(LENGTH_ORDER):
+            some = np.flatnonzero(many > k)
+            inner[some, t] = take(on[some], 3)
+        code = Rows(inner)
+        limit = np.full(len(on), 1 << 30)
+        short = np.flatnonzero(take(on, 1) == 1)
+        if len(short):
+            limit[short] = 2 + take(on[short], 2 + 2 * take(on[short], 3))
+        s, last, live = np.zeros(len(on), np.int64), np.full(len(on), 8), np.arange(len(on))
+        runs = []
+        most = alphabet[on]
+        while len(live):
+            symbol, n = code.read(live, look(at[on[live]]))
+            at[on[live]] += n
+            extra = np.where(symbol < 16, 0, np.where(symbol == 16, 2, np.where(symbol == 17, 3, 7)))
+            repeat = np.where(symbol < 16, 1, np.where(symbol == 18, 11, 3) + take(on[live], extra))
+            plain = (symbol < 16) & (symbol > 0)
+            last[live[plain]] = symbol[plain]
+            runs.append((live, s[live], repeat, np.where(symbol == 16, last[live], np.where(symbol < 16, symbol, 0))))
+            s[live] += repeat
+            limit[live] -= 1
+            live = live[(s[live] < most[live]) & (limit[live] > 0)]
+        if (s > most).any():
+            raise ValueError("more code lengths than symbols")
+        row, start, repeat, n = (np.concatenate(x) for x in zip(*runs, strict=True))
+        some = np.flatnonzero(n)
+        row, start, repeat, n = row[some], start[some], repeat[some], n[some]
+        of = np.repeat(np.arange(len(row)), repeat)
+        out[on[row[of]], start[of] + np.arange(len(of)) - np.repeat(np.cumsum(repeat) - repeat, repeat)] = n[of]
+        return out
+
+    green, red, blue, alpha, far = (Rows(lengths(a)) for a in (280 + np.where(cache > 0, 1 << cache, 0), *[np.full(len(heads), 256)] * 3, np.full(len(heads), 40)))
+    offset = np.cumsum(size) - size
+    pixels = np.zeros(int(size.sum()), np.uint32)
+    slots = np.zeros((len(heads), 1 << int(cache.max())), np.uint32)
+    shift = np.uint64(32) - cache.astype(np.uint64)
+    done = np.zeros(len(heads), np.int64)
+    near = np.array(NEAR)
+    live = np.arange(len(heads))
+
+    def remember(row: np.ndarray, v: np.ndarray) -> None:
+        slots[row, ((v.astype(np.uint64) * np.uint64(0x1E35A7BD) & np.uint64(0xFFFFFFFF)) >> shift[row]).astype(np.int64)] = v
+
+    caching = bool(cache.any())
+    while len(live) >= ALONE:
+        bits = look(at[live])
+        s, n = green.read(live, bits)
+        at[live] += n
+        lit = np.flatnonzero(s < 256)
+        if len(lit):
+            row = live[lit]
+            bits = bits[lit] >> n[lit].astype(np.uint64)
+            r, n1 = red.read(row, bits)
+            b, n2 = blue.read(row, bits >> n1.astype(np.uint64))
+            at[row] += n1 + n2
+            a, n3 = alpha.read(row, bits if alpha.free else look(at[row]))
+            at[row] += n3
+            v = (a.astype(np.uint32) << np.uint32(24)) | (r.astype(np.uint32) << np.uint32(16)) | (s[lit].astype(np.uint32) << np.uint32(8)) | b.astype(np.uint32)
+            pixels[offset[row] + done[row]] = v
+            if caching:
+                remember(row, v)
+            done[row] += 1
+        known = np.flatnonzero(s >= 280)
+        if len(known):
+            row = live[known]
+            pixels[offset[row] + done[row]] = slots[row, s[known] - 280]
+            done[row] += 1
+        ref = np.flatnonzero((s >= 256) & (s < 280))
+        if len(ref):
+            row = live[ref]
+
+            def number(prefix: np.ndarray) -> np.ndarray:
+                n = np.where(prefix < 4, 0, (prefix - 2) >> 1)
+                return np.where(prefix < 4, prefix, (2 + (prefix & 1)) << n) + take(row, n) + 1  # noqa: B023
+
+            length = number(s[ref].astype(np.int64) - 256)
+            symbol, n = far.read(row, look(at[row]))
+            at[row] += n
+            code = number(symbol.astype(np.int64))
+            close = near[np.minimum(code, 120) - 1]
+            back = np.where(code > 120, code - 120, np.maximum(1, close[:, 0] + close[:, 1] * wide[row]))
+            if (back > done[row]).any() or (done[row] + length > size[row]).any():
+                raise ValueError("a back-reference leaves the picture")
+            of = np.repeat(np.arange(len(row)), length)
+            k = np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length)
+            to = (offset[row] + done[row])[of]
+            v = pixels[to - back[of] + k % back[of]]
+            pixels[to + k] = v
+            if caching:
+                remember(row[of], v)
+            done[row] += length
+        if (at[live] > stop[live]).any():
+            raise ValueError("the stream ends too early")
+        live = live[done[live] < size[live]]
+    for k in live.tolist():  # the largest ones go on alone
+        reader, lo, n = heads[k][1][0], int(offset[k]), int(size[k])
+        reader.at = int(at[k] - 8 * begin[k])
+        mine = pixels[lo : lo + n].tolist()
+        _read_symbols(reader, [[c.code(k) for c in (green, red, blue, alpha, far)]], None, 0, int(wide[k]), mine, int(done[k]), slots[k].tolist(), int(cache[k]))
+        pixels[lo : lo + n] = mine
+    rgba = np.stack([pixels >> 16 & 255, pixels >> 8 & 255, pixels & 255, pixels >> 24], axis=1).astype(np.uint8)
+    for (k, head, _, n), lo in zip(heads, offset.tolist(), strict=True):
+        out[k] = _undo(rgba[lo : lo + n].reshape(head[2], head[3], 4), head[4])
+    return out
+
+
+def store_many(payloads: list[np.ndarray]) -> list[bytes]:
+    """As store(), the usual pictures together."""
+    out: list[bytes | None] = [None] * len(payloads)
+    usual = []
+    for k, payload in enumerate(payloads):
+        v = payload.reshape(-1, 3).astype(np.uint32)
+        v = v[:, 0] << np.uint32(16) | v[:, 1] << np.uint32(8) | v[:, 2]
+        if len(payload) > MOST_ROWS * ROW_BYTES or (v[1:] == v[:-1]).mean() > MOSTLY_FLAT or len(v) <= 4096 and len(np.unique(v)) <= FEW_COLOURS:
+            out[k] = store(payload)
+        else:
+            usual.append(k)
+    for k, f in zip(usual, encode_many([payloads[k] for k in usual]) if usual else [], strict=True):
+        out[k] = f
+    return out
+
+
 def files(media: bytes) -> Iterator[bytes]:
     at = 0
     while at < len(media):
@@ -864,12 +1209,13 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, off, data in K.chunks(batch, limit=4 << 20):
-                media = []
+            for lo, hi, off, data in K.chunks(batch, limit=TOGETHER):
+                payloads = []
                 for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
                     payload = np.full(max(1, -(-(b - a) // ROW_BYTES)) * ROW_BYTES, 32, np.uint8)
                     payload[: b - a] = data[a:b]
-                    media.append(store(payload))
+                    payloads.append(payload)
+                media = store_many(payloads)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(off)), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -881,12 +1227,29 @@ def read_media(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     The feature has the picture's size, mean colour and a coarse histogram of all samples."""
 
+    def pictures(column: pa.Array) -> Iterator[tuple[bytes, np.ndarray]]:
+        """The media and the pixels of each row, read some MB at a time."""
+        held: list[tuple[bytes, list[bytes]]] = []
+        size = 0
+
+        def read() -> Iterator[tuple[bytes, np.ndarray]]:
+            px = iter(decode_many([f for _, parts in held for f in parts]))
+            for media, parts in held:
+                yield media, np.concatenate([next(px)[..., :3] for _ in parts])
+
+        for media in column:
+            media = media.as_py()
+            held.append((media, list(files(media))))
+            size += len(media)
+            if size >= READ_TOGETHER // 2:
+                yield from read()
+                held, size = [], 0
+        yield from read()
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
-            for media in batch.column(2):
-                media = media.as_py()
-                px = np.concatenate([decode(f)[..., :3] for f in files(media)])
+            for media, px in pictures(batch.column(2)):
                 payload = px.tobytes()
                 mean = px.reshape(-1, 3).mean(axis=0)
                 bins = np.bincount(px.ravel() >> 5, minlength=8)

@@ -7,10 +7,71 @@ rng = np.random.default_rng(3)
 
 
 @pytest.mark.parametrize("rows", [1, 2, 5, 600])
-def test_flat_round_trip(rows):
+def test_round_trip(rows):
     px = rng.integers(0, 256, (rows, 64, 3)).astype(np.uint8)
-    assert (W.decode(W.encode_flat(px))[..., :3] == px).all()
-    assert (W.decode(W.encode_flat(px))[..., 3] == 255).all()
+    for f in (W.encode(px), W.encode_many([px.ravel()])[0]):
+        assert (W.decode(f)[..., :3] == px).all() and (W.decode(f)[..., 3] == 255).all()
+
+
+def texts(n):
+    words = [b" ".join(bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(rng.integers(1, 6))) for _ in range(40)]
+    for _ in range(n):
+        text = b" ".join(words[k] for k in rng.integers(0, 40, int(rng.choice([1, 5, 40, 100, 900], p=[0.1, 0.2, 0.4, 0.25, 0.05]))))
+        yield np.frombuffer(text + b" " * (-len(text) % 192), np.uint8)
+
+
+def test_many_pictures_together_are_those_read_one_by_one():
+    payloads = [*texts(200), np.full(192, 32, np.uint8), np.frombuffer(b"ab" * 960, np.uint8), rng.integers(0, 256, 192 * 30).astype(np.uint8), np.cumsum(rng.integers(0, 3, 192 * 20)).astype(np.uint8)]
+    media = W.store_many(payloads)
+    alone = [np.concatenate([W.decode(f) for f in W.files(m)]) for m in media]
+    assert all(a[..., :3].tobytes() == p.tobytes() for a, p in zip(alone, payloads, strict=True))
+    assert all((a == b).all() for a, b in zip(W.decode_many(media), alone, strict=True))
+    assert W.store_many(payloads[:5]) == media[:5] and W.store_many(payloads[::-1]) == media[::-1]  # equal texts, equal files, whatever stands beside them
+
+
+def test_stored_pictures_use_references_codes_and_the_cache(monkeypatch):
+    seen = {"reference": 0, "cache": 0, "literal": 0, "lengths": set()}
+    read = W.Rows.read
+
+    def spy(self, row, bits):
+        symbol, n = read(self, row, bits)
+        if self.length.shape[1] > 256:
+            seen["reference"] += int(((symbol >= 256) & (symbol < 280)).sum())
+            seen["cache"] += int((symbol >= 280).sum())
+            seen["literal"] += int((symbol < 256).sum())
+            seen["lengths"] |= set(n.tolist())
+        return symbol, n
+
+    monkeypatch.setattr(W.Rows, "read", spy)
+    payloads = [np.concatenate(list(texts(12))) for _ in range(130)]
+    media = W.store_many(payloads)
+    W.decode_many(media)
+    assert min(seen["reference"], seen["cache"], seen["literal"]) > 500 and len(seen["lengths"]) > 5
+    assert sum(map(len, media)) < 0.6 * sum(map(len, payloads))
+
+
+def test_pictures_of_any_kind_read_side_by_side():
+    few = rng.integers(0, 256, (6, 4)).astype(np.uint8)
+    made = []
+    for k in range(120):
+        px = few[rng.integers(0, 6, (3 + k % 7, 5 + k % 11))]
+        side = rng.integers(0, 256, (-(-px.shape[0] // 8), -(-px.shape[1] // 8), 4)).astype(np.uint8)
+        kinds = [[], [(W.SUBTRACT_GREEN, None, 0)], [(W.CROSS, side, 3)], [(W.PREDICTOR, side % 14, 3)]]
+        made.append(W.encode_tokens(px, px.shape[1], kinds[k % 4], cache_bits=(0, 4, 9)[k % 3]))
+    assert all((a == W.decode(f)).all() for a, f in zip(W.decode_many(made), made, strict=True))
+
+
+def test_rows_of_codes():
+    counts = rng.integers(0, 40, (50, 300)) * (rng.random((50, 300)) < 0.3)
+    counts[0], counts[0, :2], counts[1] = 0, [1, 1 << 20], 0
+    counts[1, 7], counts[2] = 5, 1 << np.minimum(np.arange(300), 40)
+    n = W.fit_rows(counts)
+    assert ((n > 0) == (counts > 0)).all() and n.max() <= 15
+    for k in range(50):
+        if k != 1:
+            assert (1 << (15 - n[k][n[k] > 0])).sum() == 1 << 15
+            assert (n[k] * counts[k]).sum() <= 1.1 * (W.fit(counts[k]) * counts[k]).sum() + 8
+        assert (W.spell_rows(n)[k][n[k] > 0] == W.spell(n[k])[n[k] > 0]).all()
 
 
 def test_tall_payload_becomes_several_files():
@@ -112,4 +173,8 @@ def test_damage_is_an_error():
     with pytest.raises(ValueError):
         W.decode(b"RIFFxxxxWEBQ")
     with pytest.raises(ValueError):
-        W.decode(W.encode_flat(np.zeros((4, 64, 3), np.uint8))[:200])
+        W.decode(W.encode(rng.integers(0, 256, (4, 64, 3)).astype(np.uint8))[:200])
+    media = W.store_many(list(texts(120)))
+    for cut in (200, 60, 30):
+        with pytest.raises(ValueError):
+            W.decode_many([*media[:-1], media[50][:cut]])
