@@ -130,21 +130,23 @@ def convert_flat(spark, sf):
     return T.convert_flat(b).select("entry_id", "text")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000)")
 def not_imported(spark, sf):
-    return T.not_imported(read(spark, sf, "customer").select("c_custkey"), read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    marker = read(spark, sf, "orders").where("o_orderstatus = 'F' and o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey"))
+    return T.not_imported(read(spark, sf, "customer").select("c_custkey"), marker, "c_custkey")
 
 
-@query("SELECT lang AS dictionary, CASE lang WHEN 'en' THEN 'en,ja,zh-tw' WHEN 'fr' THEN 'de,en,ja,ko,zh-cn,zh-tw' END AS accepted, string_agg(DISTINCT source, ',' ORDER BY source) AS observed FROM documents WHERE lang IN ('en', 'fr') GROUP BY lang")
+@query("SELECT lang AS dictionary, CASE lang WHEN 'en' THEN 'en,ja,zh-tw' ELSE 'de,en,ja,ko,zh-cn,zh-tw' END AS accepted, string_agg(DISTINCT source, ',' ORDER BY source) AS observed FROM documents WHERE lang IS NOT NULL GROUP BY lang")
 def dictionary_meta(spark, sf):
-    d = read(spark, sf, "documents").where("lang in ('en', 'fr')").select(F.col("lang").alias("dictionary"), F.col("source").alias("lang"))
-    return S.dictionary_meta(d, {"en": R.EXPLAINED_IN["en"], "fr": R.EXPLAINED_IN["ja"]})
+    d = read(spark, sf, "documents").where("lang is not null").select(F.col("lang").alias("dictionary"), F.col("source").alias("lang"))
+    langs = [r[0] for r in d.select("dictionary").distinct().collect()]  # a few languages
+    return S.dictionary_meta(d, {x: R.EXPLAINED_IN["en" if x == "en" else "ja"] for x in langs})
 
 
-@query("SELECT string_agg(DISTINCT n_name, '; ' ORDER BY n_name) AS attribution FROM nation WHERE n_regionkey = 2")
+@query("SELECT string_agg(DISTINCT n, '; ' ORDER BY n) AS attribution FROM (SELECT c_mktsegment || ' ' || c_nationkey AS n FROM customer WHERE c_custkey % 3 = 2)")
 def pack_attribution(spark, sf):
-    n = read(spark, sf, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("lang"), F.col("n_name").alias("attribution"))
-    return P.pack_attribution(n, "2")
+    name = F.concat_ws(" ", "c_mktsegment", F.col("c_nationkey").cast("string"))
+    return P.pack_attribution(read(spark, sf, "customer").select(name.alias("name"), (F.col("c_custkey") % 3).cast("string").alias("lang"), name.alias("attribution")), "2")
 
 
 @query(f"WITH {EVIDENCE} SELECT word AS headword, count(*)::BIGINT AS records, count(*) FILTER (WHERE ordinal % 2 = 0)::BIGINT AS with_second FROM (SELECT DISTINCT ordinal, word FROM tr) GROUP BY 1")

@@ -119,13 +119,17 @@ def lookup_english(spark, sf):
     return L.lookup_english(tokens(spark, sf).withColumnRenamed("surface", "query"), _terms(spark, sf), _term_senses(spark, sf), "en")
 
 
-@query(f"WITH {LEMMAS}, picked AS (SELECT conv_id, turn, role, surface FROM (SELECT conv_id, turn, role, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM conversations) c, LATERAL (SELECT w[1] AS surface) WHERE surface IS NOT NULL) SELECT conv_id, turn, p.role, p.surface AS query, CASE WHEN length(lemma) % 3 <> 0 THEN 'e_' || lemma END AS entry_id, '' AS alternatives FROM picked p LEFT JOIN lemmas USING (surface)")
+@query(f"WITH {LEMMAS}, asked AS (SELECT conv_id, turn, role, generate_subscripts(w, 1) - 1 AS place, unnest(w) AS surface FROM (SELECT conv_id, turn, role, regexp_split_to_array(lower(text), '[^\\p{{L}}]+') AS w FROM conversations)), ends AS (SELECT *, surface || 'zz' AS query, CASE WHEN place % 2 = 0 THEN surface END AS lemma_given FROM asked WHERE surface <> '') SELECT conv_id, turn, role, place, CASE WHEN place % 3 = 0 THEN query ELSE e.surface END AS query, CASE WHEN place % 3 <> 0 OR place % 2 = 0 THEN CASE WHEN length(l.lemma) % 3 <> 0 THEN 'e_' || l.lemma END END AS entry_id, '' AS alternatives FROM ends e LEFT JOIN lemmas l ON l.surface = e.surface")
 def lookup_batch(spark, sf):
-    """One answer per conversation turn, for its first word; misses stay null, repeats repeat."""
-    req = read(spark, sf, "conversations").select("conv_id", "turn", "role", F.get(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != ""), F.lit(0)).alias("query")).where("query is not null")
-    req = req.withColumn("request_no", F.struct("conv_id", "turn", "role")).withColumn("lemma", F.lit(None).cast("string"))
-    hits = L.lookup_english(req.select("query").join(tokens(spark, sf).withColumnRenamed("surface", "query"), "query", "left_semi"), _terms(spark, sf), _term_senses(spark, sf), "en").withColumn("place", F.lit(1))
-    return L.lookup_batch(req, hits).select("request_no.conv_id", "request_no.turn", "request_no.role", "query", "entry_id", "alternatives")
+    """One answer for every word of every turn; each third word is asked misspelled, half of those with their lemma. Misses stay null, repeats repeat."""
+    req = read(spark, sf, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("place", "word")).where("word <> ''")
+    wrong = F.col("place") % 3 == 0
+    req = req.select("conv_id", "turn", "role", "place", F.when(wrong, F.concat("word", F.lit("zz"))).otherwise(F.col("word")).alias("query"), F.when(F.col("place") % 2 == 0, F.col("word")).alias("lemma"))
+    req = req.withColumn("request_no", F.struct("conv_id", "turn", "role", "place"))
+    asked = req.select("query").unionByName(req.where("lemma is not null").select(F.col("lemma").alias("query"))).distinct()
+    known = tokens(spark, sf).withColumnRenamed("surface", "query")
+    hits = L.lookup_english(asked.join(known, "query", "left_semi"), _terms(spark, sf), _term_senses(spark, sf), "en").withColumn("place", F.lit(1))
+    return L.lookup_batch(req, hits).select("request_no.conv_id", "request_no.turn", "request_no.role", "request_no.place", "query", "entry_id", "alternatives")
 
 
 @query(f"WITH {LEMMAS} SELECT surface AS headword, term AS base FROM (SELECT surface, arg_min(term, rank) AS term FROM tried JOIN lexicon USING (term) WHERE rank > 1 GROUP BY surface)")
@@ -133,9 +137,10 @@ def inflected_proposals(spark, sf):
     return L.inflected_proposals(tokens(spark, sf).withColumnRenamed("surface", "headword"), lexicon(spark, sf), X.english_lemma_candidates(F.col("headword")))
 
 
-@query(f"WITH {COUNTED} SELECT count(*) AS terms, count(*) FILTER (WHERE n = 1) AS single, round(count(*) FILTER (WHERE n = 1) / count(*), 9) AS share FROM (SELECT left(term, 4) AS stem, count(DISTINCT term) AS n FROM counted GROUP BY 1)")
+@query("SELECT count(*) AS terms, count(*) FILTER (WHERE n = 1) AS single, round(count(*) FILTER (WHERE n = 1) / count(*), 9) AS share FROM (SELECT t, count(DISTINCT source) AS n FROM (SELECT source, unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS t FROM documents) WHERE t <> '' GROUP BY t)")
 def single_entry_share(spark, sf):
-    terms = tokens(spark, sf).select(F.substring("surface", 1, 4).alias("term"), F.col("surface").alias("entry_id"))
+    """Words as terms, the sources that use them as entries."""
+    terms = read(spark, sf, "documents").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("term"), F.col("source").alias("entry_id")).where("term <> ''")
     return S.single_entry_share(terms).withColumn("share", F.round("share", 9))
 
 
@@ -144,14 +149,16 @@ def single_entry_share(spark, sf):
 STEMS = ["食べ", "書か", "読み", "見", "話し", "高", "行っ", "飲ん", "泳い", "知っ", "買わ", "待た"]
 ENDS = ["ました", "ない", "た", "て", "られる", "くなかった", "ます", "だ", "って", "んだ", "なかった", "られました", "る", ""]
 _VALUES = ", ".join(f"({i}, '{s}', '{r}', '{w}')" for i, s, r, w in R.japanese_suffixes())
-SURFACES = f"surfaces AS (SELECT DISTINCT [{', '.join(repr(s) for s in STEMS)}][1 + o_orderkey % {len(STEMS)}] || [{', '.join(repr(s) for s in ENDS)}][1 + (o_orderkey // 12 + o_custkey) % {len(ENDS)}] AS query FROM orders)"
+SURFACES = f"{COUNTED}, surfaces AS (SELECT term || [{', '.join(repr(s) for s in ENDS)}][1 + length(term) % {len(ENDS)}] AS query FROM counted UNION SELECT [{', '.join(repr(s) for s in STEMS)}][1 + o_orderkey % {len(STEMS)}] || [{', '.join(repr(s) for s in ENDS)}][1 + (o_orderkey // 12 + o_custkey) % {len(ENDS)}] AS query FROM orders)"
 BENT = f"jrules(ord, suffix, repl, reason) AS (VALUES {_VALUES}), bent AS (SELECT query, left(query, length(query) - length(suffix)) || repl AS term, ord, reason FROM surfaces JOIN jrules ON ends_with(query, suffix) AND length(query) > length(suffix)), bent2 AS (SELECT query, term, min(ord) AS ord, arg_min(reason, ord) AS reason, array_to_string(list_distinct(list(reason ORDER BY ord)), '') AS any_reason, bool_or(reason LIKE '%potential%' OR reason LIKE '%passive%') AS low FROM bent WHERE term <> query GROUP BY query, term)"
 
 
 def surfaces(spark, sf):
+    """The words of all documents, and stems by the orders' keys, with Japanese endings."""
     pick = lambda items, i: F.element_at(F.array(*map(F.lit, items)), i.cast("int"))
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    return read(spark, sf, "orders").select(F.concat(pick(STEMS, 1 + k % len(STEMS)), pick(ENDS, 1 + (F.floor(k / 12) + c) % len(ENDS))).alias("query")).distinct()
+    ordered = read(spark, sf, "orders").select(F.concat(pick(STEMS, 1 + k % len(STEMS)), pick(ENDS, 1 + (F.floor(k / 12) + c) % len(ENDS))).alias("query"))
+    return tokens(spark, sf).select(F.concat("surface", pick(ENDS, 1 + F.length("surface") % len(ENDS))).alias("query")).unionByName(ordered).distinct()
 
 
 @query(f"WITH {SURFACES}, {BENT} SELECT query, term, reason, CASE WHEN low THEN 20 ELSE 10 END AS rank FROM bent2")
@@ -566,7 +573,9 @@ def match_single_sense(spark, sf):
     return L.match_single_sense(c.select(F.col("term").alias("word")), c, s)
 
 
-@query("SELECT conv_id, turn, role, contains(text, 'sh') AS any_term FROM conversations")
+@query("SELECT conv_id, turn, role, array_to_string(list_filter(range(length(text)), lambda i: substr(text, (i + 1)::BIGINT, 2) = 'sh' AND substr(text, (i + 1)::BIGINT, 3) <> 'she'), ',') AS places FROM conversations")
 def regional_terms(spark, sf):
+    """All places of a term but those where an allowed text stands."""
     c = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    return G.find_regional_terms(c, "text", [{"term": "sh", "replacement": "s"}]).select("conv_id", "turn", "role", (F.size("regional") > 0).alias("any_term"))
+    found = G.find_regional_terms(c, "text", [{"term": "sh", "replacement": "s", "allowed": ["she"]}])
+    return found.select("conv_id", "turn", "role", F.array_join(F.transform("regional", lambda x: x["index"].cast("string")), ",").alias("places"))
