@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +14,14 @@ BROADCAST_ROWS = 200_000
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable copy in the cluster's shared folder, so a lost executor costs no earlier work.
 
-    The folder is spark.checkpoint.dir; only where that is unset (as in tests) a temporary one is used."""
+    The folder is spark.checkpoint.dir; only where that is unset and all of Spark is one local process (as in tests) a
+    temporary one is used, as no other machine has to reach it."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         where = context.getConf().get("spark.checkpoint.dir")
         if not where:
+            if not re.fullmatch(r"local(\[[^,\]]*(,\s*\d+)?\])?", context.master):
+                raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all machines share")
             import tempfile
 
             where = tempfile.mkdtemp(prefix="spark-checkpoint-")
