@@ -60,10 +60,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each written to the cluster's shared folder and read again; what a stage has read then goes."""
     docs = table(spark, sf_dir, "documents")
     checkpoint(spark.range(1))  # makes sure that a shared folder is set
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    folder = f"{context._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    last = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if last:
+            old = context._jvm.org.apache.hadoop.fs.Path(last)
+            old.getFileSystem(context._jsc.hadoopConfiguration()).delete(old, True)
+        last = path
     return docs
