@@ -197,3 +197,75 @@ def test_every_query_with_sql_is_registered():
     from glossmill.plans import registry
 
     assert set(registry.oracle_sql()) <= set(registry.queries()) and len(registry.queries()) > 80
+
+
+def test_related_headwords(spark):
+    from glossmill.operators import lookup as L
+
+    rows = [("食べる", "食べました", None), ("学校", "校舎", None), ("猫", "いぬ", " "), ("ねこ", "x", "ねこ"), ("ねこ", None, None)]
+    df = spark.createDataFrame(rows, "headword string, query string, lemma string")
+    got = df.select(L.related_headword(F.col("headword"), [F.col("query"), F.col("lemma")], "ja")).collect()
+    assert [r[0] for r in got] == [True, True, False, True, False]
+
+
+def test_first_support_wins_by_ordinal(spark):
+    from glossmill.operators import evidence as E
+
+    rows = spark.createDataFrame([("bank", "銀行", "ja", "ja", []), ("bank", "岸", "zh", "zh", [])], "word string, term string, lang string, code string, qualifiers array<string>")
+    ja = spark.createDataFrame([("銀行", "late", 7), ("銀行", "zz first", 2)], "term string, support string, ordinal int").repartition(2)
+    tw = spark.createDataFrame([(" Bank", "岸", "b", 5), ("bank", "岸 ", "c", 1)], "english string, chinese string, support string, ordinal int").repartition(2)
+    got = {r.term: (r.support, r.taiwan_support, r.locale) for r in E.corroborate(rows, ja, tw).collect()}
+    assert got == {"銀行": ("zz first", False, "ja"), "岸": ("c", True, "zh-tw")}
+
+
+def test_checksums_in_blocks_and_manifest(spark, tmp_path, monkeypatch):
+    import hashlib
+    import json
+
+    from glossmill.operators import release as P
+    from glossmill.operators import stats as S
+    from glossmill.sources import files as I
+
+    for k in range(3):
+        (tmp_path / f"f{k}").write_bytes(bytes([k]) * (1000 * k + 1))
+    want = {f"f{k}": hashlib.sha256(bytes([k]) * (1000 * k + 1)).hexdigest() for k in range(3)}
+    for most in (1 << 30, 1500):  # beyond, files go block by block
+        monkeypatch.setattr(I, "WHOLE_BYTES", most)
+        assert {r.file: r.sha256 for r in I.file_checksums(spark, f"{tmp_path}/f*").collect()} == want
+    assert I.sha256_in_blocks(f"file:{tmp_path}/f2", 100) == want["f2"]
+    senses = spark.createDataFrame([(1, 1, "en"), (2, 1, "ja")], "sense_id int, entry_id int, lang string")
+    empty = spark.createDataFrame([], "sense_id int")
+    P.write_manifest(f"{tmp_path}/m", S.language_coverage(senses, empty, empty), {"senses": senses}, spark.createDataFrame([("b",), ("a",)], "name string"), I.file_checksums(spark, f"{tmp_path}/f*"), {"schema": "2"})
+    got = json.loads(spark.read.text(f"{tmp_path}/m").collect()[0][0])
+    assert got["schema"] == "2" and got["rows"] == {"senses": 2} and set(got["coverage"]) == {"en", "ja"} and [a["file"] for a in got["artifacts"]] == ["f0", "f1", "f2"] and [x["name"] for x in got["sources"]] == ["a", "b"]
+    counts = S.import_stats(spark.createDataFrame([("secondary", "imported")], "stage string, outcome string"), {"secondary": S.STAGES["secondary"]})
+    assert {(r.outcome, r.n) for r in counts.collect()} == {("imported", 1), ("dropped", 0)}
+
+
+def test_graft_keeps_one_group_and_does_nothing_for_equal_versions(spark):
+    from glossmill.operators import retain as T
+
+    entries = spark.createDataFrame([("g1", "generated", "a"), ("g2", "generated", "b"), ("g3", "generated", "c")], "entry_id string, source string, term string")
+    sense = "sense_id string, entry_id string, lang string, position int, generation_id string"
+    senses = spark.createDataFrame([("s1", "g1", "en", 1, "x"), ("s2", "g2", "en", 1, "x"), ("s3", "g3", "en", 1, "x"), ("s4", "g2", "ja", 1, "x")], sense)
+    text = "sense_id string, position int, text string"
+    glosses = spark.createDataFrame([(f"s{k}", 1, f"own {k}") for k in range(1, 5)], text)
+    examples = spark.createDataFrame([("s2", 1, "gone", "generated", "x"), ("s4", 1, "stays", "generated", "x")], text + ", source string, generation_id string")
+    release = {"entries": spark.createDataFrame([("r", "jmdict", "a"), ("r", "jmdict", "b")], "entry_id string, source string, term string"), "senses": spark.createDataFrame([("r1", "r", "de", 1, None)], sense), "glosses": spark.createDataFrame([("r1", 1, "theirs")], text), "examples": examples.where("false")}
+    production = {"entries": entries, "senses": senses, "glosses": glosses, "examples": examples}
+    out = T.graft_tables(production, release, ("1", "2"))
+    ids = lambda name: sorted(r[0] for r in out[name].select("entry_id" if name == "entries" else "sense_id").collect())
+    assert ids("entries") == ["g3", "r", "r"] and ids("senses") == ["r1", "s1", "s3", "s4"] and ids("glosses") == ["r1", "s1", "s3", "s4"] and ids("examples") == ["s4"]
+    assert {r.sense_id: r.entry_id for r in out["senses"].collect()} == {"r1": "r", "s1": "r", "s3": "g3", "s4": "r"}
+    assert T.graft_tables(production, release, ("2", "2")) is production
+
+
+def test_evidence_totals_stop_with_the_cap(spark):
+    from glossmill.operators import evidence as E
+
+    entries = spark.createDataFrame([(k, "w", "en" if k != 1 else "de") for k in range(6)], "ordinal int, word string, lang_code string")
+    rows = spark.createDataFrame([(0, None), (0, None), (0, "bad"), (2, None), (3, None), (3, None), (5, None)], "ordinal int, rejection string")
+    one = lambda **caps: tuple(E.evidence_totals(entries, rows, **caps).first())
+    assert one() == (6, 5, 4, 6, False)
+    assert one(total=3) == (6, 3, 2, 3, True)
+    assert one(per_entry=1) == (6, 5, 4, 4, False)
