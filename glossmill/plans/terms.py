@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import evidence as E
 from ..operators import lookup as L
+from ..operators import merge as M
 from ..operators import order as O
 from ..operators import release as P
 from ..operators import retain as T
 from ..operators import stats as S
 from ..operators import validate as V
 from ..sources import files as I
+from ..streaming import evidence as ST
 from .registry import ENTRIES, EVIDENCE, FORMS, LEMMAS, RANKED, SENSES, SURFACES, BENT, evidence_entries, examples, forms, glosses, ja_entries, lexicon, prod, query, read, rel, senses, surfaces, tokens
 
 
@@ -367,3 +369,36 @@ def metadata_rows(spark, sf):
     counts = {f"nation{r[0]}": r[1] for r in read(spark, sf, "supplier").groupBy("s_nationkey").count().collect()}  # as many as there are nations
     m = I.build_metadata(spark, counts)
     return m.select(F.substring("key", 7, 9).cast("long").alias("n"), "key", F.col("value").cast("long").alias("value"))
+
+
+@query(f"WITH {SENSES}, r AS (SELECT s_suppkey AS ordinal, s_suppkey * 3 AS sense_id, ['ko', 'en', 'fr'][1 + s_suppkey % 3] AS lang FROM supplier), j AS (SELECT r.*, s.entry_id FROM r JOIN senses s USING (sense_id) WHERE r.lang <> 'fr' AND NOT EXISTS (SELECT 1 FROM senses h WHERE h.entry_id = s.entry_id AND h.lang = r.lang)) SELECT sense_id, entry_id, lang, 1 AS position, 'g' || ordinal AS text FROM j UNION ALL SELECT sense_id, entry_id, lang, 2, 'second' FROM j WHERE ordinal % 2 = 0")
+def attached_legacy_glosses(spark, sf):
+    """The glosses that come in: blank ones are passed over, and the places of the others close up."""
+    k = F.col("s_suppkey")
+    given = F.array(F.concat(F.lit("g"), k.cast("string")), F.lit("  "), F.when(k % 2 == 0, F.lit("second")))
+    rows = read(spark, sf, "supplier").select(k.alias("ordinal"), (k * 3).alias("sense_id"), pick(["ko", "en", "fr"], 1 + k % 3).alias("lang"), given.alias("glosses"))
+    return M.attach_legacy_glosses(rows, senses(spark, sf), ["en", "ko", "ja"])[0].select("sense_id", "entry_id", "lang", "position", "text")
+
+
+@query(f"WITH {EVIDENCE} SELECT word, term, lang, scope, ambiguity::INT AS ambiguity, rejection, count(*) AS n FROM rej GROUP BY ALL")
+def stream_evidence(spark, sf):
+    """The evidence filter as a stream over the dump's files, as far as they are there now, into a table."""
+    path = folder(spark, "stream")
+    evidence_entries(spark, sf).drop("ordinal").write.json(f"{path}/in")
+    rows = ST.stream_evidence(ST.read_stream(spark, f"{path}/in", 16), "wiktionary", "en", "v1")
+    job = rows.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return spark.read.parquet(f"{path}/out").groupBy("word", "term", "lang", "scope", F.size("ambiguity").alias("ambiguity"), "rejection").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_brand || ':' || p_partkey AS id, p_name AS kana, p_type AS gloss, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS ordinal FROM part")
+def lexicon_round_trip(spark, sf):
+    """A lexicon document for each brand of parts, its words in key order, read back."""
+    path = folder(spark, "lexicon")
+    gloss = F.struct(F.lit("eng").alias("lang"), F.col("p_type").alias("text"))
+    word = F.struct(F.concat_ws(":", "p_brand", F.col("p_partkey").cast("string")).alias("id"), F.array(F.struct(F.col("p_name").alias("text"), F.lit(True).alias("common"))).alias("kana"), F.array(F.struct(F.array(gloss).alias("gloss"))).alias("sense"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", word.alias("w")))), lambda x: x["w"])
+    docs = read(spark, sf, "part").groupBy("p_brand").agg(listed.alias("words"))  # the format has all words of a document in one value
+    docs.repartition("p_brand").select(F.to_json(F.struct(F.lit("1").alias("version"), "words")).alias("value"), F.translate("p_brand", "#", "_").alias("b")).write.partitionBy("b").text(path)
+    words, _ = I.read_lexicon_json(spark, f"{path}/b=*/*.txt")
+    return words.select("id", F.col("kana")[0]["text"].alias("kana"), F.col("sense")[0]["gloss"][0]["text"].alias("gloss"), F.col("ordinal").cast("long").alias("ordinal"))
