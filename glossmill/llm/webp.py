@@ -974,8 +974,16 @@ def encode_many(payloads: list[np.ndarray]) -> list[bytes]:
     keep = np.flatnonzero(size > 0)
     order = keep[np.argsort(who[keep] * 16 + section[keep], kind="stable")]
     value, size = value[order], size[order]
-    step = (np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint8)
-    data = np.packbits((np.repeat(value, size) >> step & 1).astype(np.uint8), bitorder="little").tobytes()
+    # no part has more than 36 bits, so one begins in every word of 64, and at most one reaches into the next
+    begin = np.cumsum(size) - size
+    word, shift = begin >> 6, (begin & 63).astype(np.uint64)
+    part = value.astype(np.uint64)
+    data = np.zeros(int(word[-1]) + 2, np.uint64)
+    new = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    data[word[new]] = np.bitwise_or.reduceat(part << shift, new)
+    over = np.flatnonzero((begin & 63) + size > 64)
+    data[word[over] + 1] |= part[over] >> (np.uint64(64) - shift[over])
+    data = data.tobytes()
     cut = np.concatenate([[0], np.cumsum((total + 7) // 8)]).tolist()
     return [_file(data[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
@@ -995,30 +1003,34 @@ class Rows:
             raise ValueError("not a complete prefix code")
         self.symbols = order
         lone = np.flatnonzero(used == 1)
-        entry = np.where((n > 0) & (n <= self.SHORT), (order + 1) << 4 | n, 0)
-        wide = np.where(entry > 0, 1 << np.maximum(self.SHORT - n, 0), 0)
-        entry[lone], wide[lone] = 0, 0
-        entry[lone, 0], wide[lone, 0] = (order[lone, 0] + 1) << 4, 1 << self.SHORT
+        top = int(used.max())
+        n, order, most = n[:, :top], order[:, :top], int(n.max())
+        self.bits = bits = min(self.SHORT, 0 if len(lone) == len(length) else most)
+        entry, wide = order << 4 | n, np.where((n > 0) & (n <= bits), 1 << np.maximum(bits - n, 0), 0)
+        entry[lone, 0], wide[lone] = order[lone, 0] << 4, 0
+        wide[lone, 0] = 1 << bits
         total = wide.sum(axis=1)
-        table = np.zeros((len(length), 1 << self.SHORT), np.int32)
-        table.ravel()[np.repeat(np.arange(len(length)) << self.SHORT, total) + np.arange(int(total.sum())) - np.repeat(np.cumsum(total) - total, total)] = np.repeat(entry.ravel(), wide.ravel())
-        #: By row and the next SHORT bits, first bit lowest: symbol plus one and length, or 0 if the code is longer.
-        self.table = table[:, REVERSED15[: 1 << self.SHORT] >> (15 - self.SHORT)].ravel()
+        #: By row and the next bits, first bit lowest: symbol and length, or -1 if the code is longer.
+        self.table = np.full(len(length) << bits, -1, np.int32)
+        place = np.arange(int(total.sum())) - np.repeat(np.cumsum(total) - total, total)
+        self.table[np.repeat(np.arange(len(length)) << bits, total) | REVERSED15[place] >> (15 - bits)] = np.repeat(entry.ravel(), wide.ravel())
+        self.free, self.long = len(lone) == len(length), most > bits and len(lone) < len(length)
+        if not self.long:
+            return
         count = np.stack([(length == k).sum(axis=1) for k in range(1, 16)], axis=1)
         self.beyond = np.cumsum(count << (14 - np.arange(15)), axis=1)
         self.begin = self.beyond - (count << (14 - np.arange(15)))
         self.place = np.cumsum(count, axis=1) - count
-        self.free = len(lone) == len(length)
-
-    def read(self, row: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols and lengths of the codes at the start of some bits."""
-        e = self.table.take((row << self.SHORT) | (bits & np.uint64((1 << self.SHORT) - 1)).astype(np.int64)).astype(np.int64)
-        if not e.all():
-            far = np.flatnonzero(e == 0)
-            r, c = row[far], REVERSED15[(bits[far] & np.uint64(32767)).astype(np.int64)]
+
+    def read(self, row: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Symbols and, in the lowest four bits, lengths of the codes at the start of some bits."""
+        e = self.table.take((row << self.bits) | (bits & ((1 << self.bits) - 1)))
+        if self.long and e.min() < 0:
+            far = np.flatnonzero(e < 0)
+            r, c = row[far], REVERSED15[bits[far] & 32767]
             k = np.minimum((self.beyond[r] <= c[:, None]).sum(axis=1), 14)
-            e[far] = (self.symbols[r, np.minimum(self.place[r, k] + ((c - self.begin[r, k]) >> (14 - k)), self.symbols.shape[1] - 1)] + 1) << 4 | (k + 1)
-        return (e >> 4) - 1, e & 15
+            e[far] = self.symbols[r, np.minimum(self.place[r, k] + ((c - self.begin[r, k]) >> (14 - k)), self.symbols.shape[1] - 1)] << 4 | (k + 1)
+        return e
 
     def code(self, row: int) -> Code:
         at = np.flatnonzero(self.length[row])
@@ -1047,16 +1059,17 @@ def decode_many(pictures: list[bytes]) -> list[np.ndarray]:
         return out
     streams = [h[1][0].data for h in heads]
     begin = np.cumsum([0] + [len(x) + 16 for x in streams])
-    words = np.ndarray((int(begin[-1]),), "<u8", b"".join(x + bytes(16) for x in streams) + bytes(8), strides=(1,))
+    # signed, as only low bits are looked at and what is shifted in from above never gets there
+    words = np.ndarray((int(begin[-1]),), "<i8", b"".join(x + bytes(16) for x in streams) + bytes(8), strides=(1,))
     at = np.array([h[1][0].at for h in heads]) + 8 * begin[:-1]
     stop = 8 * (begin[1:] - 16)
     cache = np.array([h[2] for h in heads])
     size = np.array([h[3] for h in heads])
     wide = np.array([h[1][3] for h in heads])
-    look = lambda p: words[p >> 3] >> (p & 7).astype(np.uint64)
+    look = lambda p: words[p >> 3] >> (p & 7)
 
     def take(on: np.ndarray, n: np.ndarray | int) -> np.ndarray:
-        v = (look(at[on]) & ((np.uint64(1) << np.asarray(n).astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+        v = look(at[on]) & ((np.int64(1) << n) - 1)
         at[on] += n
         return v
 
@@ -1086,8 +1099,9 @@ def decode_many(pictures: list[bytes]) -> list[np.ndarray]:
         runs = []
         most = alphabet[on]
         while len(live):
-            symbol, n = code.read(live, look(at[on[live]]))
-            at[on[live]] += n
+            e = code.read(live, look(at[on[live]]))
+            at[on[live]] += e & 15
+            symbol = e >> 4
             extra = np.where(symbol < 16, 0, np.where(symbol == 16, 2, np.where(symbol == 17, 3, 7)))
             repeat = np.where(symbol < 16, 1, np.where(symbol == 18, 11, 3) + take(on[live], extra))
             plain = (symbol < 16) & (symbol > 0)
@@ -1108,71 +1122,95 @@ def decode_many(pictures: list[bytes]) -> list[np.ndarray]:
     green, red, blue, alpha, far = (Rows(lengths(a)) for a in (280 + np.where(cache > 0, 1 << cache, 0), *[np.full(len(heads), 256)] * 3, np.full(len(heads), 40)))
     offset = np.cumsum(size) - size
     pixels = np.zeros(int(size.sum()), np.uint32)
-    slots = np.zeros((len(heads), 1 << int(cache.max())), np.uint32)
-    shift = np.uint64(32) - cache.astype(np.uint64)
-    done = np.zeros(len(heads), np.int64)
-    near = np.array(NEAR)
+    most = int(cache.max())
+    slots = np.zeros(len(heads) << most, np.uint32)
+    shift = 32 - cache
+    solid = (alpha.symbols[:, 0] << 24).astype(np.uint32) if alpha.free else None
+    dx, dy = np.array(NEAR).T
+    place = offset.copy()  # of the next pixel
+    until = offset + size
     live = np.arange(len(heads))
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []  # rows that have read the length code of a back-reference
+    held = 0
 
     def remember(row: np.ndarray, v: np.ndarray) -> None:
-        slots[row, ((v.astype(np.uint64) * np.uint64(0x1E35A7BD) & np.uint64(0xFFFFFFFF)) >> shift[row]).astype(np.int64)] = v
-
-    caching = bool(cache.any())
-    while len(live) >= ALONE:
-        bits = look(at[live])
-        s, n = green.read(live, bits)
-        at[live] += n
-        lit = np.flatnonzero(s < 256)
-        if len(lit):
+        slots[(row << most) | ((v.astype(np.int64) * 0x1E35A7BD & 0xFFFFFFFF) >> shift[row])] = v
+
+    def number(row: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+        n = np.maximum((prefix - 2) >> 1, 0) * (prefix >= 4)
+        return np.where(prefix < 4, prefix, (2 + (prefix & 1)) << n) + take(row, n) + 1
+
+    def refer() -> np.ndarray:
+        """The back-references of all rows that wait."""
+        row, length = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        length = number(row, length)
+        e = far.read(row, look(at[row]))
+        at[row] += e & 15
+        code = number(row, e >> 4)
+        close = np.minimum(code, 120) - 1
+        back = np.where(code > 120, code - 120, np.maximum(1, dx[close] + dy[close] * wide[row]))
+        to = place[row]
+        if (back > to - offset[row]).any() or (to + length > until[row]).any():
+            raise ValueError("a back-reference leaves the picture")
+        of = np.repeat(np.arange(len(row)), length)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length)
+        to = to[of] + k
+        v = pixels[to - k - back[of] + k % back[of]]
+        pixels[to] = v
+        if most:
+            remember(row[of], v)
+        place[row] += length
+        waiting.clear()
+        return row[place[row] < until[row]]
+
+    while len(live) + held >= ALONE:
+        if len(live):
+            bits = look(at[live])
+            g = green.read(live, bits)
+            at[live] += g & 15
+            s = g >> 4
+            lit = np.flatnonzero(s < 256)
             row = live[lit]
-            bits = bits[lit] >> n[lit].astype(np.uint64)
-            r, n1 = red.read(row, bits)
-            b, n2 = blue.read(row, bits >> n1.astype(np.uint64))
-            at[row] += n1 + n2
-            a, n3 = alpha.read(row, bits if alpha.free else look(at[row]))
-            at[row] += n3
-            v = (a.astype(np.uint32) << np.uint32(24)) | (r.astype(np.uint32) << np.uint32(16)) | (s[lit].astype(np.uint32) << np.uint32(8)) | b.astype(np.uint32)
-            pixels[offset[row] + done[row]] = v
-            if caching:
+            g, bits = g[lit], bits[lit]
+            bits = bits >> (g & 15)
+            r = red.read(row, bits)
+            b = blue.read(row, bits >> (r & 15))
+            at[row] += (r & 15) + (b & 15)
+            if solid is not None:
+                a = solid[row]
+            else:
+                e = alpha.read(row, look(at[row]))
+                at[row] += e & 15
+                a = (e >> 4 << 24).astype(np.uint32)
+            v = a | ((r >> 4 << 16) | (g >> 4 << 8) | (b >> 4)).astype(np.uint32)
+            rest = live
+            if len(lit) < len(live):
+                known = np.flatnonzero(s >= 280)
+                if len(known):
+                    old = live[known]
+                    row, v = np.concatenate([row, old]), np.concatenate([v, slots[(old << most) | (s[known] - 280)]])
+                if len(row) < len(live):
+                    ref = np.flatnonzero((s >= 256) & (s < 280))
+                    waiting.append((live[ref], s[ref].astype(np.int64) - 256))
+                    held += len(ref)
+                rest = row
+            pixels[place[row]] = v
+            if most:
                 remember(row, v)
-            done[row] += 1
-        known = np.flatnonzero(s >= 280)
-        if len(known):
-            row = live[known]
-            pixels[offset[row] + done[row]] = slots[row, s[known] - 280]
-            done[row] += 1
-        ref = np.flatnonzero((s >= 256) & (s < 280))
-        if len(ref):
-            row = live[ref]
-
-            def number(prefix: np.ndarray) -> np.ndarray:
-                n = np.where(prefix < 4, 0, (prefix - 2) >> 1)
-                return np.where(prefix < 4, prefix, (2 + (prefix & 1)) << n) + take(row, n) + 1  # noqa: B023
-
-            length = number(s[ref].astype(np.int64) - 256)
-            symbol, n = far.read(row, look(at[row]))
-            at[row] += n
-            code = number(symbol.astype(np.int64))
-            close = near[np.minimum(code, 120) - 1]
-            back = np.where(code > 120, code - 120, np.maximum(1, close[:, 0] + close[:, 1] * wide[row]))
-            if (back > done[row]).any() or (done[row] + length > size[row]).any():
-                raise ValueError("a back-reference leaves the picture")
-            of = np.repeat(np.arange(len(row)), length)
-            k = np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length)
-            to = (offset[row] + done[row])[of]
-            v = pixels[to - back[of] + k % back[of]]
-            pixels[to + k] = v
-            if caching:
-                remember(row[of], v)
-            done[row] += length
-        if (at[live] > stop[live]).any():
-            raise ValueError("the stream ends too early")
-        live = live[done[live] < size[live]]
+            place[row] += 1
+            if (at[row] > stop[row]).any():
+                raise ValueError("the stream ends too early")
+            live = rest[place[rest] < until[rest]]
+        if held and held >= len(live):
+            live, held = np.concatenate([live, refer()]), 0
+    if held:
+        live = np.concatenate([live, refer()])
+    done = place - offset
     for k in live.tolist():  # the largest ones go on alone
         reader, lo, n = heads[k][1][0], int(offset[k]), int(size[k])
         reader.at = int(at[k] - 8 * begin[k])
         mine = pixels[lo : lo + n].tolist()
-        _read_symbols(reader, [[c.code(k) for c in (green, red, blue, alpha, far)]], None, 0, int(wide[k]), mine, int(done[k]), slots[k].tolist(), int(cache[k]))
+        _read_symbols(reader, [[c.code(k) for c in (green, red, blue, alpha, far)]], None, 0, int(wide[k]), mine, int(done[k]), slots[k << most : (k + 1) << most].tolist(), int(cache[k]))
         pixels[lo : lo + n] = mine
     rgba = np.stack([pixels >> 16 & 255, pixels >> 8 & 255, pixels & 255, pixels >> 24], axis=1).astype(np.uint8)
     for (k, head, _, n), lo in zip(heads, offset.tolist(), strict=True):
