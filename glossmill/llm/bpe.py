@@ -6,7 +6,7 @@ continuations of the piece agree, so no state holds more bytes than a few token
 follow from one fact about merges by rank: the encoding of a prefix is the encoding of a shorter
 prefix and one more token, namely the only one that can stand next to that prefix's last token.
 
-Texts are cut into pieces by a pattern; pieces never merge with each other. The new pieces of some MB of
+Texts are cut into pieces by a pattern; pieces never merge with each other. The new pieces of two MB of
 text are read together, a byte of each at a time, with states and moves in arrays; long pieces are
 read alone. Decoding goes token by token through an incremental UTF-8 state machine, so that a code
 point may span tokens and chunks.
@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 #: Bytes, about, that a task keeps of cuts seen, of states that read one piece, of states that read many, and of token pairs; beyond, it starts anew.
-PIECE_BYTES, STATE_BYTES, MANY_BYTES, PAIR_BYTES = 48 << 20, 32 << 20, 120 << 20, 48 << 20
+PIECE_BYTES, STATE_BYTES, MANY_BYTES, PAIR_BYTES = 40 << 20, 16 << 20, 96 << 20, 32 << 20
 #: Characters of the longest cut that is kept.
 KEPT_CHARS = 64
 #: Bytes of the longest piece that is read together with others, and of pending bytes then.
 PIECE, PENDING = 48, 20
 #: Bytes of text whose pieces are read together.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Tokens decoded in one step of the stream.
 STREAM_TOKENS = 4096
 
@@ -387,10 +387,11 @@ class Many:
         row, tokens = self.back(self.last[ends], self.m[ends].astype(np.int64))
         tail = np.bincount(row, minlength=len(ends))
         flat = np.concatenate([self.sent, tokens])
-        count = np.concatenate([np.where(path >= 0, self.count[path], 0), tail[inverse][:, None]], axis=1)
-        at = np.concatenate([self.at[path], (len(self.sent) + np.cumsum(tail) - tail)[inverse][:, None]], axis=1)
+        count = np.concatenate([np.where(path >= 0, self.count[path], 0), tail[inverse][:, None]], axis=1, dtype=np.int32)
+        at = np.concatenate([self.at[path], (len(self.sent) + np.cumsum(tail) - tail)[inverse][:, None]], axis=1, dtype=np.int32)
         total = count.sum(axis=1)
-        count, at = count.ravel(), at.ravel()
+        some = np.flatnonzero(count)
+        count, at = count.ravel()[some], at.ravel()[some]
         ids = flat[np.arange(int(count.sum())) + np.repeat(at - np.cumsum(count) + count, count)].tolist()
         words, lo = self.words, 0
         out = [""] * len(by)
@@ -463,6 +464,7 @@ class Codec:
         self.transducer.pairs.clear()
         self.transducer.clear()
         self.many.clear()
+        K.release()
 
     def cuts(self, text: str) -> list[str]:
         """Each cut but the first with the space before it."""

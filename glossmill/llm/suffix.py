@@ -428,6 +428,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = found.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(share, "bucket long, pack long, a binary, hot binary").repartition(tasks, "pack")
 
     def send(texts: pa.Table, shared: pa.Table) -> pa.Table:
+        K.release()  # of the pack before
         p = Pack(texts, shared, buckets, bits)
         pack = texts["pack"][0].as_py() if texts.num_rows else 0
         cold = np.flatnonzero(~p.hot)
@@ -447,6 +448,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 9, kinds, strict=True)], names=names)
 
     def judge(sent: pa.Table) -> pa.Table:
+        K.release()
         doc = _joined(sent["doc"], np.int64)
         per = np.array([len(x) // 8 for x in sent["doc"].to_pylist()])
         of = np.repeat(np.arange(len(per)), per)
@@ -482,6 +484,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     schema = ", ".join(["id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string", *[f"carry_{k} {t}" for k, t in enumerate(kept)]])
 
     def cut(texts: pa.Table, told: pa.Table) -> pa.Table:
+        K.release()
         kind = np.array(told["kind"].to_pylist(), np.int64)
         pick = lambda k: told.take(pa.array(np.flatnonzero(kind == k)))
         p = Pack(texts, pick(2), buckets, bits)

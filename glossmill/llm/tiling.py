@@ -178,6 +178,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 cover.append(best[0])
                 count.append(best[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bool(x) for x in ids]), pa.array(ids, pa.list_(pa.int64())), pa.array(cover, pa.float64()), pa.array(count, pa.int64())], names=["id", "contaminated", "item_ids", "coverage", "n_tiles"])
+        K.release()
 
     judged = texts.join(listed, "row", "left").select("id", "text", "items").mapInArrow(judge, "id long, contaminated boolean, item_ids array<long>, coverage double, n_tiles long")
     return judged.withColumnRenamed("id", id_col)

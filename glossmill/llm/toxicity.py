@@ -319,6 +319,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         toxic = np.array([r[0] for r in got], np.float64)
         if toxic.any() and not toxic.all():
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[2] for r in got], toxic, steps))], pa.binary())], names=["model"])
+            K.release()
 
     made = texts.repartition(1).mapInArrow(run, "model binary").collect()  # at most one row
     return pickle.loads(made[0]["model"]) if made else None
@@ -344,6 +345,7 @@ def score_documents(docs: DataFrame, model: Model | None, id_col: str = "doc_id"
                 score[~np.isfinite(best)] = 0.0
                 own = [c.slice(lo, hi - lo) for c in batch.columns[:1] + batch.columns[2:]]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(count)], names=[*names, "score", "predicted", "n_windows"])
+        K.release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)])
     names = [c for c in rows.columns if c != "text"]

@@ -1255,6 +1255,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     payloads.append(payload)
                 media = store_many(payloads)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(off)), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
+        K.release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
