@@ -1,89 +1,141 @@
-"""The few checks that need to cut running text into words: regional terms and Japanese sentences.
+"""The checks that need running text cut into words: regional terms and Japanese sentences.
 
-Text is prefiltered by built-in expressions; only rows that may match reach the Arrow helper. As no
-word segmenter is at hand, words are the longest matches of the given word list, and boundaries are
-changes of script; what differs from a full segmenter is stated in the README.
+Texts are prefiltered by built-in expressions where that is cheap. In the Arrow helpers, terms are found by one pass of an
+automaton over the batch, whatever their number, and only rows with a term are cut into words, by the least costs
+of a lattice (lattice.py). Without a lattice the words of the policy or the headword itself are all that is known.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import rules as R
+from .lattice import LISTED, Automaton, Lattice, code_points
 
 CLAUSE = re.compile("[，,。！？!?；;\n]")
 FOUND = "array<struct<term:string,replacement:string,index:int>>"
-
-
-def regional_matches(text: str, policy: list[dict]) -> list[dict]:
-    """policy: term, replacement, prefix (may a longer word go on), context (words the clause must have), allowed (texts that excuse it).
-
-    Sorted by place, longer terms first."""
-    words = sorted({p["term"] for p in policy} | {a for p in policy for a in p.get("allowed") or ()}, key=len, reverse=True)
-    starts, at = set(), 0
-    while at < len(text):
-        starts.add(at)
-        at += next((len(w) for w in words if text.startswith(w, at)), 1)
-    out = []
-    for p in policy:
-        for m in re.finditer(re.escape(p["term"]), text):
-            if m.start() not in starts:
-                continue
-            end = next((e.start() for e in CLAUSE.finditer(text, m.end())), len(text))
-            begin = max((e.end() for e in CLAUSE.finditer(text, 0, m.start())), default=0)
-            if p.get("context") and not any(c in text[begin:end] for c in p["context"]):
-                continue
-            if any(m.start() - k >= 0 and text.startswith(a, m.start() - k) for a in p.get("allowed") or () for k in range(len(a)) if a[k:].startswith(p["term"])):
-                continue
-            if not p.get("prefix", True) and m.end() not in starts and m.end() < len(text):
-                continue
-            out.append({"term": p["term"], "replacement": p["replacement"], "index": m.start()})
-    return sorted(out, key=lambda x: (x["index"], -len(x["term"])))
-
-
-def find_regional_terms(df: DataFrame, text: str, policy: list[dict], name: str = "regional") -> DataFrame:
-    """Adds array<struct(term, replacement, index)>; the policy is a parameter of a few dozen terms."""
-    any_term = "|".join(re.escape(p["term"]) for p in policy) or "(?!)"
+#: Terms up to which a regular expression picks the rows that the helper sees.
+FEW_TERMS = 100
+
+
+class RegionalTerms:
+    """policy, one dict for each term: term, replacement, prefix (true if a longer word may go on), context (the clause must have one of these,
+    if any are given), allowed (phrases that excuse a term in them; a text that is one of them is excused anyway)."""
+
+    def __init__(self, policy: list[dict], lattice: Lattice | None = None) -> None:
+        self.policy = {p["term"]: p for p in policy}
+        self.phrases = {a for p in policy for a in p.get("allowed") or ()}
+        self.automaton = Automaton(sorted(self.policy.keys() | self.phrases))
+        self.lattice = lattice or Lattice(self.automaton.words, [LISTED] * len(self.automaton.words))
+
+    def matches(self, texts: list[str]) -> list[list[dict]]:
+        """For each text its matches by place, longer terms first: places of a term that don't overlap, counted from the left, that start with a
+        word and end with it (or inside it, with `prefix`), in the right context, and that no allowed phrase covers."""
+        out: list[list[dict]] = [[] for _ in texts]
+        codes, begin = code_points(texts)
+        start, end, word = self.automaton.scan(codes)
+        row = np.searchsorted(begin, start, "right") - 1
+        order = np.lexsort((start, word, row))
+        places: dict[int, dict[str, list[tuple[int, int]]]] = {}
+        for r, w, a, b in zip(row[order].tolist(), word[order].tolist(), (start - begin[row])[order].tolist(), (end - begin[row])[order].tolist(), strict=True):
+            own = places.setdefault(r, {}).setdefault(self.automaton.words[w], [])
+            if not own or own[-1][1] <= a:
+                own.append((a, b))
+        rows = [r for r, own in places.items() if own.keys() & self.policy.keys()]
+        which, first, last, wordy = self.lattice.segment([texts[r] for r in rows])
+        ends = {(rows[k], a): b for k, a, b, w in zip(which.tolist(), first.tolist(), last.tolist(), wordy.tolist(), strict=True) if w}
+        for r in rows:
+            for term in places[r].keys() & self.policy.keys():
+                for a, b in places[r][term]:
+                    stop = ends.get((r, a), -1)
+                    if stop == b or stop > b and self.policy[term].get("prefix"):
+                        if self._wanted(texts[r], term, a, b) and not self._excused(texts[r], places[r], term, a, b):
+                            out[r].append({"term": term, "replacement": self.policy[term]["replacement"], "index": a})
+        return [sorted(m, key=lambda x: (x["index"], -len(x["term"]), x["term"])) for m in out]
+
+    def _wanted(self, text: str, term: str, a: int, b: int) -> bool:
+        context = self.policy[term].get("context")
+        if not context:
+            return True
+        after = CLAUSE.search(text, b)
+        clause = CLAUSE.split(text[:a])[-1] + text[a : after.start() if after else len(text)]
+        return any(c in clause for c in context)
+
+    def _excused(self, text: str, places: dict[str, list[tuple[int, int]]], term: str, a: int, b: int) -> bool:
+        allowed = self.policy[term].get("allowed") or ()
+        return text in allowed or any(x <= a and b <= y for p in allowed for x, y in places.get(p, ()))
+
+
+def find_regional_terms(df: DataFrame, text: str, policy: list[dict], name: str = "regional", lattice: Lattice | None = None) -> DataFrame:
+    """Adds array<struct(term, replacement, index)>, empty for a null text; places are counted in code points. The policy may have any number of terms that fits in memory."""
+    sent = df.sparkSession.sparkContext.broadcast(RegionalTerms(policy, lattice))
 
     @F.pandas_udf(FOUND)
     def scan(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: regional_matches(x, policy) if x is not None else [])
+        return pd.Series(sent.value.matches([x or "" for x in s]))
 
-    may = F.col(text).rlike(any_term)
+    if len(policy) > FEW_TERMS:
+        return df.withColumn(name, scan(F.col(text)))
+    may = F.col(text).rlike("|".join(re.escape(p["term"]) for p in policy) or "(?!)")
     return df.withColumn(name, F.when(may, scan(F.when(may, F.col(text)))).otherwise(F.array().cast(FOUND)))
 
 
 _RULES = [(s, r) for _, s, r, _ in R.japanese_suffixes()]
+_LONGEST = max(len(r) for _, r in _RULES)
+#: Words behind which an inflected word can start.
+PARTICLES = frozenset(["は", "が", "を", "に", "へ", "と", "で", "も", "や", "か", "から", "まで", "より"])
+
+
+def inflected_forms(headword: str) -> list[str]:
+    """Texts that one suffix rule bends back to the headword, and that a window over the sentence can hold."""
+    out = {headword[: len(headword) - len(r)] + s for s, r in _RULES if headword.endswith(r) and len(headword) > len(r)}
+    return sorted(x for x in out if x != headword and len(x) <= max(12, len(headword) + 8))
+
+
+def _all_places(text: str, part: str) -> list[int]:
+    return [k for k in range(len(text) - len(part) + 1) if text.startswith(part, k)] if part in text else []
+
+
+def sentences_use(sentences: list[str], headwords: list[str], lattice: Lattice) -> list[bool]:
+    """Whether a headword is used in a sentence: as a word, between places where words end, behind a particle or a mark, or inflected so that the
+    headword in place of the inflected form is a word."""
+
+    def words_of(texts: list[str], own: list[str]) -> list[list[tuple[int, int, bool]]]:
+        out: list[list[tuple[int, int, bool]]] = [[] for _ in texts]
+        for r, a, b, w in zip(*(x.tolist() for x in lattice.segment(texts, own)), strict=True):
+            out[r].append((a, b, w))
+        return out
+
+    out = [False] * len(sentences)
+    asked = [i for i, (s, h) in enumerate(zip(sentences, headwords, strict=True)) if s and h]
+    bent: list[tuple[int, str]] = []
+    for i, words in zip(asked, words_of([sentences[i] for i in asked], [headwords[i] for i in asked]), strict=True):
+        s, h = sentences[i], headwords[i]
+        bounds = {0, len(s)} | {x for a, b, _ in words for x in (a, b)}
+        starts = {0} | {b for a, b, w in words if not w or s[a:b] in PARTICLES}
+        out[i] = any(k in starts or k in bounds and k + len(h) in bounds for k in _all_places(s, h))
+        if not out[i]:
+            bent += [(i, s[:k] + h + s[k + len(form) :]) for form in inflected_forms(h) for k in _all_places(s, form)]
+    for (i, s), words in zip(bent, words_of([s for _, s in bent], [headwords[i] for i, _ in bent]), strict=True):
+        out[i] = out[i] or any(w and s[a:b] == headwords[i] for a, b, w in words)
+    return out
+
+
+def japanese_sentence_contains(sentence: Column, headword: Column, lattice: Broadcast | None = None) -> Column:
+    """Whether the headword is used in the sentence (see sentences_use); false if either is null or empty. lattice: a broadcast Lattice, else headwords are the only words known."""
+    known = None if lattice else Lattice([], [])
 
+    @F.pandas_udf(T.BooleanType())
+    def uses(s: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(sentences_use([x or "" for x in s], [x or "" for x in h], lattice.value if lattice else known))
 
-def _uses(sentence: str | None, headword: str | None) -> bool:
-    if not sentence or not headword:
-        return False
-    if headword in sentence:
-        return True
-    stem = headword[:-1]
-    at = sentence.find(stem) if stem else -1
-    while at >= 0:  # a window that starts with the stem and that one rule bends back to the headword
-        for n in range(len(stem) + 1, min(len(headword) + 8, len(sentence) - at) + 1):
-            window = sentence[at : at + n]
-            if any(window.endswith(s) and len(window) > len(s) and window[: -len(s)] + r == headword for s, r in _RULES):
-                return True
-        at = sentence.find(stem, at + 1)
-    return False
-
-
-@F.pandas_udf(T.BooleanType())
-def _sentence_uses(s: pd.Series, h: pd.Series) -> pd.Series:
-    return pd.Series([_uses(a, b) for a, b in zip(s, h, strict=True)])
-
-
-def japanese_sentence_contains(sentence: Column, headword: Column) -> Column:
-    """The headword stands in the sentence, as it is or bent by one suffix rule."""
-    plain = F.contains(sentence, headword)
-    may = ~plain & F.contains(sentence, F.substring(headword, F.lit(1), F.length(headword) - 1))
-    return F.when(plain, True).when(may, _sentence_uses(F.when(may, sentence), headword)).otherwise(False)
+    # inflected forms keep all but the end of the headword
+    may = F.contains(sentence, F.substring(headword, F.lit(1), F.greatest(F.length(headword) - _LONGEST, F.lit(0))))
+    return F.coalesce(F.when(may, uses(F.when(may, sentence), headword)), F.lit(False))
