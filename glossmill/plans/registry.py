@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions import segment as G
 from ..functions import text as X
 from ..operators import evidence as E
 from ..operators import lookup as L
@@ -39,13 +38,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import more, terms  # noqa: F401  register their own
+    from . import more, running, terms  # noqa: F401  register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import more, terms  # noqa: F401
+    from . import more, running, terms  # noqa: F401
 
     return dict(_SQL)
 
@@ -571,11 +570,3 @@ def match_single_sense(spark, sf):
     c = read(spark, sf, "customer").select(F.col("c_nationkey").alias("term"), F.col("c_custkey").alias("entry_id"))
     s = read(spark, sf, "orders").select(F.col("o_custkey").alias("entry_id"), F.lit("en").alias("lang"))
     return L.match_single_sense(c.select(F.col("term").alias("word")), c, s)
-
-
-@query("SELECT conv_id, turn, role, array_to_string(list_filter(range(length(text)), lambda i: substr(text, (i + 1)::BIGINT, 2) = 'sh' AND substr(text, (i + 1)::BIGINT, 3) <> 'she'), ',') AS places FROM conversations")
-def regional_terms(spark, sf):
-    """All places of a term but those where an allowed text stands."""
-    c = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    found = G.find_regional_terms(c, "text", [{"term": "sh", "replacement": "s", "allowed": ["she"]}])
-    return found.select("conv_id", "turn", "role", F.array_join(F.transform("regional", lambda x: x["index"].cast("string")), ",").alias("places"))
