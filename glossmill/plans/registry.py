@@ -38,13 +38,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import more, running, terms  # noqa: F401  register their own
+    from . import more, running, stores, terms  # noqa: F401  register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import more, running, terms  # noqa: F401
+    from . import more, running, stores, terms  # noqa: F401
 
     return dict(_SQL)
 

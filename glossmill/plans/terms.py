@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -16,6 +14,7 @@ from ..operators import retain as T
 from ..operators import stats as S
 from ..operators import validate as V
 from ..sources import files as I
+from ..sources.shared import new_folder as folder
 from ..streaming import evidence as ST
 from .registry import ENTRIES, EVIDENCE, FORMS, LEMMAS, RANKED, SENSES, SURFACES, BENT, evidence_entries, examples, forms, glosses, ja_entries, lexicon, prod, query, read, rel, senses, surfaces, tokens
 
@@ -24,12 +23,6 @@ def pick(items, i):
     return F.element_at(F.array(*map(F.lit, items)), i.cast("int"))
 
 
-def folder(spark, name: str) -> str:
-    """A new folder beside the checkpoints, which all executors reach; under the warehouse where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # --- functions ----------------------------------------------------------------------------------
 
 
@@ -284,14 +277,8 @@ def level_lists_round_trip(spark, sf):
     """Orders as five level lists; each thirteenth row has no number for an id."""
     path = folder(spark, "levels")
     o = read(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 13 == 0, "x1").otherwise(F.col("o_custkey").cast("string")).alias("jmdict_seq"), F.lit("か").alias("kana"), F.lit("").alias("kanji"), F.col("o_orderpriority").alias("waller_definition"), (1 + F.col("o_orderkey") % 5).alias("n"))
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(hadoop(path))
     for n in range(1, 6):
-        o.where(F.col("n") == n).drop("n").coalesce(1).write.option("header", True).csv(f"{path}/_{n}")
-        part = [x.getPath() for x in fs.listStatus(hadoop(f"{path}/_{n}")) if x.getPath().getName().startswith("part-")][0]
-        fs.rename(part, hadoop(f"{path}/n{n}.csv"))
+        o.where(F.col("n") == n).drop("n").write.option("header", True).csv(f"{path}/n{n}.csv")
     return I.read_level_lists(spark, path).groupBy("entry_id", "n").agg(F.count("*").alias("rows"))
 
 

@@ -42,9 +42,9 @@ def read_keyed_json(spark: SparkSession, path: str, value_schema: str) -> DataFr
 
 
 def read_level_lists(spark: SparkSession, folder: str) -> DataFrame:
-    """entry_id, n of the five lists n1.csv to n5.csv; rows whose first field is no number are skipped."""
+    """entry_id, n of the five lists n1.csv to n5.csv, each a file or a folder of files; rows whose first field is no number are skipped."""
     rows = spark.read.option("header", True).schema("jmdict_seq string, kana string, kanji string, waller_definition string").csv(f"{folder}/n[1-5].csv")
-    rows = rows.select("jmdict_seq", F.regexp_extract(F.col("_metadata.file_name"), r"n(\d)\.csv$", 1).cast("int").alias("n"))
+    rows = rows.select("jmdict_seq", F.regexp_extract(F.col("_metadata.file_path"), r"/n(\d)\.csv(/[^/]*)?$", 1).cast("int").alias("n"))
     if rows.select("n").distinct().count() != 5:
         raise ValueError("there must be five level lists")
     return rows.where(F.col("jmdict_seq").rlike(r"^\d+$")).select(F.col("jmdict_seq").alias("entry_id"), "n")
@@ -53,15 +53,25 @@ def read_level_lists(spark: SparkSession, folder: str) -> DataFrame:
 EVIDENCE_INDEX = "source string, sourceEntryId string, headword string, reading string, senses array<struct<evidenceId:string,partOfSpeech:array<string>,glosses:array<struct<lang:string,text:string>>,labels:array<string>,pronunciation:string>>"
 
 
+def evidence_index_problems(rows: DataFrame) -> DataFrame:
+    """problem, file, place, evidence_id of what makes read_evidence_index() fail: malformed rows, senses without an id, and all places of an id that stands there more than once."""
+    where = [F.col("ordinal.file").alias("file"), F.col("ordinal.block").alias("block"), F.col("ordinal.place").alias("place")]
+    malformed = F.expr("source is null or sourceEntryId is null or headword is null or senses is null")
+    bad = rows.where(malformed).select(F.lit("malformed row").alias("problem"), *where, F.lit(None).cast("string").alias("evidence_id"))
+    ids = rows.where(~malformed).select(*where, F.explode("senses").alias("s")).select("file", "block", "place", F.col("s.evidenceId").alias("evidence_id"))
+    twice = ids.where("evidence_id is not null").groupBy("evidence_id").count().where("count > 1").select("evidence_id")
+    repeated = ids.join(twice, "evidence_id", "left_semi").select(F.lit("repeated id").alias("problem"), "file", "block", "place", "evidence_id")
+    blank = ids.where("evidence_id is null").select(F.lit("sense without an id").alias("problem"), "file", "block", "place", "evidence_id")
+    return bad.unionByName(blank).unionByName(repeated)
+
+
 def read_evidence_index(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """evidence_id, source, headword, reading per sense; malformed rows and repeated ids fail the job."""
+    """evidence_id, source, headword, reading per sense; malformed rows and repeated ids fail the job, and the error names the first of them."""
     rows = read_jsonl(spark, paths, EVIDENCE_INDEX)
-    bad = rows.where("source is null or sourceEntryId is null or headword is null or senses is null").limit(1).count()
-    out = rows.select("source", F.col("sourceEntryId").alias("source_entry_id"), "headword", "reading", F.explode("senses").alias("s")).select(F.col("s.evidenceId").alias("evidence_id"), "source", "source_entry_id", "headword", "reading")
-    twice = out.groupBy("evidence_id").count().where("count > 1 or evidence_id is null").limit(1).count()
-    if bad or twice:
-        raise ValueError("the evidence index has malformed rows or repeated ids")
-    return out
+    found = evidence_index_problems(rows).orderBy("file", "block", "place", "evidence_id").limit(5).collect()
+    if found:
+        raise ValueError("the evidence index has problems: " + "; ".join(f"{r.problem} {r.evidence_id or ''} in {r.file}".replace("  ", " ") for r in found))
+    return rows.select("source", F.col("sourceEntryId").alias("source_entry_id"), "headword", "reading", F.explode("senses").alias("s")).select(F.col("s.evidenceId").alias("evidence_id"), "source", "source_entry_id", "headword", "reading")
 
 
 def write_canonical(tables: dict[str, DataFrame], folder: str) -> None:
@@ -126,11 +136,23 @@ def write_evidence(rows: DataFrame, path: str, order: list[str]) -> None:
 
 
 def publish_staged(spark: SparkSession, write: Callable[[str], None], check: Callable[[str], None], path: str) -> None:
-    """Write beside the target, check, then swap by renaming; whatever fails leaves the old output."""
+    """Write beside the target, check, then swap by renaming; whatever fails leaves the old output, or, after a crash between the two
+    renames, leaves it beside the target, from where the next call puts it back before it starts."""
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path
-    staged, old = hadoop(f"{path}._staged"), hadoop(f"{path}._old")
+    staged, old, target = hadoop(f"{path}._staged"), hadoop(f"{path}._old"), hadoop(path)
     fs = staged.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def move(a: object, b: object) -> None:
+        # a file system may say no by its answer, and moves into a target that is a folder already
+        if fs.exists(b) or not fs.rename(a, b):
+            raise OSError(f"{a} could not be renamed to {b}")
+
+    if fs.exists(old):
+        if fs.exists(target):
+            fs.delete(old, True)  # the last swap was over
+        else:
+            move(old, target)
     fs.delete(staged, True)
     try:
         write(f"{path}._staged")
@@ -138,11 +160,14 @@ def publish_staged(spark: SparkSession, write: Callable[[str], None], check: Cal
     except Exception:
         fs.delete(staged, True)
         raise
-    target = hadoop(path)
-    fs.delete(old, True)
     if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(staged, target)
+        move(target, old)
+    try:
+        move(staged, target)
+    except Exception:
+        if fs.exists(old) and not fs.exists(target):
+            move(old, target)
+        raise
     fs.delete(old, True)
 
 
