@@ -16,12 +16,14 @@ def lookup_exact(queries: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def resolve_lemma(surfaces: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """surfaces(surface), lexicon(term) -> surface, lemma: the surface itself if known, else its first known base form, else null."""
+    """surfaces(surface), lexicon(term) -> surface, lemma: the surface itself if known, else its first known base form, else null.
+
+    Surfaces are read once: of their candidates those that are known go on, and each surface itself, known or not."""
     every = surfaces.select("surface").distinct()
-    known = lexicon.select("term").distinct()
+    known = lexicon.select("term").distinct().withColumn("known", F.lit(True))
     tried = every.select("surface", F.posexplode(F.concat(F.array("surface"), X.english_lemma_candidates(F.col("surface")))).alias("rank", "term"))
-    found = tried.join(known, "term").groupBy("surface").agg(F.min_by("term", "rank").alias("lemma"))
-    return every.join(found, "surface", "left")
+    found = tried.join(known, "term", "left").where(F.col("known") | (F.col("rank") == 0))
+    return found.groupBy("surface").agg(F.min_by("term", F.when(F.col("known"), F.col("rank"))).alias("lemma"))
 
 
 def lookup_english(queries: DataFrame, terms: DataFrame, senses: DataFrame, lang: str) -> DataFrame:
@@ -50,11 +52,18 @@ def rank_entries(forms: DataFrame, entries: DataFrame) -> DataFrame:
     return positions(rows, ["term"], *order, name="place").select("term", "entry_id", "headword", "place")
 
 
-def japanese_candidates(queries: DataFrame) -> DataFrame:
-    """query, term, rank (0 exact, 10, 20), step (order of trial), reason (null if exact)."""
-    exact = queries.select("query", F.col("query").alias("term"), F.lit(0).alias("rank"), F.lit(-1).alias("step"), F.lit(None).cast("string").alias("reason"))
-    bent = queries.select("query", F.posexplode(X.deinflect(F.col("query"))).alias("step", "c"))
-    return exact.unionByName(bent.select("query", F.col("c.text").alias("term"), X.deinflection_rank(F.col("c.reasons")).alias("rank"), "step", F.get("c.reasons", F.lit(0)).alias("reason")))
+def japanese_candidates(queries: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """query, term, rank (0 exact, 10, 20), step (order of trial), reason (null if exact) of distinct queries; with terms(term), of those among them.
+
+    A query is turned into its few candidates in one pass, and those that are no term go before anything is sorted."""
+    exact = F.array(F.struct(F.lit(-1).alias("place"), F.col("query").alias("text"), F.lit(None).cast("string").alias("reason")))
+    tried = queries.select("query", F.explode(F.concat(exact, X.deinflections(F.col("query")))).alias("c")).select("query", F.col("c.text").alias("term"), F.col("c.place").alias("step"), F.col("c.reason").alias("reason"))
+    if terms is not None:
+        tried = tried.join(terms.select("term").distinct(), "term", "left_semi")
+    low = F.max(F.coalesce(X.is_low_reason(F.col("reason")), F.lit(False)))
+    # dealt by query once, for the sums per term and for what comes after
+    out = tried.repartition("query").groupBy("query", "term").agg(F.min("step").alias("step"), F.min_by("reason", "step").alias("reason"), low.alias("low"))
+    return out.select("query", "term", F.when(F.col("step") < 0, 0).when(F.col("low"), 20).otherwise(10).alias("rank"), "step", "reason")
 
 
 def lookup_japanese(queries: DataFrame, forms: DataFrame, entries: DataFrame, senses: DataFrame | None = None, lang: str | None = None) -> DataFrame:
@@ -62,9 +71,13 @@ def lookup_japanese(queries: DataFrame, forms: DataFrame, entries: DataFrame, se
     ranked = rank_entries(forms, entries)
     if lang is not None:
         ranked = ranked.join(senses.where(F.col("lang") == lang).select("entry_id").distinct(), "entry_id", "left_semi")
-    hits = japanese_candidates(queries.select("query").distinct()).join(ranked, "term")
-    tier = hits.withColumn("tier", F.min("rank").over(Window.partitionBy("query"))).where("rank = tier")
-    once = first_wins(tier, ["query", "entry_id"], "step", "place")
+    # a term of the form list may have no entry in the language, so tiers are settled among terms that have
+    tried = japanese_candidates(queries.select("query").distinct(), ranked)
+    # a query has a few candidates at most, so its tier is settled in one list
+    best = tried.groupBy("query").agg(F.min("rank").alias("tier"), F.collect_list(F.struct("rank", "term", "step", "reason")).alias("c"))
+    best = best.select("query", F.explode(F.filter("c", lambda x: x["rank"] == F.col("tier"))).alias("c")).select("query", "c.term", "c.step", "c.reason")
+    hits = best.join(ranked, "term")
+    once = first_wins(hits, ["query", "entry_id"], "step", "place")
     return positions(once, ["query"], "step", "place", name="no").select("query", "entry_id", F.col("no").alias("place"), "term", "reason")
 
 
