@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Distinct texts that reach the driver to find range bounds.
-SAMPLE = 4096
+#: Rows sampled to find range bounds, at least and for each range.
+SAMPLE, OVERSAMPLE = 4096, 64
 
 
 def first_wins(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
@@ -37,19 +37,34 @@ def append_position(new: DataFrame, old: DataFrame, key: str, *order: str | Colu
     return positions(new, [key], *order, name="_n").join(last, key, "left").withColumn("position", F.coalesce("_last", F.lit(0)) + F.col("_n")).drop("_n", "_last")
 
 
+def range_bounds(df: DataFrame, order: list[str], ranges: int) -> DataFrame:
+    """One row with `_bounds`, the sorted lower bounds of up to `ranges` ranges of about equal size (all but the first range's), from a sample of rows.
+
+    The sample is the rows of least hash of their key, OVERSAMPLE for each range and SAMPLE at least, found in one pass with a bounded heap in each task. With
+    k sampled rows for each range, the share of a range strays by about a part in the root of k."""
+    key = F.struct(*order)
+    some = df.select(*order).where(F.coalesce(*(F.col(c).isNotNull() for c in order))).orderBy(F.xxhash64(*order)).limit(max(SAMPLE, OVERSAMPLE * ranges)).select(key.alias("k"))
+    # the sample is cut into ranges where it lies, so that only the bounds, fewer than `ranges`, travel
+    bounds = some.withColumn("r", F.ntile(ranges).over(Window.orderBy("k"))).groupBy("r").agg(F.min("k").alias("k")).where("r > 1")
+    return bounds.agg(F.array_sort(F.array_distinct(F.collect_list("k"))).alias("_bounds"))
+
+
+def range_of(bounds: Column, key: Column, ranges: int) -> Column:
+    """How many bounds are at most the key, by halving steps: as many comparisons as the number of ranges has bits."""
+    steps = F.array(*(F.lit(1 << k) for k in range(max(1, ranges.bit_length()) - 1, -1, -1)))
+    ahead = lambda at, step: (at + step <= F.size(bounds)) & (F.try_element_at(bounds, at + step) <= key)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(ahead(at, step), at + step).otherwise(at))
+
+
 def global_numbers(df: DataFrame, order: list[str], amounts: dict[str, Column], range_rows: int = 500_000) -> DataFrame:
     """For each name the sum of its amount over all rows before a row, in a total order.
 
-    Rows are dealt by ranges of the whole key, as many as their number asks for; within a range a window counts, and the
+    Rows are dealt by ranges of the whole key, one for each `range_rows` rows, however many there are; within a range a window counts, and the
     sums of the ranges before it, one row per range, are added. So no task sees all rows, and a frequent first
-    key is split by the others. The bounds come from at most SAMPLE distinct keys, chosen by hash. `order` should tell rows apart."""
-    ranges = min(512, max(8, df.count() // range_rows))
-    key = F.struct(*order)
-    some = df.select(*order).where(F.coalesce(*(F.col(c).isNotNull() for c in order))).distinct().orderBy(F.xxhash64(*order)).limit(SAMPLE).select(key.alias("k"))
-    # the sample is cut into ranges where it lies, so that only the bounds, fewer than `ranges`, reach the driver
-    bounds = some.withColumn("r", F.ntile(ranges).over(Window.orderBy("k"))).groupBy("r").agg(F.min("k").alias("k")).where("r > 1")
-    bounds = F.broadcast(bounds.agg(F.array_sort(F.collect_list("k")).alias("_bounds")))  # one row of at most 511 bounds
-    dealt = df.crossJoin(bounds).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= key))).drop("_bounds")
+    key is split by the others. `order` should tell rows apart. The input is read for its number, the sample, the sums and the windows; store it first if it is dear."""
+    ranges = max(8, df.count() // range_rows)
+    bounds = F.broadcast(range_bounds(df, order, ranges))  # one row, a key for each range
+    dealt = df.crossJoin(bounds).withColumn("_range", range_of(F.col("_bounds"), F.struct(*order), ranges)).drop("_bounds")
     sums = dealt.groupBy("_range").agg(*(F.sum(c).alias(f"_sum_{n}") for n, c in amounts.items()))
     ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("_range", *(F.coalesce(F.sum(f"_sum_{n}").over(ahead), F.lit(0)).alias(f"_before_{n}") for n in amounts))
