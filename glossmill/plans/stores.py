@@ -10,11 +10,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import digest as D
+from ..operators import evidence as E
 from ..sources import archive as Z
 from ..sources import banks as B
 from ..sources import documents as J
 from ..sources.shared import new_folder
-from .registry import SENSES, query, read, senses
+from ..streaming import capped as C
+from .registry import EVIDENCE, SENSES, evidence_entries, query, read, senses
 
 #: Bytes of a stretch or a range, so small that the given tables need several.
 SMALL = 64 << 10
@@ -91,3 +93,15 @@ def evidence_manifest(spark, sf):
     back = D.root(D.merkle_tree(spark.read.parquet(path), ["sense_id"]))
     m = spark.read.text(f"{path}-manifest").select(F.from_json("value", "title string, levels int, rows long, digest string").alias("m")).select("m.*")
     return m.select("levels", "rows", (F.col("digest") == back).alias("verified"), "title")
+
+
+@query(f"WITH {EVIDENCE}, good AS (SELECT ordinal, word, term, lang, scope, ambiguity::INT AS ambiguity, row_number() OVER (ORDER BY ordinal) AS n FROM rej WHERE rejection IS NULL) SELECT word, term, lang, scope, ambiguity, count(*) AS n FROM good WHERE n <= (SELECT count(*) // 2 FROM good) GROUP BY ALL")
+def stream_capped_evidence(spark, sf):
+    """The evidence filter as a stream over ordered files of the dump, under a cap of half of all good rows."""
+    path = new_folder(spark, "capped")
+    entries = evidence_entries(spark, sf)
+    entries.repartitionByRange(4, "ordinal").sortWithinPartitions("ordinal").drop("ordinal").write.json(f"{path}/in")
+    good, _ = E.filter_evidence(entries, "wiktionary", "en", "v1", total=1 << 60)
+    query_ = C.stream_capped(C.read_entries(spark, f"{path}/in", 1000), f"{path}/out", "wiktionary", "en", "v1", total=good.count() // 2)
+    query_.awaitTermination()
+    return spark.read.parquet(f"{path}/out/rows").groupBy("word", "term", "lang", "scope", F.size("ambiguity").alias("ambiguity")).agg(F.count("*").alias("n"))
