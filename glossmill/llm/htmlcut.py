@@ -7,7 +7,8 @@ are in the DOM, and the next block under the same parent. The source side of a m
 main text.
 
 Defined cases: null, empty and text-free pages give an empty text; broken markup is read leniently;
-unclosed scripts, styles and comments end with the page; a tag whose quote is never closed ends at the next
+unclosed scripts, styles and comments end with the page; drawings, choices, templates and the like are left out with all
+that is nested in them, and one that is never closed, or a drawing in which a block of text begins, ends before the next block's tag; a tag whose quote is never closed ends at the next
 > or <, and a < in a tag begins the next one; rows may repeat; other columns are
 ignored; an empty table gives an empty result.
 """
@@ -30,7 +31,10 @@ HINT = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"
 WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 #: HTML element names by their part in a page.
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "select", "object", "math", "canvas"}
+RAW = {"script", "style", "textarea", "iframe", "title"}
+HIDDEN = {"noscript", "template", "svg", "select", "object", "math", "canvas"}
+DRAWN = {"svg", "math"}
+BLOCK = re.compile(r"<(/?)(?:p|div|h[1-6]|ul|ol|li|dl|table|section|article|main|aside|nav|footer|header|blockquote|pre|form|figure|body)(?=[\s/>])", re.I)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img"}
 BOILER_TAGS = {"nav": -8.0, "footer": -8.0, "aside": -8.0, "form": -8.0, "button": -8.0, "head": -20.0, "header": -3.0, "menu": -8.0, "dialog": -8.0, "fieldset": -8.0}
@@ -67,6 +71,28 @@ def hints_of(tag: str, attributes: str) -> float:
     return score
 
 
+def ends_of(html: str, tag: str) -> dict[int, int]:
+    """Of each element of a kind that is closed, by the place of its tag, the place behind its end tag; nested ones are matched from the inside."""
+    ends: dict[int, int] = {}
+    open_: list[int] = []
+    for m in re.finditer(rf"""<(/?){tag}(?=[\s/>])((?:[^>"'<]++|"[^"]*+"|'[^']*+')*+)""", html, re.I):
+        if not m[1]:
+            if not m[2].endswith("/"):
+                open_.append(m.start())
+        elif open_:
+            ends[open_.pop()] = html.find(">", m.end()) + 1 or len(html)
+    return ends
+
+
+def hidden_end(html: str, tag: str, begin: int, at: int, ends: dict[int, int]) -> int:
+    """Where the page goes on behind an element that isn't shown, whose tag stands at `begin` and ends at `at`."""
+    end = ends.get(begin)
+    block = BLOCK.search(html, at, end if end is not None else len(html))
+    if end is not None and (tag not in DRAWN or block is None or block[1] or "<foreignobject" in html[at:end].lower()):
+        return end
+    return block.start() if block else len(html)
+
+
 def blocks_of(html: str) -> list[tuple[str, float, int, int, int, bool]]:
     """(text, score, parent, depth, link characters, within the article) of the text blocks of a page, in page order.
 
@@ -75,6 +101,7 @@ def blocks_of(html: str) -> list[tuple[str, float, int, int, int, bool]]:
     # tag, summed score of it and what it is in, number, links open, within article or main
     stack: list[tuple[str, float, int, int, bool]] = [("", 0.0, 0, 0, False)]
     opened: dict[str, int] = {}
+    hidden: dict[str, dict[int, int]] = {}
     parts: list[str] = []
     linked = number = at = 0
     n, last_end = len(html), html.rfind(">")
@@ -135,6 +162,12 @@ def blocks_of(html: str) -> list[tuple[str, float, int, int, int, bool]]:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
                 at = end.end() if end else n
             continue
+        if tag in HIDDEN:
+            if not m[1] and not attributes.endswith("/"):
+                if tag not in hidden:
+                    hidden[tag] = ends_of(html, tag)
+                at = hidden_end(html, tag, lt, at, hidden[tag])
+            continue
         if tag in ("br", "wbr", "img"):
             parts.append(" ")
             continue
