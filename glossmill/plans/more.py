@@ -187,12 +187,15 @@ def validate_authored(spark, sf):
     return V.validate_authored(c, e, vocabulary)
 
 
-@query(f"WITH {SENSES} SELECT entry_id, count(*)::INT AS n FROM senses WHERE lang = 'ja' GROUP BY entry_id")
+@query(f"WITH {SENSES}, g AS (SELECT sense_id, string_agg(text, '/' ORDER BY position) AS g FROM glosses GROUP BY sense_id), x AS (SELECT sense_id, string_agg(text, '/' ORDER BY position) AS x FROM examples GROUP BY sense_id) SELECT s.entry_id, c_name AS headword, string_agg(s.position || ':' || s.sense_id || ':' || coalesce(g, '') || ':' || coalesce(x, ''), ',' ORDER BY s.position) AS senses FROM senses s JOIN customer ON c_custkey = s.entry_id LEFT JOIN g USING (sense_id) LEFT JOIN x USING (sense_id) WHERE lang = 'ja' GROUP BY s.entry_id, c_name")
 def project_lookup(spark, sf):
+    """The whole shape: headword, and the senses of one language with their glosses and examples."""
     s = Q.senses(spark, sf)
     own = lambda t: t.join(s.select("sense_id", "entry_id"), "sense_id")
     c = read(spark, sf, "customer").select(F.col("c_custkey").alias("entry_id"), F.col("c_name").alias("text"), F.lit(True).alias("common"), F.lit("kana").alias("kind"))
-    return P.project_lookup(P.nest_entries(c, c, s, own(Q.glosses(spark, sf)), own(Q.examples(spark, sf))), "ja").select("entry_id", F.size("senses").alias("n"))
+    rows = P.project_lookup(P.nest_entries(c, c, s, own(Q.glosses(spark, sf)), own(Q.examples(spark, sf))), "ja")
+    flat = F.transform("senses", lambda x: F.concat_ws(":", x["position"].cast("string"), x["sense_id"].cast("string"), F.coalesce(F.array_join(x["glosses"], "/"), F.lit("")), F.coalesce(F.array_join(x["examples"], "/"), F.lit(""))))
+    return rows.select("entry_id", "headword", F.array_join(flat, ",").alias("senses"))
 
 
 @query("SELECT p_partkey AS entry_id, p_name AS text, CASE WHEN p_size % 2 = 0 THEN 'v5' ELSE 'adj-i' END AS rules, (CASE WHEN p_size % 3 = 0 THEN 1000000 ELSE 0 END - 10000 * (p_size % 4))::BIGINT AS score, p_type AS glossary FROM part WHERE p_size % 5 <> 0")

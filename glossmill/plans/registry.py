@@ -325,10 +325,13 @@ def upsert_group(spark, sf):
     return T.upsert_group(s, s.where("sense_id % 13 = 0").withColumn("sense_id", F.col("sense_id") + 1_000_000)).select("sense_id", "entry_id", "lang")
 
 
-@query(f"WITH {SENSES} SELECT sense_id, entry_id FROM senses WHERE NOT (lang = 'zh-tw' AND provenance = 'source')")
+@query(f"WITH {SENSES}, gone AS (SELECT sense_id FROM senses WHERE lang = 'zh-tw' AND provenance = 'source') SELECT 'sense' AS kind, sense_id, 0 AS position FROM senses ANTI JOIN gone USING (sense_id) UNION ALL SELECT 'gloss', sense_id, position FROM glosses ANTI JOIN gone USING (sense_id) UNION ALL SELECT 'example', sense_id, position FROM examples ANTI JOIN gone USING (sense_id) UNION ALL SELECT 'gone', sense_id, 0 FROM gone")
 def drop_component(spark, sf):
+    """What is left of senses, glosses and examples, and what went."""
     s = senses(spark, sf).withColumn("source_name", F.lit("jmdict"))
-    return T.drop_component(s, glosses(spark, sf), examples(spark, sf), "zh-tw", "jmdict")[0].select("sense_id", "entry_id")
+    left, g, x, gone = T.drop_component(s, glosses(spark, sf), examples(spark, sf), "zh-tw", "jmdict")
+    one = lambda df, kind, position: df.select(F.lit(kind).alias("kind"), "sense_id", position.cast("int").alias("position"))
+    return one(left, "sense", F.lit(0)).unionByName(one(g, "gloss", F.col("position"))).unionByName(one(x, "example", F.col("position"))).unionByName(one(gone, "gone", F.lit(0)))
 
 
 @query(f"WITH {SENSES} SELECT DISTINCT generation_id FROM senses WHERE generation_id IS NOT NULL UNION SELECT 'g1'")
@@ -445,10 +448,13 @@ def filter_evidence(spark, sf):
     return kept.select("ordinal", "word", "lang", "locale", "term", "scope", F.size("ambiguity").alias("ambiguity"), "sense_index")
 
 
-@query(f"WITH {EVIDENCE}, a AS (SELECT lang, count(*) FILTER (WHERE scope = 'sense-local') AS sense_local, count(*) FILTER (WHERE scope = 'entry-level') AS entry_level, count(*) FILTER (WHERE ambiguity > 0) AS ambiguous FROM rej WHERE rejection IS NULL GROUP BY lang), r AS (SELECT lang, count(*) AS rejected FROM rej WHERE rejection IS NOT NULL GROUP BY lang) SELECT lang, sense_local, entry_level, ambiguous, coalesce(rejected, 0)::BIGINT AS rejected FROM a LEFT JOIN r USING (lang)")
+@query(f"WITH {EVIDENCE}, a AS (SELECT lang, count(*) FILTER (WHERE scope = 'sense-local') AS sense_local, count(*) FILTER (WHERE scope = 'entry-level') AS entry_level, count(*) FILTER (WHERE ambiguity > 0) AS ambiguous, count(*) FILTER (WHERE lang = 'ja' AND term = '銀行') AS corroborated, count(*) FILTER (WHERE NOT (lang = 'ja' AND term = '銀行')) AS unmatched FROM rej WHERE rejection IS NULL GROUP BY lang), r AS (SELECT lang, sum(n)::BIGINT AS rejected, string_agg(rejection || ':' || n, ',' ORDER BY rejection) AS by_reason FROM (SELECT lang, rejection, count(*) AS n FROM rej WHERE rejection IS NOT NULL GROUP BY ALL) GROUP BY lang) SELECT lang, coalesce(sense_local, 0) AS sense_local, coalesce(entry_level, 0) AS entry_level, coalesce(ambiguous, 0) AS ambiguous, coalesce(corroborated, 0) AS corroborated, coalesce(unmatched, 0) AS unmatched, coalesce(rejected, 0)::BIGINT AS rejected, coalesce(by_reason, '') AS by_reason FROM a FULL JOIN r USING (lang)")
 def evidence_coverage(spark, sf):
-    kept, rows = E.filter_evidence(evidence_entries(spark, sf), "wiktionary", "en", "v1")
-    return E.evidence_coverage(kept, rows).select("lang", "sense_local", "entry_level", "ambiguous", "rejected")
+    """All that the coverage has; parts with an odd key support one Japanese term."""
+    japanese = read(spark, sf, "part").where("p_partkey % 2 = 1").select(F.lit("銀行").alias("term"), F.col("p_name").alias("support"), F.col("p_partkey").alias("ordinal"))
+    kept, rows = E.filter_evidence(evidence_entries(spark, sf), "wiktionary", "en", "v1", japanese)
+    reasons = F.array_sort(F.transform(F.map_entries("by_reason"), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string"))))
+    return E.evidence_coverage(kept, rows).withColumn("by_reason", F.coalesce(F.array_join(reasons, ","), F.lit("")))
 
 
 # --- predicates over running text ---------------------------------------------------------------
