@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -11,12 +12,13 @@ from pyspark.sql import functions as F
 
 from ..operators import digest as D
 from ..operators import evidence as E
+from ..operators import stored as ST
 from ..sources import archive as Z
 from ..sources import banks as B
 from ..sources import documents as J
 from ..sources.shared import new_folder
 from ..streaming import capped as C
-from .registry import EVIDENCE, SENSES, evidence_entries, query, read, senses
+from .registry import EVIDENCE, LEMMAS, SENSES, evidence_entries, lexicon, query, read, senses, tokens
 
 #: Bytes of a stretch or a range, so small that the given tables need several.
 SMALL = 64 << 10
@@ -105,3 +107,11 @@ def stream_capped_evidence(spark, sf):
     query_ = C.stream_capped(C.read_entries(spark, f"{path}/in", 1000), f"{path}/out", "wiktionary", "en", "v1", total=good.count() // 2)
     query_.awaitTermination()
     return spark.read.parquet(f"{path}/out/rows").groupBy("word", "term", "lang", "scope", F.size("ambiguity").alias("ambiguity")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {LEMMAS} SELECT surface AS query, lemma, 'e_' || lemma AS entry_id FROM lemmas WHERE length(lemma) % 3 <> 0")
+def lookup_stored(spark, sf):
+    """All words of the documents, looked up in a stored index of buckets."""
+    terms = lexicon(spark, sf).select("term", F.concat(F.lit("e_"), "term").alias("entry_id"), F.array(F.when(F.length("term") % 3 == 0, "ja").otherwise("en")).alias("langs"))
+    index = ST.store_index(terms, f"terms_{uuid.uuid4().hex}", new_folder(spark, "index"), 8)
+    return ST.lookup_stored(tokens(spark, sf).withColumnRenamed("surface", "query"), index, "en")
