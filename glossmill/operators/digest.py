@@ -22,6 +22,11 @@ def row_digest(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(c for c in df.columns if c not in without)), {"ignoreNullFields": "false"}), 256)
 
 
+def digest_sums(digest: Column) -> list[Column]:
+    """The sums s0 to s3 of the four parts of digests, exact, and the same in any order."""
+    return [F.sum(F.conv(F.substring(digest, 16 * k + 1, 16), 16, 10).cast("decimal(20,0)")).alias(f"s{k}") for k in range(4)]
+
+
 def chunk_of(keys: list[str], levels: int) -> Column:
     """The first bits of a hash of the key, which are the same on any platform."""
     hexes = F.substring(F.sha2(F.to_json(F.struct(*(F.col(k).cast("string").alias(k) for k in sorted(keys))), {"ignoreNullFields": "false"}), 256), 1, 8)
@@ -30,10 +35,8 @@ def chunk_of(keys: list[str], levels: int) -> Column:
 
 def merkle_tree(rows: DataFrame, keys: list[str], levels: int = LEVELS) -> DataFrame:
     """level (0: chunks), node, rows, digest of every chunk that has rows, and of the nodes above; the root is node 0 of the last level. The rows are read once."""
-    part = lambda d, k: F.conv(F.substring(d, 16 * k + 1, 16), 16, 10).cast("decimal(20,0)")
     digests = rows.select(chunk_of(keys, levels), row_digest(rows).alias("d"))
-    sums = [F.sum(part(F.col("d"), k)).alias(f"s{k}") for k in range(4)]
-    tree = digests.groupBy("node").agg(F.count("*").alias("rows"), *sums)
+    tree = digests.groupBy("node").agg(F.count("*").alias("rows"), *digest_sums(F.col("d")))
     tree = tree.select(F.lit(0).alias("level"), "node", "rows", F.sha2(F.concat_ws(":", F.col("rows").cast("string"), *(F.col(f"s{k}").cast("string") for k in range(4))), 256).alias("digest"))
     out = below = tree = checkpoint(tree)
     for level in range(1, levels + 1):

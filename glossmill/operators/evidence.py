@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.shared import checkpoint
 from .order import global_cap, record_occurrence
 
 TRANSLATION = "struct<code:string,lang_code:string,lang:string,word:string,roman:string,sense:string,tags:array<string>,topics:array<string>,note:string>"
@@ -86,7 +87,7 @@ def filter_evidence(entries: DataFrame, source: str, edition: str, version: str,
 
     order = Window.partitionBy("ordinal").orderBy(F.when(F.col("scope") == "sense-local", 0).otherwise(1), F.when(F.col("scope") == "sense-local", F.col("sense_index")), "place")
     good = rows.where("rejection is null").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_entry)
-    counts = good.groupBy("ordinal").agg(F.count("*").alias("n_rows"))
+    counts = checkpoint(good.groupBy("ordinal").agg(F.count("*").alias("n_rows")))  # two numbers an entry, read four times
     kept = good.join(global_cap(counts, ["ordinal"], total).select("ordinal", "kept_rows"), "ordinal").where(F.col("_n") <= F.col("kept_rows")).drop("_n", "kept_rows")
     return kept, rows
 
@@ -95,7 +96,7 @@ def evidence_totals(entries: DataFrame, rows: DataFrame, per_entry: int = 24, to
     """One row: entries_read, english_entries, entries_with_evidence, rows_emitted, truncated.
 
     Reading stops counting English entries after the one whose rows meet the cap over all; entries_read counts on."""
-    n = rows.where("rejection is null").groupBy("ordinal").agg(F.least(F.count("*"), F.lit(per_entry)).alias("n_rows"))
+    n = checkpoint(rows.where("rejection is null").groupBy("ordinal").agg(F.least(F.count("*"), F.lit(per_entry)).alias("n_rows")))
     capped = global_cap(n, ["ordinal"], total)
     emitted = capped.agg(F.count_if(F.col("kept_rows") > 0).alias("entries_with_evidence"), F.coalesce(F.sum("kept_rows"), F.lit(0)).alias("rows_emitted"), F.min(F.when(F.col("kept_rows") < F.col("n_rows"), F.col("ordinal"))).alias("_at"))
     english = F.coalesce((F.col("lang_code") == "en") & (F.col("word") != ""), F.lit(False))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.shared import checkpoint
 from .order import bank_numbers
 
 
@@ -77,7 +78,7 @@ def term_rows_en(entries: DataFrame, senses: DataFrame, glosses: DataFrame, lang
 
 def export_term_banks(rows: DataFrame, order: str = "entry_id", size: int = 10_000) -> DataFrame:
     """Term rows with `sequence`, shared by the rows of an entry, and `bank`."""
-    counts = rows.groupBy(order).agg(F.count("*").alias("n_rows"))
+    counts = checkpoint(rows.groupBy(order).agg(F.count("*").alias("n_rows")))  # two numbers an entry, read four times
     return rows.join(bank_numbers(counts, [order], size).select(order, "sequence", "bank"), order)
 
 

@@ -1,4 +1,4 @@
-"""A stored lookup index: terms in buckets, sorted, with bloom filters, that batch lookups join without moving it.
+"""Stored tables in buckets: a lookup index that batch lookups join without moving it, and releases of which only changed buckets are written again.
 
 The index is written once. A large batch of queries is dealt to the index's own buckets and meets them there, so only the queries are
 shuffled, whatever the size of the index; of a small batch the terms are named in the filter, by which Spark reads the buckets they can be in,
@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.shared import checkpoint
+from .digest import digest_sums, row_digest
 
 BUCKETS = 64
 #: Terms up to which a batch is named in the filter.
@@ -46,3 +48,43 @@ def lookup_stored(queries: DataFrame, index: DataFrame, lang: str, few: int = FE
     lemmas = reached(tried, index.select("term"), few).groupBy("query").agg(F.min_by("term", "rank").alias("term"))
     entries = index.where(F.array_contains("langs", lang)).select("term", "entry_id")
     return reached(lemmas, entries, few).select("query", F.col("term").alias("lemma"), "entry_id")
+
+
+# --- tables in buckets, of which only those that changed are written again -----------------------
+
+
+def in_buckets(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+
+
+def store_buckets(df: DataFrame, keys: list[str], path: str, buckets: int = BUCKETS) -> None:
+    """A new folder with one sub-folder for each bucket of the keys."""
+    in_buckets(df, keys, buckets).repartition(buckets, "bucket").write.mode("errorifexists").partitionBy("bucket").parquet(path)
+
+
+def bucket_sums(df: DataFrame) -> DataFrame:
+    """Of rows with `bucket`: their number and the sums of their digests."""
+    rows = df.select("bucket", row_digest(df, ("bucket",)).alias("d"))
+    return rows.groupBy("bucket").agg(F.struct(F.count("*"), *digest_sums(F.col("d"))).alias("sums"))
+
+
+def update_buckets(new: DataFrame, keys: list[str], path: str, buckets: int = BUCKETS) -> list[int]:
+    """Makes a folder of store_buckets() hold the rows of `new`, which may be made from it: buckets whose rows differ are written again, others keep
+    their files. Gives the buckets that changed; their numbers, `buckets` at most, reach the driver.
+
+    Rows are put aside in the shared folder before a bucket is replaced. Should the job stop while folders are replaced, running it again with the same rows ends it."""
+    spark = new.sparkSession
+    old = spark.read.parquet(path)
+    given = in_buckets(new.select(*[c for c in old.columns if c != "bucket"]), keys, buckets)
+    one, other = bucket_sums(old).withColumnRenamed("sums", "one"), bucket_sums(given).withColumnRenamed("sums", "other")
+    differ = one.join(other, "bucket", "full").where(~F.col("one").eqNullSafe(F.col("other"))).select("bucket", F.col("other").isNull().alias("gone")).collect()
+    if not differ:
+        return []
+    rows = checkpoint(given.where(F.col("bucket").isin([r.bucket for r in differ])))
+    rows.repartition(len(differ), "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for r in differ:
+        if r.gone:
+            folder = hadoop(f"{path}/bucket={r.bucket}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return sorted(r.bucket for r in differ)

@@ -115,3 +115,15 @@ def lookup_stored(spark, sf):
     terms = lexicon(spark, sf).select("term", F.concat(F.lit("e_"), "term").alias("entry_id"), F.array(F.when(F.length("term") % 3 == 0, "ja").otherwise("en")).alias("langs"))
     index = ST.store_index(terms, f"terms_{uuid.uuid4().hex}", new_folder(spark, "index"), 8)
     return ST.lookup_stored(tokens(spark, sf).withColumnRenamed("surface", "query"), index, "en")
+
+
+@query(f"WITH {SENSES} SELECT sense_id, CASE WHEN sense_id % 997 = 0 THEN 'generated' ELSE provenance END AS provenance, true AS few_written FROM senses WHERE sense_id % 1009 <> 0")
+def release_in_buckets(spark, sf):
+    """A release in buckets of entries, brought to the state of the next one: what it holds then; few_written: the first step wrote nothing, the second not more buckets than it had to."""
+    path, s = new_folder(spark, "release"), senses(spark, sf)
+    ST.store_buckets(s, ["entry_id"], path)
+    still = ST.update_buckets(s.repartition(3), ["entry_id"], path)
+    new = s.where("sense_id % 1009 <> 0").withColumn("provenance", F.when(F.col("sense_id") % 997 == 0, "generated").otherwise(F.col("provenance")))
+    touched = ST.in_buckets(s.where("sense_id % 1009 = 0 or (sense_id % 997 = 0 and provenance <> 'generated')"), ["entry_id"], ST.BUCKETS).select("bucket").distinct().count()
+    written = ST.update_buckets(new, ["entry_id"], path)
+    return spark.read.parquet(path).select("sense_id", "provenance", F.lit(not still and len(written) == touched).alias("few_written"))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..operators.order import global_numbers
+from .shared import checkpoint
 
 BANK = 10_000
 SCHEMA = "bank long, place long, value string"
@@ -111,7 +112,7 @@ def bank_rows(rows: DataFrame, entry: list[str], within: list[str], value: Colum
     value: a column over the rows and `sequence`. An entry's rows may go on in the next bank."""
     w = Window.partitionBy(*entry)
     numbered = rows.withColumn("_at", F.row_number().over(w.orderBy(*within)) - 1)
-    counts = rows.groupBy(*entry).agg(F.count("*").alias("_rows"))
+    counts = checkpoint(rows.groupBy(*entry).agg(F.count("*").alias("_rows")))  # a number an entry, read four times
     before = global_numbers(counts, entry, {"_entry": F.lit(1), "_before": F.col("_rows")}).select(*entry, (F.col("_entry") + 1).alias("sequence"), "_before")
     out = numbered.join(before, entry).withColumn("place", F.col("_before") + F.col("_at"))
     return out.select((F.floor(F.col("place") / size) + 1).cast("long").alias("bank"), F.col("place").cast("long").alias("place"), F.col("sequence").cast("long").alias("sequence"), value.alias("value"))

@@ -25,6 +25,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..functions import text as X
 from ..operators.evidence import ENTRY_SCHEMA, corroborate, stateless_rows
 from ..operators.order import global_cap
+from ..sources.shared import checkpoint
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PLACE = ["file", "block", "place"]
@@ -98,7 +99,7 @@ def stream_capped(entries: DataFrame, out: str, source: str, edition: str, versi
             ledger = spark.read.schema("n long, batch long").parquet(f"{out}/emitted")
         before = ledger.where(F.col("batch") < number).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # one number
         good = corroborate(batch, japanese, taiwan).where("rejection is null").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_entry)
-        counts = good.groupBy("ordinal").agg(F.count("*").alias("n_rows")).select(*place, "ordinal", "n_rows")
+        counts = checkpoint(good.groupBy("ordinal").agg(F.count("*").alias("n_rows")).select(*place, "ordinal", "n_rows"))
         kept = good.join(global_cap(counts, PLACE, max(0, total - before)).select("ordinal", "kept_rows"), "ordinal").where(F.col("_n") <= F.col("kept_rows")).drop("_n", "kept_rows")
         rows = f"{out}/rows/batch={number}"
         kept.write.mode("overwrite").parquet(rows)

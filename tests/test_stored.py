@@ -42,3 +42,26 @@ def test_batches_of_any_size_equal_the_plain_lookup(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     left, right = text.split("FileScan parquet spark_catalog")[0], text.split("SortMergeJoin")[1]
     assert "SortMergeJoin" in text and text.count("Exchange hashpartitioning(term") == 1 and "Bucketed: true" in right and left
+
+
+def test_only_changed_buckets_are_written(spark, tmp_path):
+    path = str(tmp_path / "table")
+    rows = spark.range(400).select("id", (F.col("id") % 3).cast("string").alias("text"))
+    S.store_buckets(rows, ["id"], path, 16)
+    files = lambda: {str(p.relative_to(tmp_path)): p.stat().st_mtime_ns for p in tmp_path.glob("table/bucket=*/*.parquet")}
+    of = {r.id: r.bucket for r in S.in_buckets(rows, ["id"], 16).collect()}
+    first = files()
+    assert S.update_buckets(rows.repartition(3), ["id"], path, 16) == [] and files() == first
+    # one row changed, one gone, one doubled, one new; made from the table itself
+    now = spark.read.parquet(path).drop("bucket")
+    new = now.where("id <> 7").withColumn("text", F.when(F.col("id") == 5, "new").otherwise(F.col("text"))).unionByName(now.where("id = 9")).unionByName(spark.createDataFrame([(1000, None)], "id long, text string"))
+    want = sorted(map(repr, map(tuple, new.collect())))
+    added = S.in_buckets(spark.createDataFrame([(1000,)], "id long"), ["id"], 16).first().bucket
+    assert S.update_buckets(new, ["id"], path, 16) == sorted({of[5], of[7], of[9], added})
+    second = files()
+    assert sorted(map(repr, map(tuple, spark.read.parquet(path).select("id", "text").collect()))) == want
+    same = {f for f in first if int(f.split("bucket=")[1].split("/")[0]) not in {of[5], of[7], of[9], added}}
+    assert len(same) >= 12 and all(second.get(f) == first[f] for f in same)
+    # a bucket that loses all its rows loses its folder
+    left = spark.read.parquet(path).where(F.col("bucket") != of[5]).drop("bucket")
+    assert S.update_buckets(left, ["id"], path, 16) == [of[5]] and not (tmp_path / f"table/bucket={of[5]}").exists()
