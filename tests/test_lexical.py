@@ -87,6 +87,16 @@ def test_form_senses_as_one_pattern_and_cheap(spark):
     assert str(states).count("gloss_text") == 2  # each further one multiplies with those of what the result is used in
 
 
+def test_records_of_forms_at_little_cost(spark):
+    none = F.lit(None)
+    sense = lambda g: F.struct(F.lit("s").alias("id"), g.alias("glosses"), *(none.cast("array<string>").alias(c) for c in ("tags", "raw_tags", "topics", "categories")), none.cast("array<struct<text:string>>").alias("examples"))
+    rows = spark.createDataFrame([("bank", ["a shore"], ["plural of x; more than one x", "plural of x"]), ("banks", ["plural of bank"], [" "]), ("shore", ["a bank"], ["plural of x", "a shop"])], "word string, g array<string>, h array<string>")
+    entries = rows.select("word", F.lit("noun").alias("pos"), F.lit("en").alias("lang_code"), F.lit(1).alias("etymology_number"), F.array(sense(F.col("g")), sense(F.col("h"))).alias("senses"), none.cast("array<struct<ipa:string,tags:array<string>>>").alias("sounds"))
+    out = E.wiktionary_records(entries, "v1")
+    assert {r.headword: [s.gloss for s in r.senses] for r in out.collect()} == {"bank": ["a shore"], "shore": ["a bank", "plural of x"]}
+    assert len(str(X.is_inflected_form_sense(F.col("glosses"), F.col("tags"), F.col("categories")))) < 5000
+
+
 def test_scripts_and_gates(spark):
     rows = [("en", "a bank", False), ("en", "銀行", True), ("ja", "おかね", False), ("ja", "银行", True), ("ko", "은행", False), ("ko", "bank", True), ("zh-tw", "銀行", False), ("zh-cn", "bank", True), ("en", " ", True), ("en", None, True)]
     got = spark.createDataFrame(rows, "lang string, t string, bad boolean").select("bad", X.invalid_explanation_text(F.col("lang"), F.col("t")).alias("x")).collect()
