@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 #: Compressed bytes of a stretch, bytes read at once, bytes of the largest line, bytes of the deflate window (fixed by the format).
 STRETCH, PIECE, MOST_LINE, WINDOW = 32 << 20, 1 << 20, 64 << 20, 1 << 15
-#: Bytes of text that are compared past the end of a stretch.
-PAST = 512
+#: Bytes of text that are compared past the end of a stretch, and compressed bytes that are read first where few may be needed.
+PAST, FEW = 512, 4096
+#: Compressed bytes that a task looks through, at least a stretch, and bytes of text that it gives.
+TASK, TASK_TEXT = 4 << 20, 16 << 20
 Read = Callable[[int, int], bytes]
 
 
@@ -50,24 +52,33 @@ def is_member(head: bytes) -> bool:
     return len(head) >= 10 and head[:3] == b"\x1f\x8b\x08" and not head[3] & 0xE0
 
 
-def inflated(read: Read, bit: int, window: bytes | None, end: int | None = None) -> Iterator[bytes]:
-    """The text from a block on to bit `end` or the end of the file; from a member's start where there is no window.
+def inflating(read: Read, bit: int, window: bytes | None, end: int | None = None, first: int = PIECE) -> Iterator[tuple[bytes, bool]]:
+    """The text from a block on to the end of the file, each part with whether it lies behind bit `end`; from a member's start where there is no window.
 
-    Up to seven bits behind `end` are fed, too few for any text."""
+    Pieces of `first` bytes are read, then of twice as many up to PIECE, so that little is read in vain where few are taken. Up to seven bits
+    behind `end` are fed before it, too few for any text."""
     at, by = bit >> 3, bit & 7
-    raw = window is not None
+    raw, behind, step = window is not None, False, first
     d = zlib.decompressobj(31) if not raw else zlib.decompressobj(-15, window) if window else zlib.decompressobj(-15)
-    while piece := read(at, PIECE + 1):
-        fed = shifted(piece if len(piece) > PIECE else piece + b"\0", by)
-        if end is not None:
-            fed = fed[: max(0, -(-(end - by - 8 * at) // 8))]
-            if not fed:
-                return
+    while True:
+        left = -(-(end - by - 8 * at) // 8) if end is not None and not behind else step
+        if left <= 0:
+            behind, step = True, first
+            continue
+        n = min(step, left)
+        piece = read(at, n + 1)
+        if not piece:
+            return
+        step = min(2 * step, PIECE)
+        fed = shifted(piece if len(piece) > n else piece + b"\0", by)
         at += len(fed)
-        while fed:
-            if out := d.decompress(fed, 16 * PIECE):
-                yield out
+        while True:
+            out = d.decompress(fed, 16 * n)
+            if out:
+                yield out, behind
             fed = d.unconsumed_tail
+            if not fed and len(out) < 16 * n:
+                break
         if not d.eof:
             continue
         # a member has ended; behind raw data the bits up to a whole byte, a check sum and a length
@@ -79,6 +90,14 @@ def inflated(read: Read, bit: int, window: bytes | None, end: int | None = None)
         d, raw, by = zlib.decompressobj(31), False, 0
 
 
+def inflated(read: Read, bit: int, window: bytes | None, end: int | None = None, first: int = PIECE) -> Iterator[bytes]:
+    """The text from a block on to bit `end` or the end of the file, as inflating() gives it."""
+    for out, behind in inflating(read, bit, window, end, first):
+        if behind:
+            return
+        yield out
+
+
 def _blocks(data: np.ndarray) -> np.ndarray:
     """Bits at which a dynamic block that isn't the last can start, by its header: counts in range, a complete code for code lengths."""
     n = (len(data) - 24) * 8
@@ -101,7 +120,10 @@ def first_start(read: Read, begin: int, end: int) -> tuple[int, bool] | None:
     """(bit, whether it is a member's) of the first place in a range of bytes from which text can be inflated."""
     unknown = b"\0" * WINDOW
     for at in range(begin, end, PIECE >> 3):
-        part = read(at, min(PIECE >> 3, end - at) + 32)
+        # headers by chance are many, and most are refuted by a few bytes behind them, which are held already
+        held = read(at, min(PIECE >> 3, end - at) + (PIECE >> 3))
+        part = held[: min(PIECE >> 3, end - at) + 32]
+        near = lambda x, n, at=at, held=held: held[x - at : x - at + n] if x - at + n <= len(held) else read(x, n)
         data = np.frombuffer(part, np.uint8)
         found = [(int(b), False) for b in _blocks(data)]
         m = part.find(b"\x1f\x8b\x08")
@@ -114,7 +136,7 @@ def first_start(read: Read, begin: int, end: int) -> tuple[int, bool] | None:
                 break
             try:
                 size = 0
-                for out in inflated(read, 8 * at + b, None if member else unknown):
+                for out in inflated(near, 8 * at + b, None if member else unknown, None, FEW):
                     size += len(out)
                     if size >= 4 * WINDOW:
                         break
@@ -147,19 +169,19 @@ def _measure(read: Read, bit: int, end: int | None, member: bool) -> dict:
     """Length of a stretch's text, its first bytes, its last ones and those behind its end, as sourced() has them."""
     texts, size = [], 0
     for made in [None] if member else MADE_UP:
-        head, tail, past, size, seen = b"", b"", b"", 0, 0
-        for out in inflated(read, bit, made, end):
+        head, tail, past, size = b"", b"", b"", 0
+        for out, behind in inflating(read, bit, made, end, FEW):
+            if behind:
+                past += out
+                if len(past) >= PAST:
+                    break
+                continue
             head = (head + out)[:PAST] if len(head) < PAST else head
             tail = (tail + out)[-WINDOW:]
             size += len(out)
-        for out in inflated(read, bit, made) if end is not None else ():
-            past += out[max(0, size - seen) :]
-            seen += len(out)
-            if len(past) >= PAST:
-                break
         texts.append((head, tail, past[:PAST]))
     three = texts * 3 if member else texts
-    return {"size": size} | {name: sourced([t[k] for t in three]).astype(np.int32).tobytes() for k, name in enumerate(("head", "tail", "past"))}
+    return {"size": size} | {name: sourced([t[k] for t in three]).astype(np.uint16).tobytes() for k, name in enumerate(("head", "tail", "past"))}
 
 
 INDEX = "path string, stretch int, bit long, end long, member boolean, size long, place long, window binary"
@@ -168,6 +190,8 @@ INDEX = "path string, stretch int, bit long, end long, member boolean, size long
 def gzip_index(spark: SparkSession, path: str | list[str], stretch: int = STRETCH) -> DataFrame:
     """Per stretch of each file: path, stretch (from 0), bit, end (null at the file's end), member, size and place of its text, and the window before it."""
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    # by number, as rows that are small but dear would else be taken together again
+    tasks = int(files.agg(F.sum(F.ceil(F.col("length") / max(stretch, TASK)))).first()[0] or 1)  # one number
     cuts = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / stretch))).alias("k"))
 
     def find(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,7 +199,7 @@ def gzip_index(spark: SparkSession, path: str | list[str], stretch: int = STRETC
             found = [(p, int(k), (0, True) if k == 0 else first_start(opened(p), k * stretch, min(n, (k + 1) * stretch))) for p, n, k in zip(f.path, f.length, f.k, strict=True)]
             yield pd.DataFrame([(p, k, *s) for p, k, s in found if s], columns=["path", "k", "bit", "member"])
 
-    starts = cuts.repartition("path", "k").mapInPandas(find, "path string, k long, bit long, member boolean")
+    starts = cuts.repartition(tasks, "path", "k").mapInPandas(find, "path string, k long, bit long, member boolean")
     w = Window.partitionBy("path").orderBy("bit")
     starts = starts.withColumn("end", F.lead("bit").over(w)).withColumn("stretch", F.row_number().over(w) - 1)
 
@@ -186,12 +210,12 @@ def gzip_index(spark: SparkSession, path: str | list[str], stretch: int = STRETC
             yield out.astype({"end": "Int64"}) if len(out) else out
 
     kinds = "path string, stretch int, bit long, end long, member boolean, size long, head binary, tail binary, past binary"
-    measured = starts.repartition("path", "stretch").mapInPandas(measure, kinds)
+    measured = starts.repartition(tasks, "path", "stretch").mapInPandas(measure, kinds)
 
     def link(f: pd.DataFrame) -> pd.DataFrame:
         window, place, past, out = b"", 0, None, []
         for r in f.sort_values("stretch").itertuples():
-            codes = lambda x: np.frombuffer(x, np.int32)
+            codes = lambda x: np.frombuffer(x, np.uint16).astype(np.int32)
             head = filled(codes(r.head), window)
             if past is not None and head[: len(past)] != past[: len(head)]:
                 raise ValueError(f"{r.path}: no block starts at bit {r.bit}; take another stretch than {stretch}")
@@ -206,17 +230,20 @@ def gzip_index(spark: SparkSession, path: str | list[str], stretch: int = STRETC
 
 def stretch_lines(read: Read, bit: int, member: bool, size: int, window: bytes) -> Iterator[tuple[int, bytes]]:
     """(place in the stretch's text, line) of the lines that start in a stretch, the last one read on past its end; line ends as in Spark's text source but a bare carriage return."""
-    at, rest = 0, b""
+    at, rest, held = 0, [], 0
     skip = bool(window) and window[-1:] != b"\n"  # inside a line that started before
 
     def line(raw: bytes) -> bytes:
         return raw[:-1] if raw.endswith(b"\r") else raw
 
-    for out in inflated(read, bit, None if member else window):
-        rest += out
-        if len(rest) > MOST_LINE:
+    for out in inflated(read, bit, None if member else window, None, 4 * FEW):
+        rest.append(out)
+        held += len(out)
+        if held > MOST_LINE:
             raise ValueError(f"a line of over {MOST_LINE} bytes")
-        *whole, rest_new = rest.split(b"\n")
+        if b"\n" not in out:
+            continue
+        *whole, last = b"".join(rest).split(b"\n")
         for raw in whole:
             if at >= size:
                 return
@@ -224,15 +251,15 @@ def stretch_lines(read: Read, bit: int, member: bool, size: int, window: bytes)
                 yield at, line(raw)
             skip = False
             at += len(raw) + 1
-        rest = rest_new
+        rest, held = [last], len(last)
         if at >= size:
             return
-    if rest and not skip and at < size:
-        yield at, line(rest)
+    if held and not skip and at < size:
+        yield at, line(b"".join(rest))
 
 
 def read_gzip_lines(index: DataFrame) -> DataFrame:
-    """file, place (of the line in the file's text, in bytes), value of all lines of the files of an index; a stretch is a unit of work."""
+    """file, place (of the line in the file's text, in bytes), value of all lines of the files of an index; a stretch is a unit of work. The index is read twice: for its sizes, and for the work; store it first."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -252,7 +279,8 @@ def read_gzip_lines(index: DataFrame) -> DataFrame:
                         places, lines, held = [], [], 0
                 yield batch()
 
-    return index.repartition("path", "stretch").mapInArrow(run, "file string, place long, value string")
+    tasks = int(index.agg(F.ceil(F.least(F.count("*"), F.sum("size") / TASK_TEXT))).first()[0] or 1)  # one number
+    return index.repartition(tasks, "path", "stretch").mapInArrow(run, "file string, place long, value string")
 
 
 def read_gzip_jsonl(index: DataFrame, schema: str) -> DataFrame:

@@ -88,3 +88,32 @@ def test_jsonl_by_index_equals_the_plain_reader(spark, tmp_path):
     a = Z.read_gzip_jsonl(Z.gzip_index(spark, str(tmp_path / "d" / "*.gz"), 2_000), schema).orderBy("ordinal").drop("ordinal").collect()
     b = I.read_jsonl(spark, str(tmp_path / "d"), schema).orderBy("ordinal").drop("ordinal").collect()
     assert a == b and len(a) == 3000
+
+
+def test_little_is_read_for_small_stretches():
+    data, read = FILES["large"] * 3, []
+
+    def counted(at, n):
+        read.append(len(data[at : at + n]))
+        return data[at : at + n]
+
+    begin, size = 150_000, 20_000
+    bit, member = Z.first_start(counted, begin, begin + size)
+    found = sum(read)
+    end, _ = Z.first_start(reader(data), begin + size, len(data))
+    read.clear()
+    measured = Z._measure(counted, bit, end, member)
+    assert found < 400_000 and sum(read) < 3 * ((end - bit) // 8 + 40_000)  # a megabyte for each header by chance and six for each stretch, before
+    before = b"".join(Z.inflated(reader(data), 0, None, bit))
+    upto = b"".join(Z.inflated(reader(data), 0, None, end))
+    assert measured["size"] == len(upto) - len(before)
+
+
+def test_stretches_are_dealt_to_many_tasks(spark, tmp_path, monkeypatch):
+    (tmp_path / "a").mkdir()
+    for k in range(6):
+        (tmp_path / "a" / f"{k}.gz").write_bytes(FILES["plain"])
+    monkeypatch.setattr(Z, "TASK_TEXT", 50_000, raising=False)
+    Z.gzip_index(spark, str(tmp_path / "a"), 9_000).write.parquet(str(tmp_path / "index"))
+    lines_ = Z.read_gzip_lines(spark.read.parquet(str(tmp_path / "index")))
+    assert lines_.select(F.spark_partition_id()).distinct().count() > 8  # one, before: small rows were taken together
