@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as X
-from .order import first_wins, positions
+from ..sources.shared import checkpoint
+from .digest import digest_sums
+from .order import first_wins, positions, range_bounds, range_of
+
+#: Pairs of a concept and a term up to which they are broadcast, after they were counted.
+FEW_HOLDERS = 200_000
 
 
 # --- English ------------------------------------------------------------------------------------
@@ -61,11 +66,26 @@ def import_concepts(records: DataFrame, mappings: DataFrame, lang: str = "jpn")
     return records.join(last, "synset", "left").withColumn("reason", reason)
 
 
-def publish_concepts(accepted: DataFrame, senses: DataFrame) -> DataFrame:
-    """accepted(ordinal, lemma, pwn_synset), senses(ordinal, synset, term, pos): one sense per accepted row and term that holds its concept."""
-    holders = first_wins(senses.withColumn("key", X.concept_key(F.col("synset"))), ["key", "term"], "ordinal").select("key", "term", "pos")
-    out = accepted.withColumn("key", X.concept_key(F.col("pwn_synset"))).join(holders, "key")
-    return positions(out, ["term"], "ordinal").select("ordinal", "lemma", "term", "pos", "position")
+def publish_concepts(accepted: DataFrame, senses: DataFrame, range_rows: int = 50_000) -> DataFrame:
+    """accepted(ordinal, lemma, pwn_synset), senses(ordinal, synset, term, pos): one sense per accepted row and term that holds its concept.
+
+    Terms that hold the same concepts number their rows alike, so rows are numbered once for each such set of terms (told apart by digests of their concepts), by ranges of
+    ordinals, and meet the terms last: what comes out, rows times terms, is neither shuffled nor sorted."""
+    holders = checkpoint(first_wins(senses.withColumn("key", X.concept_key(F.col("synset"))), ["key", "term"], "ordinal").select("key", "term", "pos").where("key is not null"))
+    alike = holders.groupBy("term").agg(F.count("*").alias("n"), *digest_sums(F.sha2("key", 256)))
+    alike = alike.select("term", F.sha2(F.concat_ws(":", F.col("n").cast("string"), *(F.col(f"s{k}").cast("string") for k in range(4))), 256).alias("set"))
+    held = holders.join(alike.withColumnRenamed("term", "_term"), F.col("term").eqNullSafe(F.col("_term"))).select("key", "term", "pos", "set")
+    few = holders.count() <= FEW_HOLDERS
+    near = F.broadcast if few else lambda df: df
+    ranges = max(8, accepted.count() // range_rows)
+    rows = accepted.withColumn("key", X.concept_key(F.col("pwn_synset"))).crossJoin(F.broadcast(range_bounds(accepted, ["ordinal"], ranges)))  # one row
+    rows = rows.withColumn("_range", range_of(F.col("_bounds"), F.struct("ordinal"), ranges)).select("ordinal", "lemma", "key", "_range")
+    rows = rows.join(near(held.select("key", "set").distinct()), "key")
+    ahead = Window.partitionBy("set").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("set", "_range").agg(F.count("*").alias("n")).select("set", "_range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    # by number, as each row becomes many
+    numbered = positions(rows.repartition(ranges, "set", "_range"), ["set", "_range"], "ordinal", name="n").join(before, ["set", "_range"])
+    return numbered.join(near(held), ["set", "key"]).select("ordinal", "lemma", "term", "pos", (F.col("before") + F.col("n")).alias("position"))
 
 
 def import_terminology(rows: DataFrame) -> DataFrame:

@@ -97,6 +97,27 @@ def test_records_of_forms_at_little_cost(spark):
     assert len(str(X.is_inflected_form_sense(F.col("glosses"), F.col("tags"), F.col("categories")))) < 5000
 
 
+def test_concepts_of_terms_are_numbered_in_many_tasks(spark, monkeypatch):
+    rng = random.Random(4)
+    acc = [(rng.randrange(10**6) * 1000 + k, f"l{k}", f"pwn-{rng.randrange(6)}") for k in range(400)]
+    senses = [(k, f"oewn-{c}", t, f"p{k}") for k, (c, t) in enumerate((c, t) for t, cs in {"a": [0, 1, 2], "b": [2, 1, 0, 1], "c": [3], "d": [0, 1, 2, 3, 9], "e": [5]}.items() for c in cs)]
+    first: dict = {}
+    for _, synset, term, pos in senses:
+        first.setdefault((synset[5:], term), pos)
+    want, seen = [], {}
+    for o, lemma, synset in sorted(acc):
+        for (key, term), pos in first.items():
+            if key == synset[4:]:
+                seen[term] = seen.get(term, 0) + 1
+                want.append((o, lemma, term, pos, seen[term]))
+    for few in (1000, 0):
+        monkeypatch.setattr(M, "FEW_HOLDERS", few, raising=False)
+        out = M.publish_concepts(spark.createDataFrame(acc, "ordinal long, lemma string, pwn_synset string"), spark.createDataFrame(senses, "ordinal int, synset string, term string, pos string"), range_rows=20)
+        assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+        if few:
+            assert out.where("term = 'a'").select(F.spark_partition_id()).distinct().count() > 3  # one task for a term, before
+
+
 def test_scripts_and_gates(spark):
     rows = [("en", "a bank", False), ("en", "銀行", True), ("ja", "おかね", False), ("ja", "银行", True), ("ko", "은행", False), ("ko", "bank", True), ("zh-tw", "銀行", False), ("zh-cn", "bank", True), ("en", " ", True), ("en", None, True)]
     got = spark.createDataFrame(rows, "lang string, t string, bad boolean").select("bad", X.invalid_explanation_text(F.col("lang"), F.col("t")).alias("x")).collect()
