@@ -15,6 +15,8 @@ from ..sources.shared import checkpoint
 
 #: Children of a node as a power of two, and levels above the chunks: 16 ** 4 chunks.
 FAN, LEVELS = 4, 4
+#: Rows that a task compares.
+TASK_ROWS = 250_000
 
 
 def row_digest(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
@@ -27,6 +29,11 @@ def digest_sums(digest: Column) -> list[Column]:
     return [F.sum(F.conv(F.substring(digest, 16 * k + 1, 16), 16, 10).cast("decimal(20,0)")).alias(f"s{k}") for k in range(4)]
 
 
+def signed_parts(digest: Column, side: Column) -> list[Column]:
+    """The four parts of a digest, exact, with the sign of a side."""
+    return [F.conv(F.substring(digest, 16 * k + 1, 16), 16, 10).cast("decimal(20,0)") * side.cast("decimal(1,0)") for k in range(4)]
+
+
 def chunk_of(keys: list[str], levels: int) -> Column:
     """The first bits of a hash of the key, which are the same on any platform."""
     hexes = F.substring(F.sha2(F.to_json(F.struct(*(F.col(k).cast("string").alias(k) for k in sorted(keys))), {"ignoreNullFields": "false"}), 256), 1, 8)
@@ -54,28 +61,34 @@ def root(tree: DataFrame) -> str:
 
 
 def changed_chunks(old: DataFrame, new: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """node: chunks in which two trees differ, found from the root downwards."""
-    at = lambda t, level: t.where(F.col("level") == level).select("node", "digest")
+    """node, rows (of both): chunks in which two trees differ, found from the root downwards."""
+    at = lambda t, level: t.where(F.col("level") == level).select("node", "digest", "rows")
     open_ = None
     for level in range(levels, -1, -1):
         a, b = at(old, level), at(new, level)
         if open_ is not None:
             below = open_.select(F.col("node").alias("parent"))
             a, b = (x.join(below, F.shiftright("node", FAN) == F.col("parent"), "left_semi") for x in (a, b))
-        both = a.withColumnRenamed("digest", "one").join(b.withColumnRenamed("digest", "other"), "node", "full")
-        open_ = checkpoint(both.where(~F.col("one").eqNullSafe(F.col("other"))).select("node"))
+        both = a.select("node", F.col("digest").alias("one"), F.col("rows").alias("n")).join(b.select("node", F.col("digest").alias("other"), F.col("rows").alias("m")), "node", "full")
+        rows = F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))
+        open_ = checkpoint(both.where(~F.col("one").eqNullSafe(F.col("other"))).select("node", rows.alias("rows")))
     return open_
 
 
 def changed_rows(old: DataFrame, new: DataFrame, keys: list[str], chunks: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """The keys of rows in the given chunks that two releases don't share, with `change`: added, removed or changed (the key stands in both). Rows may repeat; keys may be null."""
-    def parts(df: DataFrame, name: str) -> DataFrame:
-        inside = df.withColumn("node", chunk_of(keys, levels)).join(chunks, "node", "left_semi")
-        return inside.select(*keys, row_digest(inside, ("node",)).alias("d"), F.lit(1 if name == "new" else 0).alias("side"))
-
-    both = parts(old, "old").unionByName(parts(new, "new"))
-    # of each row the difference of its numbers in the two, then of each key whether it stands in both
-    each = both.groupBy(*keys, "d").agg(F.sum("side").alias("new"), F.sum(1 - F.col("side")).alias("old"))
-    found = each.groupBy(*keys).agg(F.sum("new").alias("new"), F.sum("old").alias("old"), F.max(F.col("new") != F.col("old")).alias("differs"))
+    """The keys of rows in the given chunks (node, rows) that two releases don't share, with `change`: added, removed or changed (the key stands in both). Rows may repeat; keys may be null.
+
+    A key's rows are alike in both if their numbers and the sums of their digests are, so a key takes a few numbers, and as many tasks are used as the chunks' rows need."""
+    tasks = int(chunks.agg(F.ceil(F.sum("rows") / TASK_ROWS)).first()[0] or 1)  # one number
+    inside = chunks.select("node")
+
+    def parts(df: DataFrame, side: int) -> DataFrame:
+        there = df.withColumn("node", chunk_of(keys, levels)).join(inside, "node", "left_semi")
+        return there.select(*keys, F.unhex(row_digest(there, ("node",))).alias("d"), F.lit(side).alias("side"))
+
+    both = parts(old, -1).unionByName(parts(new, 1)).repartition(tasks, *keys)
+    n = {"old": F.count_if(F.col("side") < 0), "new": F.count_if(F.col("side") > 0)}
+    over = F.greatest(*(F.abs(F.sum(s)) for s in signed_parts(F.hex("d"), F.col("side"))))
+    found = both.groupBy(*keys).agg(*(c.alias(name) for name, c in n.items()), over.alias("over"))
     change = F.when(F.col("old") == 0, "added").when(F.col("new") == 0, "removed").otherwise("changed")
-    return found.where("differs").select(*keys, change.alias("change"))
+    return found.where("old <> new or over <> 0").select(*keys, change.alias("change"))

@@ -16,7 +16,7 @@ from ..operators import stored as ST
 from ..sources import archive as Z
 from ..sources import banks as B
 from ..sources import documents as J
-from ..sources.shared import new_folder
+from ..sources.shared import checkpoint, new_folder
 from ..streaming import capped as C
 from .registry import EVIDENCE, LEMMAS, SENSES, evidence_entries, lexicon, query, read, senses, tokens
 
@@ -75,10 +75,10 @@ def term_bank_files(spark, sf):
 @query(f"WITH {SENSES} SELECT sense_id, change, true AS same_root FROM (SELECT sense_id, CASE WHEN sense_id % 101 = 0 THEN 'removed' WHEN sense_id % 97 = 0 THEN 'changed' END AS change FROM senses WHERE sense_id <> 0 UNION ALL SELECT -sense_id, 'added' FROM senses WHERE sense_id % 103 = 0 AND sense_id <> 0) WHERE change IS NOT NULL")
 def release_changes(spark, sf):
     """Two releases of senses compared by their digest trees; same_root: another layout of the old one has the same root."""
-    old = senses(spark, sf)
+    old = checkpoint(senses(spark, sf))  # read five times
     new = old.where("sense_id % 101 <> 0").withColumn("provenance", F.when(F.col("sense_id") % 97 == 0, "changed").otherwise(F.col("provenance")))
     new = new.unionByName(old.where("sense_id % 103 = 0").withColumn("sense_id", -F.col("sense_id")))
-    trees = [D.merkle_tree(x, ["sense_id"]) for x in (old, new, old.repartition(5).select(*sorted(old.columns, reverse=True)))]
+    trees = [D.merkle_tree(x, ["sense_id"]) for x in (old, new, old.repartition("sense_id").select(*sorted(old.columns, reverse=True)))]
     same = D.root(trees[0]) == D.root(trees[2]) and D.root(trees[0]) != D.root(trees[1])
     return D.changed_rows(old, new, ["sense_id"], D.changed_chunks(*trees[:2])).withColumn("same_root", F.lit(same))
 

@@ -41,3 +41,16 @@ def test_several_keys_and_names(spark):
     b = a.withColumn("node", F.when(F.col("id") == 50, 2).otherwise(F.col("node")))
     trees = [D.merkle_tree(x, ["id", "lang"], 2) for x in (a, b)]
     assert [tuple(r) for r in D.changed_rows(a.withColumnRenamed("node", "n"), b.withColumnRenamed("node", "n"), ["id", "lang"], D.changed_chunks(*trees, levels=2), 2).collect()] == [(50, 2, "changed")]
+
+
+def test_rows_are_compared_in_as_many_tasks_as_they_need(spark, monkeypatch):
+    monkeypatch.setattr(D, "TASK_ROWS", 500, raising=False)
+    old = spark.range(3000).select((F.col("id") % 2900).alias("id"), F.concat(F.lit("v"), F.col("id")).alias("v"))
+    # of repeated keys one row is another, of one key the same rows another number of times
+    new = old.where("id <> 7").withColumn("v", F.when(F.col("v") == "v2905", "x").otherwise(F.col("v"))).unionByName(old.where("v = 'v2910'"))
+    chunks = D.changed_chunks(D.merkle_tree(old, ["id"], 2), D.merkle_tree(new, ["id"], 2), 2)
+    everything = spark.range(256).select(F.col("id").alias("node"), F.lit(24).alias("rows"))
+    for given in (chunks, everything):
+        out = D.changed_rows(old, new, ["id"], given, 2)
+        assert {r.id: r.change for r in out.collect()} == {7: "removed", 5: "changed", 10: "changed"}
+    assert {r.node: r.rows for r in chunks.collect()}.keys() <= set(range(256)) and out.rdd.getNumPartitions() == 13  # those of the session, before
