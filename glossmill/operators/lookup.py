@@ -9,6 +9,9 @@ from ..functions import rules as R
 from ..functions import text as X
 from .order import first_wins, positions
 
+#: Requests of one word that a task joins.
+KEY_ROWS = 100_000
+
 
 def lookup_exact(queries: DataFrame, terms: DataFrame) -> DataFrame:
     """queries(query), terms(term, entry_id) -> query, entry_id."""
@@ -92,16 +95,26 @@ def lookup_candidates_japanese(queries: DataFrame, forms: DataFrame, entries: Da
     return lookup_japanese(queries, forms, entries)
 
 
+def _spread_join(rows: DataFrame, items: DataFrame, key: str, own: str, asks: Column, copy: str) -> DataFrame:
+    """rows left joined with items(key, ...) where `asks` holds, as one row each. Rows that don't ask are spread over all tasks, and a key with more than KEY_ROWS rows is dealt in parts by `copy`, each with a copy of its item."""
+    asked = rows.withColumn("_key", F.when(asks, F.col(own)))
+    # one row for each KEY_ROWS rows at most
+    often = F.broadcast(asked.where("_key is not null").groupBy("_key").agg(F.count("*").alias("n")).where(F.col("n") > KEY_ROWS).select("_key", F.ceil(F.col("n") / KEY_ROWS).alias("_parts")))
+    place = F.xxhash64(copy)
+    dealt = asked.join(often, "_key", "left").withColumn("_part", F.when(F.col("_key").isNull(), place).otherwise(F.pmod(place, F.coalesce("_parts", F.lit(1))))).drop("_parts")
+    copies = items.withColumnRenamed(key, "_key").join(often, "_key", "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copies, ["_key", "_part"], "left").drop("_key", "_part")
+
+
 def lookup_batch(requests: DataFrame, answers: DataFrame) -> DataFrame:
     """requests(request_no, query, lemma), answers(query, entry_id, place): one row per request, in its order and multiplicity.
 
-    A request that reaches nothing by its query falls back to its lemma if that differs."""
+    A request that reaches nothing by its query falls back to its lemma if that differs; only such requests are dealt by lemma."""
     items = answers.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "entry_id"))).alias("hits"))
-    own = items.withColumnRenamed("hits", "own")
-    other = items.select(F.col("query").alias("lemma"), F.col("hits").alias("other"))
-    got = requests.join(own, "query", "left").join(other, "lemma", "left")
-    hits = F.coalesce("own", F.when(F.col("lemma") != F.col("query"), F.col("other")))
-    ids = F.transform(hits, lambda h: h["entry_id"])
+    got = _spread_join(requests, items.withColumnRenamed("hits", "own"), "query", "query", F.lit(True), "request_no")
+    falls = F.col("own").isNull() & (F.col("lemma") != F.col("query"))
+    got = _spread_join(got, items.withColumnRenamed("hits", "other"), "query", "lemma", falls, "request_no")
+    ids = F.transform(F.coalesce("own", "other"), lambda h: h["entry_id"])
     return got.select("request_no", "query", F.get(ids, F.lit(0)).alias("entry_id"), F.coalesce(F.array_join(F.slice(ids, 2, F.greatest(F.size(ids), F.lit(1))), ","), F.lit("")).alias("alternatives"))
 
 

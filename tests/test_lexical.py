@@ -118,6 +118,31 @@ def test_concepts_of_terms_are_numbered_in_many_tasks(spark, monkeypatch):
             assert out.where("term = 'a'").select(F.spark_partition_id()).distinct().count() > 3  # one task for a term, before
 
 
+def test_batch_lookup_deals_frequent_words_and_rows_without_a_lemma(spark, monkeypatch):
+    monkeypatch.setattr(L, "KEY_ROWS", 20, raising=False)
+    rows = [(k, "the" if k % 2 else f"w{k % 7}", [None, "the", "w1", "zz"][k % 4] if k % 3 else None) for k in range(400)] + [(1000, None, "the"), (1001, None, None)]
+    answers = [("the", 5, 1), ("the", 6, 2), ("w1", 7, 1), ("w2", 8, 1)]
+    known: dict = {}
+    for q, e, _ in answers:
+        known.setdefault(q, []).append(e)
+    want = {}
+    for n, q, lemma in rows:
+        hits = known.get(q) or (known.get(lemma) if q is not None and lemma is not None and lemma != q else None) or [None]
+        want[n] = (hits[0], ",".join(map(str, hits[1:])))
+    given = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {k: spark.conf.get(k) for k in given}
+    try:
+        for k, v in given.items():
+            spark.conf.set(k, v)
+        out = L.lookup_batch(spark.createDataFrame(rows, "request_no long, query string, lemma string"), spark.createDataFrame(answers, "query string, entry_id long, place int"))
+        got = out.select("*", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert len(got) == len(rows) and {r.request_no: (r.entry_id, r.alternatives) for r in got} == want
+    assert len({r.task for r in got if r["query"] == "the"}) > 1  # all of a word in one task, before, and all that lack a lemma
+
+
 def test_scripts_and_gates(spark):
     rows = [("en", "a bank", False), ("en", "銀行", True), ("ja", "おかね", False), ("ja", "银行", True), ("ko", "은행", False), ("ko", "bank", True), ("zh-tw", "銀行", False), ("zh-cn", "bank", True), ("en", " ", True), ("en", None, True)]
     got = spark.createDataFrame(rows, "lang string, t string, bad boolean").select("bad", X.invalid_explanation_text(F.col("lang"), F.col("t")).alias("x")).collect()
