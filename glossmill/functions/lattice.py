@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: Words of a list that may be broadcast.
 MOST_WORDS = 1_000_000
 MARK = "\0"
+#: Code points that are worked on side by side, unless one text has more: a place takes some hundred bytes of arrays.
+SLICE = 200_000
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -28,6 +30,18 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return joined, start
 
 
+def slices(texts: list[str]) -> Iterator[slice]:
+    """Runs of texts of at most SLICE code points, so that memory doesn't follow the rows of a batch."""
+    lo = size = 0
+    for k, t in enumerate(texts):
+        if k > lo and size + len(t) > SLICE:
+            yield slice(lo, k)
+            lo, size = k, 0
+        size += len(t)
+    if lo < len(texts):
+        yield slice(lo, len(texts))
+
+
 class Trie:
     """Words as a double array: from state s, letter c leads to base[s] + c if check[] there is s."""
 
@@ -258,14 +272,16 @@ def counted_words(df: DataFrame, text: str, words: list[str], lattice: Lattice |
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie, cutter = sent.value
         for f in frames:
-            codes, _ = code_points([t for t in f.t if t])
-            start, end, word = trie.walk(codes)
-            if cutter:
-                mark, _ = cutter.cut(codes)
-                inside = np.cumsum(mark)
-                fits = mark[start] & mark[end] & (inside[end] - inside[start] == 1)
-                word = word[fits]
-            n = np.bincount(word, minlength=len(trie.words))
+            texts, n = [t for t in f.t if t], np.zeros(len(trie.words), np.int64)
+            for part in slices(texts):
+                codes, _ = code_points(texts[part])
+                start, end, word = trie.walk(codes)
+                if cutter:
+                    mark, _ = cutter.cut(codes)
+                    inside = np.cumsum(mark)
+                    fits = mark[start] & mark[end] & (inside[end] - inside[start] == 1)
+                    word = word[fits]
+                n += np.bincount(word, minlength=len(trie.words))
             seen = np.flatnonzero(n)
             yield pd.DataFrame({"word": [trie.words[i] for i in seen], "n": n[seen]})
 
@@ -298,9 +314,10 @@ def segment_words(df: DataFrame, text: str, lattice: Lattice, name: str = "words
     def split(s: pd.Series) -> pd.Series:
         texts = [t or "" for t in s]
         out: list[list[dict]] = [[] for _ in texts]
-        row, start, end, wordy = sent.value.segment(texts)
-        for r, a, b, w in zip(row.tolist(), start.tolist(), end.tolist(), wordy.tolist(), strict=True):
-            out[r].append({"word": texts[r][a:b], "start": a, "end": b, "word_like": w})
+        for part in slices(texts):
+            row, start, end, wordy = sent.value.segment(texts[part])
+            for r, a, b, w in zip((row + part.start).tolist(), start.tolist(), end.tolist(), wordy.tolist(), strict=True):
+                out[r].append({"word": texts[r][a:b], "start": a, "end": b, "word_like": w})
         return pd.Series(out)
 
     return df.withColumn(name, split(F.col(text)))

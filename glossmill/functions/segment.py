@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import rules as R
-from .lattice import LISTED, Automaton, Lattice, code_points
+from .lattice import LISTED, Automaton, Lattice, code_points, slices
 
 CLAUSE = re.compile("[，,。！？!?；;\n]")
 FOUND = "array<struct<term:string,replacement:string,index:int>>"
@@ -79,7 +79,8 @@ def find_regional_terms(df: DataFrame, text: str, policy: list[dict], name: str
 
     @F.pandas_udf(FOUND)
     def scan(s: pd.Series) -> pd.Series:
-        return pd.Series(sent.value.matches([x or "" for x in s]))
+        texts = [x or "" for x in s]
+        return pd.Series([m for part in slices(texts) for m in sent.value.matches(texts[part])], dtype=object)
 
     if len(policy) > FEW_TERMS:
         return df.withColumn(name, scan(F.col(text)))
@@ -134,7 +135,8 @@ def japanese_sentence_contains(sentence: Column, headword: Column, lattice: Broa
 
     @F.pandas_udf(T.BooleanType())
     def uses(s: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series(sentences_use([x or "" for x in s], [x or "" for x in h], lattice.value if lattice else known))
+        texts, heads = [x or "" for x in s], [x or "" for x in h]
+        return pd.Series([u for part in slices(texts) for u in sentences_use(texts[part], heads[part], lattice.value if lattice else known)], dtype=bool)
 
     # inflected forms keep all but the end of the headword
     may = F.contains(sentence, F.substring(headword, F.lit(1), F.greatest(F.length(headword) - _LONGEST, F.lit(0))))

@@ -137,3 +137,13 @@ def test_sentences_use_headwords():
     cutter = A.Lattice(["食べる", "食べ物", "は", "を", "見る", "花見"], [500, 500, 100, 100, 500, 300])
     rows = [("食べ物を食べる", "食べる", True), ("大食べ物だ", "食べ", False), ("食べ物だ", "食べ", True), ("花見だ", "見る", False), ("昨日パンを食べました。", "食べる", True), ("パンを食べないで", "食べる", True), ("は見ない", "見る", True), ("", "見る", False), ("見る", "", False), ("大花見て", "見る", False), ("を食べ", "食べ", True)]
     assert G.sentences_use([s for s, _, _ in rows], [h for _, h, _ in rows], cutter) == [w for _, _, w in rows]
+
+
+def test_few_code_points_are_worked_on_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(A, "SLICE", 50, raising=False)
+    texts = ["", "天地" * 5, "玄" * 120, "", "黄天地", "地玄" * 20] * 30
+    assert [t for part in A.slices(texts) for t in texts[part]] == texts
+    assert all(sum(map(len, texts[part])) <= 50 or part.stop - part.start == 1 for part in A.slices(texts)) and not list(A.slices([]))
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").coalesce(1)
+    n = {r.word: r.n for r in A.counted_words(df, "t", ["天地", "玄"]).collect()}
+    assert n == {w: sum(t.count(w) for t in texts) for w in ("天地", "玄")}
