@@ -50,9 +50,19 @@ def borderless(w: str) -> bool:
     return not any(w[:k] == w[-k:] for k in range(1, len(w)))
 
 
+#: Turns that a task works on; their texts are short, so that splits of a file would hold very many.
+TASK_TURNS = 4000
+
+
+def turns(spark, sf):
+    """All turns, dealt by number, as the work on each is dear."""
+    t = read(spark, sf, "conversations")
+    return t.select("conv_id", "turn", "role", "text").repartition(max(1, -(-t.count() // TASK_TURNS)), "conv_id", "turn", "role")
+
+
 def spelled(spark, sf):
     text = F.translate(F.regexp_replace(F.lower("text"), "[^a-z,.]", ""), LETTERS, HAN)
-    return read(spark, sf, "conversations").select("conv_id", "turn", "role", F.lower("text").alias("plain"), text.alias("s"))
+    return turns(spark, sf).select("conv_id", "turn", "role", F.lower("text").alias("plain"), text.alias("s"))
 
 
 def spelled_words(spark, sf):
@@ -118,7 +128,7 @@ def japanese_sentence_uses(spark, sf):
     han = lambda c: F.translate(c, LETTERS, HAN)
     ends = F.array(*map(F.lit, ENDS))
     joint = lambda i: F.when(i % 5 == 0, "。").when(i % 3 == 1, "は").when(i % 3 == 2, "を").otherwise("")
-    said = read(spark, sf, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split(F.lower("text"), "[.]")).alias("at", "t"))
+    said = turns(spark, sf).select("conv_id", "turn", "role", F.posexplode(F.split(F.lower("text"), "[.]")).alias("at", "t"))
     sen = said.select("conv_id", "turn", "role", (F.col("at") + 1).cast("long").alias("no"), F.regexp_extract_all("t", F.lit("([a-z]+)"), F.lit(1)).alias("w")).where(F.size("w") > 0)
     sen = sen.withColumn("s", F.array_join(F.transform("w", lambda x, i: F.concat(han(x), F.element_at(ends, 1 + (F.length(x) + i + 1) % len(ENDS)), joint(i + 1))), ""))
     word = lambda k: F.element_at("w", (1 + k % F.size("w")).cast("int"))

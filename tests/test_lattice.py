@@ -147,3 +147,13 @@ def test_few_code_points_are_worked_on_at_a_time(spark, monkeypatch):
     df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").coalesce(1)
     n = {r.word: r.n for r in A.counted_words(df, "t", ["天地", "玄"]).collect()}
     assert n == {w: sum(t.count(w) for t in texts) for w in ("天地", "玄")}
+
+
+def test_turns_are_dealt_by_number(spark, monkeypatch):
+    from glossmill.plans import running
+
+    sf = "/root/testdata/sf0.01"
+    n = spark.read.parquet(f"{sf}/conversations.parquet").count()
+    monkeypatch.setattr(running, "TASK_TURNS", n // 5, raising=False)
+    dealt = running.turns(spark, sf)
+    assert dealt.count() == n and dealt.select(F.spark_partition_id()).distinct().count() > 4
