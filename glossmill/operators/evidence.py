@@ -123,16 +123,15 @@ def wiktionary_records(entries: DataFrame, version: str) -> DataFrame:
     """entries: ENTRY_SCHEMA -> one row per English lexeme with senses, pronunciations and labels; records without a sense are dropped."""
     pos = X.wiktionary_pos(F.col("pos"))
     word = X.nonempty(F.col("word"))
-    rows = entries.where(F.trim("lang_code") == "en").withColumn("headword", word).withColumn("pos", pos)
-    rows = rows.where("headword is not null and pos is not null").where(X.is_lexical_headword(F.col("headword")))
+    rows = entries.where((F.trim("lang_code") == "en") & F.exists(F.array(word), X.is_lexical_headword) & pos.isNotNull()).withColumn("headword", word).withColumn("pos", pos)
     rows = rows.withColumn("record", F.concat_ws(":", F.lit("en"), "headword", "pos", F.coalesce("etymology_number", F.lit(1)).cast("string")))
-    numbered = F.transform("senses", lambda s, i: F.struct((i + 1).alias("no"), s.alias("s")))
-    good = F.filter(numbered, lambda x: (F.size(X.string_list(x["s"]["glosses"])) > 0) & ~X.is_inflected_form_sense(x["s"]["glosses"], x["s"]["tags"], x["s"]["categories"]))
+    numbered = F.transform("senses", lambda s, i: F.struct((i + 1).alias("no"), X.string_list(s["glosses"]).alias("glosses"), s.alias("s")))
+    good = F.filter(numbered, lambda x: (F.size(x["glosses"]) > 0) & ~X.is_inflected_form_sense(x["glosses"], x["s"]["tags"], x["s"]["categories"]))
     senses = F.transform(
         good,
         lambda x: F.struct(
             F.concat(F.lit("wiktionary:"), F.col("record"), F.lit(":"), x["no"].cast("string")).alias("evidence_id"),
-            X.string_list(x["s"]["glosses"])[0].alias("gloss"),
+            x["glosses"][0].alias("gloss"),
             X.sense_labels(x["s"]["tags"], x["s"]["raw_tags"], x["s"]["topics"]).alias("labels"),
             F.array_compact(F.transform(F.coalesce(x["s"]["examples"], F.array().cast("array<struct<text:string>>")), lambda e: X.nonempty(e["text"]))).alias("examples"),
         ),
@@ -141,8 +140,8 @@ def wiktionary_records(entries: DataFrame, version: str) -> DataFrame:
         F.transform(F.coalesce("sounds", F.array().cast("array<struct<ipa:string,tags:array<string>>>")), lambda s, i: F.struct((i + 1).alias("no"), X.nonempty(s["ipa"]).alias("ipa"), F.try_element_at(F.array_compact(F.transform(X.string_list(s["tags"]), X.region)), F.lit(1)).alias("region"))),
         lambda s: s["ipa"].isNotNull(),
     )
-    out = rows.select("headword", "pos", "record", F.lit(version).alias("source_version"), senses.alias("senses"), sounds.alias("pronunciations"))
-    return out.where("size(senses) > 0")
+    some = F.explode(F.filter(F.array(senses), lambda s: F.size(s) > 0))  # a plain filter is moved ahead, with all that makes the senses, which are then made twice
+    return rows.select("headword", "pos", "record", F.lit(version).alias("source_version"), some.alias("senses"), "sounds").withColumn("pronunciations", sounds).drop("sounds")
 
 
 def propose_target_glosses(kaikki: DataFrame, matches: DataFrame, taken: DataFrame, parts: list[str], limit: int = 6) -> DataFrame:

@@ -152,7 +152,7 @@ def pack_attribution(spark, sf):
 @query(f"WITH {EVIDENCE} SELECT word AS headword, count(*)::BIGINT AS records, count(*) FILTER (WHERE ordinal % 2 = 0)::BIGINT AS with_second FROM (SELECT DISTINCT ordinal, word FROM tr) GROUP BY 1")
 def wiktionary_records(spark, sf):
     """Entries of the evidence shape; the second sense of every odd one only states an inflection."""
-    e = Q.evidence_entries(spark, sf)
+    e = Q.evidence_entries(spark, sf, dealt=True)
     odd = F.transform("senses", lambda s, i: F.when((i == 1) & (F.col("ordinal") % 2 == 1), s.withField("glosses", F.array(F.lit("The plural form of bank; more than one bank.")))).otherwise(s))
     out = E.wiktionary_records(e.withColumn("senses", odd), "v1")
     return out.groupBy("headword").agg(F.count("*").alias("records"), F.sum((F.size("senses") == 2).cast("long")).alias("with_second"))

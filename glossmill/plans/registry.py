@@ -429,8 +429,15 @@ TERMS = ["銀行", "ぎんこう", "bank", "", "—", "岸, 堤", "please add"]
 EVIDENCE = f"""tr AS (SELECT c_custkey AS ordinal, c_mktsegment AS word, c_custkey % 3 AS hint, [{', '.join(repr(x) for x in LANGS)}][1 + c_custkey % {len(LANGS)}] AS code, [{', '.join(repr(x) for x in TERMS)}][1 + (c_custkey // 7) % {len(TERMS)}] AS term, CASE WHEN c_custkey % 2 = 0 THEN 'sense-local' ELSE 'entry-level' END AS scope FROM customer), ev AS (SELECT *, CASE WHEN code IN ('ja', 'ja-hira') THEN 'ja' WHEN code <> 'fr' THEN 'zh' END AS lang FROM tr), rej AS (SELECT *, CASE WHEN term = '' THEN 'missing-term' WHEN term IN ('—', 'please add') THEN 'malformed-term' WHEN lang = 'ja' AND NOT regexp_matches(term, '[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}]') THEN 'wrong-script' WHEN lang = 'zh' AND NOT regexp_matches(term, '\\p{{Han}}') THEN 'wrong-script' END AS rejection, (CASE WHEN term LIKE '%,%' THEN 1 ELSE 0 END) + (CASE WHEN scope = 'entry-level' AND hint = 2 THEN 1 ELSE 0 END) AS ambiguity, CASE WHEN lang = 'ja' THEN 'ja' WHEN code = 'zh-tw' THEN 'zh-hant' WHEN code IN ('zh', 'cmn') THEN 'zh' ELSE code END AS locale FROM ev WHERE lang IS NOT NULL)"""
 
 
-def evidence_entries(spark, sf):
-    """One dump entry per customer: two senses, and one translation, under the first sense or at entry level with a hint."""
+#: Entries that a task works on where the work on each is dear; as rows of a table they are so short that one split of a file would hold very many.
+TASK_ENTRIES = 20_000
+
+
+def evidence_entries(spark, sf, dealt=False):
+    """One dump entry per customer: two senses, and one translation, under the first sense or at entry level with a hint. dealt: to tasks by number."""
+    customers = read(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    if dealt:
+        customers = customers.repartition(max(1, -(-customers.count() // TASK_ENTRIES)), "c_custkey")
     k = F.col("c_custkey")
     pick = lambda items, i: F.element_at(F.array(*map(F.lit, items)), i.cast("int"))
     null = F.lit(None).cast("string")
@@ -439,7 +446,7 @@ def evidence_entries(spark, sf):
     inside, outside = F.when(k % 2 == 0, F.array(t)).otherwise(none), F.when(k % 2 == 1, F.array(t)).otherwise(none)
     empty, words_ = F.lit(None).cast("array<string>"), F.lit(None).cast("array<struct<text:string>>")
     sense = lambda i, g, tr: F.struct(F.lit(f"s{i}").alias("id"), F.array(F.lit(g)).alias("glosses"), empty.alias("tags"), empty.alias("raw_tags"), empty.alias("topics"), empty.alias("categories"), words_.alias("examples"), tr.alias("translations"))
-    return read(spark, sf, "customer").select(k.alias("ordinal"), F.col("c_mktsegment").alias("word"), F.lit("noun").alias("pos"), null.alias("lang"), F.lit("en").alias("lang_code"), k.alias("pageid"), F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("int").alias("etymology_number"), F.array(sense(1, "a bank", inside), sense(2, "a shore", none)).alias("senses"), F.lit(None).cast("array<struct<ipa:string,tags:array<string>>>").alias("sounds"), outside.alias("translations"))
+    return customers.select(k.alias("ordinal"), F.col("c_mktsegment").alias("word"), F.lit("noun").alias("pos"), null.alias("lang"), F.lit("en").alias("lang_code"), k.alias("pageid"), F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("int").alias("etymology_number"), F.array(sense(1, "a bank", inside), sense(2, "a shore", none)).alias("senses"), F.lit(None).cast("array<struct<ipa:string,tags:array<string>>>").alias("sounds"), outside.alias("translations"))
 
 
 @query(f"WITH {EVIDENCE} SELECT ordinal, word, lang, locale, term, scope, ambiguity::INT AS ambiguity, CASE WHEN scope = 'sense-local' OR hint = 0 THEN 0 WHEN hint = 1 THEN 1 END AS sense_index FROM rej WHERE rejection IS NULL")

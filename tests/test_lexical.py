@@ -13,6 +13,7 @@ from glossmill.operators import merge as M
 from glossmill.operators import order as O
 from glossmill.operators import release as P
 from glossmill.operators import retain as T
+from glossmill.plans import registry
 from glossmill.sources import files as S
 
 
@@ -97,6 +98,28 @@ def test_records_of_forms_at_little_cost(spark):
     assert len(str(X.is_inflected_form_sense(F.col("glosses"), F.col("tags"), F.col("categories")))) < 5000
 
 
+def test_senses_of_records_are_made_once_in_many_tasks(spark, monkeypatch):
+    none = F.lit(None)
+    words = [("bank", "noun", "en"), (" bank ", "noun", "en"), ("\ufeff\u3000", "noun", "en"), (None, "noun", "en"), ("12", "noun", "en"), ("x", "name", "en"), ("x", None, "en"), ("x", "adj", "de"), ("y", "Adj", "en")]
+    senses = "array(named_struct('id', 's', 'glosses', array(' ', null, 'a shore '), 'tags', array('US', ' ', 'slang'), 'raw_tags', array('US', 'Dated'), 'topics', array('law', ''), 'categories', cast(null as array<string>), 'examples', array(named_struct('text', '\u3000 by \n'), named_struct('text', '')), 'translations', cast(null as array<int>)))"
+    rows = spark.createDataFrame(words, "word string, pos string, lang_code string").select("*", F.expr(f"if(pos = 'Adj', array(), {senses})").alias("senses"), F.lit(2).alias("etymology_number"), F.expr("array(named_struct('ipa', ' i ', 'tags', array('UK')), named_struct('ipa', '\t', 'tags', array('UK')))").alias("sounds"))
+    out = E.wiktionary_records(rows.withColumn("senses", F.when(F.col("word") != "none", F.col("senses"))), "v1")
+    assert out.columns == ["headword", "pos", "record", "source_version", "senses", "pronunciations"]
+    got = [r.asDict(True) for r in out.collect()]
+    labels = {"registers": ["slang"], "regions": ["US"], "domains": ["law"], "dated": True, "usage": []}
+    sense = {"evidence_id": "wiktionary:en:bank:noun:2:1", "gloss": "a shore ", "labels": labels, "examples": ["by"]}
+    assert got == [{"headword": "bank", "pos": "noun", "record": "en:bank:noun:2", "source_version": "v1", "senses": [sense], "pronunciations": [{"no": 1, "ipa": "i", "region": "UK"}]}] * 2
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("wiktionary:") == 1  # twice, before
+    monkeypatch.setattr(registry, "TASK_ENTRIES", 40)
+    assert registry.evidence_entries(spark, "/root/testdata/sf0.001", dealt=True).select(F.spark_partition_id()).distinct().count() > 2
+
+
+def test_blank_and_trimmed_texts(spark):
+    texts = [None, "", " ", "\n", "\u3000\ufeff\u00a0\t", "a", " a\n", "\ufeffa b\u3000", "\u200b", "𝒳 ", "\u0085", "\x1f", "¤"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("t", X.trim(F.col("t")).alias("trimmed"), X.nonempty(F.col("t")).alias("some"), X.string_list(F.array("t")).alias("listed")).orderBy("k").collect()
+    assert [(r.some, r.listed) for r in rows] == [(r.trimmed or None, [r.t] if r.trimmed else []) for r in rows]
+
+
 def test_concepts_of_terms_are_numbered_in_many_tasks(spark, monkeypatch):
     rng = random.Random(4)
     acc = [(rng.randrange(10**6) * 1000 + k, f"l{k}", f"pwn-{rng.randrange(6)}") for k in range(400)]
