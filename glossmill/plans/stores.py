@@ -101,9 +101,9 @@ def evidence_manifest(spark, sf):
 def stream_capped_evidence(spark, sf):
     """The evidence filter as a stream over ordered files of the dump, under a cap of half of all good rows."""
     path = new_folder(spark, "capped")
-    entries = evidence_entries(spark, sf)
+    entries = evidence_entries(spark, sf, dealt=True)
     entries.repartitionByRange(4, "ordinal").sortWithinPartitions("ordinal").drop("ordinal").write.json(f"{path}/in")
-    good, _ = E.filter_evidence(entries, "wiktionary", "en", "v1", total=1 << 60)
+    good = E.evidence_rows(entries, "wiktionary", "en", "v1").where("rejection is null")
     query_ = C.stream_capped(C.read_entries(spark, f"{path}/in", 1000), f"{path}/out", "wiktionary", "en", "v1", total=good.count() // 2)
     query_.awaitTermination()
     return spark.read.parquet(f"{path}/out/rows").groupBy("word", "term", "lang", "scope", F.size("ambiguity").alias("ambiguity")).agg(F.count("*").alias("n"))

@@ -4,6 +4,8 @@ import json
 import os
 import random
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from glossmill.operators import evidence as E
@@ -54,3 +56,48 @@ def test_counters_are_forgotten_by_event_time(spark, tmp_path):
     C.stream_capped(C.read_entries(spark, str(folder), 1), out, "w", "en", "v", keep_days=10, late="1 day").awaitTermination()
     got = sorted((r.file, r.source_entry_id[-1]) for r in spark.read.parquet(f"{out}/rows").selectExpr("ordinal.file", "source_entry_id").collect())
     assert got == [("f0.json", "0"), ("f1.json", "1"), ("f2.json", "0"), ("f3.json", "1"), ("f4.json", "0")]
+
+
+def test_counters_see_no_records():
+    class Held:
+        def __init__(self):
+            self.value, self.timers = None, []
+
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        update = lambda self, value: setattr(self, "value", value)
+        getValueState = lambda self, name, schema: self
+        listTimers = lambda self: iter(self.timers)
+        deleteTimer = lambda self, t: self.timers.remove(t)
+        registerTimer = lambda self, t: self.timers.append(t)
+
+    ts = pa.array([1_700_000_000_000_000] * 1000, pa.timestamp("us"))
+    rows = pa.RecordBatch.from_arrays([pa.array(["bank"] * 999 + ["shore"]), pa.array(["f1"] * 600 + ["f0"] * 400), ts], names=["key", "file", "ts"])
+    parts = pd.concat(b.to_pandas() for b in C.counted([rows, rows]))
+    assert len(parts) == 6 and parts.n.sum() == 2000  # 2000 rows with their records, before
+    held, counter = Held(), C.Occurrences(5)
+    counter.init(held)
+    bank = parts[parts.key == "bank"]
+    for already in (0, 1998):
+        (out,) = counter.handleInputRows(("bank",), iter([bank[:1], bank[1:]]), None)
+        assert out.to_dict("list") == {"key": ["bank"] * 2, "file": ["f0", "f1"], "first": [already, already + 798]} and held.timers == [1_700_000_000_005]
+
+
+def test_records_of_one_key_in_many_blocks(spark, tmp_path):
+    folder, out = tmp_path / "in dir", str(tmp_path / "out")
+    folder.mkdir()
+    one = lambda n: {"word": "bank", "pos": "noun", "lang_code": "en", "pageid": n, "senses": [{"id": "s", "glosses": ["g"]}], "translations": [{"code": "ja", "word": "銀行"}]}
+    for k in range(3):
+        (folder / f"f{k}.json").write_text("".join(json.dumps(one(100 * k + i)) + "\n" for i in range(100)))
+    with_blocks = "spark.sql.files.maxPartitionBytes"
+    was = spark.conf.get(with_blocks)
+    spark.conf.set(with_blocks, "4k")
+    try:
+        query = C.stream_capped(C.read_entries(spark, str(folder), 2), out, "w", "en", "v", total=250)
+        query.awaitTermination()
+    finally:
+        spark.conf.set(with_blocks, was)
+    assert {len(p["sources"]) for p in query.recentProgress} == {1}  # both branches read the same files
+    rows = spark.read.parquet(f"{out}/rows").selectExpr("page_id", "source_entry_id", "ordinal.block").collect()
+    assert sorted((r.page_id, int(r.source_entry_id.rsplit(":", 1)[1])) for r in rows) == [(n, n) for n in range(250)]
+    assert len({r.block for r in rows}) > 2
