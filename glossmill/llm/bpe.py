@@ -31,13 +31,15 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 #: Bytes, about, that a task keeps of cuts seen, of states that read one piece, of states that read many, and of token pairs; beyond, it starts anew.
-PIECE_BYTES, STATE_BYTES, MANY_BYTES, PAIR_BYTES = 40 << 20, 16 << 20, 96 << 20, 32 << 20
+PIECE_BYTES, STATE_BYTES, MANY_BYTES, PAIR_BYTES = 80 << 20, 16 << 20, 96 << 20, 32 << 20
 #: Characters of the longest cut that is kept.
 KEPT_CHARS = 64
 #: Bytes of the longest piece that is read together with others, and of pending bytes then.
 PIECE, PENDING = 48, 20
 #: Bytes of text whose pieces are read together.
 CHUNK = 2 << 20
+#: Places, as a power of two, for pairs of tokens seen by pieces that are read together.
+PAIR_BITS = 19
 #: Tokens decoded in one step of the stream.
 STREAM_TOKENS = 4096
 
@@ -141,9 +143,15 @@ class Transducer:
                 b, made_b, taken_b = firsts[j]
             else:
                 break
-        if len(self.pairs) > PAIR_BYTES // 210:
-            self.pairs.clear()
-        self.pairs[left, right] = known
+        return known
+
+    def fit(self, left: int, right: int) -> bool:
+        """As fits(), remembered."""
+        known = self.pairs.get((left, right))
+        if known is None:
+            if len(self.pairs) > PAIR_BYTES // 210:
+                self.pairs.clear()
+            known = self.pairs[left, right] = self.fits(left, right)
         return known
 
     def sent(self, last: tuple, end: int) -> tuple[int, ...]:
@@ -159,17 +167,14 @@ class Transducer:
         lasts, pending, live = state
         pending += self.one[byte]
         n, found, still = len(pending), None, []
-        get, prefixes, pairs = self.reached.get, self.prefixes, self.pairs
+        get, prefixes = self.reached.get, self.prefixes
         for k in live:
             text = pending[k:]
             if found is None:
                 token = get(text)
                 if token is not None:
                     left = lasts[k]
-                    fits = left < 0 or pairs.get((left, token))
-                    if fits is None:
-                        fits = self.fits(left, token)
-                    if fits:
+                    if left < 0 or self.fit(left, token):
                         found = token
             if text in prefixes:
                 still.append(k)
@@ -223,6 +228,61 @@ class Transducer:
 U64 = np.uint64
 
 
+class Numbers:
+    """Numbers by 64-bit key, looked up many at a time: open addressing in two arrays, at most half full."""
+
+    def __init__(self, room: int = 1 << 12) -> None:
+        self.key, self.number, self.held = np.full(room, -1, np.int64), np.zeros(room, np.int32), 0
+
+    def place(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(U64) * U64(K.BASE)) >> U64(65 - len(self.key).bit_length())).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The number of each key, or -1."""
+        at = self.place(key)
+        got = self.key[at]
+        out = np.where(got == key, self.number[at], -1)
+        on = np.flatnonzero((got != key) & (got != -1))
+        while len(on):
+            at[on] = (at[on] + 1) & (len(self.key) - 1)
+            got = self.key[at[on]]
+            hit = got == key[on]
+            out[on[hit]] = self.number[at[on[hit]]]
+            on = on[~hit & (got != -1)]
+        return out
+
+    def add(self, key: np.ndarray, number: np.ndarray) -> None:
+        """Keys that differ and are not there yet."""
+        self.held += len(key)
+        if 2 * self.held > len(self.key):
+            full = np.flatnonzero(self.key != -1)
+            key, number = np.concatenate([self.key[full], key]), np.concatenate([self.number[full], number])
+            room = 1 << (2 * self.held).bit_length()
+            self.key, self.number = np.full(room, -1, np.int64), np.zeros(room, np.int32)
+        at, on = self.place(key), np.arange(len(key))
+        while len(on):
+            free = on[self.key[at[on]] == -1]
+            self.key[at[free]] = key[free]  # of several, one stays
+            mine = self.key[at[on]] == key[on]
+            done = on[mine]
+            self.number[at[done]] = number[done]
+            on = on[~mine]
+            at[on] = (at[on] + 1) & (len(self.key) - 1)
+
+
+class Grown:
+    """An array that is added to at its end."""
+
+    def __init__(self) -> None:
+        self.data, self.n = np.zeros(1 << 12, np.int32), 0
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.zeros(self.n + len(x), np.int32)])
+        self.data[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+
 class Many:
     """The transducer over many pieces at a time: a step reads one byte of each. States and moves are made when
     first needed, all those of a step together; they are the same as the Transducer's, kept in arrays."""
@@ -238,63 +298,88 @@ class Many:
         value = np.frombuffer(b"".join(texts), np.uint8).astype(U64) + U64(1)
         first = np.cumsum(size) - size
         value *= up[np.arange(len(value)) - np.repeat(first, size)]
-        h = np.add.reduceat(value, first)
-        by = np.argsort(h)
-        self.h = h[by]
-        if (self.h[1:] == self.h[:-1]).any():
+        h = np.add.reduceat(value, first).view(np.int64)
+        if len(np.unique(h)) < len(h) or (h == -1).any():
             raise ValueError("two parts of tokens share a hash")
-        self.token = np.array([one.reached.get(t, -1) for t in texts], np.int32)[by]
-        self.prefix = np.array([t in one.prefixes for t in texts])[by]
+        self.part = Numbers()
+        self.part.add(h, np.arange(len(h), dtype=np.int32))
+        self.token = np.array([one.reached.get(t, -1) for t in texts], np.int32)
+        self.prefix = np.array([t in one.prefixes for t in texts])
         self.size = np.array(one.size, np.int32)
         self.words = [str(i) for i in range(len(self.size))]
-        self.clear()
+        self.forget()
 
     def clear(self) -> None:
-        self.states: dict[int, int] = {}
-        self.moves: dict[int, int] = {}
+        self.states, self.moves = Numbers(), Numbers()
         self.n = 2
         self.last = np.full((1024, PENDING + 1), -1, np.int32)
-        self.pre = np.zeros((1024, PENDING + 1), U64)
+        self.pending = np.zeros((1024, PENDING), np.uint8)
         self.m = np.zeros(1024, np.int8)
         self.live = np.ones(1024, np.int64)
         #: By move: next state, place and number of the tokens sent.
-        self.next, self.at, self.count = (np.zeros(0, np.int32) for _ in range(3))
-        self.sent = np.zeros(0, np.int32)
+        self.next, self.at, self.count, self.sent = Grown(), Grown(), Grown(), Grown()
+
+    def held(self) -> int:
+        """Bytes of all states and moves."""
+        of = [self.last, self.pending, self.m, self.live, *(x.data for x in (self.next, self.at, self.count, self.sent)), *(y for x in (self.states, self.moves) for y in (x.key, x.number))]
+        return sum(x.nbytes for x in of)
+
+    def forget(self) -> None:
+        self.clear()
+        #: By place, the pair of tokens that fell there last, and whether they can stand side by side.
+        self.pair, self.pair_fits = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
 
     def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        pairs = self.one.pairs
-        key, inverse = np.unique(left.astype(np.int64) << 32 | right, return_inverse=True)
-        out = []
-        for a, b in zip((key >> 32).tolist(), (key & 0xFFFFFFFF).tolist(), strict=True):
-            known = a < 0 or pairs.get((a, b))
-            out.append(self.one.fits(a, b) if known is None else known)
-        return np.array(out, bool)[inverse]
+        key = left.astype(np.int64) << 32 | right
+        at = ((key.astype(U64) * U64(K.BASE)) >> U64(64 - PAIR_BITS)).astype(np.int64)
+        out = self.pair_fits[at]
+        known = (self.pair[at] == key) | (left < 0)
+        out[left < 0] = True
+        if not known.all():
+            new = np.flatnonzero(~known)
+            asked, inverse = np.unique(key[new], return_inverse=True)
+            fits = self.one.fits
+            answer = np.array([fits(a, b) for a, b in zip((asked >> 32).tolist(), (asked & 0xFFFFFFFF).tolist(), strict=True)], bool)
+            out[new] = answer[inverse]
+            at = ((asked.astype(U64) * U64(K.BASE)) >> U64(64 - PAIR_BITS)).astype(np.int64)
+            self.pair[at] = asked
+            mine = self.pair[at] == asked  # of several that fall on a place, one stays
+            self.pair_fits[at[mine]] = answer[mine]
+        return out
 
     def make(self, key: np.ndarray) -> np.ndarray:
         """Moves for pairs of state and byte that have none; as Transducer.step()."""
-        s, byte = key >> 8, (key & 255).astype(U64)
+        s, byte = key >> 8, key & 255
         n = len(s)
         each = np.arange(n)
-        m, live, last, pre = self.m[s].astype(np.int64), self.live[s], self.last[s], self.pre[s]
+        m, live, last, pending = self.m[s].astype(np.int64), self.live[s], self.last[s], self.pending[s]
         dead = (s == self.DEAD) | (m >= PENDING)
         m[dead], live[dead] = 0, 1
         end = m + 1
-        pre[each, end] = pre[each, m] + (byte + U64(1)) * self.up[m]
+        pending[each, m] = byte
+        pre = np.zeros((n, PENDING + 1), U64)
+        np.cumsum((pending + U64(1)) * self.up[:PENDING], axis=1, out=pre[:, 1:])
         whole = pre[each, end]
-        found, still = np.full(n, -1, np.int32), np.zeros(n, np.int64)
-        for k in range(int(m.max()) + 1):
-            on = np.flatnonzero((live >> k) & 1)
-            h = (whole[on] - pre[on, k]) * self.down[k]
-            at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-            hit = self.h[at] == h
-            on, at = on[hit], at[hit]
-            still[on[self.prefix[at]]] |= 1 << k
-            token = self.token[at]
-            pick = (token >= 0) & (found[on] < 0)
-            on, token = on[pick], token[pick]
-            if len(on):
-                good = self.fits(last[on, k], token)
-                found[on[good]] = token[good]
+        # the live places, row by row, and what stands from there to the end
+        row, k = np.nonzero(live[:, None] >> np.arange(int(m.max()) + 1) & 1)
+        part = self.part.find(((whole[row] - pre[row, k]) * self.down[k]).view(np.int64))
+        some = np.flatnonzero(part >= 0)
+        row, k, part = row[some], k[some], part[some]
+        on = self.prefix[part]
+        still = np.bincount(row[on], weights=np.ldexp(1.0, k[on]), minlength=n).astype(np.int64)
+        token, found = self.token[part], np.full(n, -1, np.int32)
+        on = np.flatnonzero(token >= 0)
+        row, left, token = row[on], last[row[on], k[on]], token[on]
+        beyond = np.searchsorted(row, each, "right")
+        try_ = np.searchsorted(row, each)  # the longest that may stand there first
+        open_ = each[try_ < beyond]
+        while len(open_):
+            at = try_[open_]
+            good = self.fits(left[at], token[at])
+            found[open_[good]] = token[at[good]]
+            open_ = open_[~good]
+            try_[open_] += 1
+            open_ = open_[try_[open_] < beyond[open_]]
         last[each, end] = found
         still |= np.int64(1) << end
         least = np.log2((still & -still).astype(np.float64)).astype(np.int64)
@@ -310,40 +395,42 @@ class Many:
             cut[on] = b
         row, tokens = self.back(last, cut)
         count = np.bincount(row, minlength=n).astype(np.int32)
-        first = len(self.sent) + np.cumsum(count) - count
-        self.sent = np.concatenate([self.sent, tokens])
+        first = self.sent.n + np.cumsum(count) - count
+        self.sent.add(tokens)
         place = np.arange(PENDING + 1)
         shifted = np.minimum(place + cut[:, None], PENDING)
-        begin = pre[each, cut]
+        rest = (whole - pre[each, cut]) * self.down[cut]
         m = end - cut
         beyond = place > m[:, None]
-        last, pre = last[each[:, None], shifted], (pre[each[:, None], shifted] - begin[:, None]) * self.down[cut][:, None]
+        last, pending = last[each[:, None], shifted], pending[each[:, None], np.minimum(shifted[:, :-1], PENDING - 1)]
         last[least > cut, 0] = -1  # no token begins there, so what stands before it no longer matters
-        last[beyond], pre[beyond] = -1, 0
+        last[beyond], pending[beyond[:, 1:]] = -1, 0
         live = still >> cut
-        name = K.mix(live.astype(U64) + K.mix(pre[each, m] + m.astype(U64)))
+        name = K.mix(live.astype(U64) + K.mix(rest + m.astype(U64)))
         for k in range(int(m.max()) + 1):
             name = np.where(k <= m, K.mix(name + last[:, k].astype(U64)), name)
-        to = np.empty(n, np.int32)
-        states, new = self.states, []
-        for k, v in enumerate(name.tolist()):
-            known = states.get(v)
-            if known is None:
-                known = states[v] = self.n + len(new)
-                new.append(k)
-            to[k] = known
-        if new:
-            while self.n + len(new) > len(self.m):
-                for x in ("last", "pre", "m", "live"):
+        names, seen, inverse = np.unique(name.view(np.int64), return_index=True, return_inverse=True)
+        to = self.states.find(names)
+        fresh = np.flatnonzero(to < 0)
+        if len(fresh):
+            to[fresh] = self.n + np.arange(len(fresh))
+            self.states.add(names[fresh], to[fresh])
+            new = seen[fresh]
+            more = self.n + len(new) - len(self.m)
+            if more > 0:
+                for x in ("last", "pending", "m", "live"):
                     old = getattr(self, x)
-                    setattr(self, x, np.concatenate([old, np.zeros_like(old)]))
+                    setattr(self, x, np.concatenate([old, np.zeros((more + len(old) // 4, *old.shape[1:]), old.dtype)]))
             part = slice(self.n, self.n + len(new))
-            self.last[part], self.pre[part], self.m[part], self.live[part] = last[new], pre[new], m[new], live[new]
+            self.last[part], self.pending[part], self.m[part], self.live[part] = last[new], pending[new], m[new], live[new]
             self.n += len(new)
+        to = to[inverse]
         to[dead] = self.DEAD
-        made = np.arange(len(self.next), len(self.next) + n)
-        self.moves.update(zip(key.tolist(), made.tolist(), strict=True))
-        self.next, self.at, self.count = np.concatenate([self.next, to]), np.concatenate([self.at, first.astype(np.int32)]), np.concatenate([self.count, count])
+        made = np.arange(self.next.n, self.next.n + n)
+        self.moves.add(key, made)
+        self.next.add(to)
+        self.at.add(first)
+        self.count.add(count)
         return made
 
     def back(self, last: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -365,7 +452,7 @@ class Many:
 
     def encode(self, pieces: list[bytes]) -> list[str]:
         """The ids of each piece, joined by commas."""
-        if self.n * (12 * PENDING + 460) > MANY_BYTES:
+        if self.held() > MANY_BYTES:
             self.clear()
         size = np.array([len(p) for p in pieces])
         by = np.argsort(-size, kind="stable")
@@ -375,20 +462,20 @@ class Many:
         state, path = np.zeros(len(by), np.int64), np.full((len(by), wide), -1, np.int32)
         for k in range(wide):
             n = int(np.searchsorted(-size, -k, "left"))  # those longer than k
-            key, inverse = np.unique(state[:n] << 8 | grid[:n, k], return_inverse=True)
-            get = self.moves.get
-            move = np.array([get(x, -1) for x in key.tolist()])
+            key = state[:n] << 8 | grid[:n, k]
+            move = self.moves.find(key)
             new = np.flatnonzero(move < 0)
             if len(new):
-                move[new] = self.make(key[new])
-            path[:n, k] = move[inverse]
-            state[:n] = self.next[path[:n, k]]
+                asked, inverse = np.unique(key[new], return_inverse=True)
+                move[new] = self.make(asked)[inverse]
+            path[:n, k] = move
+            state[:n] = self.next.data[move]
         ends, inverse = np.unique(state, return_inverse=True)
         row, tokens = self.back(self.last[ends], self.m[ends].astype(np.int64))
         tail = np.bincount(row, minlength=len(ends))
-        flat = np.concatenate([self.sent, tokens])
-        count = np.concatenate([np.where(path >= 0, self.count[path], 0), tail[inverse][:, None]], axis=1, dtype=np.int32)
-        at = np.concatenate([self.at[path], (len(self.sent) + np.cumsum(tail) - tail)[inverse][:, None]], axis=1, dtype=np.int32)
+        flat = np.concatenate([self.sent.data[: self.sent.n], tokens])
+        count = np.concatenate([np.where(path >= 0, self.count.data[path], 0), tail[inverse][:, None]], axis=1, dtype=np.int32)
+        at = np.concatenate([self.at.data[path], (self.sent.n + np.cumsum(tail) - tail)[inverse][:, None]], axis=1, dtype=np.int32)
         total = count.sum(axis=1)
         some = np.flatnonzero(count)
         count, at = count.ravel()[some], at.ravel()[some]
@@ -401,7 +488,8 @@ class Many:
         return out
 
 
-RUN_OF_SPACE = re.compile(r"[\s\x1c-\x1f\x85]{2}|^[\s\x1c-\x1f\x85]|[\s\x1c-\x1f\x85]\Z").search
+#: Characters that are a piece behind letters, if nothing follows.
+MARKS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 SAFE_CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])").split
 
 
@@ -454,83 +542,110 @@ class Codec:
         self.transducer = Transducer(ranks)
         self.many = Many(self.transducer)
         self.find = regex.compile(pattern).findall
-        self.by_text = {str(i): t for t, i in ranks.items()}
         #: Ids by cut, of the last two generations; a full one becomes the old one, from which what is still asked for comes back.
         self.new, self.old, self.held = {}, {}, 0
+        #: The bytes of each id.
+        self.bytes = pa.array([self.transducer.text.get(i, b"") for i in range(len(self.transducer.size))], pa.large_binary())
 
     def forget(self) -> None:
         """What was learned from texts goes, so that an idle worker holds no more than the tables of the vocabulary."""
         self.new, self.old, self.held = {}, {}, 0
         self.transducer.pairs.clear()
         self.transducer.clear()
-        self.many.clear()
+        self.many.forget()
         K.release()
 
-    def cuts(self, text: str) -> list[str]:
-        """Each cut but the first with the space before it."""
-        if RUN_OF_SPACE(text) or "\0" in text:
-            parts = SAFE_CUT(text)
-            return [parts[0], *[" " + p for p in parts[1:]]]
-        return text.replace(" ", "\0 ").split("\0")
-
-    def learn(self, cuts: list[str]) -> dict[str, str]:
-        """The ids of cuts that are not known yet."""
-        find, ranks = self.find, self.transducer.ranks
-        pieces = [find(cut) for cut in cuts]
+    @staticmethod
+    def odd(cut: str) -> bool:
+        """Whether a cut at every space is none: it is empty or has white space at an end (the first one behind its mark)."""
+        return cut[-1:].isspace() or not cut or cut[0] != " " and cut[0].isspace()
+
+    def learn(self, words: list[str], mixed: Iterable[str]) -> dict[str, str]:
+        """The ids of cuts that are not known yet; words are of letters only, each one piece with the space before it."""
+        find, ranks, known = self.find, self.transducer.ranks, self.new.get
+        tailed, others = [], []
+        for c in mixed:
+            (tailed if c[-1:] in MARKS and c[:-1].isalpha() else others).append(c)  # a word and a mark are two pieces
+        pieces = [find(c[1:] if c[:1] == " " else " " + c) for c in others]
+        pieces += [(" " + c[:-1], c[-1]) for c in tailed]
         ids: dict[str, str] = {}
-        rest, raws = [], []
+        place, later = dict(zip(words, range(len(words)), strict=True)), []
+        rest = [" " + c for c in words]
         for piece in set().union(*pieces):
-            raw = piece.encode()
-            whole = ranks.get(raw)
-            if whole is not None:  # a piece that is a token stays whole
-                ids[piece] = str(whole)
-            elif len(raw) <= PIECE:
-                rest.append(piece)
-                raws.append(raw)
+            word = piece[1:] if piece[0] == " " else ""
+            before = known(word) if word else None
+            if before is not None:
+                ids[piece] = before
+            elif word in place:
+                later.append(piece)
             else:
-                ids[piece] = ",".join(map(str, self.transducer.encode(raw)))
-        ids.update(zip(rest, self.many.encode(raws), strict=True))
-        return {cut: ids[x[0]] if len(x) == 1 else ",".join([ids[p] for p in x]) for cut, x in zip(cuts, pieces, strict=True)}
+                rest.append(piece)
+        raws = [piece.encode() for piece in rest]
+        wholes = list(map(ranks.get, raws))
+        got = ["" if x is None else str(x) for x in wholes]  # a piece that is a token stays whole
+        todo = [k for k, x in enumerate(wholes) if x is None]
+        together = [k for k in todo if len(raws[k]) <= PIECE]
+        for k, x in zip(together, self.many.encode([raws[k] for k in together]), strict=True):
+            got[k] = x
+        for k in todo:
+            if len(raws[k]) > PIECE:
+                got[k] = ",".join(map(str, self.transducer.encode(raws[k])))
+        ids.update(zip(rest[len(words) :], got[len(words) :], strict=True))
+        ids.update((piece, got[place[piece[1:]]]) for piece in later)
+        get = ids.__getitem__
+        out = dict(zip(words, got))  # those of words stand first
+        out.update(zip([*others, *tailed], [",".join(map(get, x)) for x in pieces], strict=True))
+        return out
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[str]:
         """The ids of each text, joined by commas; the new cuts of about CHUNK bytes are encoded together."""
         held: list[list[str]] = []
         size = 0
         for text in texts:
-            held.append(self.cuts(text))
+            held.append((" " + text).split(" ")[1:])
+            held[-1][0] = " " + held[-1][0]
             size += len(text)
             if size >= CHUNK:
                 yield from self._encoded(held)
                 held, size = [], 0
         yield from self._encoded(held)
 
-    def _encoded(self, held: list[list[str]]) -> Iterator[str]:
+    def _encoded(self, held: list[list[str]]) -> list[str]:
+        """The texts cut at every space, the first cut of each marked by one: where all cuts are whole, each space stood
+        between other characters and begins a piece. Other texts are cut again, only there. No odd cut is ever kept."""
         new, old = self.new, self.old
-        asked = dict.fromkeys(c for parts in held for c in parts) if len(held) < 2 else dict.fromkeys(set().union(*held))
-        found: dict[str, str] = {}
-        unknown = []
-        for c in asked:
-            ids = new.get(c)
-            if ids is None:
-                ids = old.get(c)
-                if ids is None:
-                    unknown.append(c)
-                    continue
-                found[c] = ids
-            asked[c] = ids
-        learned = self.learn(unknown)
-        asked.update(learned)
-        found.update(learned)
-        get = asked.__getitem__
-        for parts in held:
-            out = ",".join(map(get, parts))
-            yield out if out[:1] != "," else out[1:]
-        for c, ids in found.items():
-            if len(c) <= KEPT_CHARS:
-                if self.held > PIECE_BYTES // 2:
-                    self.old, self.new, self.held = self.new, {}, 0
-                self.new[c] = ids
-                self.held += 200 + 2 * len(c) + len(ids)
+        back: dict[str, str] = {}
+
+        def unknown() -> tuple[list[str], set[str]]:
+            asked = set().union(*held).difference(new)
+            if old:
+                back.update((c, old[c]) for c in asked.intersection(old))
+                asked.difference_update(back)
+            words = list(filter(str.isalpha, asked))
+            return words, asked.difference(words)
+
+        words, mixed = unknown()
+        wrong = set(filter(self.odd, mixed))
+        if wrong:
+            for k, parts in enumerate(held):
+                if not wrong.isdisjoint(parts):
+                    held[k] = SAFE_CUT(" ".join(parts)[1:])
+                    held[k][0] = " " + held[k][0]
+            words, mixed = unknown()
+        new.update(back)
+        learned = self.learn(words, mixed)
+        new.update(learned)
+        get = new.__getitem__
+        out = [",".join(map(get, parts)) for parts in held]
+        out = [x if x[:1] != "," else x[1:] for x in out]
+        for c in [*mixed, *(c for c in words if len(c) > KEPT_CHARS)]:
+            if len(c) > KEPT_CHARS or self.odd(c):
+                del new[c]
+        for x in (back, learned):
+            self.held += 200 * len(x) + 2 * sum(map(len, x)) + sum(map(len, x.values()))
+        if self.held > PIECE_BYTES // 2:
+            self.old, self.new, self.held = new, {}, 0
+        return out
 
     def encode(self, text: str) -> str:
         return next(self.encode_all([text]))
@@ -538,9 +653,10 @@ class Codec:
     def decode(self, ids: str) -> Iterator[tuple[bytes, str]]:
         """Chunks of bytes and of text."""
         stream = Utf8Stream()
-        parts = ids.split(",") if ids else []
-        for k in range(0, len(parts), STREAM_TOKENS):
-            data = b"".join(map(self.by_text.__getitem__, parts[k : k + STREAM_TOKENS]))
+        numbers = np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32)
+        for k in range(0, len(numbers), STREAM_TOKENS):
+            _, offsets, raw = self.bytes.take(pa.array(numbers[k : k + STREAM_TOKENS])).buffers()
+            data = raw.to_pybytes()
             yield data, stream.feed(data)
         yield b"", stream.close()
 

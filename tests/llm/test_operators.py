@@ -124,6 +124,47 @@ def test_bpe_long_texts_without_spaces_are_not_kept():
     assert not any(t in c.new or t in c.old for t in texts) and c.transducer.held <= bpe.STATE_BYTES + 4000
 
 
+def test_bpe_keeps_states_in_little_and_cuts_words_without_the_pattern(monkeypatch):
+    import public_tokenizers as P
+    import tiktoken
+
+    from glossmill.llm import bpe
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    c = bpe.Codec(bpe.read_ranks(path), P.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    find, found = c.find, []
+    c.find = lambda cut: found.append(cut) or find(cut)
+    words = ["".join(rng.choice("abcdeinrst") for _ in range(rng.randint(3, 12))) for _ in range(4000)]
+    text = " ".join(w + rng.choice(["", "", ",", "."]) for w in words)
+    assert c.encode("a " + text) == ",".join(map(str, enc.encode_ordinary("a " + text))) and len(found) <= 1
+    for odd in ["foo\n", "a foo\n b", "a foo b\n", "foo\n", "", " ", "  ", " foo", "foo ", "\n foo", "a\x85 b", "a \x1cb", "don' t", "a ' 's b"]:
+        assert c.encode(odd) == ",".join(map(str, enc.encode_ordinary(odd))), odd
+    many = c.many
+    pieces = [(" " + w).encode() for w in words]
+    monkeypatch.setattr(bpe, "MANY_BYTES", 600 * many.n)  # enough for all states with their moves
+    want = many.encode(pieces)
+    make, made = many.make, []
+    many.make = lambda key: made.append(len(key)) or make(key)
+    assert many.encode(pieces) == want and not made  # nothing was thrown away
+
+
+def test_numbers_by_key():
+    import numpy as np
+
+    from glossmill.llm import bpe
+
+    known, given = {}, np.random.default_rng(1)
+    numbers = bpe.Numbers(8)
+    for _ in range(30):
+        key = np.setdiff1d(np.unique(given.integers(0, 5000, 100)) << 8, np.array(list(known), np.int64))
+        number = np.arange(len(known), len(known) + len(key))
+        numbers.add(key, number)
+        known.update(zip(key.tolist(), number.tolist()))
+        asked = given.integers(0, 5000, 300) << 8
+        assert numbers.find(asked).tolist() == [known.get(x, -1) for x in asked.tolist()]
+
+
 # --- 2 ------------------------------------------------------------------------------------------
 
 
