@@ -775,7 +775,7 @@ def store(payload: np.ndarray) -> bytes:
 # --- many pictures at a time --------------------------------------------------------------------
 
 #: Bytes of payload encoded together, and decoded together; and pictures below which they are decoded one by one.
-TOGETHER, READ_TOGETHER, ALONE = 1 << 20, 4 << 20, 96
+TOGETHER, READ_TOGETHER, ALONE = 1 << 20, 16 << 20, 96
 #: Pictures of few colours, or of many pixels like the one before, may gain by a transform and are encoded one by one.
 FEW_COLOURS, MOSTLY_FLAT = 16, 0.4
 #: Code lengths of the code length codes of pictures that are encoded together; a complete code.
@@ -797,27 +797,30 @@ def fit_rows(counts: np.ndarray) -> np.ndarray:
     open_ = np.flatnonzero(room > 0)
     if len(open_):
         width = int(used[open_].max())
-        order = np.argsort(-counts[open_], axis=1, kind="stable")[:, :width]
-        mine = np.take_along_axis(length[open_], order, axis=1)
+        falling = counts[open_]
+        falling = (65535 - falling).astype(np.uint16) if int(falling.max()) < 65536 else -falling  # small numbers are sorted by counting
+        order = np.argsort(falling, axis=1, kind="stable")[:, :width]
+        mine = np.take_along_axis(length[open_], order, axis=1).T.copy()
         left = room[open_]
         while left.any():
             for k in range(width):
-                n = mine[:, k]
+                n = mine[k]
                 gain = 1 << (15 - n)
                 take = (n > 1) & (gain <= left)
-                left = left - np.where(take, gain, 0)
-                mine[:, k] = n - take
+                if take.any():
+                    left = left - gain * take
+                    mine[k] -= take
                 if not left.any():
                     break
         part = length[open_]
-        np.put_along_axis(part, order, mine, axis=1)
+        np.put_along_axis(part, order, mine.T, axis=1)
         length[open_] = part
     return length
 
 
 def spell_rows(length: np.ndarray) -> np.ndarray:
     """The bits of the canonical codes of each row, first bit lowest."""
-    order = np.argsort(np.where(length > 0, length, 99), axis=1, kind="stable")
+    order = np.argsort(length.astype(np.uint8) - np.uint8(1), axis=1, kind="stable")[:, : max(1, int(np.count_nonzero(length, axis=1).max(initial=0)))]
     n = np.take_along_axis(length, order, axis=1)
     step = np.where(n > 0, 1 << (15 - n), 0)
     out = np.zeros_like(length)
@@ -853,6 +856,26 @@ def code_tokens(length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return start[of] // width, code[symbol] | extra << INNER[symbol], INNER[symbol] + bits
 
 
+def stable_order(key: np.ndarray) -> np.ndarray:
+    """As np.argsort(key, kind="stable").
+
+    Sorts the keys' upper bits with the places below them, which is faster; should two keys differ in the lower bits only, the keys themselves."""
+    key = key.astype(np.uint64)
+    n = np.uint64(len(key).bit_length())
+    whole = not len(key) or int(key.max()) >> (64 - int(n)) == 0
+    if whole:
+        key = key << n
+    packed = key >> n << n | np.arange(len(key), dtype=np.uint64)
+    packed.sort()
+    order = (packed & ((np.uint64(1) << n) - np.uint64(1))).astype(np.int64)
+    if not whole:
+        packed >>= n
+        found = key[order]
+        if ((packed[1:] == packed[:-1]) & (found[1:] != found[:-1])).any():
+            return np.argsort(key, kind="stable")
+    return order
+
+
 def encode_many(payloads: list[np.ndarray]) -> list[bytes]:
     """Pictures of WIDTH pixels a row with fitted codes, back-references and, where it shortens, a colour cache, all together."""
     count = np.array([len(x) // 3 for x in payloads])
@@ -864,7 +887,7 @@ def encode_many(payloads: list[np.ndarray]) -> list[bytes]:
     # back-references: the latest place in the same picture with the same three pixels, taken greedily
     x = v.astype(np.uint64)
     key = K.mix(x[:-2] + K.mix(x[1:-1] + K.mix(x[2:] + K.mix(doc[:-2].astype(np.uint64) + np.uint64(1)))))
-    order = np.argsort(key, kind="stable")
+    order = stable_order(key)
     back = np.zeros(len(v), np.int64)
     same = key[order[1:]] == key[order[:-1]]
     back[order[1:][same]] = (order[1:] - order[:-1])[same]
@@ -901,7 +924,7 @@ def encode_many(payloads: list[np.ndarray]) -> list[bytes]:
     own = doc[place]
     # the cache: what stands in a slot is the last pixel that fell there
     slot = ((x * np.uint64(0x1E35A7BD) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CACHE_BITS)).astype(np.int64)
-    order = np.argsort(doc * (1 << CACHE_BITS) + slot, kind="stable")
+    order = stable_order(doc * (1 << CACHE_BITS) + slot)
     hit = np.zeros(len(v), bool)
     hit[order[1:]] = (doc[order[1:]] == doc[order[:-1]]) & (slot[order[1:]] == slot[order[:-1]]) & (v[order[1:]] == v[order[:-1]])
     hit = hit[place] & ~ref
@@ -972,7 +995,7 @@ def encode_many(payloads: list[np.ndarray]) -> list[bytes]:
     who, section = np.concatenate([who, every]), np.concatenate([section, np.full(n_docs, 10)])
     value, size = np.concatenate([value, np.zeros(n_docs, np.int64)]), np.concatenate([size, -total % 8])
     keep = np.flatnonzero(size > 0)
-    order = keep[np.argsort(who[keep] * 16 + section[keep], kind="stable")]
+    order = keep[stable_order(who[keep] * 16 + section[keep])]
     value, size = value[order], size[order]
     # no part has more than 36 bits, so one begins in every word of 64, and at most one reaches into the next
     begin = np.cumsum(size) - size
@@ -991,29 +1014,33 @@ def encode_many(payloads: list[np.ndarray]) -> list[bytes]:
 class Rows:
     """Canonical prefix codes, one a row, read side by side: codes of up to SHORT bits by table, longer ones by their length's first code."""
 
-    SHORT = 11
+    SHORT, LONGER, BLOCK = 11, 0xFFFF, 256
 
     def __init__(self, length: np.ndarray) -> None:
-        self.length = length
-        order = np.argsort(np.where(length > 0, length, 99), axis=1, kind="stable")
-        n = np.take_along_axis(length, order, axis=1)
-        used = (n > 0).sum(axis=1)
+        self.length = length = length.astype(np.uint8)
+        used = np.count_nonzero(length, axis=1)
+        top = max(1, int(used.max()))
+        blocks = [slice(lo, lo + self.BLOCK) for lo in range(0, len(length), self.BLOCK)]
+        # small numbers are sorted by counting; unused symbols go last
+        self.symbols = np.concatenate([np.argsort(length[part] - np.uint8(1), axis=1, kind="stable")[:, :top].astype(np.int16) for part in blocks])
+        order = self.symbols.astype(np.int64)
+        n = np.take_along_axis(length, order, axis=1).astype(np.int64)
         full = np.where(n > 0, 1 << (15 - n), 0).sum(axis=1) == 1 << 15
         if (~full & (used != 1)).any():
             raise ValueError("not a complete prefix code")
-        self.symbols = order
         lone = np.flatnonzero(used == 1)
-        top = int(used.max())
-        n, order, most = n[:, :top], order[:, :top], int(n.max())
+        most = int(n.max())
         self.bits = bits = min(self.SHORT, 0 if len(lone) == len(length) else most)
         entry, wide = order << 4 | n, np.where((n > 0) & (n <= bits), 1 << np.maximum(bits - n, 0), 0)
         entry[lone, 0], wide[lone] = order[lone, 0] << 4, 0
         wide[lone, 0] = 1 << bits
         total = wide.sum(axis=1)
-        #: By row and the next bits, first bit lowest: symbol and length, or -1 if the code is longer.
-        self.table = np.full(len(length) << bits, -1, np.int32)
-        place = np.arange(int(total.sum())) - np.repeat(np.cumsum(total) - total, total)
-        self.table[np.repeat(np.arange(len(length)) << bits, total) | REVERSED15[place] >> (15 - bits)] = np.repeat(entry.ravel(), wide.ravel())
+        #: By row and the next bits, first bit lowest: symbol (below 4095) and length, or LONGER.
+        self.table = np.full(len(length) << bits, self.LONGER, np.uint16)
+        for part in blocks:
+            many = total[part]
+            place = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            self.table[np.repeat(np.arange(part.start, part.start + len(many)) << bits, many) | REVERSED15[place] >> (15 - bits)] = np.repeat(entry[part].ravel(), wide[part].ravel())
         self.free, self.long = len(lone) == len(length), most > bits and len(lone) < len(length)
         if not self.long:
             return
@@ -1024,12 +1051,11 @@ class Rows:
 
     def read(self, row: np.ndarray, bits: np.ndarray) -> np.ndarray:
         """Symbols and, in the lowest four bits, lengths of the codes at the start of some bits."""
-        e = self.table.take((row << self.bits) | (bits & ((1 << self.bits) - 1)))
-        if self.long and e.min() < 0:
-            far = np.flatnonzero(e < 0)
+        e = self.table.take((row << self.bits) | (bits & ((1 << self.bits) - 1))).astype(np.int64)
+        if self.long and len(far := np.flatnonzero(e == self.LONGER)):
             r, c = row[far], REVERSED15[bits[far] & 32767]
             k = np.minimum((self.beyond[r] <= c[:, None]).sum(axis=1), 14)
-            e[far] = self.symbols[r, np.minimum(self.place[r, k] + ((c - self.begin[r, k]) >> (14 - k)), self.symbols.shape[1] - 1)] << 4 | (k + 1)
+            e[far] = self.symbols[r, np.minimum(self.place[r, k] + ((c - self.begin[r, k]) >> (14 - k)), self.symbols.shape[1] - 1)].astype(np.int64) << 4 | (k + 1)
         return e
 
     def code(self, row: int) -> Code:
@@ -1074,7 +1100,7 @@ def decode_many(pictures: list[bytes]) -> list[np.ndarray]:
         return v
 
     def lengths(alphabet: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(heads), int(alphabet.max())), np.int64)
+        out = np.zeros((len(heads), int(alphabet.max())), np.uint8)
         every = np.arange(len(heads))
         simple = take(every, 1) == 1
         on = every[simple]
@@ -1125,7 +1151,7 @@ def decode_many(pictures: list[bytes]) -> list[np.ndarray]:
     most = int(cache.max())
     slots = np.zeros(len(heads) << most, np.uint32)
     shift = 32 - cache
-    solid = (alpha.symbols[:, 0] << 24).astype(np.uint32) if alpha.free else None
+    solid = alpha.symbols[:, 0].astype(np.uint32) << np.uint32(24) if alpha.free else None
     dx, dy = np.array(NEAR).T
     place = offset.copy()  # of the next pixel
     until = offset + size
@@ -1212,9 +1238,9 @@ def decode_many(pictures: list[bytes]) -> list[np.ndarray]:
         mine = pixels[lo : lo + n].tolist()
         _read_symbols(reader, [[c.code(k) for c in (green, red, blue, alpha, far)]], None, 0, int(wide[k]), mine, int(done[k]), slots[k << most : (k + 1) << most].tolist(), int(cache[k]))
         pixels[lo : lo + n] = mine
-    rgba = np.stack([pixels >> 16 & 255, pixels >> 8 & 255, pixels & 255, pixels >> 24], axis=1).astype(np.uint8)
+    bgra = pixels.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4)
     for (k, head, _, n), lo in zip(heads, offset.tolist(), strict=True):
-        out[k] = _undo(rgba[lo : lo + n].reshape(head[2], head[3], 4), head[4])
+        out[k] = _undo(bgra[lo : lo + n].take([2, 1, 0, 3], axis=1).reshape(head[2], head[3], 4), head[4])
     return out
 
 
@@ -1225,7 +1251,7 @@ def store_many(payloads: list[np.ndarray]) -> list[bytes]:
     for k, payload in enumerate(payloads):
         v = payload.reshape(-1, 3).astype(np.uint32)
         v = v[:, 0] << np.uint32(16) | v[:, 1] << np.uint32(8) | v[:, 2]
-        if len(payload) > MOST_ROWS * ROW_BYTES or (v[1:] == v[:-1]).mean() > MOSTLY_FLAT or len(v) <= 4096 and len(np.unique(v)) <= FEW_COLOURS:
+        if len(payload) > MOST_ROWS * ROW_BYTES or (v[1:] == v[:-1]).mean() > MOSTLY_FLAT or len(v) <= 4096 and len(set(v[:WIDTH].tolist())) <= FEW_COLOURS and len(np.unique(v)) <= FEW_COLOURS:
             out[k] = store(payload)
         else:
             usual.append(k)
@@ -1266,8 +1292,8 @@ def read_media(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     The feature has the picture's size, mean colour and a coarse histogram of all samples."""
 
-    def pictures(column: pa.Array) -> Iterator[tuple[bytes, np.ndarray]]:
-        """The media and the pixels of each row, read some MB at a time."""
+    def pictures(n_bytes: pa.Array, column: pa.Array) -> Iterator[tuple[bytes, np.ndarray]]:
+        """The media and the pixels of each row, read some MB at a time, of media or of four times as much text."""
         held: list[tuple[bytes, list[bytes]]] = []
         size = 0
 
@@ -1276,10 +1302,10 @@ def read_media(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
             for media, parts in held:
                 yield media, np.concatenate([next(px)[..., :3] for _ in parts])
 
-        for media in column:
+        for n, media in zip(n_bytes, column, strict=True):
             media = media.as_py()
             held.append((media, list(files(media))))
-            size += len(media)
+            size += max(len(media), (n.as_py() or 0) // 4)
             if size >= READ_TOGETHER // 2:
                 yield from read()
                 held, size = [], 0
@@ -1288,7 +1314,7 @@ def read_media(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
-            for media, px in pictures(batch.column(2)):
+            for media, px in pictures(batch.column(1), batch.column(2)):
                 payload = px.tobytes()
                 mean = px.reshape(-1, 3).mean(axis=0)
                 bins = np.bincount(px.ravel() >> 5, minlength=8)

@@ -179,3 +179,24 @@ def test_damage_is_an_error():
     for cut in (200, 60, 30):
         with pytest.raises(ValueError):
             W.decode_many([*media[:-1], media[50][:cut]])
+
+
+def test_code_tables_take_little_while_they_are_made():
+    import tracemalloc
+
+    length = W.fit_rows(rng.integers(0, 1 << 12, (2000, 1304)) * (rng.random((2000, 1304)) < 0.1))
+    tracemalloc.start()
+    rows = W.Rows(length)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+    bits = rng.integers(0, 1 << 15, 2000)
+    got = rows.read(np.arange(2000), bits)
+    for k in range(0, 2000, 40):
+        code = rows.code(k)
+        assert got[k] == code.look[int(bits[k]) & code.mask]
+
+
+def test_stable_order():
+    for key in (rng.integers(0, 50, 1000), rng.integers(0, 1 << 63, 1000), np.repeat(rng.integers(0, 1 << 63, 300), 3)[rng.permutation(900)], (1 << 63) + rng.integers(0, 4, 1000).astype(np.uint64), np.zeros(0, np.int64)):
+        assert (W.stable_order(key) == np.argsort(key.astype(np.uint64), kind="stable")).all()
