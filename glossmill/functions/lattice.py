@@ -2,7 +2,8 @@
 
 All of it works on whole Arrow batches: the texts of a batch are one array of code points, with a mark between
 them, and every place, chunk or piece is advanced side by side in numpy. A list of words is built once, on the
-driver, broadcast, and bounded by a parameter; texts stay where they are.
+driver, broadcast, and bounded by a parameter; texts stay where they are. Lists that grow with the texts are not
+sent: what of them a share of the texts can hold is found by a sieve of fixed size (segment.headwords_used).
 """
 
 from __future__ import annotations
@@ -192,6 +193,7 @@ class Lattice:
 
     def __init__(self, words: list[str], costs: list[int]) -> None:
         self.trie, self.names, self.costs = Trie(words), frozenset(words), np.array(costs or [0], np.int64)
+        self.marked = bool((kinds(np.flatnonzero(self.trie.table)) == NO_WORD).any())  # whether a mark is in any word
 
     def edges(self, codes: np.ndarray, own: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """start, end and cost of all edges, and the kinds of the code points. own: more places of known words."""
@@ -288,6 +290,92 @@ def counted_words(df: DataFrame, text: str, words: list[str], lattice: Lattice |
     return df.select(F.col(text).cast("string").alias("t")).mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+#: Bits of a sieve for each word of its list, and at most (16 MB: of what is no word, one in 3,600 passes with 3 million words, one in 120 with 10 million).
+BITS_A_WORD, SIEVE_BITS = 32, 1 << 27
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class _Hashes:
+    """Hashes of any stretches of code points, from sums that are made once."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        def powers(base: int) -> np.ndarray:
+            out = np.full(len(codes) + 1, base, np.uint64)
+            out[0] = 1
+            return np.cumprod(out, dtype=np.uint64)
+
+        self.sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(_mixed(codes.astype(np.uint64) + np.uint64(1)) * powers(_BASE)[:-1], out=self.sums[1:])
+        self.back = powers(pow(_BASE, -1, 1 << 64))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _mixed((self.sums[end] - self.sums[start]) * self.back[start])
+
+
+#: Bits that a word sets.
+SPOTS = 3
+
+
+def _spot(hashes: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """The k-th bit of each hash; bits: a power of 2."""
+    return (hashes + np.uint64(k) * (hashes >> np.uint64(32) | np.uint64(1))) & np.uint64(bits - 1)
+
+
+class Sieve:
+    """Finds the places in texts that may hold a word of a list, by its words' lengths, last code points and a bitmap of their hashes: no word is missed, some that are none pass."""
+
+    def __init__(self, lengths: list[int], last: list[str], slots: np.ndarray) -> None:
+        self.lengths, self.last, self.slots = sorted(lengths), np.zeros(0x110000, bool), slots
+        self.last[[ord(c) for c in last]] = True
+
+    def found(self, texts: list[str]) -> Iterator[str]:
+        """What stands at each such place."""
+        codes, begin = code_points(texts)
+        joined, hashes, bits = "".join(t + MARK for t in texts), _Hashes(codes), 64 * len(self.slots)
+        stop = np.flatnonzero(self.last[codes])
+        room = stop + 1 - begin[np.searchsorted(begin, stop, "right") - 1]
+        for n in self.lengths:
+            fits = room >= n
+            stop, room = stop[fits], room[fits]
+            at, h = stop + 1 - n, hashes.of(stop + 1 - n, stop + 1)
+            for k in range(SPOTS):
+                spot = _spot(h, k, bits)
+                held = (self.slots[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
+                at, h = at[held], h[held]
+            yield from (joined[a : a + n] for a in at.tolist())
+
+
+def learn_sieve(words: DataFrame, n: int) -> Sieve:
+    """A sieve of the n distinct words (`word`), which are read three times; only its bits, lengths and code points come to the driver."""
+    bits = min(SIEVE_BITS, 1 << max(6, (BITS_A_WORD * n).bit_length()))
+
+    def mark(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            codes, begin = code_points(f.word.tolist())
+            h = _Hashes(codes).of(begin[:-1], begin[1:] - 1)
+            spots = np.unique(np.concatenate([_spot(h, k, bits) for k in range(SPOTS)]))
+            slot, first = np.unique(spots >> np.uint64(6), return_index=True)
+            if len(slot):
+                yield pd.DataFrame({"slot": slot.astype(np.int64), "bits": np.bitwise_or.reduceat(np.uint64(1) << (spots & np.uint64(63)), first).view(np.int64)})
+
+    marked = words.select("word").mapInPandas(mark, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    slots = np.zeros(bits // 64, np.int64)
+    slots[marked["slot"].to_numpy()] = marked["bits"].to_numpy()
+    lengths = [r.n for r in words.select(F.length("word").alias("n")).distinct().collect()]
+    last = [r.c for r in words.select(F.right("word", F.lit(1)).alias("c")).distinct().collect()]  # as many as there are code points at most
+    return Sieve(lengths, last, slots.view(np.uint64))
+
+
+def learned_costs(n: np.ndarray, total: int) -> list[int]:
+    return np.floor(100 * np.log(total / n) + 0.5).astype(np.int64).tolist()
+
+
 def learn_lattice(words: DataFrame, texts: DataFrame, word: str = "word", text: str = "text", rounds: int = 2, most_words: int = MOST_WORDS) -> Lattice:
     """A lattice of the distinct words, each at 100 * ln(N / n), rounded, where n is one more than how often the texts use it and N the sum over all words.
 
@@ -302,7 +390,7 @@ def learn_lattice(words: DataFrame, texts: DataFrame, word: str = "word", text:
         for r in counted_words(texts, text, names, lattice).collect():  # as many rows as there are words at most
             n[r.word] += r.n
         total = sum(n.values())
-        lattice = Lattice(names, [int(np.floor(100 * np.log(total / n[w]) + 0.5)) for w in names])
+        lattice = Lattice(names, learned_costs(np.array([n[w] for w in names], np.int64), total))
     return lattice or Lattice(names, [0] * len(names))
 
 

@@ -99,6 +99,8 @@ def regional_terms(spark, sf):
 
 # --- sentences ----------------------------------------------------------------------------------
 
+#: Turns whose sentences are cut by a lattice of their own.
+SHARE_TURNS = 2000
 _ENDS = "[" + ", ".join(repr(e) for e in ENDS) + "]"
 _HAN = f"translate({{0}}, '{LETTERS}', '{HAN}')"
 SENTENCES = f"""said AS (SELECT conv_id, turn, role, unnest(string_split(lower(text), '.')) AS t, generate_subscripts(string_split(lower(text), '.'), 1) AS no FROM conversations),
@@ -128,12 +130,16 @@ def japanese_sentence_uses(spark, sf):
     han = lambda c: F.translate(c, LETTERS, HAN)
     ends = F.array(*map(F.lit, ENDS))
     joint = lambda i: F.when(i % 5 == 0, "。").when(i % 3 == 1, "は").when(i % 3 == 2, "を").otherwise("")
-    said = turns(spark, sf).select("conv_id", "turn", "role", F.posexplode(F.split(F.lower("text"), "[.]")).alias("at", "t"))
-    sen = said.select("conv_id", "turn", "role", (F.col("at") + 1).cast("long").alias("no"), F.regexp_extract_all("t", F.lit("([a-z]+)"), F.lit(1)).alias("w")).where(F.size("w") > 0)
+    t = read(spark, sf, "conversations")
+    shares = max(1, -(-t.count() // SHARE_TURNS))
+    t = t.withColumn("share", F.pmod(F.xxhash64("conv_id", "turn", "role"), F.lit(shares))).repartition(shares, "share")
+    said = t.select("share", "conv_id", "turn", "role", F.posexplode(F.split(F.lower("text"), "[.]")).alias("at", "t"))
+    sen = said.select("share", "conv_id", "turn", "role", (F.col("at") + 1).cast("long").alias("no"), F.regexp_extract_all("t", F.lit("([a-z]+)"), F.lit(1)).alias("w")).where(F.size("w") > 0)
     sen = sen.withColumn("s", F.array_join(F.transform("w", lambda x, i: F.concat(han(x), F.element_at(ends, 1 + (F.length(x) + i + 1) % len(ENDS)), joint(i + 1))), ""))
     word = lambda k: F.element_at("w", (1 + k % F.size("w")).cast("int"))
     heads = F.array(F.concat(han(word(F.col("no"))), F.lit("る")), F.concat(han(F.reverse(word(7 * F.col("no") + F.col("turn")))), F.lit("る")), F.concat(han(word(F.col("no"))), F.lit("い")))
-    asked = sen.select("conv_id", "turn", "role", "no", "s", F.explode(heads).alias("headword"))
-    known = spelled_words(spark, sf).where("n >= 3").select(F.concat("word", F.lit("る")).alias("word")).unionByName(asked.select(F.col("headword").alias("word"))).unionByName(spark.createDataFrame([(p,) for p in PARTICLES], "word string"))
-    lattice = spark.sparkContext.broadcast(A.learn_lattice(known, sen, "word", "s", rounds=1))
-    return asked.select("conv_id", "turn", "role", "no", "headword", G.japanese_sentence_contains(F.col("s"), F.col("headword"), lattice).alias("used"))
+    sen = sen.select("share", "conv_id", "turn", "role", "no", "s", heads.alias("heads"))
+    asked = sen.select(F.explode("heads").alias("word"))
+    known = spelled_words(spark, sf).where("n >= 3").select(F.concat("word", F.lit("る")).alias("word")).unionByName(asked).unionByName(spark.createDataFrame([(p,) for p in PARTICLES], "word string"))
+    used = G.headwords_used(sen, "s", "heads", known, "share")
+    return used.select("conv_id", "turn", "role", "no", F.explode(F.arrays_zip("heads", "used")).alias("x")).select("conv_id", "turn", "role", "no", F.col("x.heads").alias("headword"), F.col("x.used").alias("used"))

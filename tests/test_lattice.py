@@ -157,3 +157,39 @@ def test_turns_are_dealt_by_number(spark, monkeypatch):
     monkeypatch.setattr(running, "TASK_TURNS", n // 5, raising=False)
     dealt = running.turns(spark, sf)
     assert dealt.count() == n and dealt.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_lattices_of_shares_cut_as_one_of_all_words(spark):
+    letters = HAN[:4] + "は。るい"
+    for marks in ("", "。"):
+        heads = [some(HAN[:4] + marks, 1, 3) + rng.choice("るい") for _ in range(6)]
+        ends = ["った", "ない", "ます", "くて", "る", "い"]
+        said = ["".join(rng.choice([h, h[:-1] + rng.choice(ends), some(letters, 0, 3)]) for h in rng.choices(heads, k=6)) for _ in range(150)] + ["", None]
+        rows = [(k, k % 60, s, [rng.choice(heads), None, "", rng.choice(heads), "外る"] if k % 20 else None) for k, s in enumerate(said)]
+        words = [*heads, "は", *(some(HAN[:4] + marks, 1, 2) for _ in range(8))]
+        df = spark.createDataFrame(rows, "id long, share long, s string, heads array<string>")
+        known = spark.createDataFrame([(w,) for w in [*words, None, ""]], "word string")
+        whole = A.learn_lattice(known, df, text="s", rounds=1)
+        want = {k: G.sentences_use([s or ""] * len(hs or []), [h or "" for h in hs or []], whole) for k, _, s, hs in rows}
+        got = {r.id: r.used for r in G.headwords_used(df, "s", "heads", known, "share").collect()}
+        assert got == want and sum(map(sum, want.values())) > 100
+
+
+def test_sentences_are_cut_by_more_words_than_are_sent(spark, monkeypatch):
+    from glossmill.plans import running
+
+    sf = "/root/testdata/sf0.001"
+    want = running.japanese_sentence_uses(spark, sf).groupBy("used").count().orderBy("used").collect()
+    monkeypatch.setattr(A.learn_lattice, "__defaults__", (*A.learn_lattice.__defaults__[:-1], 10))
+    monkeypatch.setattr(running, "SHARE_TURNS", 7, raising=False)
+    assert running.japanese_sentence_uses(spark, sf).groupBy("used").count().orderBy("used").collect() == want
+
+
+def test_sieve_misses_no_word(spark):
+    words = sorted({some("ab" + HAN, 1, 5) for _ in range(300)} | {"𠮷"})
+    sieve = A.learn_sieve(spark.createDataFrame([(w,) for w in words], "word string").repartition(3), len(words))
+    texts = [some("abc。𠮷" + HAN, 0, 40) for _ in range(20)]
+    found = list(sieve.found(texts))
+    assert sorted(w for w in found if w in words) == sorted(w for t in texts for _, _, w in places(words, t))
+    assert sum(w not in words for w in found) < len(found) / 10
+    assert not list(A.learn_sieve(spark.createDataFrame([], "word string"), 0).found(texts))
